@@ -21,8 +21,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-        large = stored(both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.union(least.filter("m < u").select("u", "m")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
         edges = stored(small, "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

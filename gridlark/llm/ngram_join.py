@@ -13,11 +13,12 @@ pivot cannot do this first step: nearly all pairs of documents lie at distance
 exactly 1, so that every document would lie in every other pivot's window.
 
 *Document pivots.*  Cells of at most LEAF documents are joined outright.  Larger
-ones are cut again, in rounds: each takes some of its documents as pivots, links
-to a pivot put documents into one class, documents of one class need no further
-comparison, and the pivots leave the region.  A region ends when its documents
-are of one class or it has no pairs left.  The distances to pivots met so far
-bound others by the triangle inequality: |d(x,p) - d(y,p)| > RADIUS rules a pair out.
+ones are joined in rounds.  Each round takes some documents of a cell as pivots and
+links the others to those within RADIUS; documents of one class need no further
+comparison, so the next pivots are drawn from those outside the cell's main class,
+and pivots leave the cell once compared.  Distances to the first pivots are kept:
+the triangle inequality, |d(x,p) - d(y,p)| <= d(x,y), rules out later pairs.  A
+cell ends when its documents are of one class.
 
 Copies (equal sets) are one class from the start.  No pair within a group of
 copies is made, no shingle is dropped, and every pair of classes that links is
@@ -25,8 +26,8 @@ joined through a chain of verified links.
 
 Only shingles that hold over FREQUENT / 2 of all shingle occurrences are counted,
 which bounds that table to 2 / FREQUENT entries whatever the corpus; they come
-last in the order.  Their cells are dealt by (shingle, document), so no key meets
-in one task.  Shingles are compared by 64-bit hashes.
+last in the order.  Cells of shingles counted over LEAF times are dealt by (shingle,
+document), so no key meets in one task.  Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.components import components
@@ -46,9 +47,11 @@ WORDS, PERCENT = 5, 80
 #: Share of all shingle occurrences from which a shingle is sure to count as frequent.
 FREQUENT = 4e-6
 #: Documents of a cell that are joined outright.
-LEAF = 48
-#: Document pivots that a larger cell takes in a round.
-PIVOTS = 6
+LEAF = 256
+#: Document pivots that a larger cell takes in the first round, and in later ones.
+FIRST_PIVOTS, PIVOTS = 4, 32
+#: The radius of a link.
+RADIUS = 1 - PERCENT / 100
 #: Shingles over which a task counts before it reports local frequent ones.
 BLOCK = 1 << 21
 
@@ -96,7 +99,7 @@ def _survey(id_col: str, text_col: str, words: int):
     return run
 
 
-def _postings(words: int, percent: int, frequent):
+def _postings(words: int, percent: int, leaf: int, frequent):
     """(deal, s, x, n, at, wide): x lies in the cell of s, the shingle at that place of its order; wide cells are dealt by s and x."""
 
     def run(batches):
@@ -120,7 +123,7 @@ def _postings(words: int, percent: int, frequent):
                 place = np.arange(len(hashes)) - np.repeat(bounds[:-1], sizes)
                 prefix = sizes + (-percent * sizes // 100) + 1
                 keep = (place < prefix[owner]) & fresh[owner]
-                s, x, wide = hashes[order][keep], classes[owner[keep]], rank[order][keep] > 0
+                s, x, wide = hashes[order][keep], classes[owner[keep]], rank[order][keep] >= leaf
                 yield pa.RecordBatch.from_arrays(
                     [_signed(np.where(wide, mix64(s ^ x), s)), _signed(s), _signed(x), pa.array(sizes[owner[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(wide)],
                     ["deal", "s", "x", "n", "at", "wide"],
@@ -209,8 +212,8 @@ def _cells(percent: int, leaf: int):
     return run
 
 
-def _linked(words: int, percent: int):
-    """Of rows (x, y, text of x, text of y): x, y and the distance in shingles, common and united."""
+def _measured(words: int):
+    """Of rows (x, y, text of x, text of y): x, y, and how many shingles they share and have together."""
 
     def run(batches):
         for batch in batches:
@@ -223,13 +226,12 @@ def _linked(words: int, percent: int):
                 sets.append(parts)
             common = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets)], np.int64)
             united = np.array([len(a) + len(b) for a, b in zip(*sets)], np.int64) - common
-            keep = pa.array(100 * common >= percent * united)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(united)], ["x", "y", "common", "united"])
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """One row per row of docs: its id, n_shingles, component_id (the smallest id reachable by links), class_id (the smallest id with an equal set) and n_links.
 
     A null or empty text, or one without words, has an empty set: it links with
@@ -251,7 +253,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = spark.sparkContext.broadcast((np.array([a for a, _ in table], U64), np.array([c for _, c in table], np.int64)))
     classes = stored(every.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("class_id")), "classes")
 
-    postings = base.mapInArrow(_postings(words, percent, frequent), "deal long, s long, x long, n int, at int, wide boolean")
+    postings = base.mapInArrow(_postings(words, percent, leaf, frequent), "deal long, s long, x long, n int, at int, wide boolean")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = postings.repartition(parts, "deal").sortWithinPartitions("wide", "s", "n", "x").select("s", "x", "n", "at", "wide")
     cells = stored(cells.mapInArrow(_cells(percent, leaf), "kind int, x long, other long, n int, at int"), "cells")
@@ -265,8 +267,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = stored(texts, "texts")
     links = [_verified(pairs, texts, words, percent)]
     if not large.isEmpty():
-        links += _large_cells(large, links[0], texts, words, percent, pivots)
-    edges = reduce(DataFrame.unionByName, links).distinct()
+        links += _large_cells(large, links[0], texts, words, percent)
+    edges = reduce(DataFrame.unionByName, links).filter("linked").select("x", "y").distinct()
     edges = edges.join(classes.select(F.col("class").alias("x"), F.col("class_id").alias("u")), "x").join(classes.select(F.col("class").alias("y"), F.col("class_id").alias("v")), "y").select("u", "v")
     edges = stored(edges, "links")
     reach = components(edges)
@@ -278,31 +280,48 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of classes (x, y) within the radius, by their whole texts."""
+    """Pairs of classes with the distance of their whole texts, and whether they link."""
     both = pairs.join(texts.select(F.col("class").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("class").alias("y"), F.col("text").alias("ty")), "y")
-    return stored(both.select("x", "y", "tx", "ty").mapInArrow(_linked(words, percent), "x long, y long"), "verified")
+    found = both.select("x", "y", "tx", "ty").mapInArrow(_measured(words), "x long, y long, common long, united long")
+    return stored(found.select("x", "y", (1 - F.col("common") / F.col("united")).alias("d"), (100 * F.col("common") >= percent * F.col("united")).alias("linked")), "verified")
 
 
-def _large_cells(large: DataFrame, known: DataFrame, texts: DataFrame, words: int, percent: int, pivots: int) -> list[DataFrame]:
-    """The links that connect what the larger cells hold, found in rounds of document pivots."""
-    labels = _labels(known)
-    alive, out = large, []
+def _large_cells(large: DataFrame, known: DataFrame, texts: DataFrame, words: int, percent: int) -> list[DataFrame]:
+    """Verified pairs whose links connect what the larger cells hold, found in rounds of document pivots."""
+    alive, out, distances, number = large, [], None, 0
     while True:
-        of = alive.join(labels, "x", "left").withColumn("label", F.coalesce("label", "x"))
-        drawn = [F.min(F.struct(F.xxhash64("x", F.lit(i)).alias("h"), "x", "n", "at", "label")).alias(f"p{i}") for i in range(pivots)]
-        open_ = stored(of.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *drawn).filter("lo <> hi"), "open")
+        labels = _labels(reduce(DataFrame.unionByName, [known, *out]))
+        of = stored(alive.join(labels, "x", "left").withColumn("label", F.coalesce("label", "x")), "alive")
+        open_ = of.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", F.xxhash64("x", F.lit(number))).alias("main"))
+        open_ = stored(open_.filter("lo <> hi").select("s", "main"), "open")
         if open_.isEmpty():
             return out
-        chosen = open_.select("s", F.explode(F.array_distinct(F.array(*[F.struct(f"p{i}.x", f"p{i}.n", f"p{i}.at", f"p{i}.label") for i in range(pivots)]))).alias("p")).select("s", F.col("p.x").alias("px"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"), F.col("p.label").alias("plabel"))
-        chosen = stored(chosen, "pivots")
-        of = stored(of.join(open_.select("s"), "s", "left_semi"), "alive")
-        met = of.join(chosen, "s").filter((F.col("label") != F.col("plabel")) & _fits(F.col("n"), F.col("pn"), F.col("at"), F.col("pat"), percent))
-        met = met.select(F.least("x", "px").alias("x"), F.greatest("x", "px").alias("y")).distinct()
-        out.append(_verified(met, texts, words, percent))
-        labels = _labels(reduce(DataFrame.unionByName, [known, *out]))
-        alive = of.join(chosen.select("s", F.col("px").alias("x")), ["s", "x"], "left_anti").select("s", "x", "n", "at")
-
-
-def _labels(links: DataFrame) -> DataFrame:
+        of = stored(of.join(open_, "s"), "alive")
+        drawn = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("x", F.lit(number)), "x"))
+        chosen = of.filter("label <> main").withColumn("rank", drawn).filter(F.col("rank") <= (PIVOTS if number else FIRST_PIVOTS))
+        chosen = stored(chosen.select("s", "x", "n", "at", "label"), "pivots")
+        sets = stored(chosen.groupBy("s").agg(F.collect_list(F.struct("x", "n", "at", "label")).alias("pivots")), "sets")
+        near = F.filter("pivots", lambda p: (p["label"] != F.col("label")) & _fits(F.col("n"), p["n"], F.col("at"), p["at"], percent))
+        met = of.join(sets, "s").select("x", F.explode(near).alias("p")).select(F.least("x", "p.x").alias("x"), F.greatest("x", "p.x").alias("y")).distinct()
+        if distances is not None:
+            met = _in_window(met, distances)
+        tested = _verified(met, texts, words, percent)
+        out.append(tested)
+        if distances is None:
+            ends = tested.select("x", "y", "d").union(tested.select("y", "x", "d"))
+            ends = ends.join(chosen.select(F.col("x").alias("y")).distinct(), "y", "left_semi")
+            distances = stored(ends.groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("y", "d"))).alias("to")), "distances")
+        alive = of.join(chosen.select("s", "x"), ["s", "x"], "left_anti").select("s", "x", "n", "at")
+        number += 1
+
+
+def _in_window(pairs: DataFrame, distances: DataFrame) -> DataFrame:
+    """The pairs that no first pivot rules out: |d(x,p) - d(y,p)| <= RADIUS for each p that both were measured against."""
+    one, two = distances.select("x", F.col("to").alias("dx")), distances.select(F.col("x").alias("y"), F.col("to").alias("dy"))
+    apart = F.exists(F.map_keys("dx"), lambda p: F.abs(F.element_at("dx", p) - F.try_element_at("dy", p)) > RADIUS + 1e-9)
+    return pairs.join(one, "x", "left").join(two, "y", "left").filter(~F.coalesce(apart, F.lit(False))).select("x", "y")
+
+
+def _labels(tested: DataFrame) -> DataFrame:
     """(x, label): the smallest class that links are known to reach from x."""
-    return components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).select(F.col("node").alias("x"), F.col("component").alias("label"))
+    return components(tested.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))).select(F.col("node").alias("x"), F.col("component").alias("label"))
