@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import decontam, ngram_join, quality
+from gridlark.llm import chat, decontam, ngram_join, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +26,21 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     hits = decontam.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("t"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra.select("conv_id", "t.turn", "t.role", F.lit(said)))
+    out = chat.formatted(rows)
+    turns = chat.turns_of(F.col("formatted"))
+    whole = F.concat_ws("", F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    loss = chat.loss_text(F.col("segments"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("conv_id", F.size(turns).cast("long").alias("n_turns"), sha(whole).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), sha(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "refused_turn")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sharding.sharded(docs.select("doc_id", "text"), ["doc_id"], shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard")
