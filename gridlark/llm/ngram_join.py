@@ -12,8 +12,11 @@ those cells, the window within which each neighbour's copy must lie.  A document
 pivot cannot do this first step: nearly all pairs of documents lie at distance
 exactly 1, so that every document would lie in every other pivot's window.
 
-*Document pivots.*  Cells of at most LEAF documents are joined outright.  Larger
-ones are joined in rounds.  Each round takes some documents of a cell as pivots and
+*Document pivots.*  Cells of at most LEAF documents give all their candidate pairs.
+Each document is measured against the pivot among its candidates first (the one
+lowest by hash, so that a family of near copies shares it), then against more of
+them, and at last against all that are neither of its class yet nor outside its
+window.  Larger cells are joined in rounds.  Each round takes some documents of a cell as pivots and
 links the others to those within RADIUS; documents of one class need no further
 comparison, so the next pivots are drawn from those outside the cell's main class,
 and pivots leave the cell once compared.  Distances to the first pivots are kept:
@@ -50,6 +53,8 @@ FREQUENT = 4e-6
 LEAF = 256
 #: Document pivots that a larger cell takes in the first round, and in later ones.
 FIRST_PIVOTS, PIVOTS = 4, 32
+#: Partners of each document that are measured in the first rounds over the leaves' pairs.
+PARTNERS = (1, 4)
 #: The radius of a link.
 RADIUS = 1 - PERCENT / 100
 #: Shingles over which a task counts before it reports local frequent ones.
@@ -257,7 +262,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = postings.repartition(parts, "deal").sortWithinPartitions("wide", "s", "n", "x").select("s", "x", "n", "at", "wide")
     cells = stored(cells.mapInArrow(_cells(percent, leaf), "kind int, x long, other long, n int, at int"), "cells")
-    pairs = cells.filter("kind = 0").select("x", F.col("other").alias("y")).distinct()
+    pairs = stored(cells.filter("kind = 0").select("x", F.col("other").alias("y")).distinct(), "pairs")
     large = cells.filter("kind = 1").select(F.col("other").alias("s"), "x", "n", "at").distinct()
 
     # texts of one document of each class that takes part
@@ -265,9 +270,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = stored(wanted.withColumnRenamed("x", "class").join(classes, "class"), "wanted")
     texts = base.join(wanted, F.col("doc_id") == F.col("class_id"), "inner").groupBy("class").agg(F.first("text").alias("text"))
     texts = stored(texts, "texts")
-    links = [_verified(pairs, texts, words, percent)]
+    links = _leaf_cells(pairs, texts, words, percent)
     if not large.isEmpty():
-        links += _large_cells(large, links[0], texts, words, percent)
+        links += _large_cells(large, links, texts, words, percent)
     edges = reduce(DataFrame.unionByName, links).filter("linked").select("x", "y").distinct()
     edges = edges.join(classes.select(F.col("class").alias("x"), F.col("class_id").alias("u")), "x").join(classes.select(F.col("class").alias("y"), F.col("class_id").alias("v")), "y").select("u", "v")
     edges = stored(edges, "links")
@@ -286,11 +291,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return stored(found.select("x", "y", (1 - F.col("common") / F.col("united")).alias("d"), (100 * F.col("common") >= percent * F.col("united")).alias("linked")), "verified")
 
 
-def _large_cells(large: DataFrame, known: DataFrame, texts: DataFrame, words: int, percent: int) -> list[DataFrame]:
+def _leaf_cells(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> list[DataFrame]:
+    """Verified pairs whose links connect all that candidate pairs (x, y) can: few partners of each document first, then what these leave open."""
+    left, out, distances = pairs, [], None
+    for partners in (*PARTNERS, None):
+        met = left
+        if partners:
+            both = left.select("x", "y").union(left.select("y", "x"))
+            rank = F.row_number().over(Window.partitionBy("x").orderBy(F.xxhash64("y"), "y"))
+            both = stored(both.withColumn("rank", rank).filter(F.col("rank") <= partners), "partners")
+            met = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        out.append(_verified(met, texts, words, percent))
+        if not partners:
+            return out
+        if distances is None:
+            ends = out[0].select("x", "y", "d").union(out[0].select("y", "x", "d")).join(both.select("x", "y"), ["x", "y"], "left_semi")
+            distances = stored(ends.select("x", F.map_from_arrays(F.array("y"), F.array("d")).alias("to")), "distances")
+        labels = stored(_labels(reduce(DataFrame.unionByName, out)), "labels")
+        left = left.join(out[-1].select("x", "y"), ["x", "y"], "left_anti")
+        left = left.join(labels.withColumnRenamed("label", "lx"), "x", "left").join(labels.select(F.col("x").alias("y"), F.col("label").alias("ly")), "y", "left")
+        left = left.filter(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
+        left = stored(_in_window(left, distances), "left")
+        if left.isEmpty():
+            return out
+    return out
+
+
+def _large_cells(large: DataFrame, known: list[DataFrame], texts: DataFrame, words: int, percent: int) -> list[DataFrame]:
     """Verified pairs whose links connect what the larger cells hold, found in rounds of document pivots."""
     alive, out, distances, number = large, [], None, 0
     while True:
-        labels = _labels(reduce(DataFrame.unionByName, [known, *out]))
+        labels = _labels(reduce(DataFrame.unionByName, [*known, *out]))
         of = stored(alive.join(labels, "x", "left").withColumn("label", F.coalesce("label", "x")), "alive")
         open_ = of.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", F.xxhash64("x", F.lit(number))).alias("main"))
         open_ = stored(open_.filter("lo <> hi").select("s", "main"), "open")
