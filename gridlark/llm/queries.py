@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import chat, decontam, ngram_join, pii, quality, sharding
+from gridlark.llm import chat, decontam, licenses, ngram_join, pii, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +51,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.size(F.filter("base", (lambda k: lambda s: s["kind"] == k)(k))).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
     return found.select("doc_id", *counts, F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said(F.concat("base", "added")).alias("spans"))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scanned(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(licenses.labels(), ",").alias("labels"), licenses.score().alias("score"))
