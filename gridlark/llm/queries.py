@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import chat, decontam, licenses, ngram_join, pii, quality, sharding
+from gridlark.llm import chat, decontam, html_text, licenses, ngram_join, pii, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,3 +56,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scanned(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(licenses.labels(), ",").alias("labels"), licenses.score().alias("score"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archived(table(spark, sf_dir, "pages"))
+    return out.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.page_text(table(spark, sf_dir, "pages"), ["page_id"])
+    return out.select("page_id", "text", F.length("text").cast("long").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
