@@ -1,17 +1,68 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written and read again.
+
+Quality rules reject documents; one document of each near-duplicate component stays;
+contaminated documents go; documents are taken as often as their mixing rate says;
+shards and places are assigned.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridlark.llm import decontam, mixing, ngram_join, quality, sharding
+from gridlark.llm.queries import DOMAINS, SHARES
 from gridlark.llm.stores import stored
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule of the cascade rejects, all their columns."""
+    return quality.judged(docs, docs.columns).filter("kept").drop("kept", "rejected_by")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component; of rows with one id, the first by text. Rows without an id stay."""
+    found = ngram_join.jaccard_classes(docs)
+    kept = stored(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words stand in windows of test items."""
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.benchmark_hits(docs, tests, docs.columns).filter(~decontam.contaminated()).select(*docs.columns)
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says, at random by its id but the same in every run."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    _, fit = mixing.mixed(docs, labels, DOMAINS, SHARES)
+    # rates follow from the text and the fit alone, so texts are read again instead of joined
+    rated = mixing.memberships(docs.withColumn("_whole", F.col("text")), fit["model"], "text", fit["residuals"])
+    taken = rated.withColumn("_copies", mixing.copies(F.col("rate"), F.col("doc_id"))).filter("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).withColumnRenamed("_whole", "text").select(*docs.columns)
+
+
+def sharding_by_slots(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard and its place in it."""
+    return sharding.sharded(docs, ["doc_id"], shards=24)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing_to_weights", mixing_to_weights),
+    ("sharding", sharding_by_slots),
+]
+#: Near duplicates and mixing are iterations, which one SQL query does not express; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

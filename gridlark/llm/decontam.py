@@ -126,7 +126,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_cols: list[str], te
     if chars > MAX_BENCHMARK_CHARS:
         raise ValueError(f"the benchmark has {chars} characters; scan it in parts of {MAX_BENCHMARK_CHARS}")
     blocks = spark.sparkContext.broadcast(_blocks([(r.i, r.t.encode()) for r in tests.collect()], window))
-    base = docs.select(*id_cols, F.col(text_col).cast("string"))
+    base = docs.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]] + ["n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"])
     return base.mapInArrow(_scan(blocks, len(id_cols)), schema)
 

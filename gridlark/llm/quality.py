@@ -199,7 +199,7 @@ def judged(docs: DataFrame, id_cols: list[str], text_col: str = "text", rules: t
     get the same verdict.  An empty table gives no rows.  Other columns are ignored.
     """
     ordered = in_order(docs, text_col, rules)
-    base = docs.select(*id_cols, F.col(text_col).cast("string"))
+    base = docs.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
     names = [n for _, group in GROUPS.values() for n in group] if measured else []
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]] + [f"{n} long" for n in names] + ["kept boolean", "rejected_by string"])
     return base.mapInArrow(_cascade(ordered, len(id_cols), measured), schema)

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import chat, decontam, html_text, licenses, ngram_join, pii, quality, sharding, warc
+from gridlark.llm import chat, decontam, html_text, licenses, mixing, ngram_join, pii, quality, sharding, warc
+
+
+#: Domains of the labelled table, in order of precedence, and their target shares of all tokens.
+DOMAINS = (("toxic", F.expr("toxic = 1")), ("good", F.expr("quality = 1")), ("poor", F.expr("quality = 0")))
+SHARES = [0.02, 0.93, 0.05]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +71,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.page_text(table(spark, sf_dir, "pages"), ["page_id"])
     return out.select("page_id", "text", F.length("text").cast("long").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DOMAINS, SHARES)
+    return out.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{name}") for k, (name, _) in enumerate(DOMAINS)], "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
