@@ -91,15 +91,15 @@ def _fit(buckets: np.ndarray, bounds: np.ndarray, kinds: np.ndarray, k_domains:
     return Classifier(words, biases)
 
 
-def domain_of(domains: tuple[tuple[str, Column], ...]) -> Column:
-    """The number of the first domain whose condition holds of a labelled row; null if none does."""
+def domain_of(domains: tuple[tuple[str, str], ...]) -> Column:
+    """The number of the first domain whose condition (SQL) holds of a labelled row; null if none does."""
     out = F.lit(None).cast("int")
     for k, (_, condition) in reversed(list(enumerate(domains))):
-        out = F.when(condition, F.lit(k)).otherwise(out)
+        out = F.when(F.expr(condition), F.lit(k)).otherwise(out)
     return out
 
 
-def classifier(docs: DataFrame, labels: DataFrame, domains: tuple[tuple[str, Column], ...], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Classifier:
+def classifier(docs: DataFrame, labels: DataFrame, domains: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Classifier:
     """Fits on at most max_labelled labelled rows, those first by hash of the id, and calibrates the temperature on a held-out share.
 
     Rows without a domain or id are left out; without labelled rows all posteriors are even.
@@ -211,7 +211,7 @@ def _membership(shared, kept: list[int], text_at: int, rated: bool):
     return run
 
 
-def mixed(docs: DataFrame, labels: DataFrame, domains: tuple[tuple[str, Column], ...], shares: list[float], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
+def mixed(docs: DataFrame, labels: DataFrame, domains: tuple[tuple[str, str], ...], shares: list[float], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
     """(id, tokens, p, rate) of each row of docs, and the fit: target and reached totals, temperature. An empty table gives no rows."""
     model = classifier(docs, labels, domains, id_col, text_col)
     found = stored(memberships(docs.select(id_col, text_col), model, text_col), "memberships")

@@ -9,7 +9,7 @@ from gridlark.llm import chat, decontam, html_text, licenses, mixing, ngram_join
 
 
 #: Domains of the labelled table, in order of precedence, and their target shares of all tokens.
-DOMAINS = (("toxic", F.expr("toxic = 1")), ("good", F.expr("quality = 1")), ("poor", F.expr("quality = 0")))
+DOMAINS = (("toxic", "toxic = 1"), ("good", "quality = 1"), ("poor", "quality = 0"))
 SHARES = [0.02, 0.93, 0.05]
 
 
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
