@@ -12,16 +12,18 @@ those cells, the window within which each neighbour's copy must lie.  A document
 pivot cannot do this first step: nearly all pairs of documents lie at distance
 exactly 1, so that every document would lie in every other pivot's window.
 
-*Document pivots.*  Cells of at most LEAF documents give all their candidate pairs.
-Each document is measured against the pivot among its candidates first (the one
-lowest by hash, so that a family of near copies shares it), then against more of
-them, and at last against all that are neither of its class yet nor outside its
-window.  Larger cells are joined in rounds.  Each round takes some documents of a cell as pivots and
-links the others to those within RADIUS; documents of one class need no further
-comparison, so the next pivots are drawn from those outside the cell's main class,
-and pivots leave the cell once compared.  Distances to the first pivots are kept:
-the triangle inequality, |d(x,p) - d(y,p)| <= d(x,y), rules out later pairs.  A
-cell ends when its documents are of one class.
+*Document pivots.*  Cells of at most LEAF documents give all their pairs.  A larger
+cell is cut by documents: its documents are measured against its first pivots, and
+those within RADIUS of one become a class.  The cell is joined again as long as it
+holds more than one class: the next pivots are drawn from outside its main class and
+measured against what is not of their class, and pivots leave the cell.  Distances
+to the first pivots are kept: |d(x,p) - d(y,p)| <= d(x,y), the triangle inequality,
+rules later pairs out.
+
+*A contraction of the metric.*  Each set is also counted into BINS bins by hash.  The
+bins' shared counts are at least the shared shingles, so the distance of two
+histograms is at most that of the sets: pairs whose histograms lie further apart
+than RADIUS are dropped before any text is moved for them.
 
 Copies (equal sets) are one class from the start.  No pair within a group of
 copies is made, no shingle is dropped, and every pair of classes that links is
@@ -35,8 +37,6 @@ document), so no key meets in one task.  Shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -50,13 +50,13 @@ WORDS, PERCENT = 5, 80
 #: Share of all shingle occurrences from which a shingle is sure to count as frequent.
 FREQUENT = 4e-6
 #: Documents of a cell that are joined outright.
-LEAF = 256
-#: Document pivots that a larger cell takes in the first round, and in later ones.
-FIRST_PIVOTS, PIVOTS = 4, 32
-#: Partners of each document that are measured in the first rounds over the leaves' pairs.
-PARTNERS = (1, 4)
-#: The radius of a link.
-RADIUS = 1 - PERCENT / 100
+LEAF = 64
+#: Document pivots that a larger cell takes first, and in later rounds.
+FIRST_PIVOTS, PIVOTS = 2, 32
+#: The radius of a link, and the bins of a histogram.
+RADIUS, BINS = 1 - PERCENT / 100, 256
+#: Rows of the cells for which tables of a few numbers a row get one file.
+ROWS_A_FILE = 1_000_000
 #: Shingles over which a task counts before it reports local frequent ones.
 BLOCK = 1 << 21
 
@@ -217,6 +217,49 @@ def _cells(percent: int, leaf: int):
     return run
 
 
+def _described(words: int):
+    """Of rows (class, text): class, text, size, and the histogram of the set (16-bit counts; longer sets than those hold have none).
+
+    Texts of another class, which share the id, and repeats are left out.
+    """
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for lo, hi, data, offsets in string_chunks(batch.column(1)):
+                hashes, bounds = shingle_sets(data, offsets, words)
+                sizes, classes = np.diff(bounds), batch.column(0).slice(lo, hi - lo).to_numpy()
+                own = _class_hashes(hashes, bounds).view(np.int64) == classes
+                for i, c in enumerate(classes.tolist()):
+                    own[i] = own[i] and not (c in seen or seen.add(c))
+                flat = np.repeat(np.arange(len(sizes)), sizes) * BINS + (hashes >> U64(40)).astype(np.int64) % BINS
+                bins = np.bincount(flat, minlength=BINS * len(sizes)).reshape(-1, BINS)
+                out = [row.astype(np.uint16).tobytes() if row.max() < 1 << 16 else None for row in bins]
+                rows = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(own)) for c in rows], ["class", "text", "n", "bins"])
+
+    return run
+
+
+def _near(percent: int):
+    """Of rows (x, y, sizes, histograms): the pairs that may link by their histograms."""
+
+    def run(batches):
+        for batch in batches:
+            known = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False) & batch.column(5).is_valid().to_numpy(zero_copy_only=False))
+            keep = np.ones(batch.num_rows, bool)
+            nx, ny = (batch.column(i).to_numpy() for i in (2, 3))
+            for at in range(0, len(known), 4096):
+                rows = known[at : at + 4096]
+                a, b = (np.frombuffer(b"".join(batch.column(i).take(pa.array(rows)).to_pylist()), np.uint16).reshape(-1, BINS) for i in (4, 5))
+                common = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+                keep[rows] = 100 * common >= percent * (nx[rows] + ny[rows] - common)
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["x", "y"])
+
+    return run
+
+
 def _measured(words: int):
     """Of rows (x, y, text of x, text of y): x, y, and how many shingles they share and have together."""
 
@@ -237,14 +280,12 @@ def _measured(words: int):
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
-    """One row per row of docs: its id, n_shingles, component_id (the smallest id reachable by links), class_id (the smallest id with an equal set) and n_links.
+    """One row per row of docs: its id, n_shingles, component_id (the smallest id reachable by links) and class_id (the smallest id with an equal set).
 
     A null or empty text, or one without words, has an empty set: it links with
     nothing and is its own component.  Repeated rows each give a row.  A row with a
     null id takes part, but names no component: one reachable only by such rows has
-    a null component_id.  n_links counts the verified links of the document's class
-    with other classes, which connect each component; pairs that a component
-    already connects are not all compared.
+    a null component_id.
     Other columns of docs are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -262,87 +303,92 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = postings.repartition(parts, "deal").sortWithinPartitions("wide", "s", "n", "x").select("s", "x", "n", "at", "wide")
     cells = stored(cells.mapInArrow(_cells(percent, leaf), "kind int, x long, other long, n int, at int"), "cells")
-    pairs = stored(cells.filter("kind = 0").select("x", F.col("other").alias("y")).distinct(), "pairs")
-    large = cells.filter("kind = 1").select(F.col("other").alias("s"), "x", "n", "at").distinct()
-
-    # texts of one document of each class that takes part
-    wanted = cells.select("x").union(cells.filter("kind = 0").select("other")).distinct()
-    wanted = stored(wanted.withColumnRenamed("x", "class").join(classes, "class"), "wanted")
-    texts = base.join(wanted, F.col("doc_id") == F.col("class_id"), "inner").groupBy("class").agg(F.first("text").alias("text"))
-    texts = stored(texts, "texts")
-    links = _leaf_cells(pairs, texts, words, percent)
+    large = cells.filter("kind = 1").select(F.col("other").alias("s"), "x", "n", "at")
+
+    # one text of each class that takes part, with its histogram
+    wanted = stored(cells.select("x").union(cells.filter("kind = 0").select("other")).distinct().withColumnRenamed("x", "class").join(classes, "class"), "wanted")
+    texts = base.join(wanted, F.col("doc_id") == F.col("class_id")).select("class", "text")
+    texts = stored(texts.mapInArrow(_described(words), "class long, text string, n long, bins binary"), "texts")
+    join = _Join(texts, words, percent, cells.count() // ROWS_A_FILE + 1)
+
+    pairs = cells.filter("kind = 0").select("x", F.col("other").alias("y"))
+    first = _first_pivots(large)
+    # pivots of one family of cells are mostly the same: distinct pairs are few
+    stars = large.join(first, "s").select("x", "n", "at", F.explode("pivots").alias("p")).filter((F.col("x") != F.col("p.x")) & _fits(F.col("n"), F.col("p.n"), F.col("at"), F.col("p.at"), percent))
+    labels, tested = join.extended(None, pairs.union(stars.select(F.least("x", "p.x"), F.greatest("x", "p.x"))))
     if not large.isEmpty():
-        links += _large_cells(large, links, texts, words, percent)
-    edges = reduce(DataFrame.unionByName, links).filter("linked").select("x", "y").distinct()
-    edges = edges.join(classes.select(F.col("class").alias("x"), F.col("class_id").alias("u")), "x").join(classes.select(F.col("class").alias("y"), F.col("class_id").alias("v")), "y").select("u", "v")
-    edges = stored(edges, "links")
-    reach = components(edges)
-    degree = edges.select("u").union(edges.select("v")).groupBy("u").agg(F.count("*").alias("n_links"))
-    of_class = classes.join(reach.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree.withColumnRenamed("u", "class_id"), "class_id", "left")
-    of_class = stored(of_class, "components")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id"))
-    return every.join(of_class, "class", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs of classes with the distance of their whole texts, and whether they link."""
-    both = pairs.join(texts.select(F.col("class").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("class").alias("y"), F.col("text").alias("ty")), "y")
-    found = both.select("x", "y", "tx", "ty").mapInArrow(_measured(words), "x long, y long, common long, united long")
-    return stored(found.select("x", "y", (1 - F.col("common") / F.col("united")).alias("d"), (100 * F.col("common") >= percent * F.col("united")).alias("linked")), "verified")
-
-
-def _leaf_cells(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> list[DataFrame]:
-    """Verified pairs whose links connect all that candidate pairs (x, y) can: few partners of each document first, then what these leave open."""
-    left, out, distances = pairs, [], None
-    for partners in (*PARTNERS, None):
-        met = left
-        if partners:
-            both = left.select("x", "y").union(left.select("y", "x"))
-            rank = F.row_number().over(Window.partitionBy("x").orderBy(F.xxhash64("y"), "y"))
-            both = stored(both.withColumn("rank", rank).filter(F.col("rank") <= partners), "partners")
-            met = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        out.append(_verified(met, texts, words, percent))
-        if not partners:
-            return out
-        if distances is None:
-            ends = out[0].select("x", "y", "d").union(out[0].select("y", "x", "d")).join(both.select("x", "y"), ["x", "y"], "left_semi")
-            distances = stored(ends.select("x", F.map_from_arrays(F.array("y"), F.array("d")).alias("to")), "distances")
-        labels = stored(_labels(reduce(DataFrame.unionByName, out)), "labels")
-        left = left.join(out[-1].select("x", "y"), ["x", "y"], "left_anti")
-        left = left.join(labels.withColumnRenamed("label", "lx"), "x", "left").join(labels.select(F.col("x").alias("y"), F.col("label").alias("ly")), "y", "left")
-        left = left.filter(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
-        left = stored(_in_window(left, distances), "left")
-        if left.isEmpty():
-            return out
-    return out
-
-
-def _large_cells(large: DataFrame, known: list[DataFrame], texts: DataFrame, words: int, percent: int) -> list[DataFrame]:
-    """Verified pairs whose links connect what the larger cells hold, found in rounds of document pivots."""
-    alive, out, distances, number = large, [], None, 0
+        labels = _large_cells(large, first, labels, tested, join)
+
+    of_class = classes.join(labels, classes["class"] == labels["x"], "left").select("class", "class_id", F.coalesce("label", "class").alias("label"))
+    least = stored(of_class.groupBy("label").agg(F.min("class_id").alias("component")), "least")
+    of_class = stored(of_class.join(least, "label").select("class", "class_id", "component"), "components")
+    own = lambda c: F.when(F.col("n_shingles") > 0, F.col(c)).otherwise(F.col("doc_id"))
+    return every.join(of_class, "class", "left").select("doc_id", "n_shingles", own("component").alias("component_id"), own("class_id").alias("class_id"))
+
+
+class _Join:
+    """Measures candidate pairs of classes and extends labels by the links found."""
+
+    def __init__(self, texts: DataFrame, words: int, percent: int, parts: int):
+        self.texts, self.words, self.percent, self.parts = texts, words, percent, parts
+
+    def small(self, df: DataFrame, name: str) -> DataFrame:
+        """A table of rows of a few numbers: a file for every ROWS_A_FILE rows of the cells."""
+        return stored(df.coalesce(self.parts), name)
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """(x, y, d, linked) of the pairs whose histograms are near enough."""
+        side = lambda i, *cols: self.texts.select(F.col("class").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in cols])
+        binned = pairs.distinct().join(side("x", "n", "bins"), "x").join(side("y", "n", "bins"), "y")
+        near = self.small(binned.select("x", "y", "n_x", "n_y", "bins_x", "bins_y").mapInArrow(_near(self.percent), "x long, y long"), "near")
+        both = near.join(side("x", "text"), "x").join(side("y", "text"), "y")
+        found = both.select("x", "y", "text_x", "text_y").mapInArrow(_measured(self.words), "x long, y long, common long, united long")
+        return stored(found.select("x", "y", (1 - F.col("common") / F.col("united")).alias("d"), (100 * F.col("common") >= self.percent * F.col("united")).alias("linked")), "measured")
+
+    def extended(self, labels: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Labels (x, label) after the links among these pairs, and the measured pairs. Only links between labels go into the contraction."""
+        tested = self.measured(pairs)
+        links = tested.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+        if labels is None:
+            return self.small(components(links).select(F.col("node").alias("x"), F.col("component").alias("label")), "labels"), tested
+        for end in ("u", "v"):
+            at = labels.select(F.col("x").alias(end), F.col("label").alias(f"l{end}"))
+            links = links.join(at, end, "left").withColumn(end, F.coalesce(f"l{end}", end)).drop(f"l{end}")
+        moved = self.small(components(links), "moved")
+        new = labels.join(moved.select(F.col("node").alias("label"), "component"), "label", "left").select("x", F.coalesce("component", "label").alias("label"))
+        fresh = moved.join(labels.select(F.col("x").alias("node")), "node", "left_anti").select(F.col("node").alias("x"), F.col("component").alias("label"))
+        return self.small(new.union(fresh), "labels"), tested
+
+
+def _first_pivots(large: DataFrame) -> DataFrame:
+    """(s, pivots): the documents of each larger cell that are lowest by some hashes."""
+    drawn = [F.min(F.struct(F.xxhash64("x", F.lit(-i)).alias("h"), "x", "n", "at")).alias(f"p{i}") for i in range(FIRST_PIVOTS)]
+    one = [F.struct(f"p{i}.x", f"p{i}.n", f"p{i}.at") for i in range(FIRST_PIVOTS)]
+    return stored(large.groupBy("s").agg(*drawn).select("s", F.array_distinct(F.array(*one)).alias("pivots")), "first")
+
+
+def _large_cells(large: DataFrame, first: DataFrame, labels: DataFrame, tested: DataFrame, join: _Join) -> DataFrame:
+    """The labels after joining the larger cells, in rounds of document pivots."""
+    chosen = first.select("s", F.explode("pivots").alias("p")).select("s", F.col("p.x").alias("x"))
+    ends = tested.select("x", "y", "d").union(tested.select("y", "x", "d")).join(chosen.select(F.col("x").alias("y")).distinct(), "y", "left_semi")
+    distances = join.small(ends.groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("y", "d"))).alias("to")), "distances")
+    alive, number = large, 0
     while True:
-        labels = _labels(reduce(DataFrame.unionByName, [*known, *out]))
-        of = stored(alive.join(labels, "x", "left").withColumn("label", F.coalesce("label", "x")), "alive")
-        open_ = of.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", F.xxhash64("x", F.lit(number))).alias("main"))
-        open_ = stored(open_.filter("lo <> hi").select("s", "main"), "open")
+        alive = alive.join(chosen, ["s", "x"], "left_anti").join(labels, "x", "left").select("s", "x", "n", "at", F.coalesce("label", "x").alias("label"))
+        alive = join.small(alive, "alive")
+        open_ = alive.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", F.xxhash64("x", F.lit(number))).alias("main"))
+        open_ = join.small(open_.filter("lo <> hi").select("s", "main"), "open")
         if open_.isEmpty():
-            return out
-        of = stored(of.join(open_, "s"), "alive")
+            return labels
+        alive = join.small(alive.join(open_, "s"), "alive")
         drawn = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("x", F.lit(number)), "x"))
-        chosen = of.filter("label <> main").withColumn("rank", drawn).filter(F.col("rank") <= (PIVOTS if number else FIRST_PIVOTS))
-        chosen = stored(chosen.select("s", "x", "n", "at", "label"), "pivots")
-        sets = stored(chosen.groupBy("s").agg(F.collect_list(F.struct("x", "n", "at", "label")).alias("pivots")), "sets")
-        near = F.filter("pivots", lambda p: (p["label"] != F.col("label")) & _fits(F.col("n"), p["n"], F.col("at"), p["at"], percent))
-        met = of.join(sets, "s").select("x", F.explode(near).alias("p")).select(F.least("x", "p.x").alias("x"), F.greatest("x", "p.x").alias("y")).distinct()
-        if distances is not None:
-            met = _in_window(met, distances)
-        tested = _verified(met, texts, words, percent)
-        out.append(tested)
-        if distances is None:
-            ends = tested.select("x", "y", "d").union(tested.select("y", "x", "d"))
-            ends = ends.join(chosen.select(F.col("x").alias("y")).distinct(), "y", "left_semi")
-            distances = stored(ends.groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("y", "d"))).alias("to")), "distances")
-        alive = of.join(chosen.select("s", "x"), ["s", "x"], "left_anti").select("s", "x", "n", "at")
+        pivots = alive.filter("label <> main").withColumn("rank", drawn).filter(F.col("rank") <= PIVOTS).select("s", "x", "n", "at", "label")
+        pivots = join.small(pivots, "pivots")
+        sets = join.small(pivots.groupBy("s").agg(F.collect_list(F.struct("x", "n", "at", "label")).alias("pivots")), "sets")
+        apart = F.filter("pivots", lambda p: (p["label"] != F.col("label")) & _fits(F.col("n"), p["n"], F.col("at"), p["at"], join.percent))
+        met = alive.join(sets, "s").select("x", F.explode(apart).alias("p")).select(F.least("x", "p.x").alias("x"), F.greatest("x", "p.x").alias("y")).distinct()
+        labels, _ = join.extended(labels, _in_window(met, distances))
+        chosen, alive = pivots.select("s", "x"), alive.select("s", "x", "n", "at")
         number += 1
 
 
@@ -351,8 +397,3 @@ def _in_window(pairs: DataFrame, distances: DataFrame) -> DataFrame:
     one, two = distances.select("x", F.col("to").alias("dx")), distances.select(F.col("x").alias("y"), F.col("to").alias("dy"))
     apart = F.exists(F.map_keys("dx"), lambda p: F.abs(F.element_at("dx", p) - F.try_element_at("dy", p)) > RADIUS + 1e-9)
     return pairs.join(one, "x", "left").join(two, "y", "left").filter(~F.coalesce(apart, F.lit(False))).select("x", "y")
-
-
-def _labels(tested: DataFrame) -> DataFrame:
-    """(x, label): the smallest class that links are known to reach from x."""
-    return components(tested.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))).select(F.col("node").alias("x"), F.col("component").alias("label"))

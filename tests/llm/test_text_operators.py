@@ -74,7 +74,6 @@ def jaccard_brute(rows):
 def test_jaccard(spark, texts, monkeypatch, leaf, first, later):
     monkeypatch.setattr(ngram_join, "FIRST_PIVOTS", first)
     monkeypatch.setattr(ngram_join, "PIVOTS", later)
-    monkeypatch.setattr(ngram_join, "PARTNERS", (1,))
     got = ngram_join.jaccard_classes(docs(spark, texts), leaf=leaf).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_brute(list(enumerate(texts)))
     sets = {}
@@ -83,6 +82,12 @@ def test_jaccard(spark, texts, monkeypatch, leaf, first, later):
     assert all(r.class_id <= r.doc_id for r in got)
 
 
+def test_jaccard_repeated_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (3, "a b c d e f"), (1, "a b c d e f")]
+    got = ngram_join.jaccard_classes(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_jaccard_empty(spark):
     assert ngram_join.jaccard_classes(docs(spark, [])).count() == 0
 
