@@ -45,22 +45,36 @@ def mapq_adjusted(q: Column, mapq: Column) -> Column:
     return F.when(mapq > 80, q).otherwise(int_phred((1 - me) * be + 0.75 * me))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once: within a lambda an outer expression would be evaluated for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def log_sum_exp(xs: Column) -> Column:
-    """ln of the sum of exp over an array, without overflow; null for an empty array."""
-    top = F.array_max(xs)
-    return top + F.ln(F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    """ln of the sum of exp over an array in one pass, without overflow; null for an empty array."""
+
+    def step(acc: Column, x: Column) -> Column:
+        top = F.greatest(acc["top"], x)
+        return F.struct(top.alias("top"), (acc["sum"] * F.exp(acc["top"] - top) + F.exp(x - top)).alias("sum"))
+
+    start = F.struct(F.lit(-1e300).alias("top"), F.lit(0.0).alias("sum"))
+    return F.aggregate(xs, start, step, lambda acc: acc["top"] + F.ln(acc["sum"]))
 
 
 def normalised(ln_xs: Column) -> Column:
     """Array of log weights to probabilities."""
-    total = log_sum_exp(ln_xs)
-    return F.transform(ln_xs, lambda x: F.exp(x - total))
+    both = F.struct(ln_xs.alias("xs"), log_sum_exp(ln_xs).alias("total"))
+    return let(both, lambda s: F.transform(s["xs"], lambda x: F.exp(x - s["total"])))
 
 
 def complement_of_best(ps: Column) -> Column:
-    """Sum of all but the largest probability, which keeps small values that 1 - p loses. Of equal largest ones the first is left out."""
-    best = F.array_position(ps, F.array_max(ps))
-    return F.aggregate(F.filter(ps, lambda p, i: i != best - 1), F.lit(0.0), lambda acc, p: acc + p)
+    """Sum of all but the largest probability, which keeps small values that 1 - p loses. Of equal largest ones one is left out."""
+
+    def step(acc: Column, p: Column) -> Column:
+        return F.struct(F.greatest(acc["top"], p).alias("top"), (acc["rest"] + F.least(acc["top"], p)).alias("rest"))
+
+    start = F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("rest"))
+    return F.aggregate(ps, start, step, lambda acc: acc["rest"])
 
 
 def rank_sum_z(n1: Column, n2: Column, w1: Column, w2: Column) -> Column:

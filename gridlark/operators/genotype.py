@@ -102,6 +102,14 @@ def frequency_likelihoods(obs: DataFrame, keys: list[str]) -> DataFrame:
     return obs.groupBy(*keys).agg(*sums).select(*keys, F.array(*[f"f{i}" for i in range(len(sums))]).alias("lhood"))
 
 
+def _shared(g: int, own: float, other: float):
+    return lambda x, i: x + F.when(i == g, own).otherwise(other)
+
+
+def _unlike(g: int):
+    return lambda s: s["i"] != g
+
+
 def somatic(lhoods: DataFrame, theta: float = THETA, somatic_rate: float = 1e-6, shared_error: float = 5e-6, contamination: float = 0.15) -> DataFrame:
     """Joint posterior of the normal genotype and of being somatic, from arrays `normal` and `tumor` over frequencies().
 
@@ -117,19 +125,23 @@ def somatic(lhoods: DataFrame, theta: float = THETA, somatic_rate: float = 1e-6,
     first_grid = 3  # the grid's lowest frequency stands after the canonical ones
     gt_prior = [math.log(1 - 1.5 * theta), math.log(theta), math.log(theta / 2)]
     normal, tumor = F.col("normal"), F.col("tumor")
-    states = []
+    both = F.zip_with(normal, tumor, lambda a, b: a + b)
+    admixed = F.array(*[F.lit(contamination * x >= STEP) for x in f])
+    names = []
+    out = lhoods
     for g in range(3):
-        same = [F.lit(math.log1p(-shared_error) if i == g else math.log(shared_error) + spread) + normal[i] + tumor[i] for i in range(n)]
-        states.append((g, False, same))
-        differ = []
-        for t in range(n):
-            contaminated = g == 0 and contamination * f[t] >= STEP
-            for m in ([g, first_grid] if contaminated else [g]):
-                if m != t:
-                    differ.append(F.lit(spread + (math.log(0.5) if contaminated else 0.0)) + normal[m] + tumor[t])
-        states.append((g, True, differ))
-    out = lhoods.select("*", *[(P.log_sum_exp(F.array(*terms)) + gt_prior[g] + math.log(somatic_rate if som else 1 - somatic_rate)).alias(f"_s{g}{int(som)}") for g, som, terms in states])
-    names = [f"_s{g}{int(som)}" for g, som, _ in states]
+        # other frequencies of both samples, at the shared error rate
+        same = F.transform(both, _shared(g, math.log1p(-shared_error), math.log(shared_error) + spread))
+        differ = F.transform(F.filter(F.transform(tumor, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), _unlike(g)), lambda s: s["t"])
+        if g == 0:
+            indexed = F.transform(tumor, lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.get(admixed, i).alias("mixed")))
+            at_ref = F.transform(F.filter(indexed, lambda s: s["i"] != 0), lambda s: s["t"] + normal[0] + spread + F.when(s["mixed"], math.log(0.5)).otherwise(0.0))
+            at_step = F.transform(F.filter(indexed, lambda s: s["mixed"] & (s["i"] != first_grid)), lambda s: s["t"] + normal[first_grid] + spread + math.log(0.5))
+            som = P.log_sum_exp(F.concat(at_ref, at_step))
+        else:
+            som = P.log_sum_exp(differ) + normal[g] + spread
+        out = out.withColumns({f"_s{g}0": P.log_sum_exp(same) + gt_prior[g] + math.log1p(-somatic_rate), f"_s{g}1": som + gt_prior[g] + math.log(somatic_rate)})
+        names += [f"_s{g}0", f"_s{g}1"]
     out = out.withColumn("post", P.normalised(F.array(*names))).drop(*names)
     by_gt = [F.col("post")[2 * g] + F.col("post")[2 * g + 1] for g in range(3)]
     best = F.greatest(*[F.struct(p.alias("p"), F.lit(-g).alias("g")) for g, p in enumerate(by_gt)])

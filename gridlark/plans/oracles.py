@@ -180,3 +180,23 @@ ORACLES: dict[str, str] = {
     "group_read_sets": f"WITH {OBS}, o AS (SELECT read_id, bool_or(base = 'A') AS a, bool_or(base = 'R') AS r FROM obs GROUP BY 1) SELECT CASE WHEN a AND r THEN 'both' WHEN a OR r THEN 'one' ELSE 'none' END AS kind, count(*) AS reads FROM o GROUP BY 1",
 }
 ORACLES["record_lines"] = f"""SELECT concat_ws(chr(9), 'chr1', CAST(pos + 1 AS VARCHAR), '.', ref, alt, '.', CASE WHEN low_depth THEN 'LowDepth' ELSE 'PASS' END, 'DP=' || CAST(used + unused AS VARCHAR), 'DP:DPF:AD', concat_ws(':', CAST(used AS VARCHAR), CAST(unused AS VARCHAR), concat_ws(',', CAST("n_A" AS VARCHAR), CAST("n_N" AS VARCHAR), CAST("n_R" AS VARCHAR)))) AS line FROM ({ORACLES['pileup_counts']})"""
+_LN = "(CASE WHEN base = '{a}' THEN ln(1 - pow(10.0, -greatest(q, 1) / 10.0)) ELSE ln(pow(10.0, -greatest(q, 1) / 10.0) / 2) END)"
+_MIX = [f"sum(ln((1 - 1e-4) * (exp({_LN.format(a=a)}) + exp({_LN.format(a=b)})) / 2 + exp(ln(1e-4) + 100 * ln(0.25))))" for a, b in GT]
+ORACLES |= {
+    "site_indel_constraints": f"""WITH {OBS}, s AS (SELECT pos, max(q) AS qual, min(q) AS gqx FROM obs GROUP BY 1), i AS (SELECT p_partkey AS b, p_partkey + p_size AS e, p_size % 40 AS iq, p_size % 7 AS ig, p_size % 2 = 0 AS f FROM part WHERE p_partkey % 9 = 0),
+ m AS (SELECT pos, min(iq) AS iq, min(ig) AS ig, bool_or(f) AS f FROM s JOIN i ON pos >= b AND pos < e GROUP BY pos) SELECT pos, least(qual, coalesce(iq, qual)) AS qual, least(gqx, coalesce(ig, gqx)) AS gqx, coalesce(f, false) AS conflict FROM s LEFT JOIN m USING (pos)""",
+    "indel_signals": f"{BOTH}, c AS (SELECT ref, q % 9 - 4 AS c FROM obs JOIN ref USING (pos)) SELECT ref, CASE WHEN c = 0 THEN 'REF' WHEN c > 0 THEN 'I' || least(c, 3) ELSE 'D' || least(-c, 3) END AS signal, count(*) AS n FROM c GROUP BY 1, 2",
+    "confident_support": f"""WITH {OBS}, r AS (SELECT DISTINCT pos, read_id, read_pos, q FROM obs), b AS (SELECT pos, read_id, read_pos, q, base, is_fwd, count(*) OVER (PARTITION BY pos, read_id, read_pos, q) AS k FROM obs)
+ SELECT pos, CASE WHEN q <= 3 AND (1 - pow(10.0, -greatest(q, 1) / 10.0)) < 0.51 THEN 'none' ELSE base END AS allele, count(*) AS reads, CAST(sum(CASE WHEN is_fwd THEN 1 ELSE 0 END) AS BIGINT) AS fwd FROM b GROUP BY 1, 2""",
+    "allele_group_likelihoods": f"WITH {OBS} SELECT pos, {', '.join(tidy(x) + f' AS g{i}' for i, x in enumerate(_MIX))} FROM obs GROUP BY pos",
+    "homopolymer_context": f"WITH {REF}, g AS (SELECT pos, ref, pos - row_number() OVER (PARTITION BY ref ORDER BY pos) AS k FROM ref) SELECT pos, ref, count(*) OVER (PARTITION BY ref, k) AS length FROM g",
+    "left_shifts": """WITH s AS (SELECT p_partkey, translate(lower(p_name || p_type), 'bcdfghjklmnpqrstvwxyz ', 'aaa') AS s FROM part), e AS (SELECT *, substr(s, 4, 1) = substr(s, 6, 1) AS a, substr(s, 3, 1) = substr(s, 5, 1) AS b, substr(s, 2, 1) = substr(s, 4, 1) AS c, substr(s, 1, 1) = substr(s, 3, 1) AS d FROM s WHERE length(s) >= 6)
+ SELECT p_partkey, CASE WHEN NOT a THEN 0 WHEN NOT b THEN 1 WHEN NOT c THEN 2 WHEN NOT d THEN 3 ELSE 4 END AS shift FROM e""",
+    "depth_limited_reads": f"WITH {OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY mapq DESC, read_id, read_pos, q) AS k FROM obs) SELECT pos, count(*) AS n, min(mapq) AS lowest FROM r WHERE k <= 10 GROUP BY pos",
+    "mean_depth": f"WITH {REG}, m AS (SELECT contig, sum(\"end\" - \"begin\") AS span FROM {merged('reg')} GROUP BY 1), s AS (SELECT contig, sum(e - b) AS bases FROM reg GROUP BY 1) SELECT contig, CAST(bases AS BIGINT) AS bases, CAST(span AS BIGINT) AS span, {tidy('bases / CAST(span AS DOUBLE)')} AS depth FROM s JOIN m USING (contig)",
+    "compressible_sites": f"{BOTH}, c AS (SELECT pos, {_C('q >= 17')} AS used, {_C('q >= 17 AND base = ref')} AS r FROM obs JOIN ref USING (pos) GROUP BY pos) SELECT pos, used FROM c WHERE used > 0 AND r / CAST(used AS DOUBLE) + 0.6 > 1 AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey % 25 = 0 AND pos >= p_partkey AND pos < p_partkey + 3)",
+    "allele_fractions": f"{BOTH} SELECT pos, sample, {tidy('avg(CASE WHEN base <> ref THEN 1.0 ELSE 0.0 END)')} AS vaf FROM obs JOIN ref USING (pos) WHERE q >= 20 GROUP BY 1, 2",
+    "panel_noise": f"{BOTH}, t AS (SELECT pos, lib, {_C('base <> ref')} AS alt FROM obs JOIN ref USING (pos) GROUP BY 1, 2) SELECT pos, CAST(count(*) AS INT) AS total, CAST(sum(CASE WHEN alt > 0 THEN 1 ELSE 0 END) AS INT) AS noise, CAST(sum(CASE WHEN alt > 1 THEN 1 ELSE 0 END) AS INT) AS noise2 FROM t GROUP BY pos",
+    "small_indels": "WITH t AS (SELECT p_partkey, left(p_name, CAST(p_size % 7 + 1 AS INT)) AS ref, CASE WHEN p_size % 11 = 0 THEN '<DEL>' ELSE left(p_type, CAST(p_size % 5 + 1 AS INT)) END AS alt FROM part) SELECT * FROM t WHERE alt <> '<DEL>' AND length(ref) <> length(alt) AND length(ref) <= 6 AND length(alt) <= 6",
+    "training_labels": "SELECT d.doc_id AS id, CASE WHEN toxic = 1 THEN 'UNK' WHEN quality = 1 THEN 'TP' ELSE 'FP' END AS label FROM documents d JOIN labels USING (doc_id) WHERE (n_chars % 100) % 10 <> 0",
+}

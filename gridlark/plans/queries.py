@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridlark.functions import exact_tests as X
 from gridlark.functions import probability as P
 from gridlark.functions import sequence as S
-from gridlark.operators import errors, evaluate, filters, forest, genotype, intervals, pileup, windows
+from gridlark.operators import alleles, errors, evaluate, filters, forest, genotype, intervals, pileup, windows
 from gridlark.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -481,3 +481,123 @@ def group_read_sets(spark, d):
     o = V.observations(spark, d).groupBy("read_id").agg(F.bool_or(F.col("base") == "A").alias("a"), F.bool_or(F.col("base") == "R").alias("r"))
     kind = F.when(F.col("a") & F.col("r"), "both").when(F.col("a") | F.col("r"), "one").otherwise("none")
     return o.groupBy(kind.alias("kind")).agg(F.count("*").alias("reads"))
+
+
+@query
+def site_indel_constraints(spark, d):
+    site = V.observations(spark, d).groupBy("pos").agg(F.max("q").alias("qual"), F.min("q").alias("gqx")).withColumn("c", F.lit(1))
+    indel = V.table(spark, d, "part").filter("p_partkey % 9 = 0").select(F.lit(1).alias("c"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + F.col("p_size")).alias("end"), (F.col("p_size") % 40).alias("indel_qual"), (F.col("p_size") % 7).alias("indel_gqx"), (F.col("p_size") % 2 == 0).alias("filtered"))
+    return alleles.site_constraints(site, indel, ["c"]).select("pos", "qual", "gqx", "conflict")
+
+
+@query
+def indel_signals(spark, d):
+    o = V.observations(spark, d).join(V.reference(spark, d), "pos")
+    return alleles.indel_signals(o, ["ref"], (F.col("q") % 9 - 4).cast("int"))
+
+
+@query
+def confident_support(spark, d):
+    o = V.observations(spark, d)
+    reads = o.select("pos", F.struct("read_id", "read_pos", "q").alias("read_id"), "is_fwd", F.explode(F.array(*[F.struct(F.lit(a).alias("allele"), F.when(F.col("base") == a, F.ln(1 - P.error_prob(F.greatest(F.col("q"), F.lit(1))))).otherwise(F.ln(P.error_prob(F.greatest(F.col("q"), F.lit(1))) / 2)).alias("lnp")) for a in V.ALLELES])).alias("x")).select("pos", "read_id", "is_fwd", "x.*")
+    return alleles.confident_support(reads, ["pos"])
+
+
+@query
+def allele_group_likelihoods(spark, d):
+    """Sums over reads of log mixes; checked in tests against plain Python."""
+    e = P.error_prob(F.greatest(F.col("q"), F.lit(1)))
+    o = V.observations(spark, d).withColumn("lnps", F.array(*[F.when(F.col("base") == a, F.ln(1 - e)).otherwise(F.ln(e / 2)) for a in V.ALLELES]))
+    out = alleles.group_likelihoods(o, ["pos"], V.ALLELES)
+    return out.select("pos", *[tidy(F.col(f"g{i}")).alias(f"g{i}") for i in range(6)])
+
+
+@query
+def orthogonal_alleles(spark, d):
+    """Greedy choice within clusters; checked in tests for its invariants."""
+    r = windows.overlap_clusters(V.regions(spark, d), ["contig"], F.lit(False), width=256)
+    return alleles.orthogonal_groups(r.select("contig", "cluster", "id", "begin", "end", (F.col("id") % 13).alias("support")), ["contig"], "cluster")
+
+
+@query
+def homopolymer_context(spark, d):
+    return alleles.homopolymer_context(V.reference(spark, d).withColumn("c", F.lit(1)), ["c"], width=512).select("pos", "ref", "length")
+
+
+@query
+def left_shifts(spark, d):
+    s = V.table(spark, d, "part").select("p_partkey", F.translate(F.lower(F.concat("p_name", "p_type")), "bcdfghjklmnpqrstvwxyz ", "aaa").alias("s")).filter("length(s) >= 6")
+    return s.select("p_partkey", alleles.left_shift(F.col("s"), F.lit(4), F.lit(2)).alias("shift"))
+
+
+@query
+def haplotype_alignments(spark, d):
+    """Global alignments of short sequences; checked in tests against a plain search."""
+    s = V.table(spark, d, "part").select("p_partkey", F.left("p_name", F.lit(12)).alias("a"), F.left("p_type", F.lit(12)).alias("b"))
+    return alleles.aligned(s, "a", "b").select("p_partkey", "cigar")
+
+
+@query
+def assembled_regions(spark, d):
+    """Contigs from k-mers by brand; checked in tests on reads of a known sequence."""
+    return alleles.assembled(V.table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.regexp_replace("p_name", " ", "").alias("seq")).filter("length(seq) >= 5"), ["brand"])
+
+
+@query
+def depth_limited_reads(spark, d):
+    o = alleles.depth_limited(V.observations(spark, d), ["pos"], [F.desc("mapq"), F.col("read_id"), F.col("read_pos"), F.col("q")], 10)
+    return o.groupBy("pos").agg(F.count("*").alias("n"), F.min("mapq").alias("lowest"))
+
+
+@query
+def mean_depth(spark, d):
+    """Bases over covered span, by contig."""
+    r = V.regions(spark, d)
+    span = intervals.merged(r, ["contig"], width=256).groupBy("contig").agg(F.sum(F.col("end") - F.col("begin")).alias("span"))
+    return r.groupBy("contig").agg(F.sum(F.col("end") - F.col("begin")).alias("bases")).join(span, "contig").select("contig", "bases", "span", tidy(F.col("bases") / F.col("span")).alias("depth"))
+
+
+@query
+def compressible_sites(spark, d):
+    c = pileup.counts(V.observations(spark, d), V.reference(spark, d), V.ALLELES)
+    ref_n = F.when(F.col("ref") == "A", F.col("n_A")).when(F.col("ref") == "N", F.col("n_N")).otherwise(F.col("n_R"))
+    keep = V.table(spark, d, "part").filter("p_partkey % 25 = 0").select(F.lit(1).alias("c"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + 3).alias("end"))
+    ok = c.filter((F.col("used") > 0) & (ref_n / F.greatest(F.col("used"), F.lit(1)) + 0.6 > 1)).withColumn("c", F.lit(1))
+    return intervals.positions_in(ok, keep, ["c"], how="left_anti").select("pos", "used")
+
+
+@query
+def allele_fractions(spark, d):
+    o = V.observations(spark, d).join(V.reference(spark, d), "pos").filter("q >= 20")
+    return o.groupBy("pos", "sample").agg(tidy(P.safe_frac(F.count_if(F.col("base") != F.col("ref")), F.count("*"))).alias("vaf"))
+
+
+@query
+def panel_noise(spark, d):
+    """Totals and noisy samples from DP:AD columns of a panel."""
+    t = V.observations(spark, d).join(V.reference(spark, d), "pos").groupBy("pos", "lib").agg(F.count("*").alias("dp"), F.count_if(F.col("base") != F.col("ref")).alias("alt"))
+    cols = t.groupBy("pos").agg(F.collect_list(F.concat_ws(":", F.col("dp").cast("string"), F.concat_ws(",", (F.col("dp") - F.col("alt")).cast("string"), F.col("alt").cast("string")))).alias("cols"))
+    alt = F.transform("cols", lambda c: F.get(F.split(F.get(F.split(c, ":"), F.lit(1)), ","), F.lit(1)).cast("int"))
+    return cols.select("pos", F.size("cols").alias("total"), F.size(F.filter(alt, lambda a: a > 0)).alias("noise"), F.size(F.filter(alt, lambda a: a > 1)).alias("noise2"))
+
+
+@query
+def callable_regions(spark, d):
+    """Positions where the normal genotype or the somatic call is sure enough, as blocks; the grid itself is checked in tests."""
+    one, _ = _tiers(spark, d)
+    sure = one.filter((F.col("qss") >= 15) | (P.int_phred(F.col("post")[1] + F.col("post")[3] + F.col("post")[5]) >= 15))
+    return intervals.blocks(sure.select(F.lit("all").alias("contig"), "pos"), ["contig"], width=512)
+
+
+@query
+def small_indels(spark, d):
+    t = V.table(spark, d, "part").select("p_partkey", F.left("p_name", (F.col("p_size") % 7 + 1).cast("int")).alias("ref"), F.when(F.col("p_size") % 11 == 0, "<DEL>").otherwise(F.left("p_type", (F.col("p_size") % 5 + 1).cast("int"))).alias("alt"))
+    return t.filter(~F.col("alt").rlike(r"[<>\[\]]") & (F.length("ref") != F.length("alt")) & (F.length("ref") <= 6) & (F.length("alt") <= 6))
+
+
+@query
+def training_labels(spark, d):
+    """Labels of candidates: masked ones are unknown, conflicts are left out."""
+    s = V.scored(spark, d).withColumn("filters", F.when(F.col("score") % 10 == 0, F.array(F.lit("IndelConflict"))).otherwise(F.array(F.lit("PASS"))))
+    kept = s.filter(~F.exists("filters", lambda f: f.endswith("Conflict") | (f == "OffTarget")))
+    return kept.select("id", F.when(F.col("masked") == 1, "UNK").otherwise(F.col("tag")).alias("label"))

@@ -186,3 +186,82 @@ def test_rank_sum_brute_force(spark):
         n, m, w = (len(b), len(a), w2) if w1 > w2 else (len(a), len(b), w1)
         mean = n * (n + m + 1) / 2
         assert r.z == pytest.approx((w - mean) / math.sqrt(m * mean / 6))
+
+
+def _score(cigar, a, b):
+    """Of an alignment: matches 2, mismatches -3, a gap -5 and -1 for each base. Also checks that it fits both sequences."""
+    import re
+
+    i = j = total = 0
+    for n, op in re.findall(r"(\d+)([=XID])", cigar):
+        n = int(n)
+        if op in "=X":
+            assert all((a[i + k] == b[j + k]) == (op == "=") for k in range(n))
+            total += n * (2 if op == "=" else -3)
+            i, j = i + n, j + n
+        else:
+            total += -5 - n
+            i, j = (i + n, j) if op == "D" else (i, j + n)
+    assert (i, j) == (len(a), len(b))
+    return total
+
+
+def test_alignment_is_optimal():
+    from functools import cache
+
+    from gridlark.operators.alleles import align
+
+    rnd = random.Random(10)
+    for _ in range(40):
+        a, b = ("".join(rnd.choice("AC") for _ in range(rnd.randrange(0, 7))) for _ in range(2))
+
+        @cache
+        def best(i, j, gap):
+            if i == len(a) and j == len(b):
+                return 0
+            out = []
+            if i < len(a) and j < len(b):
+                out.append((2 if a[i] == b[j] else -3) + best(i + 1, j + 1, ""))
+            if i < len(a):
+                out.append(-1 - 5 * (gap != "D") + best(i + 1, j, "D"))
+            if j < len(b):
+                out.append(-1 - 5 * (gap != "I") + best(i, j + 1, "I"))
+            return max(out)
+
+        assert _score(align(a, b), a, b) == best(0, 0, "")
+
+
+def test_assembly_finds_the_sequence(spark):
+    from gridlark.operators.alleles import assembled
+
+    whole = "ACGTTGCAAGGCTTACCGATAGGATCCA"
+    reads = [("r", whole[i : i + 12]) for i in range(len(whole) - 11)] * 3
+    out = assembled(spark.createDataFrame(reads, "k string, seq string"), ["k"], k=6).first()
+    assert out.contig == whole
+
+
+def test_orthogonal_groups_keep_ploidy(spark):
+    from gridlark.operators.alleles import orthogonal_groups
+
+    rnd = random.Random(11)
+    rows = [("c", 1, i, b := rnd.randrange(30), b + rnd.randrange(1, 6), rnd.randrange(9)) for i in range(40)]
+    taken = {r.id for r in orthogonal_groups(spark.createDataFrame(rows, "c string, k int, id long, begin long, end long, support int"), ["c"], "k").collect() if r.taken}
+    depth = lambda p, ids: sum(r[3] <= p < r[4] for r in rows if r[2] in ids)
+    assert all(depth(p, taken) <= 2 for p in range(40))
+    for r in rows:  # what was left out would not fit
+        if r[2] not in taken:
+            assert any(depth(p, taken) >= 2 for p in range(r[3], r[4]))
+
+
+def test_models(spark, tmp_path):
+    from gridlark.sources import models
+
+    path = tmp_path / "m.json"
+    path.write_text(json.dumps({"sample": [{"isStatic": True, "sampleName": "s", "motif": [{"indelRate": 0.1, "noisyLocusRate": 0.2, "repeatCount": 1, "repeatPatternSize": 1}, {"indelRate": 0.3, "noisyLocusRate": 0.2, "repeatCount": 4, "repeatPatternSize": 2}]}]}))
+    model = models.read_error_model(spark, str(path))
+    rows = spark.createDataFrame([(1, 2, 4, False), (2, 2, 4, True), (3, 9, 9, False)], "i int, pattern int, count int, is_complex boolean")
+    assert {r.i: r.rate for r in models.looked_up(rows, model).collect()} == {1: 0.3, 2: 0.1, 3: 0.1}
+    a, b = spark.createDataFrame([("c", 1.5)], "contig string, depth double"), spark.createDataFrame([("c", 2.0)], "contig string, depth double")
+    assert models.summed_depths(a, b).first().depth == 3.5
+    with pytest.raises(Exception, match="not in every table"):
+        models.summed_depths(a, b.withColumn("contig", F.lit("d"))).collect()
