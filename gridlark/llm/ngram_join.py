@@ -51,8 +51,10 @@ WORDS, PERCENT = 5, 80
 FREQUENT = 4e-6
 #: Documents of a cell that are joined outright.
 LEAF = 64
-#: Document pivots that a larger cell takes first, and in later rounds.
-FIRST_PIVOTS, PIVOTS = 2, 32
+#: Document pivots that a larger cell takes first, and in later rounds; documents of a cell that meet in one task besides.
+FIRST_PIVOTS, PIVOTS, PART = 2, 512, 2048
+#: Ids up to which a table is narrowed by a broadcast before it is shuffled; beyond, it is shuffled whole.
+BROADCAST_IDS = 100_000
 #: The radius of a link, and the bins of a histogram.
 RADIUS, BINS = 1 - PERCENT / 100, 256
 #: Rows of the cells for which tables of a few numbers a row get one file.
@@ -260,6 +262,43 @@ def _near(percent: int):
     return run
 
 
+def _against(percent: int):
+    """Reads (s, part, pivot, x, n, at, label, bins) in order of parts of cells, pivots first: the pairs of a pivot and a document of another class that may link."""
+
+    def meet(t: pa.Table):
+        s, part, pivot, x, n, at, label = (t.column(i).to_numpy() for i in range(7))
+        bins = np.frombuffer(b"".join(b if b is not None else b"\xff\xff" * BINS for b in t.column(7).to_pylist()), np.uint16).reshape(-1, BINS)
+        n, at = n.astype(np.int64), at.astype(np.int64)
+        first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (part[1:] != part[:-1])])
+        out = []
+        for a, b in zip(first, np.r_[first[1:], len(s)]):
+            rows = a + np.flatnonzero(~pivot[a:b])
+            for i in a + np.flatnonzero(pivot[a:b]):
+                j = rows[(label[rows] != label[i]) & _fits(n[rows], n[i], at[rows], at[i], percent)]
+                common = np.minimum(bins[j], bins[i]).sum(axis=1, dtype=np.int64)
+                j = j[100 * common >= percent * (n[j] + n[i] - common)]
+                out.append(np.stack([np.minimum(x[j], x[i]), np.maximum(x[j], x[i])]))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            s, part = t.column(0).to_numpy(), t.column(1).to_numpy()
+            other = np.flatnonzero((s != s[-1]) | (part != part[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield meet(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield meet(held)
+
+    return run
+
+
 def _measured(words: int):
     """Of rows (x, y, text of x, text of y): x, y, and how many shingles they share and have together."""
 
@@ -315,7 +354,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = _first_pivots(large)
     # pivots of one family of cells are mostly the same: distinct pairs are few
     stars = large.join(first, "s").select("x", "n", "at", F.explode("pivots").alias("p")).filter((F.col("x") != F.col("p.x")) & _fits(F.col("n"), F.col("p.n"), F.col("at"), F.col("p.at"), percent))
-    labels, tested = join.extended(None, pairs.union(stars.select(F.least("x", "p.x"), F.greatest("x", "p.x"))))
+    labels, tested = join.extended(None, join.near(pairs.union(stars.select(F.least("x", "p.x"), F.greatest("x", "p.x")))))
     if not large.isEmpty():
         labels = _large_cells(large, first, labels, tested, join)
 
@@ -336,17 +375,44 @@ class _Join:
         """A table of rows of a few numbers: a file for every ROWS_A_FILE rows of the cells."""
         return stored(df.coalesce(self.parts), name)
 
-    def measured(self, pairs: DataFrame) -> DataFrame:
-        """(x, y, d, linked) of the pairs whose histograms are near enough."""
-        side = lambda i, *cols: self.texts.select(F.col("class").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in cols])
-        binned = pairs.distinct().join(side("x", "n", "bins"), "x").join(side("y", "n", "bins"), "y")
-        near = self.small(binned.select("x", "y", "n_x", "n_y", "bins_x", "bins_y").mapInArrow(_near(self.percent), "x long, y long"), "near")
-        both = near.join(side("x", "text"), "x").join(side("y", "text"), "y")
+    def _needed(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        """Columns of the classes that a stored table of pairs names; few of them are picked before any row is shuffled."""
+        ids = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "class")
+        ids = self.small(ids, "ids")
+        some = self.texts.select("class", *columns)
+        return some.join(F.broadcast(ids), "class", "left_semi") if ids.count() <= BROADCAST_IDS else some
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs whose histograms are near enough."""
+        pairs = stored(pairs.distinct().coalesce(8 * self.parts), "pairs")
+        t = self._needed(pairs, "n", "bins")
+        side = lambda i: t.select(F.col("class").alias(i), F.col("n").alias(f"n_{i}"), F.col("bins").alias(f"bins_{i}"))
+        binned = pairs.join(side("x"), "x").join(side("y"), "y")
+        return binned.select("x", "y", "n_x", "n_y", "bins_x", "bins_y").mapInArrow(_near(self.percent), "x long, y long")
+
+    def measured(self, near: DataFrame) -> DataFrame:
+        """(x, y, d, linked) of pairs, by their whole texts."""
+        near = stored(near.coalesce(8 * self.parts), "near")
+        t = self._needed(near, "text")
+        side = lambda i: t.select(F.col("class").alias(i), F.col("text").alias(f"text_{i}"))
+        both = near.join(side("x"), "x").join(side("y"), "y")
         found = both.select("x", "y", "text_x", "text_y").mapInArrow(_measured(self.words), "x long, y long, common long, united long")
         return stored(found.select("x", "y", (1 - F.col("common") / F.col("united")).alias("d"), (100 * F.col("common") >= self.percent * F.col("united")).alias("linked")), "measured")
 
+    def against(self, alive: DataFrame, pivots: DataFrame) -> DataFrame:
+        """The distinct pairs of pivots and documents of their cells that may link. Cells are cut into parts, and each part has all pivots of its cell."""
+        parts = F.ceil(F.col("size") / PART)
+        columns = ["s", "part", "pivot", "x", "n", "at", "label"]
+        rows = alive.withColumns({"part": F.pmod(F.xxhash64("x"), parts), "pivot": F.lit(False)}).select(columns)
+        rows = rows.union(pivots.withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)), "pivot": F.lit(True)}).select(columns))
+        t = self._needed(alive.select("x", F.col("x").alias("y")), "bins")
+        rows = rows.join(t.withColumnRenamed("class", "x"), "x").select(*columns, "bins")
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(n, "s", "part").sortWithinPartitions("s", "part", F.desc("pivot"), "x")
+        return rows.mapInArrow(_against(self.percent), "x long, y long").distinct()
+
     def extended(self, labels: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Labels (x, label) after the links among these pairs, and the measured pairs. Only links between labels go into the contraction."""
+        """Labels (x, label) after the links among these near pairs, and the measured pairs. Only links between labels go into the contraction."""
         tested = self.measured(pairs)
         links = tested.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
         if labels is None:
@@ -376,18 +442,15 @@ def _large_cells(large: DataFrame, first: DataFrame, labels: DataFrame, tested:
     while True:
         alive = alive.join(chosen, ["s", "x"], "left_anti").join(labels, "x", "left").select("s", "x", "n", "at", F.coalesce("label", "x").alias("label"))
         alive = join.small(alive, "alive")
-        open_ = alive.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", F.xxhash64("x", F.lit(number))).alias("main"))
-        open_ = join.small(open_.filter("lo <> hi").select("s", "main"), "open")
+        open_ = alive.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", F.xxhash64("x", F.lit(number))).alias("main"), F.count("*").alias("size"))
+        open_ = join.small(open_.filter("lo <> hi").select("s", "main", "size"), "open")
         if open_.isEmpty():
             return labels
         alive = join.small(alive.join(open_, "s"), "alive")
         drawn = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("x", F.lit(number)), "x"))
-        pivots = alive.filter("label <> main").withColumn("rank", drawn).filter(F.col("rank") <= PIVOTS).select("s", "x", "n", "at", "label")
+        pivots = alive.filter("label <> main").withColumn("rank", drawn).filter(F.col("rank") <= PIVOTS).drop("rank")
         pivots = join.small(pivots, "pivots")
-        sets = join.small(pivots.groupBy("s").agg(F.collect_list(F.struct("x", "n", "at", "label")).alias("pivots")), "sets")
-        apart = F.filter("pivots", lambda p: (p["label"] != F.col("label")) & _fits(F.col("n"), p["n"], F.col("at"), p["at"], join.percent))
-        met = alive.join(sets, "s").select("x", F.explode(apart).alias("p")).select(F.least("x", "p.x").alias("x"), F.greatest("x", "p.x").alias("y")).distinct()
-        labels, _ = join.extended(labels, _in_window(met, distances))
+        labels, _ = join.extended(labels, _in_window(join.against(alive, pivots), distances))
         chosen, alive = pivots.select("s", "x"), alive.select("s", "x", "n", "at")
         number += 1
 

@@ -74,6 +74,7 @@ def jaccard_brute(rows):
 def test_jaccard(spark, texts, monkeypatch, leaf, first, later):
     monkeypatch.setattr(ngram_join, "FIRST_PIVOTS", first)
     monkeypatch.setattr(ngram_join, "PIVOTS", later)
+    monkeypatch.setattr(ngram_join, "PART", 3 if later == 2 else ngram_join.PART)
     got = ngram_join.jaccard_classes(docs(spark, texts), leaf=leaf).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_brute(list(enumerate(texts)))
     sets = {}
