@@ -200,3 +200,15 @@ ORACLES |= {
     "small_indels": "WITH t AS (SELECT p_partkey, left(p_name, CAST(p_size % 7 + 1 AS INT)) AS ref, CASE WHEN p_size % 11 = 0 THEN '<DEL>' ELSE left(p_type, CAST(p_size % 5 + 1 AS INT)) END AS alt FROM part) SELECT * FROM t WHERE alt <> '<DEL>' AND length(ref) <> length(alt) AND length(ref) <= 6 AND length(alt) <= 6",
     "training_labels": "SELECT d.doc_id AS id, CASE WHEN toxic = 1 THEN 'UNK' WHEN quality = 1 THEN 'TP' ELSE 'FP' END AS label FROM documents d JOIN labels USING (doc_id) WHERE (n_chars % 100) % 10 <> 0",
 }
+ORACLES |= {
+    "stream_window_stats": f"""WITH e AS (SELECT CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS s, event_type, value FROM events), w AS (SELECT (s // 10800) * 10800 - k * 10800 AS start, event_type, value FROM e, (SELECT unnest([0, 1]) AS k))
+ SELECT start, event_type, count(*) AS n, {tidy('avg(value)')} AS mean FROM w GROUP BY 1, 2""",
+    "stream_clusters": """WITH f AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 7200000000 THEN 0 ELSE 1 END AS fresh FROM events),
+ k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM f) SELECT user_id, min(t) AS first, count(*) AS n FROM k GROUP BY user_id, k""",
+    "rna_het_grid": f"{BOTH}, l AS (SELECT pos, "
+    + ", ".join(f"sum(ln(CASE WHEN base <> ref THEN {x} * (1 - {_E1}) + (1 - {x}) * {_E1} ELSE (1 - {x}) * (1 - {_E1}) + {x} * {_E1} END)) AS x{i}" for i, x in enumerate((0.3, 0.4, 0.5, 0.6, 0.7)))
+    + f" FROM obs JOIN ref USING (pos) WHERE q >= 20 GROUP BY pos), m AS (SELECT *, greatest(x0, x1, x2, x3, x4) AS m FROM l) SELECT pos, {tidy('m + ln(exp(x0 - m) + exp(x1 - m) + exp(x2 - m) + exp(x3 - m) + exp(x4 - m)) - ln(5.0)')} AS het FROM m",
+    "sample_name_map": f"WITH {OBS}, l AS (SELECT lib, count(*) AS reads FROM obs GROUP BY 1), n AS (SELECT s_suppkey AS lib, count(*) AS k, min(s_name) AS name FROM supplier GROUP BY 1) SELECT lib, reads, CASE WHEN coalesce(k, 0) = 1 THEN name END AS name, CASE WHEN k IS NULL THEN 'missing' WHEN k > 1 THEN 'double' ELSE 'ok' END AS state FROM l LEFT JOIN n USING (lib)",
+    "strand_support_features": f"""{BOTH}, f AS (SELECT pos, count(*) AS depth, {_C('base <> ref')} AS alt, {_C('base <> ref AND is_fwd')} AS alt_fwd, coalesce(avg(CASE WHEN base <> ref THEN q END), 0) - coalesce(avg(CASE WHEN base = ref THEN q END), 0) AS sh, coalesce(sqrt(avg(CASE WHEN base <> ref THEN mapq * mapq END)), 0) AS mq FROM obs JOIN ref USING (pos) GROUP BY pos)
+ SELECT pos, depth, alt, alt_fwd, {tidy('sh')} AS q_shift, {tidy('mq')} AS alt_mapq, {tidy('greatest(0.0, least(1.0, (alt / CAST(depth AS DOUBLE) - 0.1) / 0.8))')} AS scaled FROM f""",
+}

@@ -601,3 +601,52 @@ def training_labels(spark, d):
     s = V.scored(spark, d).withColumn("filters", F.when(F.col("score") % 10 == 0, F.array(F.lit("IndelConflict"))).otherwise(F.array(F.lit("PASS"))))
     kept = s.filter(~F.exists("filters", lambda f: f.endswith("Conflict") | (f == "OffTarget")))
     return kept.select("id", F.when(F.col("masked") == 1, "UNK").otherwise(F.col("tag")).alias("label"))
+
+
+@query
+def stream_window_stats(spark, d):
+    """Sliding statistics of the event stream, drained."""
+    from gridlark.streaming import positions
+
+    batch = V.table(spark, d, "events")
+    rows = spark.readStream.schema(batch.schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = positions.drained(positions.sliding_stats(rows, "ts", ["event_type"], "value", "6 hours", "3 hours", "1 hour"))
+    return out.select(F.unix_seconds(F.col("window.start")).alias("start"), "event_type", "n", tidy(F.col("mean")).alias("mean"))
+
+
+@query
+def stream_clusters(spark, d):
+    """Clusters of each user's events, drained; the batch form is active_regions."""
+    from gridlark.streaming import positions
+
+    batch = V.table(spark, d, "events")
+    rows = spark.readStream.schema(batch.schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = positions.drained(positions.clusters(rows, "ts", ["user_id"], "2 hours", "1 hour"))
+    return out.select("user_id", F.unix_micros(F.col("session_window.start")).alias("first"), "n")
+
+
+@query
+def rna_het_grid(spark, d):
+    """Heterozygous likelihood averaged over a symmetric grid of frequencies around one half."""
+    o = V.observations(spark, d).join(V.reference(spark, d), "pos").withColumn("is_alt", F.col("base") != F.col("ref")).filter("q >= 20")
+    lh = genotype.frequency_likelihoods(o, ["pos"])
+    at = [genotype.frequencies().index(x) for x in (0.3, 0.4, 0.5, 0.6, 0.7)]
+    return lh.select("pos", tidy(P.log_sum_exp(F.array(*[F.col("lhood")[i] for i in at])) - 1.6094379124341003).alias("het"))
+
+
+@query
+def sample_name_map(spark, d):
+    """Names to samples, one to one: a name that is missing or double is reported."""
+    names = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("lib"), "s_name")
+    libs = V.observations(spark, d).groupBy("lib").agg(F.count("*").alias("reads"))
+    out = libs.join(names.groupBy("lib").agg(F.count("*").alias("k"), F.min("s_name").alias("name")), "lib", "left")
+    return out.select("lib", "reads", F.when(F.coalesce("k", F.lit(0)) == 1, F.col("name")).alias("name"), F.when(F.col("k").isNull(), "missing").when(F.col("k") > 1, "double").otherwise("ok").alias("state"))
+
+
+@query
+def strand_support_features(spark, d):
+    """Features of alternate alleles for scoring: counts, fraction, mean quality, rank-sum parts, odds."""
+    o = V.observations(spark, d).join(V.reference(spark, d), "pos")
+    alt = F.col("base") != F.col("ref")
+    f = o.groupBy("pos").agg(F.count("*").alias("depth"), F.count_if(alt).alias("alt"), F.avg(F.when(alt, F.col("q"))).alias("alt_q"), F.avg(F.when(~alt, F.col("q"))).alias("ref_q"), F.sqrt(F.avg(F.when(alt, F.col("mapq") * F.col("mapq")))).alias("alt_mapq"), F.count_if(alt & F.col("is_fwd")).alias("alt_fwd"))
+    return f.select("pos", "depth", "alt", "alt_fwd", tidy(F.coalesce(F.col("alt_q"), F.lit(0.0)) - F.coalesce(F.col("ref_q"), F.lit(0.0))).alias("q_shift"), tidy(F.coalesce("alt_mapq", F.lit(0.0))).alias("alt_mapq"), tidy(P.scaled(F.col("alt") / F.col("depth"), 0.1, 0.9)).alias("scaled"))

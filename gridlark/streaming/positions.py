@@ -38,3 +38,16 @@ def coverage_runs(rows: DataFrame, time: str, key: str, lag: str) -> DataFrame:
 
     rows = rows.withWatermark(time, lag).select(F.col(key).cast("long").alias("key"), F.unix_millis(F.col(time)).alias("at"), time)
     return rows.groupBy("key").applyInPandasWithState(step, "key long, n long, last long", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drained(out: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what its source holds now and returns the sink's rows, kept in the shared folder."""
+    import tempfile
+    import uuid
+
+    spark = out.sparkSession
+    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    path = f"{root}/stream-{uuid.uuid4().hex}"
+    sink = out.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows"))
+    sink.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
