@@ -179,3 +179,18 @@ def de_novo(trios: DataFrame, theta: float = THETA, mutation: float = 1e-8) -> D
     kept = P.safe_frac(F.col("_old"), F.col("_old") + F.col("_new"))
     dq = F.least(F.lit(100.0), F.when(kept > 0, -10 * F.log10(kept)).otherwise(F.lit(100.0)))
     return scored.withColumn("dq", F.floor(dq * 10 + 0.5) / 10).drop("_new", "_old")
+
+
+def haploid_called(lhoods: DataFrame, alleles: tuple[str, ...], theta: float = THETA) -> DataFrame:
+    """Best single allele of positions with one copy, with its quality, from likelihoods of diploid genotypes (homozygous ones stand for the alleles)."""
+    at = [i for i, (a, b) in enumerate(genotypes(alleles)) if a == b]
+    prior = F.array(*[F.when(F.col("ref") == a, math.log(1 - theta)).otherwise(math.log(theta / (len(alleles) - 1))) for a in alleles])
+    post = P.normalised(F.zip_with(F.array(*[F.col("lhood")[i] for i in at]), prior, lambda a, b: a + b))
+    out = lhoods.withColumn("post", post)
+    best = F.array_position("post", F.array_max("post")).cast("int") - 1
+    return out.withColumn("allele", F.get(F.array(*map(F.lit, alleles)), best)).withColumn("gq", P.int_phred(P.complement_of_best(F.col("post"))))
+
+
+def indel_rate_prior(length: Column, slope: float, intercept: float, n_alleles: Column) -> Column:
+    """Mutation-rate prior of an indel by its length: exp(slope L + intercept) * 20, to the power of the new alleles."""
+    return F.pow(F.exp(length * slope + intercept) * 20, n_alleles)

@@ -212,3 +212,16 @@ ORACLES |= {
     "strand_support_features": f"""{BOTH}, f AS (SELECT pos, count(*) AS depth, {_C('base <> ref')} AS alt, {_C('base <> ref AND is_fwd')} AS alt_fwd, coalesce(avg(CASE WHEN base <> ref THEN q END), 0) - coalesce(avg(CASE WHEN base = ref THEN q END), 0) AS sh, coalesce(sqrt(avg(CASE WHEN base <> ref THEN mapq * mapq END)), 0) AS mq FROM obs JOIN ref USING (pos) GROUP BY pos)
  SELECT pos, depth, alt, alt_fwd, {tidy('sh')} AS q_shift, {tidy('mq')} AS alt_mapq, {tidy('greatest(0.0, least(1.0, (alt / CAST(depth AS DOUBLE) - 0.1) / 0.8))')} AS scaled FROM f""",
 }
+_HAP = [0, 2, 5]
+_HP = ["(CASE WHEN ref = '{}' THEN ln({}) ELSE ln({}) END)".format(a, 1 - 0.001, 0.0005) for a in ("A", "N", "R")]
+ORACLES |= {
+    "haploid_genotypes": f"""{BOTH}, l AS (SELECT pos, {lhood_sums()} FROM obs WHERE q >= 17 GROUP BY pos), w AS (SELECT pos, ref, {', '.join(f'g{i} + {p} AS w{k}' for k, (i, p) in enumerate(zip(_HAP, _HP)))} FROM l JOIN ref USING (pos)), m AS (SELECT *, greatest(w0, w1, w2) AS m FROM w),
+ x AS (SELECT *, list_position([w0, w1, w2], m) AS b, exp(w0 - m) AS x0, exp(w1 - m) AS x1, exp(w2 - m) AS x2 FROM m), r AS (SELECT *, ((CASE WHEN b = 1 THEN 0 ELSE x0 END) + (CASE WHEN b = 2 THEN 0 ELSE x1 END) + (CASE WHEN b = 3 THEN 0 ELSE x2 END)) / (x0 + x1 + x2) AS p FROM x)
+ SELECT pos, ref, ['A','N','R'][b] AS allele, {phred('p')} AS gq FROM r""",
+    "indel_rate_priors": f"SELECT p_partkey, {tidy('log10(pow(exp(p_size * -0.3 + -20.0) * 20, p_size % 2 + 1))')} AS log_prior FROM part",
+    "allele_pair_conflicts": "WITH t AS (SELECT p_partkey AS id, p_partkey AS b, p_partkey + p_size % 4 + (CASE WHEN p_size % 3 = 0 THEN 1 ELSE 2 END) AS e FROM part) SELECT x.id, count(*) AS conflicts FROM t x JOIN t y ON x.id < y.id AND x.b < y.e AND y.b < x.e GROUP BY 1",
+    "known_alleles": f"{BOTH}, s AS (SELECT pos, base, count(*) AS n FROM obs JOIN ref USING (pos) WHERE base <> ref GROUP BY 1, 2) SELECT pos, base, n, EXISTS (SELECT 1 FROM obs o WHERE o.pos = s.pos AND o.base = s.base AND lib % 9 = 0) AS known FROM s",
+    "depth_totals": "SELECT p_brand AS contig, count(*) AS depth, count(DISTINCT l_linenumber % 2) AS samples FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
+    "trailing_ambiguous": f"WITH {OBS}, r AS (SELECT string_agg(base, '' ORDER BY read_pos, base) AS s, bool_or(is_fwd) AS fwd FROM obs GROUP BY read_id) SELECT CAST(CASE WHEN fwd THEN length(regexp_extract(s, 'N*$')) ELSE length(regexp_extract(s, '^N*')) END AS INT) AS ambiguous, count(*) AS reads FROM r GROUP BY 1",
+    "tied_dedup": f"WITH {OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY pos, base ORDER BY q DESC, mapq DESC, read_id, read_pos) AS r FROM obs) SELECT pos, base, q, mapq, read_id FROM r WHERE r = 1",
+}

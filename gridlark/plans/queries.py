@@ -650,3 +650,53 @@ def strand_support_features(spark, d):
     alt = F.col("base") != F.col("ref")
     f = o.groupBy("pos").agg(F.count("*").alias("depth"), F.count_if(alt).alias("alt"), F.avg(F.when(alt, F.col("q"))).alias("alt_q"), F.avg(F.when(~alt, F.col("q"))).alias("ref_q"), F.sqrt(F.avg(F.when(alt, F.col("mapq") * F.col("mapq")))).alias("alt_mapq"), F.count_if(alt & F.col("is_fwd")).alias("alt_fwd"))
     return f.select("pos", "depth", "alt", "alt_fwd", tidy(F.coalesce(F.col("alt_q"), F.lit(0.0)) - F.coalesce(F.col("ref_q"), F.lit(0.0))).alias("q_shift"), tidy(F.coalesce("alt_mapq", F.lit(0.0))).alias("alt_mapq"), tidy(P.scaled(F.col("alt") / F.col("depth"), 0.1, 0.9)).alias("scaled"))
+
+
+@query
+def haploid_genotypes(spark, d):
+    lh = genotype.likelihoods(V.observations(spark, d).filter("q >= 17"), V.ALLELES, ["pos"]).join(V.reference(spark, d), "pos")
+    return genotype.haploid_called(lh, V.ALLELES).select("pos", "ref", "allele", "gq")
+
+
+@query
+def indel_rate_priors(spark, d):
+    t = V.table(spark, d, "part")
+    return t.select("p_partkey", tidy(F.log10(genotype.indel_rate_prior(F.col("p_size"), -0.3, -20.0, F.col("p_size") % 2 + 1))).alias("log_prior"))
+
+
+@query
+def allele_pair_conflicts(spark, d):
+    """Loci whose closed ranges, one base wider unless a mismatch, meet."""
+    t = V.table(spark, d, "part").select(F.lit(1).alias("c"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + F.col("p_size") % 4 + F.when(F.col("p_size") % 3 == 0, 1).otherwise(2)).alias("end"))
+    return intervals.overlaps(t, t, ["c"], width=8).filter("id < id_b").groupBy("id").agg(F.count("*").alias("conflicts"))
+
+
+@query
+def known_alleles(spark, d):
+    """Alternate alleles seen, against known ones: an equi-join on the allele key."""
+    seen = V.observations(spark, d).join(V.reference(spark, d), "pos").filter(F.col("base") != F.col("ref")).groupBy("pos", "base").agg(F.count("*").alias("n"))
+    known = V.observations(spark, d).filter("lib % 9 = 0").select("pos", "base").distinct().withColumn("known", F.lit(True))
+    return seen.join(known, ["pos", "base"], "left").select("pos", "base", "n", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query
+def depth_totals(spark, d):
+    """Depth by contig summed over samples, with how many samples name it."""
+    per = V.table(spark, d, "lineitem").join(V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("contig"), (F.col("l_linenumber") % 2).alias("sample")).agg(F.count("*").alias("depth"))
+    return per.groupBy("contig").agg(F.sum("depth").alias("depth"), F.count("*").alias("samples"))
+
+
+@query
+def trailing_ambiguous(spark, d):
+    """How many ambiguous bases end each read's allele string, on the side its strand gives."""
+    r = V.observations(spark, d).groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("read_pos", "base"))), lambda s: s["base"]), "").alias("s"), F.max("is_fwd").alias("fwd"))
+    tail = F.when(F.col("fwd"), F.length(F.regexp_extract("s", "N*$", 0))).otherwise(F.length(F.regexp_extract("s", "^N*", 0)))
+    return r.groupBy(tail.alias("ambiguous")).agg(F.count("*").alias("reads"))
+
+
+@query
+def tied_dedup(spark, d):
+    """Of records equal in place and alleles the best: highest quality, then lowest id."""
+    o = V.observations(spark, d)
+    w = Window.partitionBy("pos", "base").orderBy(F.desc("q"), F.desc("mapq"), F.col("read_id"), F.col("read_pos"))
+    return o.withColumn("r", F.row_number().over(w)).filter("r = 1").select("pos", "base", "q", "mapq", "read_id")
