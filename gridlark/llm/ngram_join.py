@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +55,11 @@ LEAF = 64
 #: Document pivots that a larger cell takes first, and in later rounds; documents of a cell that meet in one task besides.
 FIRST_PIVOTS, PIVOTS, PART = 2, 512, 2048
 #: Ids up to which a table is narrowed by a broadcast before it is shuffled; beyond, it is shuffled whole.
-BROADCAST_IDS = 100_000
-#: The radius of a link, and the bins of a histogram.
-RADIUS, BINS = 1 - PERCENT / 100, 256
+BROADCAST_IDS = 500_000
+#: The radius of a link, and the bins of a histogram (counts of 8 bits).
+RADIUS, BINS = 1 - PERCENT / 100, 1024
+#: Candidates of each pivot that are measured, best histograms first, before the rest.
+PROBES = 2
 #: Rows of the cells for which tables of a few numbers a row get one file.
 ROWS_A_FILE = 1_000_000
 #: Shingles over which a task counts before it reports local frequent ones.
@@ -220,13 +223,14 @@ def _cells(percent: int, leaf: int):
 
 
 def _described(words: int):
-    """Of rows (class, text): class, text, size, and the histogram of the set (16-bit counts; longer sets than those hold have none).
+    """Of rows (class, text): class, the text compressed, size, and the histogram of the set (none if a bin is over its 8 bits).
 
     Texts of another class, which share the id, and repeats are left out.
     """
 
     def run(batches):
         seen: set[int] = set()
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for lo, hi, data, offsets in string_chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets, words)
@@ -236,38 +240,42 @@ def _described(words: int):
                     own[i] = own[i] and not (c in seen or seen.add(c))
                 flat = np.repeat(np.arange(len(sizes)), sizes) * BINS + (hashes >> U64(40)).astype(np.int64) % BINS
                 bins = np.bincount(flat, minlength=BINS * len(sizes)).reshape(-1, BINS)
-                out = [row.astype(np.uint16).tobytes() if row.max() < 1 << 16 else None for row in bins]
-                rows = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes), pa.array(out, pa.binary())]
+                out = [row.astype(np.uint8).tobytes() if row.max() < 256 else None for row in bins]
+                raw = data.tobytes()
+                packed = [pack.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+                rows = [batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary()), pa.array(sizes), pa.array(out, pa.binary())]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(own)) for c in rows], ["class", "text", "n", "bins"])
 
     return run
 
 
 def _near(percent: int):
-    """Of rows (x, y, sizes, histograms): the pairs that may link by their histograms."""
+    """Of rows (x, y, sizes, histograms): the pairs that may link by their histograms, and the similarity these allow."""
 
     def run(batches):
         for batch in batches:
             known = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False) & batch.column(5).is_valid().to_numpy(zero_copy_only=False))
-            keep = np.ones(batch.num_rows, bool)
+            keep, most = np.ones(batch.num_rows, bool), np.ones(batch.num_rows)
             nx, ny = (batch.column(i).to_numpy() for i in (2, 3))
             for at in range(0, len(known), 4096):
                 rows = known[at : at + 4096]
-                a, b = (np.frombuffer(b"".join(batch.column(i).take(pa.array(rows)).to_pylist()), np.uint16).reshape(-1, BINS) for i in (4, 5))
+                a, b = (np.frombuffer(b"".join(batch.column(i).take(pa.array(rows)).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
                 common = np.minimum(a, b).sum(axis=1, dtype=np.int64)
                 keep[rows] = 100 * common >= percent * (nx[rows] + ny[rows] - common)
+                most[rows] = common / (nx[rows] + ny[rows] - common)
             keep = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(most).filter(keep)], ["x", "y", "most"])
 
     return run
 
 
-def _against(percent: int):
-    """Reads (s, part, pivot, x, n, at, label, bins) in order of parts of cells, pivots first: the pairs of a pivot and a document of another class that may link."""
+def _against(percent: int, probes: int | None):
+    """Reads (s, part, pivot, x, n, at, label, bins) in order of parts of cells, pivots first: the pairs of a pivot and a document of another class that may link, with probes only each pivot's best ones."""
 
     def meet(t: pa.Table):
         s, part, pivot, x, n, at, label = (t.column(i).to_numpy() for i in range(7))
-        bins = np.frombuffer(b"".join(b if b is not None else b"\xff\xff" * BINS for b in t.column(7).to_pylist()), np.uint16).reshape(-1, BINS)
+        bins = np.frombuffer(b"".join(b if b is not None else b"\xff" * BINS for b in t.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
+        whole = np.array([b is not None for b in t.column(7).to_pylist()])
         n, at = n.astype(np.int64), at.astype(np.int64)
         first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (part[1:] != part[:-1])])
         out = []
@@ -275,8 +283,11 @@ def _against(percent: int):
             rows = a + np.flatnonzero(~pivot[a:b])
             for i in a + np.flatnonzero(pivot[a:b]):
                 j = rows[(label[rows] != label[i]) & _fits(n[rows], n[i], at[rows], at[i], percent)]
-                common = np.minimum(bins[j], bins[i]).sum(axis=1, dtype=np.int64)
-                j = j[100 * common >= percent * (n[j] + n[i] - common)]
+                common = np.where(whole[j] & whole[i], np.minimum(bins[j], bins[i]).sum(axis=1, dtype=np.int64), np.minimum(n[j], n[i]))
+                may = 100 * common >= percent * (n[j] + n[i] - common)
+                j, most = j[may], (common / (n[j] + n[i] - common))[may]
+                if probes is not None:
+                    j = j[np.argsort(-most, kind="stable")[:probes]]
                 out.append(np.stack([np.minimum(x[j], x[i]), np.maximum(x[j], x[i])]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])
@@ -300,14 +311,15 @@ def _against(percent: int):
 
 
 def _measured(words: int):
-    """Of rows (x, y, text of x, text of y): x, y, and how many shingles they share and have together."""
+    """Of rows (x, y, compressed texts of both): x, y, and how many shingles they share and have together."""
 
     def run(batches):
+        pack = zstandard.ZstdDecompressor()
         for batch in batches:
             sets = []
             for c in (2, 3):
                 parts = []
-                for lo, hi, data, offsets in string_chunks(batch.column(c)):
+                for lo, hi, data, offsets in string_chunks(pa.array([pack.decompress(t) for t in batch.column(c).to_pylist()], pa.binary())):
                     hashes, bounds = shingle_sets(data, offsets, words)
                     parts += [hashes[bounds[i] : bounds[i + 1]] for i in range(hi - lo)]
                 sets.append(parts)
@@ -347,14 +359,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one text of each class that takes part, with its histogram
     wanted = stored(cells.select("x").union(cells.filter("kind = 0").select("other")).distinct().withColumnRenamed("x", "class").join(classes, "class"), "wanted")
     texts = base.join(wanted, F.col("doc_id") == F.col("class_id")).select("class", "text")
-    texts = stored(texts.mapInArrow(_described(words), "class long, text string, n long, bins binary"), "texts")
+    texts = stored(texts.mapInArrow(_described(words), "class long, text binary, n long, bins binary"), "texts")
     join = _Join(texts, words, percent, cells.count() // ROWS_A_FILE + 1)
 
     pairs = cells.filter("kind = 0").select("x", F.col("other").alias("y"))
     first = _first_pivots(large)
     # pivots of one family of cells are mostly the same: distinct pairs are few
     stars = large.join(first, "s").select("x", "n", "at", F.explode("pivots").alias("p")).filter((F.col("x") != F.col("p.x")) & _fits(F.col("n"), F.col("p.n"), F.col("at"), F.col("p.at"), percent))
-    labels, tested = join.extended(None, join.near(pairs.union(stars.select(F.least("x", "p.x"), F.greatest("x", "p.x")))))
+    near = stored(join.near(pairs.union(stars.select(F.least("x", "p.x"), F.greatest("x", "p.x")))), "near")
+    # each document's best partner first, then what no label connects yet
+    ends = near.select("x", "y", "most").union(near.select("y", "x", "most"))
+    best = ends.groupBy("x").agg(F.max(F.struct("most", F.xxhash64("y"), "y")).alias("b")).select(F.least("x", "b.y").alias("x"), F.greatest("x", "b.y").alias("y")).distinct()
+    labels, tested = join.extended(None, best)
+    rest = join.apart(near.select("x", "y").join(tested, ["x", "y"], "left_anti"), labels)
+    labels, more = join.extended(labels, rest)
+    tested = tested.union(more)
     if not large.isEmpty():
         labels = _large_cells(large, first, labels, tested, join)
 
@@ -388,18 +407,23 @@ class _Join:
         t = self._needed(pairs, "n", "bins")
         side = lambda i: t.select(F.col("class").alias(i), F.col("n").alias(f"n_{i}"), F.col("bins").alias(f"bins_{i}"))
         binned = pairs.join(side("x"), "x").join(side("y"), "y")
-        return binned.select("x", "y", "n_x", "n_y", "bins_x", "bins_y").mapInArrow(_near(self.percent), "x long, y long")
+        return binned.select("x", "y", "n_x", "n_y", "bins_x", "bins_y").mapInArrow(_near(self.percent), "x long, y long, most double")
 
     def measured(self, near: DataFrame) -> DataFrame:
-        """(x, y, d, linked) of pairs, by their whole texts."""
-        near = stored(near.coalesce(8 * self.parts), "near")
+        """(x, y, d, linked) of stored pairs, by their whole texts."""
         t = self._needed(near, "text")
         side = lambda i: t.select(F.col("class").alias(i), F.col("text").alias(f"text_{i}"))
         both = near.join(side("x"), "x").join(side("y"), "y")
         found = both.select("x", "y", "text_x", "text_y").mapInArrow(_measured(self.words), "x long, y long, common long, united long")
         return stored(found.select("x", "y", (1 - F.col("common") / F.col("united")).alias("d"), (100 * F.col("common") >= self.percent * F.col("united")).alias("linked")), "measured")
 
-    def against(self, alive: DataFrame, pivots: DataFrame) -> DataFrame:
+    def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs whose ends have different labels."""
+        for end in ("x", "y"):
+            pairs = pairs.join(labels.select(F.col("x").alias(end), F.col("label").alias(f"l{end}")), end, "left")
+        return pairs.filter(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
+
+    def against(self, alive: DataFrame, pivots: DataFrame, probes: int | None) -> DataFrame:
         """The distinct pairs of pivots and documents of their cells that may link. Cells are cut into parts, and each part has all pivots of its cell."""
         parts = F.ceil(F.col("size") / PART)
         columns = ["s", "part", "pivot", "x", "n", "at", "label"]
@@ -409,11 +433,11 @@ class _Join:
         rows = rows.join(t.withColumnRenamed("class", "x"), "x").select(*columns, "bins")
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(n, "s", "part").sortWithinPartitions("s", "part", F.desc("pivot"), "x")
-        return rows.mapInArrow(_against(self.percent), "x long, y long").distinct()
+        return rows.mapInArrow(_against(self.percent, probes), "x long, y long").distinct()
 
     def extended(self, labels: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Labels (x, label) after the links among these near pairs, and the measured pairs. Only links between labels go into the contraction."""
-        tested = self.measured(pairs)
+        tested = self.measured(stored(pairs.select("x", "y").coalesce(8 * self.parts), "near"))
         links = tested.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
         if labels is None:
             return self.small(components(links).select(F.col("node").alias("x"), F.col("component").alias("label")), "labels"), tested
@@ -442,16 +466,18 @@ def _large_cells(large: DataFrame, first: DataFrame, labels: DataFrame, tested:
     while True:
         alive = alive.join(chosen, ["s", "x"], "left_anti").join(labels, "x", "left").select("s", "x", "n", "at", F.coalesce("label", "x").alias("label"))
         alive = join.small(alive, "alive")
-        open_ = alive.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", F.xxhash64("x", F.lit(number))).alias("main"), F.count("*").alias("size"))
+        open_ = alive.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", F.xxhash64("x", F.lit(number // 2))).alias("main"), F.count("*").alias("size"))
         open_ = join.small(open_.filter("lo <> hi").select("s", "main", "size"), "open")
         if open_.isEmpty():
             return labels
         alive = join.small(alive.join(open_, "s"), "alive")
-        drawn = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("x", F.lit(number)), "x"))
+        drawn = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("x", F.lit(number // 2)), "x"))
         pivots = alive.filter("label <> main").withColumn("rank", drawn).filter(F.col("rank") <= PIVOTS).drop("rank")
         pivots = join.small(pivots, "pivots")
-        labels, _ = join.extended(labels, _in_window(join.against(alive, pivots), distances))
-        chosen, alive = pivots.select("s", "x"), alive.select("s", "x", "n", "at")
+        # a probe measures each pivot's best candidates, which joins most to their class; pivots leave once all of theirs are measured
+        probe = number % 2 == 0
+        labels, _ = join.extended(labels, _in_window(join.against(alive, pivots, PROBES if probe else None), distances))
+        chosen, alive = pivots.filter(F.lit(not probe)).select("s", "x"), alive.select("s", "x", "n", "at")
         number += 1
 
 
