@@ -24,7 +24,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the smallest id of each component; of rows with one id, the first by text. Rows without an id stay."""
     found = ngram_join.jaccard_classes(docs)
     kept = stored(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    few = kept.count() <= ngram_join.BROADCAST_IDS
+    named = docs.filter("doc_id is not null").join(F.broadcast(kept) if few else kept, "doc_id", "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
+        named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 

@@ -358,7 +358,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # one text of each class that takes part, with its histogram
     wanted = stored(cells.select("x").union(cells.filter("kind = 0").select("other")).distinct().withColumnRenamed("x", "class").join(classes, "class"), "wanted")
-    texts = base.join(wanted, F.col("doc_id") == F.col("class_id")).select("class", "text")
+    # few of them pick their texts before any text is shuffled
+    picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = base.join(picked, F.col("doc_id") == F.col("class_id")).select("class", "text")
     texts = stored(texts.mapInArrow(_described(words), "class long, text binary, n long, bins binary"), "texts")
     join = _Join(texts, words, percent, cells.count() // ROWS_A_FILE + 1)
 
