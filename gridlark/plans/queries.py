@@ -389,12 +389,20 @@ def forest_scores(spark, d):
     return v.select("vec_id", tidy(forest.probability(model), 6).alias("score"))
 
 
+def _trios(pl: DataFrame) -> DataFrame:
+    """Every three libraries of a position, in the order of their numbers child, father and mother, with their pl."""
+    at = pl.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("lib", "pl"))).alias("x"))
+    at = at.filter("size(x) >= 3").withColumn("i", F.expr("explode(sequence(0, size(x) - 3))"))
+    at = at.withColumn("j", F.expr("explode(sequence(i + 1, size(x) - 2))")).withColumn("k", F.expr("explode(sequence(j + 1, size(x) - 1))"))
+    return at.select("pos", *[c for n, i in (("child", "i"), ("father", "j"), ("mother", "k")) for c in (F.expr(f"x[{i}].lib").alias(f"{n}_lib"), F.expr(f"x[{i}].pl").alias(n))])
+
+
 @query
 def de_novo_scores(spark, d):
+    """Every trio of libraries of a position; checked in tests against plain loops."""
     lh = genotype.likelihoods(V.observations(spark, d).withColumn("base", F.when(F.col("base") == "R", "R").otherwise("A")), ("A", "R"), ["pos", "lib"])
-    pl = genotype.called(lh.withColumn("ref", F.lit("A")), ("A", "R")).select("pos", "lib", "pl", F.row_number().over(Window.partitionBy("pos").orderBy("lib")).alias("k")).filter("k <= 3")
-    trio = pl.groupBy("pos").agg(*[F.max(F.when(F.col("k") == i, F.col("pl"))).alias(n) for i, n in ((1, "child"), (2, "father"), (3, "mother"))]).filter("mother is not null")
-    return genotype.de_novo(trio).select("pos", "dq")
+    pl = genotype.called(lh.withColumn("ref", F.lit("A")), ("A", "R")).select("pos", "lib", "pl")
+    return genotype.de_novo(_trios(pl)).select("pos", "child_lib", "father_lib", "mother_lib", "dq")
 
 
 @query
@@ -532,8 +540,8 @@ def left_shifts(spark, d):
 
 @query
 def haplotype_alignments(spark, d):
-    """Global alignments of short sequences; checked in tests against a plain search."""
-    s = V.table(spark, d, "part").select("p_partkey", F.left("p_name", F.lit(12)).alias("a"), F.left("p_type", F.lit(12)).alias("b"))
+    """Global alignments of whole names and types; checked in tests against a plain search."""
+    s = V.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.col("p_type").alias("b"))
     return alleles.aligned(s, "a", "b").select("p_partkey", "cigar")
 
 

@@ -1,13 +1,16 @@
 """Every query with SQL gives the SQL's rows on the smallest tables."""
 
+import itertools
 import math
+import re
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gridlark.plans.oracles import ORACLES
-from gridlark.plans.queries import QUERIES
+from gridlark.plans.queries import QUERIES, _trios
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,3 +46,24 @@ def test_query(spark, duck, name):
     want = duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert table(got.toPandas()) == table(want)
+
+
+def test_de_novo_takes_every_trio(spark):
+    got = QUERIES["de_novo_scores"](spark, DATA).groupBy("pos").count().collect()
+    libs = {r.pos: r.n for r in spark.read.parquet(f"{DATA}/lineitem.parquet").selectExpr("l_partkey as pos", "l_suppkey as lib").groupBy("pos").agg(F.countDistinct("lib").alias("n")).collect()}
+    assert {r.pos: r["count"] for r in got} == {k: math.comb(n, 3) for k, n in libs.items() if n >= 3}
+    rows = [(p, lib, [p, lib]) for p, n in ((1, 5), (2, 3), (3, 2)) for lib in range(n)]
+    trios = _trios(spark.createDataFrame(rows, "pos long, lib long, pl array<long>")).collect()
+    want = sorted((p, *t) for p, n in ((1, 5), (2, 3)) for t in itertools.combinations(range(n), 3))
+    assert sorted((r.pos, r.child_lib, r.father_lib, r.mother_lib) for r in trios) == want
+    assert all([r.child, r.father, r.mother] == [[r.pos, r.child_lib], [r.pos, r.father_lib], [r.pos, r.mother_lib]] for r in trios)
+
+
+def test_alignments_span_whole_strings(spark):
+    got = {r.p_partkey: r.cigar for r in QUERIES["haplotype_alignments"](spark, DATA).collect()}
+    part = spark.read.parquet(f"{DATA}/part.parquet").collect()
+    assert len(got) == len(part)
+    for r in part:
+        ops = re.findall(r"(\d+)([=XID])", got[r.p_partkey])
+        assert sum(int(n) for n, op in ops if op in "=XD") == len(r.p_name)
+        assert sum(int(n) for n, op in ops if op in "=XI") == len(r.p_type)
