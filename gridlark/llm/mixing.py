@@ -8,10 +8,15 @@ document, are fitted by projected gradient steps to
     minimise  1/2 sum_k ((sum_d r_d t_d p_dk - T_k) / S)^2 + RIDGE/2 sum_d (t_d / S) (r_d - 1)^2,   r >= 0
 
 where t are tokens, p posteriors, S all tokens and T_k target tokens: expected
-totals of the domains come to their targets with rates as even as that allows.  The
+totals of the domains come near their targets with rates as even as that allows.  The
 gradient of a rate needs the K residuals of the step only, so a step is one sum over
 the documents, and the driver keeps K numbers for each step.  Momentum makes the
 steps few.  Every document takes part in every step.
+
+The ridge holds rates short of the targets, most of all in small domains.  So a last
+step takes, instead of its residuals, the K multipliers with which its projected rates
+meet the targets: Newton steps find them, each again one sum over the documents, of
+K totals and K x K curvatures.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ BUCKETS, ROUNDS, RATE, PENALTY = 1 << 14, 120, 0.1, 2e-5
 TEMPERATURES = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 8.0)
 _MARKS = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F) & ~ALNUM_WORD
 RIDGE, STEPS = 0.005, 50
+#: The multipliers' penalty, which keeps them finite where no rates meet the targets, the largest share of its target a domain may miss, Newton steps at most, and the lengths of a step tried in one pass.
+SLACK, CLOSE, NEWTON, LENGTHS = 1e-8, 1e-4, 60, (1.0, 0.5, 0.2, 0.05, 0.005)
 
 
 @dataclass(frozen=True)
@@ -153,31 +160,63 @@ def _rates(p: np.ndarray, residuals: np.ndarray) -> np.ndarray:
     return np.stack([r, y])
 
 
+def _closings(p: np.ndarray, tokens: np.ndarray, residuals: np.ndarray, tried: np.ndarray) -> list[np.ndarray]:
+    """For each multipliers tried as the last step's residuals: half the squared rates by tokens, the K totals, and the K x K curvatures."""
+    y = _rates(p, residuals)[1]
+    out = []
+    for e in tried:
+        r = np.maximum(0.0, y - (p @ e + RIDGE * (y - 1)) / (1 + RIDGE))
+        out.append(np.r_[(tokens * r * r).sum() / 2, (r * tokens) @ p, (p.T @ (p * (tokens * (r > 0))[:, None])).ravel()])
+    return out
+
+
 def fitted(memberships: DataFrame, n_domains: int, shares: list[float], budget: float | None = None, steps: int = STEPS) -> tuple[np.ndarray, list[float], list[float]]:
-    """Residuals of each step, the target totals and the totals reached, for memberships (tokens, p). budget: target tokens in all; None: as many as there are."""
-    narrow = memberships.select("tokens", "p")
+    """Residuals of each step, the last row the multipliers, the target totals and the totals reached, for memberships (tokens, p). budget: target tokens in all; None: as many as there are.
 
-    def sums(residuals: np.ndarray, last: bool):
+    Where no nonnegative rates meet the targets, the totals reached come as near to them as rates can.
+    """
+    narrow, k = memberships.select("tokens", "p"), n_domains
+
+    def summed(of):
         def run(batches):
-            total = np.zeros(n_domains)
+            total = 0.0
             for batch in batches:
                 tokens = batch.column(0).to_numpy(zero_copy_only=False)
-                p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_domains)
-                total += (_rates(p, residuals)[0 if last else 1] * tokens) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+                total = total + of(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k), tokens)
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "s"])
 
-        found = narrow.mapInArrow(run, "s array<double>").agg(*[F.sum(F.col("s")[k]) for k in range(n_domains)]).first()
-        return np.array([x or 0.0 for x in found])
+        return np.array([r.s for r in narrow.mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()])
 
     everything = float(narrow.agg(F.sum("tokens")).first()[0] or 0)
     size = max(everything, 1.0)
     target = np.array(shares) / sum(shares) * (everything if budget is None else budget)
-    residuals = np.zeros((0, n_domains))
+    residuals = np.zeros((0, k))
+    if not everything:
+        return residuals, target.tolist(), [0.0] * k
     for _ in range(steps):
-        residuals = np.vstack([residuals, (sums(residuals, False) - target) / size])
+        residuals = np.vstack([residuals, (summed(lambda p, tokens: (_rates(p, residuals)[1] * tokens) @ p) - target) / size])
         if len(residuals) > 1 and np.abs(residuals[-1] - residuals[-2]).max() < 1e-6:
             break
-    return residuals, target.tolist(), sums(residuals, True).tolist()
+
+    def tried(e: np.ndarray):
+        """Of the multipliers in the rows of e the best: it, its height, slope and curvature, and its totals."""
+        found = summed(lambda p, tokens: np.concatenate(_closings(p, tokens, residuals, e))).reshape(len(e), -1) / size
+        heights = (1 + RIDGE) * found[:, 0] + e @ target / size + SLACK / 2 * (e * e).sum(axis=1)
+        i = int(np.argmin(heights))
+        totals = found[i, 1 : k + 1]
+        return e[i], heights[i], target / size - totals + SLACK * e[i], found[i, k + 1 :].reshape(k, k) / (1 + RIDGE) + SLACK * np.eye(k), totals * size
+
+    best = tried(residuals[-1:])
+    for _ in range(NEWTON):
+        e, height, slope, curve, totals = best
+        if (np.abs(totals - target) <= CLOSE * target).all():
+            break
+        found = tried(e - np.outer(LENGTHS, np.linalg.solve(curve, slope)))
+        if not found[1] < height:
+            break
+        best = found
+    return np.vstack([residuals, best[0]]), target.tolist(), best[4].tolist()
 
 
 def memberships(docs: DataFrame, model: Classifier, text_col: str = "text", residuals: np.ndarray | None = None) -> DataFrame:

@@ -156,6 +156,24 @@ def test_projected_gradient_is_least_squares():
     assert r == pytest.approx(slow, abs=1e-2)
 
 
+@pytest.mark.parametrize("have,shares", [([0.12, 0.5, 0.38], [0.02, 0.93, 0.05]), ([0.002, 0.6, 0.398], [0.02, 0.5, 0.48]), ([0.3, 0.3, 0.4], [0.0, 0.5, 0.5])])
+def test_mixing_meets_each_target(spark, have, shares):
+    """Each domain's total comes within a small share of its own target, for small domains and near-pure posteriors too."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for kind in rng.permutation(np.repeat(range(3), np.rint(np.array(have) * 2000).astype(int))):
+        p = np.full(3, 1e-5)
+        p[kind] = 1.0
+        rows.append((100, (p / p.sum()).tolist()))
+    residuals, target, reached = mixing.fitted(spark.createDataFrame(rows, "tokens long, p array<double>"), 3, shares)
+    p, t = np.array([p for _, p in rows]), np.array([t for t, _ in rows])
+    rates = mixing._rates(p, residuals)[0]
+    assert (rates * t) @ p == pytest.approx(reached, rel=1e-6, abs=1e-3)
+    assert reached == pytest.approx(target, rel=1e-2, abs=1e-4 * t.sum())
+    soft = spark.createDataFrame([(50, [0.3, 0.4, 0.3]), (50, [0.5, 0.3, 0.2])], "tokens long, p array<double>")
+    assert np.isfinite(mixing.fitted(soft, 3, shares)[0]).all()  # no rates meet these
+
+
 def test_pipeline_stages(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
