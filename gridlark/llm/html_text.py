@@ -19,7 +19,7 @@ _w = lambda s: frozenset(s.split())
 #: Elements by their part in HTML's parsing and display.
 VOID = _w("area base br col embed hr img input link meta param source track wbr")
 RAW = _w("script style title textarea xmp iframe noembed noframes")
-HIDDEN = _w("head script style title template noscript iframe object svg math canvas audio video datalist noembed noframes select")
+HIDDEN = _w("head script style title template noscript iframe object canvas audio video datalist noembed noframes annotation annotation-xml defs desc metadata symbol clippath mask")
 BLOCK = _w("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul")
 SPACED = _w("blockquote dl figure h1 h2 h3 h4 h5 h6 menu ol p pre table ul")
 #: An opening tag closes these open elements, looking no further out than the given ones.
@@ -39,24 +39,68 @@ IMPLIED = {
 SCOPES = _w("td th caption table button object template html body")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+|[^>]*+)>|<[!?/][^>]*+>", re.S)
-_NOT_SHOWN = re.compile(r"(?i)(?:^|\s)hidden(?:[\s=/]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*[\"']?hidden")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
+def attributes(said: str | None) -> dict[str, str]:
+    """Names and values of a tag's attributes; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(said or ""):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def _not_shown(has: dict[str, str]) -> bool:
+    """Whether an element's attributes hide it: the name hidden, or the last display or visibility of its style that is important, or the last."""
+    if "hidden" in has:
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub("", has.get("style", "")).split(";"):
+        name, _, value = part.lower().partition(":")
+        value, mark, _ = value.partition("!")
+        if bool(mark) >= style.get(name.strip(), (False, ""))[0]:
+            style[name.strip()] = (bool(mark), value.strip())
+    return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+
+
+def _picked(page: str, at: int) -> int:
+    """The number of the option that a closed select, whose content starts at `at`, shows: the last selected one, else the first that is not disabled; -1 if none."""
+    n, first, chosen = 0, -1, -1
+    for m in _TOKEN.finditer(page, at):
+        tag = (m[2] or "").lower()
+        if tag in ("select", "input", "textarea"):
+            break
+        if tag == "option" and not m[1]:
+            has = attributes(m[3])
+            chosen = n if "selected" in has else chosen
+            first = n if first < 0 and "disabled" not in has else first
+            n += 1
+    return chosen if chosen >= 0 else first
+
+
 def elements(page: str) -> Iterator[tuple[str, str, bool]]:
-    """("open", tag, shown), ("close", tag, True) and ("text", text, True), nested: the tree in document order."""
-    stack: list[str] = []
+    """("open", tag, shown), ("close", tag, True) and ("text", text, True), nested: the tree in document order.
+
+    Options of a list box and texts of a drawing come as div, each on lines of its own.
+    """
+    stack: list[tuple[str, str]] = []  # open elements: their tag, and what they come as
+    places: dict[str, list[int]] = {}  # of each tag, where in the stack it is open
+    picked, option = None, 0  # of the select that is open: the option shown (None: all), and options so far
     at = 0
 
+    def innermost(tags: frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def close(tags: frozenset[str], until: frozenset[str]):
         """Closes all that lies inside the innermost of `tags` that is open within `until`, and it."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i] in tags:
-                while len(stack) > i:
-                    yield "close", stack.pop(), True
-                return
-            if stack[i] in until:
-                return
+        i = innermost(tags)
+        if i >= 0 and i >= innermost(until):
+            while len(stack) > i:
+                tag, comes_as = stack.pop()
+                places[tag].pop()
+                yield "close", comes_as, True
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -70,7 +114,7 @@ def elements(page: str) -> Iterator[tuple[str, str, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and "p" not in stack:
+            if tag == "p" and not places.get("p"):
                 yield "open", "p", True
                 yield "close", "p", True
             elif tag == "br":
@@ -87,23 +131,39 @@ def elements(page: str) -> Iterator[tuple[str, str, bool]]:
             while before != len(stack):
                 before = len(stack)
                 yield from close(*inner)
-        shown = not (m[3] and _NOT_SHOWN.search(m[3]))
+        has = attributes(m[3]) if m[3] else {}
+        shown = not _not_shown(has)
         if tag in VOID:
             if shown:
                 yield "open", tag, True
             continue
+        drawn = bool(places.get("svg"))
+        if (drawn or places.get("math") or tag in ("svg", "math")) and m[3].rstrip().endswith("/"):  # closed at once
+            continue
+        comes_as = "div" if tag == "text" and drawn else tag
+        if tag == "select":
+            yield from close(frozenset(("select",)), frozenset())
+            size = has.get("size", "").strip()
+            picked, option = (None if "multiple" in has or (size.isdecimal() and int(size[:9]) > 1) else _picked(page, at)), 0
+        elif tag == "option" and places.get("select"):
+            if picked is None:
+                comes_as = "div"
+            else:
+                shown = shown and option == picked
+            option += 1
         if len(stack) >= 512 and tag not in RAW:  # deeper elements have no layout of their own
             continue
-        yield "open", tag, shown
+        yield "open", comes_as, shown
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             body, at = page[at : end.start() if end else len(page)], end.end() if end else len(page)
             yield "text", body, True
             yield "close", tag, True
         else:
-            stack.append(tag)
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, comes_as))
     while stack:
-        yield "close", stack.pop(), True
+        yield "close", stack.pop()[1], True
 
 
 class _Flow:

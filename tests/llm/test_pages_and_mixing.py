@@ -74,6 +74,25 @@ def test_html_layout(page, text):
     assert html_text.rendered(page).strip() == text.strip()
 
 
+SHOWN = [
+    ('<p class="col hidden md:block">a</p><p title="the hidden valley">b</p><p style="overflow: hidden !important">c</p>', "a\n\nb\n\nc"),
+    ("<a data-style='display:none' href=x?hidden>a</a><b type=hidden>b</b>", "ab"),
+    ("a<p style='display:none'>x</p><p style=display:none>x</p><p style=\"visibility: HIDDEN\">x</p><p HIDDEN=''>x</p>", "a"),
+    ("<p style='display:none; display: block'>a</p><p style='display:none !important; display:block'>x</p>", "a"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+    ("a<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text>b</text><text>c</text></svg>d", "a\nb\nc\nd"),
+    ("<svg><defs/><text>b</text></svg>", "b"),
+    ("in <select><option>a<option selected>b<option>c</select> now", "in b now"),
+    ("<select><option disabled>a</option><option>b</option></select>", "b"),
+    ("x<select multiple><option>a</option><option>b</option></select>y", "x\na\nb\ny"),
+]
+
+
+@pytest.mark.parametrize("page,text", SHOWN)
+def test_html_shows_what_a_browser_shows(page, text):
+    assert html_text.rendered(page).strip() == text
+
+
 class Plain(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
