@@ -36,6 +36,8 @@ IMPLIED = {
     "option": (_w("option"), _w("select")),
     "body": (_w("head"), _w("html")),
 }
+#: Levels of lists that indent; deeper items are shown as far in.
+DENT = 512
 SCOPES = _w("td th caption table button object template html body")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+|[^>]*+)>|<[!?/][^>]*+>", re.S)
@@ -151,8 +153,6 @@ def elements(page: str) -> Iterator[tuple[str, str, bool]]:
             else:
                 shown = shown and option == picked
             option += 1
-        if len(stack) >= 512 and tag not in RAW:  # deeper elements have no layout of their own
-            continue
         yield "open", comes_as, shown
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -222,7 +222,7 @@ def rendered(page: str) -> str:
                 continue
             s = _BLANKS.sub(" ", what)
             if s.strip(" ") and not flow.line and lists:
-                flow.text(s, "  " * (len(lists) - 1) + (marker or "  "))
+                flow.text(s, "  " * min(len(lists) - 1, DENT) + (marker or "  "))
                 marker = ""
             else:
                 flow.text(s, "")

@@ -93,6 +93,19 @@ def test_html_shows_what_a_browser_shows(page, text):
     assert html_text.rendered(page).strip() == text
 
 
+DEEP = [
+    ("<b>" * 2000 + "<table><tr><td>a</td><td>b</td></tr><tr><td>long</td><td>c</td></tr></table>", "a     b\nlong  c"),
+    ("<span>" * 2000 + "x<div hidden>no</div>y", "xy"),
+    ("<div hidden>" + "<i>" * 600 + "<div>no</div>no" + "</i>" * 600 + "</div>yes", "yes"),
+    ("<div>" * 50_000 + "a<ul><li>b<li>c</ul>", "a\n\n- b\n- c"),
+]
+
+
+@pytest.mark.parametrize("page,text", DEEP)
+def test_html_at_any_depth(page, text):
+    assert html_text.rendered(page).strip() == text
+
+
 class Plain(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
