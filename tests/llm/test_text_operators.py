@@ -253,6 +253,18 @@ def test_pii(spark):
     assert red == "to <email> or <ip>"
 
 
+def test_pii_adds_national_numbers_and_written_addresses(spark):
+    real = ["call 555-123-4567 now", "Tel. (0301) 234567, or fax: 030 1234567", "ask ann.b (at) mail.example.org today", "write bob[at]host.de."]
+    plain = ["order 555-123-4567 shipped", "in 1999 2000 2001 2002", "meet (at) noon", "we met (at) home", "account 12345678", "ids 0301 234567 seen", "call it off after 1234567 tries"]
+    texts = [f"{t} {i}" for i in range(40) for t in real + plain * 3]
+    found = pii.spans(docs(spark, texts), ["doc_id"]).collect()
+    want = {real[0]: {"555-123-4567"}, real[1]: {"0301) 234567", "030 1234567"}, real[2]: {"ann.b (at) mail.example.org"}, real[3]: {"bob[at]host.de."}}
+    for r in found:
+        t = texts[r.doc_id].rpartition(" ")[0]
+        got = {s.match for s in r.added}
+        assert got == want.get(t, set()) or (t == real[1] and len(got) == 2), (texts[r.doc_id], got)
+
+
 def test_boosting_separates():
     import numpy as np
 
