@@ -49,7 +49,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sharding_by_slots(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and its place in it."""
-    return sharding.sharded(docs, ["doc_id"], shards=24)
+    return sharding.sharded(docs, ["doc_id"], shards=24, folder=sharding.map_folder(spark, "pipeline", sf_dir))
 
 
 STAGES = [

@@ -47,7 +47,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sharding.sharded(docs.select("doc_id", "text"), ["doc_id"], shards=24)
+    out = sharding.sharded(docs.select("doc_id", "text"), ["doc_id"], shards=24, folder=sharding.map_folder(spark, "documents", sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard")
 
 

@@ -4,17 +4,25 @@ A record's key hashes to one of SLOTS slots and stays there for good.  The bytes
 each slot are summed, and a map from slots to shards deals the slots out so that
 shards come near equal bytes.  Rebalancing edits the map under a new version: only
 the slots it moves change shard.  The map has SLOTS rows whatever the corpus, so the
-driver edits it.
+driver edits it.  Versions are stored in a folder and only ever added to; a run takes
+the latest one and adds another where shards were added or removed, or bytes have
+become uneven.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridlark.llm.stores import shared_dir
+
 SLOTS = 4096
+#: How far the fullest shard may be over the mean before slots move.
+UNEVEN = 1.05
 
 
 def slot_of(*keys: Column, slots: int = SLOTS) -> Column:
@@ -58,14 +66,79 @@ def grown_map(current: list[int], sizes: dict[int, tuple[int, int]], shards: int
             load[shards] += size
 
 
-def map_rows(spark, versions: list[list[int]]) -> DataFrame:
+def edited_map(current: list[int], sizes: dict[int, tuple[int, int]], shards: int) -> list[int]:
+    """The map for this many shards: slots of removed shards are dealt out, added shards fill up, and while a shard is more than UNEVEN of the mean, slots move from the fullest to the emptiest. No other slots move."""
+    out = list(current)
+    for k in range(max(current) + 1, shards):
+        out = grown_map(out, sizes, k)
+    weight = lambda slot: sizes.get(slot, (0, 0))[0]
+    load, of = [0] * shards, [[] for _ in range(shards)]
+    for slot, shard in enumerate(out):
+        if shard < shards:
+            load[shard] += weight(slot)
+            of[shard].append(slot)
+    for slot in sorted((s for s, k in enumerate(out) if k >= shards), key=lambda s: (-weight(s), s)):
+        shard = min(range(shards), key=lambda k: (load[k], len(of[k]), k))
+        out[slot] = shard
+        load[shard] += weight(slot)
+        of[shard].append(slot)
+    while shards > 1 and max(load) > UNEVEN * sum(load) / shards:
+        full, empty = max(range(shards), key=lambda k: (load[k], -k)), min(range(shards), key=lambda k: (load[k], k))
+        # the largest slot that leaves both at or under half of what they differ by, else the smallest that helps at all
+        fits = [s for s in of[full] if 0 < weight(s) < load[full] - load[empty]]
+        if not fits:
+            break
+        half = (load[full] - load[empty]) / 2
+        slot = max((s for s in fits if weight(s) <= half), key=lambda s: (weight(s), -s), default=None)
+        slot = min(fits, key=lambda s: (weight(s), s)) if slot is None else slot
+        of[full].remove(slot)
+        of[empty].append(slot)
+        out[slot] = empty
+        load[full] -= weight(slot)
+        load[empty] += weight(slot)
+    return out
+
+
+def map_rows(spark, versions: list[list[int]], first: int = 1) -> DataFrame:
     """The stored form of the map: version, slot, shard."""
-    return spark.createDataFrame([(v, s, k) for v, m in enumerate(versions, 1) for s, k in enumerate(m)], "version int, slot int, shard int")
+    return spark.createDataFrame([(v, s, k) for v, m in enumerate(versions, first) for s, k in enumerate(m)], "version int, slot int, shard int")
+
+
+def map_folder(spark: SparkSession, name: str, source: str) -> str:
+    """Where the shared folder holds the map of a table of this source."""
+    return f"{shared_dir(spark)}/slot-map-{name}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
+
+
+def stored_map(spark: SparkSession, folder: str, slots: int = SLOTS) -> tuple[int, list[int] | None]:
+    """The number of the latest whole version in the folder and its map; (0, None) if there is none."""
+    try:
+        rows = spark.read.schema("version int, slot int, shard int").parquet(f"{folder}/*")
+        whole = rows.groupBy("version").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.countDistinct("slot").alias("d")).filter("n = d and n = top + 1").agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return 0, None
+    if whole is None:
+        return 0, None
+    found = {r.slot: r.shard for r in rows.filter(F.col("version") == whole).collect()}
+    if len(found) != slots:
+        raise ValueError(f"the stored map has {len(found)} slots, not {slots}: slots are fixed")
+    return whole, [found[s] for s in range(slots)]
+
+
+def current_map(spark: SparkSession, folder: str, sizes: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS) -> list[int]:
+    """The latest stored map, edited for these sizes and shards; what is new is stored as the next version. Without bytes nothing is stored."""
+    version, before = stored_map(spark, folder, slots)
+    now = first_map(sizes, shards, slots) if before is None else edited_map(before, sizes, shards)
+    if now != before and sizes:
+        map_rows(spark, [now], version + 1).coalesce(1).write.mode("overwrite").parquet(f"{folder}/v{version + 1}")
+    return now
 
 
-def sharded(rows: DataFrame, keys: list[str], text_col: str = "text", shards: int = 24, slots: int = SLOTS) -> DataFrame:
+def sharded(rows: DataFrame, keys: list[str], text_col: str = "text", shards: int = 24, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """Every row with size, text_crc32, virtual_slot, shard, slot (its place in the shard, from 0, without gaps) and next_shard (with one more shard).
 
+    With a folder the map stored there is taken, and edited under a new version where it has to be; without one it is made anew.
     The law is `bytes`: sums of size are near equal.  A null text has no bytes; a null
     key hashes like any value.  Rows of one key share a slot, so a key that holds more
     than a shard's part of the bytes cannot be split: give further key columns then.
@@ -75,7 +148,7 @@ def sharded(rows: DataFrame, keys: list[str], text_col: str = "text", shards: in
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = rows.withColumns({"size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(text.cast("binary")), "virtual_slot": slot_of(*keys, slots=slots)})
     sizes = slot_sizes(base.select("virtual_slot", "size"), slots)
-    first = first_map(sizes, shards, slots)
+    first = first_map(sizes, shards, slots) if folder is None else current_map(rows.sparkSession, folder, sizes, shards, slots)
     second = grown_map(first, sizes, shards)
     before, ahead = [0] * slots, [0] * shards
     for slot, shard in enumerate(first):

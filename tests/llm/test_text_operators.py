@@ -222,6 +222,30 @@ def test_maps_balance_and_move_little():
     assert abs(sum(sizes[s][0] for s in range(400) if second[s] == 7) - total / 8) < 1000
 
 
+def test_stored_map_moves_only_what_it_must(spark, tmp_path):
+    folder = str(tmp_path / "map")
+    run = lambda texts, shards: {r.doc_id: (r.virtual_slot, r.shard) for r in sharding.sharded(docs(spark, texts), ["doc_id"], shards=shards, slots=512, folder=folder).collect()}
+    versions = lambda: sharding.stored_map(spark, folder, 512)
+    assert run([], 4) == {} and versions() == (0, None)
+    texts = ["x" * (i % 50) for i in range(2000)]
+    first = run(texts, 4)
+    assert versions()[0] == 1 and run(texts, 4) == first and versions()[0] == 1
+    same = run(texts + ["y"], 4)
+    assert all(same[d] == x for d, x in first.items()) and versions()[0] == 1
+    heavy = first[0][1]  # all new bytes go to one shard
+    big = [t + "z" * 300 if first[i][1] == heavy else t for i, t in enumerate(texts)]
+    moved = run(big, 4)
+    assert versions()[0] == 2 and all(first[d][1] == heavy for d in first if moved[d] != first[d])
+    load = [sum(len(big[d]) + 8 for d in moved if moved[d][1] == k) for k in range(4)]
+    assert max(load) <= 1.1 * sum(load) / 4
+    grown = run(big, 5)
+    assert versions()[0] == 3 and {k for d, (_, k) in grown.items() if grown[d] != moved[d]} == {4}
+    fewer = run(big, 4)
+    assert versions()[0] == 4 and {k for _, k in fewer.values()} <= set(range(4))
+    with pytest.raises(ValueError):
+        sharding.stored_map(spark, folder, 32)
+
+
 def pii_brute(t):
     out = []
     luhn = lambda d: sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
