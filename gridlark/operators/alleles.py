@@ -147,7 +147,7 @@ def aligned(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def assembled(reads: DataFrame, keys: list[str], k: int = 5, least: int = 2) -> DataFrame:
-    """Contigs of each region from its reads' k-mers: from the most frequent k-mer, extended both ways by the most frequent next one seen `least` times, never twice by the same.
+    """Contigs of each region from its reads' k-mers: from the most frequent k-mer, extended both ways by the most frequent next one seen `least` times, never twice by the same; then further ones from what is left, until each k-mer is in one contig.
 
     K-mers are counted by Spark first; a region's task gets one row per distinct k-mer.
     """
@@ -156,19 +156,25 @@ def assembled(reads: DataFrame, keys: list[str], k: int = 5, least: int = 2) ->
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         n = dict(zip(pdf["kmer"], pdf["n"]))
-        seed = min(n, key=lambda w: (-n[w], w))
         letters = sorted({c for w in n for c in w})
-        contig, used = seed, {seed}
-        for right in (True, False):
-            while True:
-                ends = [contig[-(k - 1) :] + c if right else c + contig[: k - 1] for c in letters]
-                ends = [w for w in ends if w in n and w not in used]
-                if not ends:
-                    break
-                w = min(ends, key=lambda w: (-n[w], w))
-                used.add(w)
-                contig = contig + w[-1] if right else w[0] + contig
-        return pd.DataFrame([[*pdf.iloc[0][keys], contig, len(used), int(n[seed])]], columns=[*keys, "contig", "kmers", "seed_count"])
+        used: set[str] = set()
+        out = []
+        for seed in sorted(n, key=lambda w: (-n[w], w)):
+            if seed in used:
+                continue
+            contig, before = seed, len(used)
+            used.add(seed)
+            for right in (True, False):
+                while True:
+                    ends = [contig[-(k - 1) :] + c if right else c + contig[: k - 1] for c in letters]
+                    ends = [w for w in ends if w in n and w not in used]
+                    if not ends:
+                        break
+                    w = min(ends, key=lambda w: (-n[w], w))
+                    used.add(w)
+                    contig = contig + w[-1] if right else w[0] + contig
+            out.append([*pdf.iloc[0][keys], contig, len(used) - before, int(n[seed])])
+        return pd.DataFrame(out, columns=[*keys, "contig", "kmers", "seed_count"])
 
     types = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
     return counts.groupBy(*keys).applyInPandas(grow, ", ".join([f"`{c}` {types[c]}" for c in keys] + ["contig string, kmers long, seed_count long"]))

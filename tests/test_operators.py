@@ -240,6 +240,16 @@ def test_assembly_finds_the_sequence(spark):
     assert out.contig == whole
 
 
+def test_assembly_uses_every_kmer(spark):
+    from gridlark.operators.alleles import assembled
+
+    wholes = ["ACGTTGCAAGGCTTACC", "GGGATTTCTCTAGAAAT"]
+    reads = [("r", w[i : i + 9]) for w in wholes for i in range(len(w) - 8)] * 3
+    out = assembled(spark.createDataFrame(reads, "k string, seq string"), ["k"], k=6).collect()
+    assert sorted(r.contig for r in out) == sorted(wholes)
+    assert sum(r.kmers for r in out) == len({w[i : i + 6] for w in wholes for i in range(len(w) - 5)})
+
+
 def test_orthogonal_groups_keep_ploidy(spark):
     from gridlark.operators.alleles import orthogonal_groups
 
