@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.stores import stored
-
+from gridlark.llm.stores import Scratch
 
 PART_LINKS = 200_000
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Scratch | None = None) -> DataFrame:
     """(node, component) for the nodes of links (u, v): component is the smallest node reachable.
 
     Each round points every larger neighbour of a node to its smallest one, then
     each node to its smallest neighbour; the links shrink to stars in a logarithmic
     number of rounds.  Rows with a null end, loops and repeats are ignored.  A node's
     links never meet in one row, and joins on a node of many links can be split.
+    With `work` the tables, the result's too, are its owner's to drop.
     """
+    stored = (work or Scratch(links.sparkSession, "components")).stored
     edges = stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     # small tables are kept in few files: one for every PART_LINKS links
     parts = edges.count() // PART_LINKS + 1

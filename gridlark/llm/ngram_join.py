@@ -32,7 +32,12 @@ joined through a chain of verified links.
 Only shingles that hold over FREQUENT / 2 of all shingle occurrences are counted,
 which bounds that table to 2 / FREQUENT entries whatever the corpus; they come
 last in the order.  Cells of shingles counted over LEAF times are dealt by (shingle,
-document), so no key meets in one task.  Shingles are compared by 64-bit hashes.
+document), so no key meets in one task.  Shingles are compared by 64-bit hashes.  A
+class is a 64-bit hash of its set; sets that share one by chance are told apart by a
+second hash, so that classes rest on 128 bits.
+
+Before texts or histograms are shuffled, Bloom filters of bounded size narrow them to
+those that pairs name; the exact join follows.  This is the one plan at every size.
 """
 
 from __future__ import annotations
@@ -43,8 +48,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark.llm import bloom
 from gridlark.llm.components import components
-from gridlark.llm.stores import stored
+from gridlark.llm.stores import Scratch, stored
 from gridlark.llm.text import U64, mix64, shingle_sets, string_chunks
 
 WORDS, PERCENT = 5, 80
@@ -54,8 +60,6 @@ FREQUENT = 4e-6
 LEAF = 64
 #: Document pivots that a larger cell takes first, and in later rounds; documents of a cell that meet in one task besides.
 FIRST_PIVOTS, PIVOTS, PART = 2, 512, 2048
-#: Ids up to which a table is narrowed by a broadcast before it is shuffled; beyond, it is shuffled whole.
-BROADCAST_IDS = 500_000
 #: The radius of a link, and the bins of a histogram (counts of 8 bits).
 RADIUS, BINS = 1 - PERCENT / 100, 1024
 #: Candidates of each pivot that are measured, best histograms first, before the rest.
@@ -70,18 +74,31 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x, type=pa.int64())
 
 
-def _class_hashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of each text's set, whatever the order of its elements."""
-    total = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(mix64(hashes), out=total[1:])
-    return mix64(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(U64))
+def _class_hashes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each text's set, whatever the order of its elements: the second tells sets apart that share the first."""
+    out = []
+    for salt in (0, 0x9E3779B97F4A7C15):
+        total = np.zeros(len(hashes) + 1, U64)
+        np.cumsum(mix64(hashes ^ U64(salt)), out=total[1:])
+        out.append(mix64(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(U64)))
+    return out[0], mix64(out[0] ^ mix64(out[1]))
+
+
+def _classes(hashes: np.ndarray, bounds: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The class of each text: the first hash, or where different sets share it the second."""
+    first, second = _class_hashes(hashes, bounds)
+    return np.where(np.isin(first, shared), second, first) if len(shared) else first
 
 
 def _survey(id_col: str, text_col: str, words: int):
-    """(0, document, class, size) of each document; (1, shingle, count, 0) of those frequent in a block of a task; (2, 0, occurrences, 0)."""
+    """(0, document, class, size, second hash, text hash) of each document; (1, shingle, count) of those frequent in a block of a task; (2, 0, occurrences)."""
 
-    def rows(kind: int, a, b, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a if isinstance(a, pa.Array) else _signed(a), _signed(b), _signed(n)], ["kind", "a", "b", "n"])
+    def rows(kind: int, a, b, n, second=None, text=None) -> pa.RecordBatch:
+        none = np.zeros(len(a), np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(a), kind, np.int32)), a if isinstance(a, pa.Array) else _signed(a), _signed(b), _signed(n), _signed(none if second is None else second), _signed(none) if text is None else text],
+            ["kind", "a", "b", "n", "second", "text_hash"],
+        )
 
     def flush(block: list[np.ndarray]):
         every = np.concatenate(block)
@@ -97,7 +114,8 @@ def _survey(id_col: str, text_col: str, words: int):
             ids = batch.column(0).cast(pa.int64())
             for lo, hi, data, offsets in string_chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets, words)
-                yield rows(0, ids.slice(lo, hi - lo), _class_hashes(hashes, bounds), np.diff(bounds))
+                first, second = _class_hashes(hashes, bounds)
+                yield rows(0, ids.slice(lo, hi - lo), first, np.diff(bounds), second, batch.column(2).slice(lo, hi - lo))
                 block.append(hashes)
                 held += len(hashes)
                 if held >= BLOCK:
@@ -109,7 +127,7 @@ def _survey(id_col: str, text_col: str, words: int):
     return run
 
 
-def _postings(words: int, percent: int, leaf: int, frequent):
+def _postings(words: int, percent: int, leaf: int, frequent, shared):
     """(deal, s, x, n, at, wide): x lies in the cell of s, the shingle at that place of its order; wide cells are dealt by s and x."""
 
     def run(batches):
@@ -118,7 +136,7 @@ def _postings(words: int, percent: int, leaf: int, frequent):
         for batch in batches:
             for _, _, data, offsets in string_chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets, words)
-                sizes, classes = np.diff(bounds), _class_hashes(hashes, bounds)
+                sizes, classes = np.diff(bounds), _classes(hashes, bounds, shared.value)
                 rank = np.zeros(len(hashes), np.int64)
                 if len(values) and len(hashes):
                     at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
@@ -222,29 +240,34 @@ def _cells(percent: int, leaf: int):
     return run
 
 
-def _described(words: int):
-    """Of rows (class, text): class, the text compressed, size, and the histogram of the set (none if a bin is over its 8 bits).
+def _described(words: int, shared, wanted):
+    """Of rows (id, text): class, the text compressed, size, and the histogram of the set (none if a bin is over its 8 bits).
 
-    Texts of another class, which share the id, and repeats are left out.
+    Rows that the filter of wanted classes and ids rules out, and repeats within the task, are left out.
     """
 
     def run(batches):
         seen: set[int] = set()
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in string_chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets, words)
-                sizes, classes = np.diff(bounds), batch.column(0).slice(lo, hi - lo).to_numpy()
-                own = _class_hashes(hashes, bounds).view(np.int64) == classes
-                for i, c in enumerate(classes.tolist()):
-                    own[i] = own[i] and not (c in seen or seen.add(c))
-                flat = np.repeat(np.arange(len(sizes)), sizes) * BINS + (hashes >> U64(40)).astype(np.int64) % BINS
-                bins = np.bincount(flat, minlength=BINS * len(sizes)).reshape(-1, BINS)
+                sizes, classes = np.diff(bounds), _classes(hashes, bounds, shared.value).view(np.int64)
+                own = bloom.may_hold(wanted.value, classes ^ ids[lo:hi]) & (sizes > 0)
+                for i in np.flatnonzero(own).tolist():
+                    c = int(classes[i])
+                    own[i] = not (c in seen or seen.add(c))
+                at = np.flatnonzero(own)
+                place = np.cumsum(own) - 1
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                mine = own[owner]
+                flat = place[owner[mine]] * BINS + (hashes[mine] >> U64(40)).astype(np.int64) % BINS
+                bins = np.bincount(flat, minlength=BINS * len(at)).reshape(-1, BINS)
                 out = [row.astype(np.uint8).tobytes() if row.max() < 256 else None for row in bins]
                 raw = data.tobytes()
-                packed = [pack.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-                rows = [batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary()), pa.array(sizes), pa.array(out, pa.binary())]
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(own)) for c in rows], ["class", "text", "n", "bins"])
+                packed = [pack.compress(raw[offsets[i] : offsets[i + 1]]) for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(classes[at]), pa.array(packed, pa.binary()), pa.array(sizes[at]), pa.array(out, pa.binary())], ["class", "text", "n", "bins"])
 
     return run
 
@@ -339,36 +362,46 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null component_id.
     Other columns of docs are ignored, whatever their names.
     """
+    return labelled(docs, id_col, text_col, words, percent, leaf).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+    """What jaccard_classes gives, with text_hash (xxhash64 of the text, a null one as empty) and label, which is one for each component even where ids repeat; null for an empty set."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    survey = stored(base.mapInArrow(_survey("doc_id", "text", words), "kind int, a long, b long, n long"), "survey")
-    every = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").alias("n_shingles"))
+    work = Scratch(spark, "ngram-join")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    survey = base.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_survey("doc_id", "text", words), "kind int, a long, b long, n long, second long, text_hash long")
+    survey = stored(survey, "survey")
     total = survey.filter("kind = 2").agg(F.sum("b")).first()[0] or 0
     often = survey.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).filter(F.col("c") >= max(2, FREQUENT / 2 * total))
     # at most 2 / FREQUENT entries, as their counts add up to `total` at most
     table = sorted((a % (1 << 64), c) for a, c in often.collect())
     frequent = spark.sparkContext.broadcast((np.array([a for a, _ in table], U64), np.array([c for _, c in table], np.int64)))
-    classes = stored(every.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("class_id")), "classes")
-
-    postings = base.mapInArrow(_postings(words, percent, leaf, frequent), "deal long, s long, x long, n int, at int, wide boolean")
+    # different sets of one first hash: n * n / 2 ** 65 of n classes, so none or a few
+    clash = [r[0] for r in survey.filter("kind = 0 and n > 0").groupBy("b").agg((F.min("second") < F.max("second")).alias("clash")).filter("clash").collect()]
+    shared = spark.sparkContext.broadcast(np.array([c % (1 << 64) for c in clash], U64))
+    own_class = F.when(F.col("b").isin(clash), F.col("second")).otherwise(F.col("b")) if clash else F.col("b")
+    every = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), own_class.alias("class"), F.col("n").alias("n_shingles"), "text_hash")
+    classes = work.stored(every.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("class_id")), "classes")
+
+    postings = base.mapInArrow(_postings(words, percent, leaf, frequent, shared), "deal long, s long, x long, n int, at int, wide boolean")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = postings.repartition(parts, "deal").sortWithinPartitions("wide", "s", "n", "x").select("s", "x", "n", "at", "wide")
-    cells = stored(cells.mapInArrow(_cells(percent, leaf), "kind int, x long, other long, n int, at int"), "cells")
+    cells = work.stored(cells.mapInArrow(_cells(percent, leaf), "kind int, x long, other long, n int, at int"), "cells")
     large = cells.filter("kind = 1").select(F.col("other").alias("s"), "x", "n", "at")
 
     # one text of each class that takes part, with its histogram
-    wanted = stored(cells.select("x").union(cells.filter("kind = 0").select("other")).distinct().withColumnRenamed("x", "class").join(classes, "class"), "wanted")
-    # few of them pick their texts before any text is shuffled
-    picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = base.join(picked, F.col("doc_id") == F.col("class_id")).select("class", "text")
-    texts = stored(texts.mapInArrow(_described(words), "class long, text binary, n long, bins binary"), "texts")
-    join = _Join(texts, words, percent, cells.count() // ROWS_A_FILE + 1)
+    taking = cells.select("x").union(cells.filter("kind = 0").select("other")).distinct().withColumnRenamed("x", "class").join(classes, "class")
+    wanted = bloom.built(work.stored(taking.select(F.col("class").bitwiseXOR(F.coalesce("class_id", F.lit(0)))), "wanted"))
+    texts = base.mapInArrow(_described(words, shared, wanted), "class long, text binary, n long, bins binary")
+    texts = work.stored(texts.repartition(parts, "class").dropDuplicates(["class"]), "texts")
+    join = _Join(work, texts, words, percent, cells.count() // ROWS_A_FILE + 1)
 
     pairs = cells.filter("kind = 0").select("x", F.col("other").alias("y"))
-    first = _first_pivots(large)
+    first = _first_pivots(large, work)
     # pivots of one family of cells are mostly the same: distinct pairs are few
     stars = large.join(first, "s").select("x", "n", "at", F.explode("pivots").alias("p")).filter((F.col("x") != F.col("p.x")) & _fits(F.col("n"), F.col("p.n"), F.col("at"), F.col("p.at"), percent))
-    near = stored(join.near(pairs.union(stars.select(F.least("x", "p.x"), F.greatest("x", "p.x")))), "near")
+    near = work.stored(join.near(pairs.union(stars.select(F.least("x", "p.x"), F.greatest("x", "p.x")))), "near")
     # each document's best partner first, then what no label connects yet
     ends = near.select("x", "y", "most").union(near.select("y", "x", "most"))
     best = ends.groupBy("x").agg(F.max(F.struct("most", F.xxhash64("y"), "y")).alias("b")).select(F.least("x", "b.y").alias("x"), F.greatest("x", "b.y").alias("y")).distinct()
@@ -380,32 +413,32 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = _large_cells(large, first, labels, tested, join)
 
     of_class = classes.join(labels, classes["class"] == labels["x"], "left").select("class", "class_id", F.coalesce("label", "class").alias("label"))
-    least = stored(of_class.groupBy("label").agg(F.min("class_id").alias("component")), "least")
-    of_class = stored(of_class.join(least, "label").select("class", "class_id", "component"), "components")
-    own = lambda c: F.when(F.col("n_shingles") > 0, F.col(c)).otherwise(F.col("doc_id"))
-    return every.join(of_class, "class", "left").select("doc_id", "n_shingles", own("component").alias("component_id"), own("class_id").alias("class_id"))
+    least = work.stored(of_class.groupBy("label").agg(F.min("class_id").alias("component")), "least")
+    of_class = stored(of_class.join(least, "label").select("class", "class_id", "component", "label"), "components")
+    work.drop()
+    has_set = F.col("n_shingles") > 0
+    own = lambda c: F.when(has_set, F.col(c)).otherwise(F.col("doc_id"))
+    return every.join(of_class, "class", "left").select("doc_id", "n_shingles", own("component").alias("component_id"), own("class_id").alias("class_id"), "text_hash", F.when(has_set, F.col("label")).alias("label"))
 
 
 class _Join:
     """Measures candidate pairs of classes and extends labels by the links found."""
 
-    def __init__(self, texts: DataFrame, words: int, percent: int, parts: int):
-        self.texts, self.words, self.percent, self.parts = texts, words, percent, parts
+    def __init__(self, work: Scratch, texts: DataFrame, words: int, percent: int, parts: int):
+        self.work, self.texts, self.words, self.percent, self.parts = work, texts, words, percent, parts
 
     def small(self, df: DataFrame, name: str) -> DataFrame:
         """A table of rows of a few numbers: a file for every ROWS_A_FILE rows of the cells."""
-        return stored(df.coalesce(self.parts), name)
+        return self.work.stored(df.coalesce(self.parts), name)
 
     def _needed(self, pairs: DataFrame, *columns: str) -> DataFrame:
-        """Columns of the classes that a stored table of pairs names; few of them are picked before any row is shuffled."""
-        ids = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "class")
-        ids = self.small(ids, "ids")
-        some = self.texts.select("class", *columns)
-        return some.join(F.broadcast(ids), "class", "left_semi") if ids.count() <= BROADCAST_IDS else some
+        """Columns of the classes that a stored table of pairs names, and of a few others that pass the filter."""
+        ids = self.small(pairs.select("x").union(pairs.select("y")).distinct(), "ids")
+        return self.texts.select("class", *columns).filter(bloom.passes(bloom.built(ids), F.col("class")))
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The distinct pairs whose histograms are near enough."""
-        pairs = stored(pairs.distinct().coalesce(8 * self.parts), "pairs")
+        pairs = self.work.stored(pairs.distinct().coalesce(8 * self.parts), "pairs")
         t = self._needed(pairs, "n", "bins")
         side = lambda i: t.select(F.col("class").alias(i), F.col("n").alias(f"n_{i}"), F.col("bins").alias(f"bins_{i}"))
         binned = pairs.join(side("x"), "x").join(side("y"), "y")
@@ -417,7 +450,7 @@ class _Join:
         side = lambda i: t.select(F.col("class").alias(i), F.col("text").alias(f"text_{i}"))
         both = near.join(side("x"), "x").join(side("y"), "y")
         found = both.select("x", "y", "text_x", "text_y").mapInArrow(_measured(self.words), "x long, y long, common long, united long")
-        return stored(found.select("x", "y", (1 - F.col("common") / F.col("united")).alias("d"), (100 * F.col("common") >= self.percent * F.col("united")).alias("linked")), "measured")
+        return self.work.stored(found.select("x", "y", (1 - F.col("common") / F.col("united")).alias("d"), (100 * F.col("common") >= self.percent * F.col("united")).alias("linked")), "measured")
 
     def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """The pairs whose ends have different labels."""
@@ -439,24 +472,24 @@ class _Join:
 
     def extended(self, labels: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Labels (x, label) after the links among these near pairs, and the measured pairs. Only links between labels go into the contraction."""
-        tested = self.measured(stored(pairs.select("x", "y").coalesce(8 * self.parts), "near"))
+        tested = self.measured(self.work.stored(pairs.select("x", "y").coalesce(8 * self.parts), "near"))
         links = tested.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
         if labels is None:
-            return self.small(components(links).select(F.col("node").alias("x"), F.col("component").alias("label")), "labels"), tested
+            return self.small(components(links, self.work).select(F.col("node").alias("x"), F.col("component").alias("label")), "labels"), tested
         for end in ("u", "v"):
             at = labels.select(F.col("x").alias(end), F.col("label").alias(f"l{end}"))
             links = links.join(at, end, "left").withColumn(end, F.coalesce(f"l{end}", end)).drop(f"l{end}")
-        moved = self.small(components(links), "moved")
+        moved = self.small(components(links, self.work), "moved")
         new = labels.join(moved.select(F.col("node").alias("label"), "component"), "label", "left").select("x", F.coalesce("component", "label").alias("label"))
         fresh = moved.join(labels.select(F.col("x").alias("node")), "node", "left_anti").select(F.col("node").alias("x"), F.col("component").alias("label"))
         return self.small(new.union(fresh), "labels"), tested
 
 
-def _first_pivots(large: DataFrame) -> DataFrame:
+def _first_pivots(large: DataFrame, work: Scratch) -> DataFrame:
     """(s, pivots): the documents of each larger cell that are lowest by some hashes."""
     drawn = [F.min(F.struct(F.xxhash64("x", F.lit(-i)).alias("h"), "x", "n", "at")).alias(f"p{i}") for i in range(FIRST_PIVOTS)]
     one = [F.struct(f"p{i}.x", f"p{i}.n", f"p{i}.at") for i in range(FIRST_PIVOTS)]
-    return stored(large.groupBy("s").agg(*drawn).select("s", F.array_distinct(F.array(*one)).alias("pivots")), "first")
+    return work.stored(large.groupBy("s").agg(*drawn).select("s", F.array_distinct(F.array(*one)).alias("pivots")), "first")
 
 
 def _large_cells(large: DataFrame, first: DataFrame, labels: DataFrame, tested: DataFrame, join: _Join) -> DataFrame:

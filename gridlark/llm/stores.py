@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (local tests) a new one."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a new one; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -19,6 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and later joins exchange it anew, so that skewed keys can be split."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one job in a folder of their own, which goes when the job is done."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        return _written(df, f"{self.path}/{self.tables:04d}-{name}")
+
+    def drop(self) -> None:
+        """Deletes the tables; nothing that is yet to be read may rest on them."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
