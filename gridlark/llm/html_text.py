@@ -7,8 +7,10 @@ marks list items, and pads table cells so that columns line up.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,13 +38,16 @@ IMPLIED = {
     "option": (_w("option"), _w("select")),
     "body": (_w("head"), _w("html")),
 }
-#: Levels of lists that indent; deeper items are shown as far in.
-DENT = 512
+#: Levels of lists that indent; deeper items are shown as far in.  Cells up to so wide line up; wider ones are shown whole and push on.  Columns a cell may span, cells that may reach into further rows at once, and characters a line is padded to: beyond, text stays and columns shift.
+DENT, WIDE, SPAN, REACHING, PADDED = 512, 120, 1000, 100, 1000
 SCOPES = _w("td th caption table button object template html body")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+|[^>]*+)>|<[!?/][^>]*+>", re.S)
+#: A tag up to its end; quotes count after an equals sign only, as in browsers, and an unclosed one is a plain character.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)>")
+_TAG_OPENS, _NOT_TEXT = re.compile(r"</?[a-zA-Z]"), re.compile(r"<[!?]|</[^a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_BRACE, _SIMPLE = re.compile(r"[{}]"), re.compile(r"[.#]?[A-Za-z][\w-]*")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -54,24 +59,93 @@ def attributes(said: str | None) -> dict[str, str]:
     return out
 
 
-def _not_shown(has: dict[str, str]) -> bool:
-    """Whether an element's attributes hide it: the name hidden, or the last display or visibility of its style that is important, or the last."""
-    if "hidden" in has:
-        return True
-    style: dict[str, tuple[bool, str]] = {}
-    for part in _COMMENT.sub("", has.get("style", "")).split(";"):
+def _next(page: str, at: int) -> tuple[str, re.Match | None, int]:
+    """The text from `at` to the next markup, the tag if it is one, and where to read on.
+
+    Every character is passed once: a tag without an end swallows the rest, as in browsers,
+    or where no tag can end any more the rest is text.
+    """
+    start = at
+    while (i := page.find("<", at)) >= 0:
+        if _NOT_TEXT.match(page, i):
+            dashes = page.startswith("<!--", i)
+            end = page.find("-->" if dashes else ">", i + 2)
+            return page[start:i], None, end + (3 if dashes else 1) if end >= 0 else len(page)
+        if _TAG_OPENS.match(page, i):
+            tag = _TAG.match(page, i)
+            if tag or page.find(">", i) >= 0:
+                return page[start:i], tag, tag.end() if tag else len(page)
+            break
+        at = i + 1
+    return page[start:], None, len(page)
+
+
+def _declared(said: str) -> dict[str, tuple[bool, str]]:
+    """Properties of a style: whether important, and the value; an important one stays, else the last counts."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub("", said).split(";"):
         name, _, value = part.lower().partition(":")
         value, mark, _ = value.partition("!")
-        if bool(mark) >= style.get(name.strip(), (False, ""))[0]:
-            style[name.strip()] = (bool(mark), value.strip())
+        if bool(mark) >= out.get(name.strip(), (False, ""))[0]:
+            out[name.strip()] = (bool(mark), value.strip())
+    return out
+
+
+class _Sheet:
+    """Rules of style elements so far, of simple selectors (tag, .class, #id) and without at-rules; an id outweighs a class, a class a tag."""
+
+    def __init__(self):
+        self.of: dict[str, list[tuple[int, int, dict]]] = {}
+        self.n = 0
+
+    def read(self, text: str) -> None:
+        text, at = _COMMENT.sub("", text), 0
+        while (i := text.find("{", at)) >= 0:
+            said, depth, j = text[at:i].strip(), 1, i + 1
+            for m in _BRACE.finditer(text, i + 1):
+                depth += 1 if m[0] == "{" else -1
+                j = m.end()
+                if not depth:
+                    break
+            else:
+                j = len(text)
+            at = j
+            if said.startswith("@"):
+                continue
+            self.n += 1
+            declared = {k: v for k, v in _declared(text[i + 1 : j].rstrip("}")).items() if k in ("display", "visibility")}
+            for one in said.split(",") if declared else ():
+                one = one.strip()
+                if _SIMPLE.fullmatch(one):
+                    self.of.setdefault(one if one[0] in ".#" else one.lower(), []).append(({"#": 2, ".": 1}.get(one[0], 0), self.n, declared))
+
+    def style(self, tag: str, has: dict[str, str]) -> dict[str, tuple[bool, str]]:
+        if not self.of:
+            return {}
+        names = [tag, *("." + c for c in has.get("class", "").split()), *(["#" + has["id"]] if "id" in has else [])]
+        out: dict[str, tuple[bool, str]] = {}
+        for _, _, declared in sorted((r for n in names for r in self.of.get(n, ())), key=lambda r: r[:2]):
+            out |= {k: v for k, v in declared.items() if v[0] >= out.get(k, (False, ""))[0]}
+        return out
+
+
+def _not_shown(has: dict[str, str], style: dict[str, tuple[bool, str]]) -> bool:
+    """Whether an element's attributes or rules hide it: the name hidden, or the display or visibility that counts, its own style before the rules."""
+    if "hidden" in has and "display" not in style:
+        return True
+    if "style" in has:
+        style = style | {k: v for k, v in _declared(has["style"]).items() if v[0] >= style.get(k, (False, ""))[0]}
     return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] in ("hidden", "collapse")
 
 
 def _picked(page: str, at: int) -> int:
     """The number of the option that a closed select, whose content starts at `at`, shows: the last selected one, else the first that is not disabled; -1 if none."""
     n, first, chosen = 0, -1, -1
-    for m in _TOKEN.finditer(page, at):
-        tag = (m[2] or "").lower()
+    while at < len(page):
+        _, m, at = _next(page, at)
+        if m is None:
+            continue
+        tag = m[2].lower()
         if tag in ("select", "input", "textarea"):
             break
         if tag == "option" and not m[1]:
@@ -82,15 +156,16 @@ def _picked(page: str, at: int) -> int:
     return chosen if chosen >= 0 else first
 
 
-def elements(page: str) -> Iterator[tuple[str, str, bool]]:
-    """("open", tag, shown), ("close", tag, True) and ("text", text, True), nested: the tree in document order.
+def elements(page: str) -> Iterator[tuple[str, str, bool, dict[str, str]]]:
+    """("open", tag, shown, attributes), ("close", tag, True, {}) and ("text", text, True, {}), nested: the tree in document order.
 
     Options of a list box and texts of a drawing come as div, each on lines of its own.
+    Rules of a style element count from there on.
     """
     stack: list[tuple[str, str]] = []  # open elements: their tag, and what they come as
     places: dict[str, list[int]] = {}  # of each tag, where in the stack it is open
     picked, option = None, 0  # of the select that is open: the option shown (None: all), and options so far
-    at = 0
+    at, sheet = 0, _Sheet()
 
     def innermost(tags: frozenset[str]) -> int:
         return max((places[t][-1] for t in tags if places.get(t)), default=-1)
@@ -102,25 +177,21 @@ def elements(page: str) -> Iterator[tuple[str, str, bool]]:
             while len(stack) > i:
                 tag, comes_as = stack.pop()
                 places[tag].pop()
-                yield "close", comes_as, True
+                yield "close", comes_as, True, {}
 
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        text, m, at = _next(page, at)
+        if text:
+            yield "text", html.unescape(text), True, {}
         if m is None:
-            yield "text", html.unescape(page[at:]), True
-            break
-        if m.start() > at:
-            yield "text", html.unescape(page[at : m.start()]), True
-        at = m.end()
-        if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
             if tag == "p" and not places.get("p"):
-                yield "open", "p", True
-                yield "close", "p", True
+                yield "open", "p", True, {}
+                yield "close", "p", True, {}
             elif tag == "br":
-                yield "open", "br", True
+                yield "open", "br", True, {}
             else:
                 yield from close(frozenset((tag,)), frozenset() if tag in ("table", "body", "html") else frozenset(("table",)) if tag in ("ul", "ol", "p", "div", "li") else frozenset())
             continue
@@ -134,10 +205,10 @@ def elements(page: str) -> Iterator[tuple[str, str, bool]]:
                 before = len(stack)
                 yield from close(*inner)
         has = attributes(m[3]) if m[3] else {}
-        shown = not _not_shown(has)
+        shown = not _not_shown(has, sheet.style(tag, has))
         if tag in VOID:
             if shown:
-                yield "open", tag, True
+                yield "open", tag, True, has
             continue
         drawn = bool(places.get("svg"))
         if (drawn or places.get("math") or tag in ("svg", "math")) and m[3].rstrip().endswith("/"):  # closed at once
@@ -153,17 +224,19 @@ def elements(page: str) -> Iterator[tuple[str, str, bool]]:
             else:
                 shown = shown and option == picked
             option += 1
-        yield "open", comes_as, shown
+        yield "open", comes_as, shown, has
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             body, at = page[at : end.start() if end else len(page)], end.end() if end else len(page)
-            yield "text", body, True
-            yield "close", tag, True
+            if tag == "style" and has.get("type", "text/css").strip().lower() in ("", "text/css"):
+                sheet.read(body)
+            yield "text", html.unescape(body) if tag in ("title", "textarea") else body, True, {}
+            yield "close", tag, True, {}
         else:
             places.setdefault(tag, []).append(len(stack))
             stack.append((tag, comes_as))
     while stack:
-        yield "close", stack.pop()[1], True
+        yield "close", stack.pop()[1], True, {}
 
 
 class _Flow:
@@ -195,20 +268,67 @@ class _Flow:
         self.blank |= blank
 
 
-def _table(rows: list[list[str]]) -> list[str]:
-    rows = [r for r in rows if any(r)]
-    widths = [max(len(r[c]) for r in rows if c < len(r)) for c in range(max(map(len, rows), default=0))]
-    return ["  ".join(cell.ljust(w) for cell, w in zip(r, widths)).rstrip(" ") for r in rows]
+def _width(s: str) -> int:
+    """Columns that a text takes where wide characters take two and combining ones none."""
+    return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def _span(has: dict[str, str], name: str, most: int) -> int:
+    said = has.get(name, "").strip()
+    return max(1, min(int(said[:6]), most)) if said.isascii() and said.isdecimal() else 1
+
+
+def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of rows of cells (text, columns, rows spanned): each cell starts in its column."""
+    placed: list[list[tuple[int, int, str, int]]] = []  # of each row: column, columns, text, width
+    reaching: list[tuple[int, int, int]] = []  # of cells that reach into further rows: column, columns, last row
+    for i, row in enumerate(rows):
+        reaching = sorted(r for r in reaching if r[2] >= i)
+        out, c, k = [], 0, 0
+        for text, across, down in row:
+            while k < len(reaching) and reaching[k][0] <= c:
+                c = max(c, reaching[k][0] + reaching[k][1])
+                k += 1
+            out.append((c, across, text, _width(text)))
+            if down > 1 and len(reaching) < REACHING:
+                reaching.append((c, across, i + down - 1))
+            c += across
+        placed.append(out)
+    widths: dict[int, int] = {}
+    for c, across, _, w in sorted((x for row in placed for x in row if x[2]), key=lambda x: x[1]):
+        # what a spanning cell needs more than its columns have goes to the last one
+        last = c + across - 1
+        have = sum(widths.get(k, 0) + 2 for k in range(c, last)) if across > 1 else 0
+        widths[last] = max(widths.get(last, 0), min(w, WIDE) - have)
+    columns = sorted(widths)
+    starts, at = {}, 0
+    for k in columns:
+        starts[k] = at
+        at += max(widths[k], 0) + 2
+    lines = []
+    for row in placed:
+        line, wide = [], 0
+        for c, across, text, w in row:
+            if not text:
+                continue
+            first = next((k for k in columns[bisect.bisect_left(columns, c) :]), c)
+            gap = max(min(starts.get(first, 0), PADDED) - wide, 2 if line else 0)
+            line.append(" " * gap + text)
+            wide += gap + w
+        if line:
+            lines.append("".join(line).rstrip(" "))
+    return lines
 
 
 def rendered(page: str) -> str:
     """The visible text of a page: lines, with a blank one between spaced blocks."""
     flows = [_Flow()]
-    tables: list[list[list[str]]] = []
+    tables: list[list[list[tuple[str, int, int]]]] = []
+    spans: list[tuple[int, int]] = []  # of the cells that are open
     lists: list[int] = []  # -1 in a bulleted list, else the last number
     hidden, pre, marker = 0, 0, ""
     shut: list[bool] = []  # for each open element, whether it hid its content
-    for kind, what, shown in elements(page):
+    for kind, what, shown, has in elements(page):
         flow = flows[-1]
         if kind == "text":
             if hidden:
@@ -258,6 +378,7 @@ def rendered(page: str) -> str:
                 tables[-1].append([])
             elif what in ("td", "th"):
                 flows.append(_Flow())
+                spans.append((_span(has, "colspan", SPAN), _span(has, "rowspan", 65534)))
                 if tables and not tables[-1]:
                     tables[-1].append([])
             continue
@@ -268,10 +389,11 @@ def rendered(page: str) -> str:
         if what in ("td", "th"):
             flow.end()
             cell = " ".join(x.strip() for x in flow.lines if x.strip())
+            across, down = spans.pop() if spans else (1, 1)
             if len(flows) > 1:
                 flows.pop()
             if tables and tables[-1]:
-                tables[-1][-1].append(cell)
+                tables[-1][-1].append((cell, across, down))
             else:
                 flows[-1].text(f" {cell} ", "")
             continue
@@ -295,8 +417,8 @@ def rendered(page: str) -> str:
 def page_text(pages: DataFrame, id_cols: list[str], html_col: str = "html") -> DataFrame:
     """id_cols and text of each row.
 
-    A null page has an empty text.  Broken markup is read as far as it goes and never
-    fails.  Repeated rows each give a row; an empty table gives none.  Other columns are ignored.
+    A null page has an empty text.  Broken markup is read as far as it goes, in time
+    that grows with the page, and never fails.  Repeated rows each give a row; an empty table gives none.  Other columns are ignored.
     """
     base = pages.select(*id_cols, F.col(html_col).cast("string"))
     n = len(id_cols)

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import time
 from html.parser import HTMLParser
 
 import numpy as np
@@ -229,3 +231,38 @@ def test_pipeline_stages(spark):
     empty = docs.filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, d).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<a", "<a ", '<a b=">"', "<a \"'>", "<!--", "</ ", "<td rowspan=9999>x", "<tr><td rowspan=9999 colspan=1000>x", "<select>", "<style>{", "<a b='", "<li>", "<svg>", "&amp"])
+def test_html_broken_markup_is_linear(unit):
+    began = time.perf_counter()
+    html_text.rendered(unit * (400_000 // len(unit)))
+    html_text.rendered("<table>" + unit * (100_000 // len(unit)))
+    assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td colspan=2>head</td><td>c</td></tr><tr><td rowspan=2>x</td><td>yyy</td><td>z</td></tr><tr><td>q</td><td>w</td></tr></table>", "head    c\nx  yyy  z\n   q    w"),
+        ("<table><tr><td>\u65e5\u672c</td><td>k</td></tr><tr><td>abcde</td><td>m</td></tr></table>", "\u65e5\u672c   k\nabcde  m"),
+        ("<style>@media print{.x{display:none}} .h, #z, em{display:none}</style><p class='h x'>gone</p><p class=x>here <em>not</em></p><p id=z style='display:block'>shown</p>", "here\n\nshown"),
+        ("a <b and c", "a <b and c"),
+        ("x < y <i>z</i>", "x < y z"),
+        ('<p class="x>lost</p><p>kept</p>', "lost\n\nkept"),
+        ("<p>a<!-- <p>b -->c</p><!-- open <p>d", "ac"),
+    ],
+)
+def test_html_spans_rules_and_stray_marks(page, text):
+    assert html_text.rendered(page) == text
+
+
+def test_html_table_columns_against_brute_force():
+    """Each cell of random tables without spans starts where the widest texts of the columns before it end, and two blanks."""
+    rng = random.Random(3)
+    for _ in range(200):
+        rows = [["".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 6))] for _ in range(rng.randrange(1, 6))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+        width = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows)))]
+        want = ["  ".join(c.ljust(width[k]) for k, c in enumerate(r)).rstrip() for r in rows]
+        assert html_text.rendered(page).split("\n") == want
