@@ -30,10 +30,11 @@ ORACLES = {
  often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1),
  hit AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM often, (SELECT unnest([0, 1, 2]) AS j) GROUP BY 1),
  lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
- m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
- FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN lines USING (doc_id)),
+ tops AS (SELECT doc_id, max(k) AS top FROM (SELECT doc_id, c, count(*) AS k FROM (SELECT doc_id, unnest(string_split(t, '')) AS c FROM d) GROUP BY 1, 2) GROUP BY 1),
+ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_lettered, len(list_distinct(w)) AS n_distinct, length(t) AS n_chars, coalesce(top, 0) AS n_top_char, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
+ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN tops USING (doc_id)),
  f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM f""",
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_lettered < 40 * n_words OR 100 * n_distinct < 5 * n_words OR 100 * n_top_char > 50 * n_chars OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM f""",
     "op8_benchmark_decontamination": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM_WORDS}) AS w FROM documents),
  b AS (SELECT item_id, w, least(13, CAST(len(w) AS BIGINT)) AS k FROM (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM_WORDS}) AS w FROM benchmark) WHERE len(w) > 0),
  bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, CAST(len(w) AS BIGINT) - k + 2)) AS i FROM b)),

@@ -2,10 +2,11 @@
 
 A rule rejects a document by one measure of its text.  Measures fall into groups
 that one pass over the words, the lines or the symbols yields; their cost differs
-by an order of magnitude.  The cost and the rejection rate of each rule are
-estimated on a sample, the rules are put in order of rejections per second, and a
-document is measured only until a rule rejects it.  The order changes how long the
-job takes, never a verdict: a document is kept if no rule rejects it.
+by an order of magnitude.  Each task estimates the cost and the rejection rate of
+each rule on its first SAMPLE_ROWS documents, which all rules measure; it then puts the
+rules in order of rejections per second, and measures each further document only until
+a rule rejects it.  So nothing is read twice and no sample travels.  The order changes
+how long the job takes, never a verdict: a document is kept if no rule rejects it.
 """
 
 from __future__ import annotations
@@ -17,18 +18,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gridlark.llm.text import SPACE_WORD, string_chunks, window_hashes, word_hashes, word_spans
+from gridlark.llm.text import SPACE_WORD, string_chunks, window_hashes, with_text, word_hashes, word_spans
 
-#: Rows on which costs and rejections are estimated, at most.
-SAMPLE_ROWS = 500
-#: Share of the documents that the sample is drawn from.
-SAMPLE_SHARE = 0.02
+#: Documents of each task on which costs and rejections are estimated.
+SAMPLE_ROWS = 256
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _LEADS = (np.arange(256) & 0xC0) != 0x80  # the first byte of a code point
 _NEWLINE = np.arange(256) == 0x0A
+_LETTER = (np.arange(256) >= 0x80) | (((np.arange(256) | 0x20) >= 0x61) & ((np.arange(256) | 0x20) <= 0x7A))
 
 
 class Texts:
@@ -107,12 +106,52 @@ def _measure_repeats(t: Texts) -> dict:
     return {"n_repeat_words": np.bincount(owner[hit], minlength=t.n)}
 
 
+def _measure_letters(t: Texts) -> dict:
+    """Words with a letter (A to Z or beyond ASCII)."""
+    starts, ends, first = t.words()
+    letters = np.zeros(len(t.data) + 1, np.int64)
+    np.cumsum(_LETTER[t.data], out=letters[1:])
+    lettered = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(letters[ends] > letters[starts], out=lettered[1:])
+    return {"n_lettered": lettered[first[1:]] - lettered[first[:-1]]}
+
+
+def _measure_variety(t: Texts) -> dict:
+    """Distinct words."""
+    starts, ends, first = t.words()
+    owner = np.repeat(np.arange(t.n), np.diff(first))
+    h = word_hashes(t.data, starts, ends)
+    order = np.lexsort((h, owner))
+    h, o = h[order], owner[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    return {"n_distinct": np.bincount(o[fresh], minlength=t.n)}
+
+
+def _measure_characters(t: Texts) -> dict:
+    """Code points, and how often the commonest one stands."""
+    leads = np.flatnonzero(_LEADS[t.data])
+    points = np.frombuffer(t.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    if len(points) != len(leads):  # not UTF-8: bytes count
+        leads, points = np.arange(len(t.data)), t.data.astype(np.int64)
+    owner = np.searchsorted(t.offsets, leads, "right") - 1
+    keys, counts = np.unique((owner << 21) | points, return_counts=True)
+    top = np.zeros(t.n, np.int64)
+    np.maximum.at(top, keys >> 21, counts)
+    return {"n_chars": np.bincount(owner, minlength=t.n), "n_top_char": top}
+
+
 GROUPS: dict[str, tuple[Callable[[Texts], dict], tuple[str, ...]]] = {
     "words": (_measure_words, ("n_words", "word_chars")),
     "symbols": (_measure_symbols, ("n_symbols",)),
     "lines": (_measure_lines, ("n_lines", "n_dup_lines")),
     "repeats": (_measure_repeats, ("n_repeat_words",)),
+    "letters": (_measure_letters, ("n_lettered",)),
+    "variety": (_measure_variety, ("n_distinct",)),
+    "characters": (_measure_characters, ("n_chars", "n_top_char")),
 }
+#: Groups whose measures are given for every document on request; the others are measured as far as the cascade needs them.
+BASE = ("words", "symbols", "lines", "repeats")
 
 
 @dataclass(frozen=True)
@@ -129,6 +168,9 @@ RULES = (
     Rule("repeated_words", ("words", "repeats"), lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
     Rule("symbols", ("words", "symbols"), lambda m: 100 * m["n_symbols"] > 20 * m["n_words"]),
     Rule("repeated_lines", ("lines",), lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
+    Rule("letterless_words", ("words", "letters"), lambda m: 100 * m["n_lettered"] < 40 * m["n_words"]),
+    Rule("few_distinct_words", ("words", "variety"), lambda m: 100 * m["n_distinct"] < 5 * m["n_words"]),
+    Rule("one_character", ("characters",), lambda m: 100 * m["n_top_char"] > 50 * m["n_chars"]),
     Rule("word_length", ("words",), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
 )
 
@@ -140,66 +182,73 @@ def _need(t: Texts, groups: tuple[str, ...]) -> None:
             t.measures |= f(t)
 
 
-def _trial(rules: tuple[Rule, ...]):
-    """For each rule: seconds, texts and rejections, each rule measured on its own."""
+def _judged_whole(t: Texts, rules: tuple[Rule, ...], found: dict[str, list[float]]) -> np.ndarray:
+    """The first of the rules that rejects each text (-1: none), all rules measured from the start, and in `found` each rule's seconds and rejections."""
+    by = np.full(t.n, -1)
+    for k, rule in enumerate(rules):
+        alone = Texts(t.data, t.offsets)
+        began = time.perf_counter()
+        _need(alone, rule.groups)
+        rejected = rule.rejects(alone.measures)
+        of = found.setdefault(rule.name, [0.0, 0.0])
+        of[0] += time.perf_counter() - began
+        of[1] += float(rejected.sum())
+        by[(by < 0) & rejected] = k
+        t.measures = {**alone.measures, **t.measures}
+    return by
+
+
+def in_order(rules: tuple[Rule, ...], found: dict[str, list[float]]) -> list[int]:
+    """The numbers of the rules by rejections per second."""
+    gain = [(found[r.name][1] + 0.5) / max(found[r.name][0], 1e-9) for r in rules]
+    return sorted(range(len(rules)), key=lambda k: -gain[k])
+
+
+def _judged_lazily(t: Texts, rules: tuple[Rule, ...], order: list[int]) -> np.ndarray:
+    by, alive, left = np.full(t.n, -1), np.arange(t.n), t
+    for k in order:
+        _need(left, rules[k].groups)
+        rejected = rules[k].rejects(left.measures)
+        by[alive[rejected]] = k
+        alive, left = alive[~rejected], left.some(~rejected)
+        if not len(alive):
+            break
+    return by
+
+
+def _cascade(rules: tuple[Rule, ...], kept: int, text_at: int, measured: bool, sample_rows: int):
+    everything = [n for g in BASE for n in GROUPS[g][1]]
+    names = np.array([*(r.name for r in rules), None], object)
 
     def run(batches):
+        seen, found, order = 0, {}, None
         for batch in batches:
-            for _, _, data, offsets in string_chunks(batch.column(0)):
-                rows = []
-                for rule in rules:
+            # the first documents come as a part of their own
+            cut = min(sample_rows, batch.num_rows) if order is None else 0
+            for part in filter(lambda b: b.num_rows, (batch.slice(0, cut), batch.slice(cut))):
+                if order is None and seen >= sample_rows:
+                    order = in_order(rules, found)
+                for lo, hi, data, offsets in string_chunks(part.column(text_at)):
                     t = Texts(data, offsets)
-                    began = time.perf_counter()
-                    _need(t, rule.groups)
-                    rejected = rule.rejects(t.measures)
-                    rows.append((rule.name, time.perf_counter() - began, t.n, int(rejected.sum())))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["name", "seconds", "n", "rejected"])
-
-    return run
-
-
-def in_order(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per second on a sample of at most sample_rows rows; an empty sample leaves them as they are."""
-    sample = docs.select(F.col(text_col).cast("string").alias("text")).sample(SAMPLE_SHARE, 7).limit(sample_rows)
-    found = sample.mapInArrow(_trial(rules), "name string, seconds double, n long, rejected long").groupBy("name").agg(F.sum("seconds").alias("s"), F.sum("n").alias("n"), F.sum("rejected").alias("r")).collect()
-    gain = {r.name: (r.r + 0.5) / max(r.s, 1e-9) for r in found}
-    return tuple(sorted(rules, key=lambda r: -gain.get(r.name, 0.0)))
-
-
-def _cascade(rules: tuple[Rule, ...], n_id: int, measured: bool):
-    everything = [n for _, names in GROUPS.values() for n in names]
-
-    def run(batches):
-        for batch in batches:
-            for lo, hi, data, offsets in string_chunks(batch.column(n_id)):
-                t = Texts(data, offsets)
-                by = np.full(t.n, -1)
-                if measured:
-                    _need(t, tuple(GROUPS))
-                alive, left = np.arange(t.n), t
-                for k, rule in enumerate(rules):
-                    _need(left, rule.groups)
-                    rejected = rule.rejects(left.measures)
-                    by[alive[rejected]] = k
-                    alive, left = alive[~rejected], left.some(~rejected)
-                    if not len(alive):
-                        break
-                names = np.array([*(r.name for r in rules), None], object)
-                columns = [batch.column(i).slice(lo, hi - lo) for i in range(n_id)]
-                columns += [pa.array(t.measures[n].astype(np.int64)) for n in everything] if measured else []
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(by < 0), pa.array(names[by], pa.string())], [f"c{i}" for i in range(len(columns))] + ["kept", "rejected_by"])
+                    if measured:
+                        _need(t, BASE)
+                    by = _judged_whole(t, rules, found) if order is None else _judged_lazily(t, rules, order)
+                    columns = [part.column(i).slice(lo, hi - lo) for i in range(kept)]
+                    columns += [pa.array(t.measures[n].astype(np.int64)) for n in everything] if measured else []
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(by < 0), pa.array(names[by], pa.string())], [f"c{i}" for i in range(len(columns))] + ["kept", "rejected_by"])
+                seen += part.num_rows
 
     return run
 
 
-def judged(docs: DataFrame, id_cols: list[str], text_col: str = "text", rules: tuple[Rule, ...] = RULES, measured: bool = False) -> DataFrame:
-    """id_cols, kept and rejected_by (the first rule of the cascade that rejects; null if kept) of each row, and with `measured` all measures.
+def judged(docs: DataFrame, id_cols: list[str], text_col: str = "text", rules: tuple[Rule, ...] = RULES, measured: bool = False, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """id_cols, kept and rejected_by (the first rule of the task's cascade that rejects; null if kept) of each row, and with `measured` the base measures.
 
     A null text is an empty one: it has no words and is rejected.  Repeated rows each
-    get the same verdict.  An empty table gives no rows.  Other columns are ignored.
+    get the same verdict.  An empty table gives no rows.  Other columns are ignored;
+    id_cols named like an added column give way to it.
     """
-    ordered = in_order(docs, text_col, rules)
-    base = docs.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
-    names = [n for _, group in GROUPS.values() for n in group] if measured else []
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]] + [f"{n} long" for n in names] + ["kept boolean", "rejected_by string"])
-    return base.mapInArrow(_cascade(ordered, len(id_cols), measured), schema)
+    names = [n for g in BASE for n in GROUPS[g][1]] if measured else []
+    base, kept, at, schema = with_text(docs, id_cols, text_col, (*names, "kept", "rejected_by"))
+    schema = ", ".join(x for x in [schema, *(f"{n} long" for n in names), "kept boolean, rejected_by string"] if x)
+    return base.mapInArrow(_cascade(rules, len(kept), at, measured, sample_rows), schema)

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text worked on at once: the numpy scratch arrays take about 60 times that.
@@ -26,6 +28,17 @@ ALNUM_WORD = (_BYTES >= 0x80) | ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 
 
+def with_text(docs: DataFrame, id_cols: list[str], text_col: str, added: tuple[str, ...]) -> tuple[DataFrame, list[str], int, str]:
+    """What a text operator sends to its tasks: id_cols (but for those named like added columns, which replace them) and the text; their names; where the text stands; and their schema.
+
+    The text is sent once where it is one of the id_cols.
+    """
+    kept = [c for c in id_cols if c not in added]
+    base = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), *([] if text_col in kept and dict(docs.dtypes)[text_col] == "string" else [F.col(f"`{text_col}`").cast("string").alias("text")]))
+    at = len(kept) if len(base.columns) > len(kept) else kept.index(text_col)
+    return base, kept, at, ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(kept, base.schema.fields))
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits (splitmix)."""
     h = h.astype(U64, copy=True)
