@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from gridlark.llm.stores import shared_dir
 
 SLOTS = 4096
+#: Rows of a slot that are numbered in one task, about: larger slots are numbered in parts, by a hash of the row.
+PART_ROWS = 100_000
 #: How far the fullest shard may be over the mean before slots move.
 UNEVEN = 1.05
 
@@ -29,9 +31,9 @@ def slot_of(*keys: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
 
 
-def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> dict[int, tuple[int, int]]:
-    """Bytes and rows of each slot of (virtual_slot, size): at most `slots` rows reach the driver."""
-    return {r.virtual_slot: (r.b, r.n) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
+def slot_sizes(counted: DataFrame) -> dict[int, tuple[int, int]]:
+    """Bytes and rows of each slot of (virtual_slot, b, n): at most as many rows as slots reach the driver."""
+    return {r.virtual_slot: (r.b, r.n) for r in counted.groupBy("virtual_slot").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()}
 
 
 def first_map(sizes: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS) -> list[int]:
@@ -135,26 +137,53 @@ def current_map(spark: SparkSession, folder: str, sizes: dict[int, tuple[int, in
     return now
 
 
-def sharded(rows: DataFrame, keys: list[str], text_col: str = "text", shards: int = 24, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
+ADDED = ("size", "text_crc32", "virtual_slot", "shard", "slot", "next_shard")
+
+
+def sharded(rows: DataFrame, keys: list[str], text_col: str = "text", shards: int = 24, slots: int = SLOTS, folder: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """Every row with size, text_crc32, virtual_slot, shard, slot (its place in the shard, from 0, without gaps) and next_shard (with one more shard).
 
     With a folder the map stored there is taken, and edited under a new version where it has to be; without one it is made anew.
     The law is `bytes`: sums of size are near equal.  A null text has no bytes; a null
     key hashes like any value.  Rows of one key share a slot, so a key that holds more
     than a shard's part of the bytes cannot be split: give further key columns then.
-    Places follow (virtual slot, keys, size, crc); rows equal in these may swap places.
+    Places follow the virtual slot, then a hash of (keys, size, crc) that cuts large
+    slots into parts of about part_rows, then keys, size and crc; rows equal in these
+    may swap places.
     Columns of rows that have the names of added ones are replaced.  An empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = rows.withColumns({"size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(text.cast("binary")), "virtual_slot": slot_of(*keys, slots=slots)})
-    sizes = slot_sizes(base.select("virtual_slot", "size"), slots)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    held = [c for c in rows.columns if c not in ADDED]
+    # names of our own within: the caller's may be any
+    base = rows.select(
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(held)),
+        *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)),
+        (F.octet_length(text).cast("long") + 8).alias("size"),
+        F.crc32(text.cast("binary")).alias("crc"),
+        slot_of(*(F.col(f"`{c}`") for c in keys), slots=slots).alias("virtual_slot"),
+    )
+    order = [*(f"k{i}" for i in range(len(keys))), "size", "crc"]
+    most = base.groupBy("virtual_slot").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = most // part_rows + 1
+    base = base.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    counted = base.groupBy("virtual_slot", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    sizes = slot_sizes(counted)
     first = first_map(sizes, shards, slots) if folder is None else current_map(rows.sparkSession, folder, sizes, shards, slots)
     second = grown_map(first, sizes, shards)
     before, ahead = [0] * slots, [0] * shards
     for slot, shard in enumerate(first):
         before[slot] = ahead[shard]
         ahead[shard] += sizes.get(slot, (0, 0))[1]
-    plan = rows.sparkSession.createDataFrame(list(zip(range(slots), first, second, before)), "virtual_slot int, shard int, next_shard int, before long")
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(*keys, "size", "text_crc32")) - 1
-    kept = [c for c in base.columns if c not in ("shard", "next_shard", "slot")]
-    return base.select(*kept).withColumn("place", place).join(F.broadcast(plan), "virtual_slot").select(*kept, "shard", (F.col("before") + F.col("place")).cast("long").alias("slot"), "next_shard")
+    # a row for each slot
+    plan = rows.sparkSession.createDataFrame(list(zip(range(slots), first, second, before)), "virtual_slot int, shard int, next_shard int, ahead long")
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("virtual_slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counted.select("virtual_slot", "part", earlier.alias("start"))
+    place = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy(*order)) - 1
+    placed = base.withColumn("place", place).join(F.broadcast(plan), "virtual_slot")
+    if parts > 1:
+        placed = placed.join(starts, ["virtual_slot", "part"])
+    else:
+        placed = placed.withColumn("start", F.lit(0).cast("long"))
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(held)]
+    slot = (F.col("ahead") + F.col("start") + F.col("place")).cast("long").alias("slot")
+    return placed.select(*kept, "size", F.col("crc").alias("text_crc32"), "virtual_slot", "shard", slot, "next_shard")
