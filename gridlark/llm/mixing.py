@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.stores import stored
-from gridlark.llm.text import ALNUM_WORD, LOWER, U64, string_chunks, word_hashes, word_spans
+from gridlark.llm.text import ALNUM_WORD, LOWER, U64, string_chunks, with_text, word_hashes, word_spans
 
 #: Labelled rows that the classifier is fitted on, at most, and the share of them held out to calibrate it.
 MAX_LABELLED, HELD_OUT = 6_000, 0.2
@@ -39,7 +39,8 @@ BUCKETS, ROUNDS, RATE, PENALTY = 1 << 14, 120, 0.1, 2e-5
 TEMPERATURES = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 8.0)
 _MARKS = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F) & ~ALNUM_WORD
 RIDGE, STEPS = 0.005, 50
-#: The multipliers' penalty, which keeps them finite where no rates meet the targets, the largest share of its target a domain may miss, Newton steps at most, and the lengths of a step tried in one pass.
+#: The share of its target from which a domain's miss is reported; the multipliers' penalty, which keeps them finite where no rates meet the targets, the largest share of its target a domain may miss, Newton steps at most, and the lengths of a step tried in one pass.
+MET = 0.01
 SLACK, CLOSE, NEWTON, LENGTHS = 1e-8, 1e-4, 60, (1.0, 0.5, 0.2, 0.05, 0.005)
 
 
@@ -110,10 +111,12 @@ def classifier(docs: DataFrame, labels: DataFrame, domains: tuple[tuple[str, str
     """Fits on at most max_labelled labelled rows, those first by hash of the id, and calibrates the temperature on a held-out share.
 
     Rows without a domain or id are left out; without labelled rows all posteriors are even.
+    Of an id with several labels the first domain counts, of one with several texts the
+    least by hash.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("i"), domain_of(domains).alias("k")).filter("i is not null and k is not null")
     # at most max_labelled pairs of numbers reach the driver
-    of = {r.i: r.k for r in rows.orderBy(F.xxhash64("i"), "i", "k").limit(max_labelled).collect()}
+    of = {r.i: r.k for r in rows.groupBy("i").agg(F.min("k").alias("k")).orderBy(F.xxhash64("i"), "i").limit(max_labelled).collect()}
     ids = np.array(sorted(of), np.int64)
     known = docs.sparkSession.sparkContext.broadcast((ids, np.array([of[i] for i in ids.tolist()], np.int32)))
 
@@ -122,16 +125,16 @@ def classifier(docs: DataFrame, labels: DataFrame, domains: tuple[tuple[str, str
         for batch in batches:
             column = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             at = np.minimum(np.searchsorted(ids, column), len(ids) - 1)
-            rows = np.flatnonzero(ids[at] == column) if len(ids) else np.zeros(0, np.int64)
+            rows = np.flatnonzero((ids[at] == column) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)) if len(ids) else np.zeros(0, np.int64)
             part = batch.take(pa.array(rows))
             for lo, hi, data, offsets in string_chunks(part.column(1)):
                 buckets, bounds, _ = _features(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(buckets.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array(kinds[at[rows[lo:hi]]]), lists], ["i", "k", "f"])
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), part.column(2).slice(lo, hi - lo), pa.array(kinds[at[rows[lo:hi]]]), lists], ["i", "h", "k", "f"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
     # as many rows as there are labelled ones in the sample, of at most BUCKETS numbers each
-    found = base.mapInArrow(features, "i long, k int, f array<int>").dropDuplicates(["i"]).toArrow().sort_by("i").combine_chunks()
+    found = base.mapInArrow(features, "i long, h long, k int, f array<int>").groupBy("i").agg(F.min_by(F.struct("k", "f"), F.col("h")).alias("x")).select("i", "x.k", "x.f").toArrow().sort_by("i").combine_chunks()
     kinds = found["k"].to_numpy()
     size = np.array([len(x) for x in found["f"]], np.int64) if len(kinds) else np.zeros(0, np.int64)
     flat = found["f"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(kinds) else np.zeros(0, np.int64)
@@ -219,20 +222,17 @@ def fitted(memberships: DataFrame, n_domains: int, shares: list[float], budget:
     return np.vstack([residuals, best[0]]), target.tolist(), best[4].tolist()
 
 
-def memberships(docs: DataFrame, model: Classifier, text_col: str = "text", residuals: np.ndarray | None = None) -> DataFrame:
-    """Every column of docs but the text, tokens (words), p (posteriors by domain), and with residuals each row's rate.
+def memberships(docs: DataFrame, model: Classifier, text_col: str = "text", residuals: np.ndarray | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The given columns (None: all but the text), tokens (words), p (posteriors by domain), and with residuals each row's rate.
 
     A null or empty text has no tokens and the prior's posteriors; its rate moves no
     total.  Repeated rows have equal rates.  Columns named tokens, p or rate are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model, residuals))
-    kept = [c for c in docs.columns if c not in ("tokens", "p", "rate", text_col)]
-    base = docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
-    return base.mapInArrow(_membership(shared, [*range(len(kept))], len(kept), residuals is not None), _schema(base, kept, residuals is not None))
-
-
-def _schema(base: DataFrame, kept: list[str], rated: bool) -> str:
-    return ", ".join([f"`{c}` {base.schema[c].dataType.simpleString()}" for c in kept] + ["tokens long", "p array<double>"] + ["rate double"] * rated)
+    rated = residuals is not None
+    base, kept, at, schema = with_text(docs, [c for c in docs.columns if c != text_col] if columns is None else columns, text_col, ("tokens", "p", "rate"))
+    schema = ", ".join(x for x in [schema, "tokens long, p array<double>", "rate double" if rated else ""] if x)
+    return base.mapInArrow(_membership(shared, [*range(len(kept))], at, rated), schema)
 
 
 def _membership(shared, kept: list[int], text_at: int, rated: bool):
@@ -251,10 +251,14 @@ def _membership(shared, kept: list[int], text_at: int, rated: bool):
 
 
 def mixed(docs: DataFrame, labels: DataFrame, domains: tuple[tuple[str, str], ...], shares: list[float], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
-    """(id, tokens, p, rate) of each row of docs, and the fit: target and reached totals, temperature. An empty table gives no rows."""
+    """(id, tokens, p, rate) of each row of docs, and the fit: target and reached totals, the domains whose totals are off by more than MET of their targets (no rates can meet them), temperature.
+
+    An empty table gives no rows.
+    """
     model = classifier(docs, labels, domains, id_col, text_col)
     found = stored(memberships(docs.select(id_col, text_col), model, text_col), "memberships")
     residuals, target, reached = fitted(found, len(domains), shares)
+    unmet = [name for (name, _), t, r in zip(domains, target, reached) if abs(r - t) > MET * t]
     shared = docs.sparkSession.sparkContext.broadcast(residuals)
     k = len(domains)
 
@@ -264,7 +268,7 @@ def mixed(docs: DataFrame, labels: DataFrame, domains: tuple[tuple[str, str], ..
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(p, shared.value)[0])], [*batch.schema.names, "rate"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return found.mapInArrow(run, f"`{id_col}` {kind}, tokens long, p array<double>, rate double"), {"target": target, "reached": reached, "temperature": model.temperature, "residuals": residuals, "model": model}
+    return found.mapInArrow(run, f"`{id_col}` {kind}, tokens long, p array<double>, rate double"), {"target": target, "reached": reached, "unmet": unmet, "temperature": model.temperature, "residuals": residuals, "model": model}
 
 
 def copies(rate: Column, *keys: Column) -> Column:

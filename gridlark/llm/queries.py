@@ -55,7 +55,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"), ["doc_id"])
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.size(F.filter("base", (lambda k: lambda s: s["kind"] == k)(k))).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said(F.concat("base", "added")).alias("spans"))
+    every = F.concat("base", "added")
+    return found.select("doc_id", *counts, F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said(every).alias("spans"), F.size(every).cast("long").alias("n_spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +75,5 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DOMAINS, SHARES)
-    return out.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{name}") for k, (name, _) in enumerate(DOMAINS)], "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    out, fit = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DOMAINS, SHARES)
+    return out.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{name}") for k, (name, _) in enumerate(DOMAINS)], "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"), F.lit(",".join(fit["unmet"])).alias("unmet_domains"))
