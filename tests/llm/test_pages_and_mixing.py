@@ -2,8 +2,12 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 import time
+import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -11,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridlark.llm import html_text, mixing, warc
+from gridlark.llm import html_text, mixing, sharding, warc
 from gridlark.llm.queries import DOMAINS, SHARES
 
 
@@ -208,29 +212,119 @@ def test_mixing_meets_each_target(spark, have, shares):
     assert np.isfinite(mixing.fitted(soft, 3, shares)[0]).all()  # no rates meet these
 
 
-def test_pipeline_stages(spark):
+#: Names that operators add or use.
+CLASHING = ("kept", "rejected_by", "n_words", "n_hit", "items", "spans", "_text", "tokens", "p", "rate", "copies", "copy", "size", "shard", "slot", "before", "place", "part", "stays", "label", "text_hash", "c0", "c_id", "k_id", "virtual_slot", "next_shard", "text_crc32", "n", "class", "component_id")
+SPACE, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_quality(t):
+    w = re.findall(SPACE, t or "")
+    n = len(w)
+    three = [tuple(w[i : i + 3]) for i in range(n - 2)]
+    count = Counter(three)
+    repeated = {i + k for i, g in enumerate(three) if count[g] > 1 for k in range(3)}
+    lines = [x for x in (t or "").split("\n") if re.search(SPACE, x)]
+    lettered = sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7F]", x)) for x in w)
+    symbols, chars = len(re.findall(r"[#*$%&|<>]", t or "")), sum(map(len, w))
+    return not (
+        n < 50 or 100 * len(repeated) > 50 * n or 100 * symbols > 20 * n or 100 * (len(lines) - len(set(lines))) > 50 * len(lines) or 100 * lettered < 40 * n
+        or 100 * len(set(w)) < 5 * n or 100 * max(Counter(t).values()) > 50 * len(t) or chars < 2 * n or chars > 20 * n
+    )
+
+
+def plain_near_duplicates(rows):
+    """The rows that stay, as a multiset; of equal ids with different texts in one component either may."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(SPACE, (t or "").translate(LOW))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if k and 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None and sets[i]:
+            groups.setdefault(find(i), []).append(d)
+    return Counter([min(g) for g in groups.values()] + [d for i, (d, _) in enumerate(rows) if d is None or not sets[i]])
+
+
+def plain_contaminated(t, tests):
+    w = re.findall(ALNUM, (t or "").translate(LOW))
+    hit = set()
+    for x in tests:
+        v = re.findall(ALNUM, (x or "").translate(LOW))
+        k = min(13, len(v))
+        windows = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)} if k else set()
+        for i in range(len(w) - k + 1 if k else 0):
+            if tuple(w[i : i + k]) in windows:
+                hit |= set(range(i, i + k))
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Documents with nulls, repeated rows, one id with different texts, and columns whose names clash."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = docs.filter("doc_id < 12").collect()
+    extra = [(None, None, None, None, None), (-1, "", "en", "s", 0), (None, some[3].text, "en", "s", 0), (some[4].doc_id, some[7].text, "en", "s", 0), (some[5].doc_id, " ".join(f"v{i}" for i in range(30000)), "en", "s", 0)]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema)).union(docs.limit(3)).union(docs.filter("doc_id = 9"))
+    return docs.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+
+
+def pairs(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def test_pipeline_stages_against_plain_models(spark, crowded):
     d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    columns = docs.columns
-    extra = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0)], docs.schema)
-    at = docs.union(extra).union(docs.limit(3))
-    counts = []
+    tests = [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    rows = pairs(crowded)
+    stages = dict(corpus_pipeline.STAGES)
+    out = {name: stages[name](spark, crowded, d) for name in stages}
+    for name, df in out.items():
+        added = sharding.ADDED if name == "sharding" else ()
+        assert [c for c in df.columns if c not in added] == [c for c in crowded.columns if c not in added], name
+        own = [c for c in CLASHING if c not in added]
+        assert df.filter(" or ".join(f"`{c}` <> 'own {c}'" for c in own)).count() == 0, name
+    assert Counter(pairs(out["quality_rules"])) == Counter(x for x in rows if plain_quality(x[1]))
+    assert Counter(i for i, _ in pairs(out["ngram_jaccard_join"])) == plain_near_duplicates(rows)
+    assert Counter(pairs(out["benchmark_decontamination"])) == Counter(x for x in rows if not plain_contaminated(x[1], tests))
+    placed = out["sharding"].collect()
+    assert Counter((r.doc_id, r.text) for r in placed) == Counter(rows)
+    assert all(r.size == len((r.text or "").encode()) + 8 and r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in placed)
+    of = {}
+    for r in placed:
+        of.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in of.values())
+    mixed, fit = mixing.mixed(crowded, spark.read.parquet(f"{d}/labels.parquet"), DOMAINS, SHARES)
+    rate = {r.doc_id: [] for r in mixed.collect()}
+    for r in mixed.collect():
+        rate[r.doc_id].append(r.rate)
+    taken, had = Counter(i for i, _ in pairs(out["mixing_to_weights"])), Counter(i for i, _ in rows)
+    for i, n in had.items():
+        assert sum(map(math.floor, rate[i])) <= taken[i] <= sum(map(math.ceil, rate[i])), i
+    assert set(fit["unmet"]) <= {name for name, _ in DOMAINS}
+
+
+def test_pipeline_in_order_and_empty(spark, crowded):
+    d = "/root/testdata/sf0.001"
+    at, counts = crowded, []
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, at, d)
-        if name != "sharding":
-            assert out.columns == columns
-            before, after = {r.doc_id for r in at.collect()}, {r.doc_id for r in out.collect()}
-            assert after <= before
-        else:
-            assert out.count() == at.count()
-        at = corpus_pipeline.stored(out, name)
+        at = corpus_pipeline.stored(stage(spark, at, d), name)
         counts.append(at.count())
-    assert counts[0] < docs.count() and counts[-1] > 0
-    ids = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, d).collect()]
-    assert len(ids) == len(set(ids))
-    empty = docs.filter("false")
+    assert counts[0] < crowded.count() and counts[0] > counts[1] >= counts[2] and counts[-1] == counts[-2] > 0
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, d).count() == 0
+        assert stage(spark, crowded.filter("false"), d).count() == 0
 
 
 @pytest.mark.parametrize("unit", ["<a", "<a ", '<a b=">"', "<a \"'>", "<!--", "</ ", "<td rowspan=9999>x", "<tr><td rowspan=9999 colspan=1000>x", "<select>", "<style>{", "<a b='", "<li>", "<svg>", "&amp"])

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,7 +114,7 @@ def test_components(spark):
 
 
 def test_quality(spark, texts):
-    more = [*texts, "a a a a " * 30, "same line\nsame line\n \nsame line\nother " * 9, "ok| " * 80]
+    more = [*texts, "a a a a " * 30, "same line\nsame line\n \nsame line\nother " * 9, "ok| " * 80, " ".join(f"{i} 1{i}" if i % 5 else f"w{i}" for i in range(90)), " ".join(["aa bb cc dd ee ff gg hh ii jj"] * 6 + [f"x{i}" for i in range(80)]), " ".join("z" * (9 + i % 7) + str(i) for i in range(70))]
     got = {r.doc_id: r for r in quality.judged(docs(spark, more), ["doc_id"], measured=True).collect()}
     for i, t in enumerate(more):
         w = space_words(t)
@@ -123,14 +125,36 @@ def test_quality(spark, texts):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(hit)), i
         n = len(w)
-        bad = n < 50 or 100 * len(hit) > 50 * n or 100 * r.n_symbols > 20 * n or 100 * r.n_dup_lines > 50 * len(lines) or r.word_chars < 2 * n or r.word_chars > 20 * n
+        lettered = sum(any(c.isalpha() or ord(c) > 127 for c in x) for x in w)
+        top = max((t.count(c) for c in set(t)), default=0) if t else 0
+        bad = 100 * lettered < 40 * n or 100 * len(set(w)) < 5 * n or 100 * top > 50 * len(t or "") or n < 50 or 100 * len(hit) > 50 * n or 100 * r.n_symbols > 20 * n or 100 * r.n_dup_lines > 50 * len(lines) or r.word_chars < 2 * n or r.word_chars > 20 * n
         assert r.kept == (not bad) and (r.rejected_by is None) == r.kept
-    fast = {r.doc_id: r.kept for r in quality.judged(docs(spark, more), ["doc_id"]).collect()}
-    assert fast == {i: r.kept for i, r in got.items()}
+    for sample in (1, 7):  # most documents go through the cascade
+        fast = {r.doc_id: r.kept for r in quality.judged(docs(spark, more), ["doc_id"], sample_rows=sample).collect()}
+        assert fast == {i: r.kept for i, r in got.items()}
     assert quality.judged(docs(spark, []), ["doc_id"]).count() == 0
 
 
-def test_decontamination(spark, monkeypatch):
+def test_cascade_measures_no_more_than_it_needs(monkeypatch):
+    """After the sample, a rule sees only what the rules before it left, cheapest rejections first."""
+    seen = []
+
+    def rule(name, of, wait):
+        def rejects(m):
+            time.sleep(wait)
+            seen.append((name, len(m["n_words"])))
+            return m["n_words"] % of == 0
+
+        return quality.Rule(name, ("words",), rejects)
+
+    rules = (rule("slow", 2, 0.02), rule("fast", 3, 0.0))
+    texts = pa.array([" ".join("w" * (i + 1) for _ in range(i % 6 + 1)) for i in range(60)])
+    got = list(quality._cascade(rules, 0, 0, False, 12)([pa.RecordBatch.from_arrays([texts], ["text"])]))
+    assert [b.num_rows for b in got] == [12, 48] and seen == [("slow", 12), ("fast", 12), ("fast", 48), ("slow", 32)]
+    assert got[1].column(1).to_pylist() == ["fast" if n % 3 == 0 else "slow" if n % 2 == 0 else None for n in (i % 6 + 1 for i in range(12, 60))]
+
+
+def test_decontamination(spark):
     rnd = random.Random(3)
     w = [f"t{i}" for i in range(60)]
     items = [(i, " ".join(rnd.choice(w) for _ in range(rnd.choice([3, 13, 20])))) for i in range(12)] + [(50, None), (51, "..."), (None, "t1 t2 t3"), (7, "t1 t2")]
@@ -141,9 +165,8 @@ def test_decontamination(spark, monkeypatch):
         texts.append(" ".join(body[:20]) + " <" + own + "> " + "ñ ".join(body[20:]))
     texts += texts[5:7]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (decontam.MAX_PATTERN_CHARS, 100):
-        monkeypatch.setattr(decontam, "MAX_PATTERN_CHARS", limit)
-        got = {r.doc_id: r for r in decontam.benchmark_hits(docs(spark, texts), bench, ["doc_id"]).collect()}
+    for limit, ids in ((decontam.ITEM_CHARS, ["doc_id"]), (200, ["doc_id"]), (200, ["text", "doc_id"])):
+        got = {r.doc_id: r for r in decontam.benchmark_hits(docs(spark, texts), bench, ids, item_chars=limit).collect()}
         for i, t in enumerate(texts):
             dw, hit, own = alnum_words(t), set(), set()
             for item, x in items:
@@ -196,7 +219,13 @@ def test_matching_statistics():
 
 def test_sharding(spark, texts):
     many = texts * 3
-    out = sharding.sharded(docs(spark, many), ["doc_id"], shards=5, slots=64).collect()
+    for part_rows in (sharding.PART_ROWS, 2):
+        _sharding_holds(sharding.sharded(docs(spark, many), ["doc_id"], shards=5, slots=64, part_rows=part_rows).collect(), many)
+    assert sharding.sharded(docs(spark, []), ["doc_id"]).count() == 0
+    assert sharding.sharded(docs(spark, ["a", "b"], [None, None]), ["doc_id"]).count() == 2
+
+
+def _sharding_holds(out, many):
     assert len(out) == len(many)
     by = {}
     for r in out:
@@ -206,8 +235,6 @@ def test_sharding(spark, texts):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     shard_of = {}
     assert all(shard_of.setdefault(r.virtual_slot, r.shard) == r.shard for r in out)
-    assert sharding.sharded(docs(spark, []), ["doc_id"]).count() == 0
-    assert sharding.sharded(docs(spark, ["a", "b"], [None, None]), ["doc_id"]).count() == 2
 
 
 def test_maps_balance_and_move_little():
