@@ -5,11 +5,15 @@ An ARC file opens with a version block that names the fields of its header lines
 as its last field declares, and a newline.  The converter splits the bytes into
 HTTP header and payload and makes what WARC wants: an identifier from the record's
 place and content, an ISO date from the 14 digits, the record type, and digests.
-
-Records with equal payloads are stored once: the one with the largest key is the
-response, the others are revisits that refer to it.  The archives are gzipped text
-files written by Spark, whose record separator ends each WARC record, so they lie
-wherever Spark's paths do; reading them back goes by the declared lengths.
+A record without an HTTP header (a DNS answer, a bare file) becomes a resource,
+whose payload is all of it.
+
+Records with equal payloads are stored once: the one with the largest key, then file
+and place, is stored, the others are revisits that refer to it.  Each record is a gzip
+member of its own, so readers can seek; members are written in chunks of CHUNK_BYTES,
+CHUNKS of them a file, by Spark's text writer, so they lie wherever Spark's paths do.
+A member ends with the high byte of its length, which is zero: chunks are written
+without that byte, and the line separator, a zero byte, puts it back.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -25,17 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.stores import shared_dir, stored
+from gridlark.llm import bloom
+from gridlark.llm.stores import Scratch, shared_dir
 
 #: The header fields of the two versions, as their version blocks name them.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-#: Bytes of one ARC file that a task makes, and records of one WARC file.
-ARC_BYTES, WARC_RECORDS = 2 << 20, 1000
+#: Bytes of one ARC file that a task makes; bytes of compressed records written at once (or one larger record), and how many times that a WARC file holds; bytes of a member at most, before compression.
+ARC_BYTES, CHUNK_BYTES, CHUNKS, MEMBER_BYTES = 2 << 20, 4 << 20, 8, 8 << 20
+#: Rows that a reader hands on at once.
+ROWS = 1000
 ARC_SCHEMA = "name string, content binary"
-RECORD_SCHEMA = "arc string, place long, key long, url string, ip string, date string, mime string, http binary, payload binary, digest string"
+RECORD_SCHEMA = "arc string, place long, key long, url string, ip string, date string, mime string, http binary, payload binary, digest string"  # http is null where there is no HTTP header, and ends with its blank line
 
 
 def digest(data: bytes) -> str:
@@ -115,16 +123,27 @@ def parse_arc(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = end + 1 + int(line.rsplit(" ", 1)[1])
 
 
+def http_part(block: bytes) -> bytes | None:
+    """The HTTP header that opens a block, with the blank line that ends it (all of it if none does); None if there is none."""
+    if not block.startswith(b"HTTP/"):
+        return None
+    ends = [(at, n) for at, n in ((block.find(b"\r\n\r\n"), 4), (block.find(b"\n\n"), 2)) if at >= 0]
+    at, n = min(ends, default=(len(block), 0))
+    return block[: at + n]
+
+
 def records(files: DataFrame) -> DataFrame:
-    """Parses ARC files (name, content): one row per record, with HTTP header and payload parted and the payload's digest."""
+    """Parses ARC files (name, content): one row per record, with HTTP header and payload parted and the payload's digest. Names tell files apart."""
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i in range(batch.num_rows):
+                name, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 rows = []
                 for at, f, block in parse_arc(content):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    key = re.search(rb"(?im)^X-Key: (-?\d+)", http)
+                    http = http_part(block)
+                    payload = block[len(http or b"") :]
+                    key = re.search(rb"(?im)^X-Key: (-?\d+)", http or b"")
                     rows.append((name, at, int(key[1]) if key else None, f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], http, payload, digest(payload)))
                 if rows:
                     types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.binary(), pa.binary(), pa.string()]
@@ -138,94 +157,138 @@ def _iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(arc: str, place: int, key, url: str, ip: str, date: str, mime: str, http: bytes, payload: bytes, sha: str, refers_to, refers: bool) -> bytes:
-    """A response, or where `refers` a revisit, without the payload, of the same digest."""
-    block = http + b"\r\n\r\n" + (b"" if refers else payload)
-    kind = "revisit" if refers else "response"
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{arc}#{place}#{sha}")
+def _ident(arc: str, place: int, sha: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{arc}#{place}#{sha}')}>"
+
+
+def _record(head: list[tuple[str, object]], block: bytes) -> bytes:
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in head), f"WARC-Block-Digest: sha1:{digest(block)}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def warc_record(arc: str, place: int, key, url: str, ip: str, date: str, mime: str, http: bytes | None, payload: bytes, sha: str, of: tuple | None = None) -> bytes:
+    """A response, or without an HTTP header a resource; where `of` (file, place, key, URL, date) names the record with the same payload, a revisit of it, without the payload."""
     head = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{ident}>",
-        f"WARC-Date: {_iso(date)}",
-        f"WARC-Target-URI: {url}",
-        f"WARC-IP-Address: {ip}",
-        f"WARC-Payload-Digest: sha1:{sha}",
-        f"WARC-Block-Digest: sha1:{digest(block)}",
-        "Content-Type: application/http;msgtype=response",
-        f"Content-Length: {len(block)}",
-        f"X-Payload-Length: {len(payload)}",
+        ("WARC-Type", "revisit" if of else "resource" if http is None else "response"),
+        ("WARC-Record-ID", _ident(arc, place, sha)),
+        ("WARC-Date", _iso(date)),
+        ("WARC-Target-URI", url),
+        ("WARC-IP-Address", ip),
+        ("WARC-Payload-Digest", f"sha1:{sha}"),
+        ("Content-Type", (mime or "application/octet-stream") if http is None else "application/http;msgtype=response"),
+        ("X-Payload-Length", len(payload)),
     ]
     if key is not None:
-        head.append(f"X-Key: {key}")
-    if refers:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Key: {refers_to}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        head.append(("X-Key", key))
+    if of:
+        to_arc, to_place, to_key, to_url, to_date = of
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _ident(to_arc, to_place, sha)), ("WARC-Refers-To-Target-URI", to_url), ("WARC-Refers-To-Date", _iso(to_date))]
+        head += [("X-Refers-To-Key", to_key)] if to_key is not None else []
+    return _record(head, (http or b"") + (b"" if of else payload))
+
+
+def _members(record: bytes) -> bytes:
+    """A record as a gzip member, or several where it is long: each ends with a zero byte."""
+    return b"".join(gzip.compress(record[i : i + MEMBER_BYTES], 6, mtime=0) for i in range(0, len(record), MEMBER_BYTES))
 
 
 def convert(files: DataFrame, path: str) -> None:
     """Writes the records of ARC files (name, content) to WARC files under path.
 
-    Which record of a payload is the response is decided over keys and digests alone;
-    the payloads are then dealt once, by key, so that no common payload meets in one task.
-    Records without a key refer to the largest key, or are responses if none has one.
+    Which record of a payload is stored is decided over keys, places and digests alone.
+    Only records that may be revisits are then joined, by file and place, so that no
+    common payload meets in one task; the others are written as they were parsed.
     """
-    parsed = records(files)
-    small = stored(parsed.select("key", "digest"), "digests")
-    last = stored(small.groupBy("digest").agg(F.max("key").alias("last")), "last")
-    chosen = stored(small.distinct().join(last, "digest").select(F.col("key").alias("k"), F.col("digest").alias("g"), "last"), "chosen")
-    rows = parsed.join(chosen, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("g")))
+    work = Scratch(files.sparkSession, "archives")
+    parsed = work.stored(records(files), "parsed")
+    known = parsed.select("digest", "arc", "place", "key", "url", "date")
+    best = F.max(F.struct(F.col("key").isNotNull().alias("keyed"), "key", "arc", "place", "url", "date")).alias("b")
+    last = work.stored(known.groupBy("digest").agg(F.count("*").alias("n"), best).filter("n > 1").select("digest", "b"), "last")
+    again = known.select("digest", "arc", "place").join(last, "digest").filter("arc <> b.arc or place <> b.place")
+    again = work.stored(again.select("arc", "place", F.struct("b.arc", "b.place", "b.key", "b.url", "b.date").alias("of")), "revisits")
+    hashed = F.xxhash64("arc", "place")
+    may = bloom.passes(bloom.built(again.select(hashed)), hashed)
+    rows = parsed.filter(~may).withColumn("of", F.lit(None).cast(again.schema["of"].dataType))
+    rows = rows.union(parsed.filter(may).join(again, ["arc", "place"], "left").select(rows.columns))
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            out = [warc_record(*r[:10], r[10], r[10] is not None and r[2] != r[10])[:-1] for r in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for i in range(batch.num_rows):
+                *r, of = (c[i].as_py() for c in batch.columns)
+                if not held:
+                    said = b"software: gridlark\r\nformat: WARC File Format 1.1\r\n"
+                    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", _ident(r[0], r[1], "info")), ("WARC-Date", _iso(r[5])), ("Content-Type", "application/warc-fields")]
+                    held.append(_members(_record(head, said)))
+                held.append(_members(warc_record(*r, tuple(of.values()) if of else None)))
+                size += len(held[-1])
+                if size >= CHUNK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
 
-    whole = rows.select(*parsed.columns, "last").mapInArrow(run, "value binary")
-    whole.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", WARC_RECORDS).option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", CHUNKS).option("lineSep", "\0").text(path)
+    work.drop()
 
 
-def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
+def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record of an uncompressed stream, one at a time."""
+    while line := stream.readline():
+        if not line.strip(b"\r\n\0"):
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {line[:40]!r}")
+        head = {}
+        while (line := stream.readline().rstrip(b"\r\n")) != b"":
+            name, _, value = line.decode("utf-8").partition(": ")
+            head[name] = value
         n = int(head["Content-Length"])
-        yield head, content[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        block = stream.read(n)
+        if len(block) < n:
+            raise ValueError(f"{head.get('WARC-Record-ID')} is cut off")
+        yield head, block
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the WARC files under path; responses' digests and lengths are checked against their payloads."""
+    """One row per record of the WARC files under path, but for warcinfo; digests and lengths of stored payloads are checked."""
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    names = ["key", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id"]
 
     def run(batches):
+        def done(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
         for batch in batches:
-            for content in batch.column(0).to_pylist():
+            for i in range(batch.num_rows):
                 rows = []
-                for head, block in parse_warc(gzip.decompress(content)):
-                    sha, kind, n = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], int(head["X-Payload-Length"])
-                    if kind == "response":
-                        payload = block.partition(b"\r\n\r\n")[2]
+                for head, block in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(batch.column(0)[i].as_py()))):
+                    kind = head["WARC-Type"]
+                    if kind == "warcinfo":
+                        continue
+                    sha, n = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
+                    if kind != "revisit":
+                        payload = block[len(http_part(block) or b"") :] if kind == "response" else block
                         if digest(payload) != sha or len(payload) != n:
                             raise ValueError(f"digest of {head['WARC-Record-ID']} does not match")
                     number = lambda k: int(head[k]) if k in head else None  # noqa: E731, B023
-                    rows.append((number("X-Key"), head["WARC-Target-URI"], n, sha, kind, number("X-Refers-To-Key")))
-                types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                    rows.append((number("X-Key"), head["WARC-Target-URI"], n, sha, kind, number("X-Refers-To-Key"), head["WARC-Record-ID"], head.get("WARC-Refers-To")))
+                    if len(rows) == ROWS:
+                        yield done(rows)
+                        rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["key", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    yield done(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, "key long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return files.mapInArrow(run, "key long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string")
 
 
 def archived(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """Pages as ARC files, converted to WARC files in the shared folder and read back: a row per page.
 
-    A null text is an empty payload; equal payloads of any length are stored once.
-    Rows equal in key and payload are all responses, or all revisits.  Other columns
+    A null text is an empty payload; equal payloads of any length are stored once, by
+    the page with the largest key, the others revisit it; of rows equal in key and
+    payload one is stored.  A null key comes before all others.  Other columns
     are ignored.  An empty table gives no rows.
     """
     spark = pages.sparkSession

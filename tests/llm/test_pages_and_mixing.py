@@ -1,7 +1,9 @@
 """Archives, HTML, mixing and the pipeline."""
 
 import base64
+import gzip
 import hashlib
+import io
 import math
 import random
 import re
@@ -30,20 +32,45 @@ def test_warc_round_trip(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, key long")
     got = warc.archived(df).collect()
     assert len(got) == len(rows)
-    last = {}
-    for k, _, h, _ in rows:
-        if k is not None:
-            last[h or ""] = max(last.get(h or "", -1), k)
     want = []
-    for k, _, h, _ in rows:
-        w = last.get(h or "")
-        refers = w is not None and w != k
-        want.append((k, len((h or "").encode()), b32(h), "revisit" if refers else "response", w if refers else None))
+    for h in {h or "" for _, _, h, _ in rows}:
+        same = sorted((k for k, _, x, _ in rows if (x or "") == h), key=lambda k: (k is not None, k))
+        want += [(k, len(h.encode()), b32(h), "response" if i == len(same) - 1 else "revisit", None if i == len(same) - 1 else same[-1]) for i, k in enumerate(same)]
     key = lambda r: str(r)
     assert sorted(((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+    stored_ids = {r.record_id: r.payload_digest for r in got if r.record_type == "response"}
+    assert all(stored_ids[r.refers_to_id] == r.payload_digest for r in got if r.record_type == "revisit")
     assert warc.archived(df.filter("false")).count() == 0
 
 
+def test_warc_files_are_members_chunks_and_resources(spark, tmp_path, monkeypatch):
+    """Blocks without an HTTP header, without keys, and with half a header; every record a gzip member; files capped."""
+    blocks = [b"hello", b"hello", b"HTTP/1.0 200 OK\nX: y\n\nbody", b"HTTP/1.0 204", b"", b"body", random.Random(1).randbytes(3_000_000), b"\x00" * 20_000_000]
+    content = warc.arc_head(1, "z.arc")
+    for i, b in enumerate(blocks):
+        content += f"dns:{i} 1.1.1.1 19970305 text/dns {len(b)}\n".encode() + b + b"\n"
+    files = spark.createDataFrame([("z.arc", content)], warc.ARC_SCHEMA)
+    out = str(tmp_path / "out")
+    warc.convert(files, out)
+    got = {int(r.url[4:]): r for r in warc.read_back(spark, out).collect()}
+    assert [got[i].record_type for i in range(8)] == ["revisit", "resource", "revisit", "revisit", "resource", "resource", "resource", "resource"]
+    assert got[0].refers_to_id == got[1].record_id and got[2].refers_to_id == got[5].record_id and got[2].refers_to is None
+    assert [got[i].payload_bytes for i in range(8)] == [5, 5, 4, 0, 0, 4, 3_000_000, 20_000_000]
+    parts = [p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*"))]
+    records = 0
+    for data in parts:
+        whole = list(warc.parse_warc(gzip.GzipFile(fileobj=io.BytesIO(data))))
+        assert whole[0][0]["WARC-Type"] == "warcinfo"
+        at = 0  # members one by one, as a reader that seeks does
+        while at < len(data):
+            one = zlib.decompressobj(31)
+            text = one.decompress(data[at:])
+            records += text.startswith(b"WARC/1.1")
+            at = len(data) - len(one.unused_data)
+        assert at == len(data)
+    assert records >= 9
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_parses_declared_lengths(version):
     name = "a.arc"
