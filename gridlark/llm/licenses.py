@@ -3,9 +3,10 @@
 The automaton holds every run of words of every template.  A text streams through
 it; at each word the state and the length say the longest run ending there that
 some template holds: the matching statistics.  A run that the next word does not
-extend is maximal; maximal runs of MIN_RUN words or more are placed in the templates
-they occur in, chained in template order within a text, and a template is found
-when the chain covers enough of it.  Base phrases are templates too; each place
+extend is maximal; long maximal runs (MIN_RUN words or more, LONG_RUN in templates of
+LONG words or more) are placed in the templates they occur in, chained in template
+order within a text, and a template is found when the chain covers enough of it and
+lies in no larger one that is found.  Base phrases are templates too; each place
 where one ends is read off the state and its suffix links.
 
 Words outside the templates, and pairs of words that no template has, are ruled out
@@ -21,27 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.text import ALNUM_WORD, LOWER, string_chunks, window_hashes, word_hashes, word_spans
+from gridlark.llm.license_texts import TEMPLATES, whole_texts
+from gridlark.llm.text import ALNUM_WORD, LOWER, string_chunks, window_hashes, with_text, word_hashes, word_spans
 
 #: Phrases and the labels they give.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Openings of well-known license texts and notices, and their labels.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2.0", "licensed under the apache license version 2.0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4.0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4.0"),
-    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4.0 international license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-)
-#: Words of the shortest maximal run that is chained, and the share of a template that a chain must cover.
-MIN_RUN, COVERED = 3, 0.75
+#: Words of the shortest maximal run that is chained, of that in long templates, from how many words on a template is long, and the share of a template that a chain must cover.
+MIN_RUN, LONG_RUN, LONG, COVERED = 3, 6, 60, 0.75
 
 
 def words_of(text: str) -> list[bytes]:
@@ -59,18 +46,24 @@ def _hash(words: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Automaton:
-    """States of a suffix automaton over word numbers; ends[state] has (template, place after the run's last word)."""
+    """States of a suffix automaton over word numbers, and where runs end in the templates.
+
+    The states below one in the tree of suffix links hold its runs as suffixes.  The tree is walked
+    once: the ends (template, place after the run's last word) of all runs of a state are a slice.
+    """
 
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    ends: list[list[tuple[int, int]]] = field(default_factory=lambda: [[]])
+    own: list[list[tuple[int, int]]] = field(default_factory=lambda: [[]])
+    ends: list[tuple[int, int]] = field(default_factory=list)
+    slices: list[tuple[int, int]] = field(default_factory=list)
 
     def _state(self, length: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
         self.length.append(length)
         self.link.append(link)
-        self.ends.append([])
+        self.own.append([])
         return len(self.step) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
@@ -99,13 +92,27 @@ class Automaton:
         last = 0
         for place, c in enumerate(words, 1):
             last = self._extend(last, c)
-            self.ends[last].append((template, place))
+            self.own[last].append((template, place))
 
     def spread(self) -> None:
-        """Gives each state the ends of all runs that have its runs as suffixes."""
-        for s in sorted(range(1, len(self.step)), key=lambda s: -self.length[s]):
-            if self.link[s] > 0:
-                self.ends[self.link[s]] += self.ends[s]
+        """Lays out the ends in the order of the tree."""
+        below: list[list[int]] = [[] for _ in self.step]
+        for s in range(1, len(self.step)):
+            below[self.link[s]].append(s)
+        self.ends, self.slices = [], [(0, 0)] * len(self.step)
+        todo = [(0, -1)]
+        while todo:
+            s, began = todo.pop()
+            if began >= 0:
+                self.slices[s] = (began, len(self.ends))
+                continue
+            todo.append((s, len(self.ends)))
+            self.ends += self.own[s]
+            todo += [(c, -1) for c in below[s]]
+        self.own = []
+
+    def ends_of(self, s: int) -> list[tuple[int, int]]:
+        return self.ends[slice(*self.slices[s])]
 
     def find(self, words: list[int]) -> int:
         s = 0
@@ -132,12 +139,14 @@ class Scanner:
         self.hashes, self.numbers = hashes[order], order
         numbered = [[number[w] for w in t] for t in texts]
         self.sizes = [len(t) for t in texts]
+        self.least = min([MIN_RUN, *(n for n in self.sizes[: len(self.templates)] if n)])
         self.automaton = a = Automaton()
         for k, t in enumerate(numbered):
             a.add(k, t)
         a.spread()
-        pairs = np.concatenate([window_hashes(_hash(t), 2) for t in texts if len(t) > 1])
-        self.pairs = np.unique(pairs)
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(window_hashes(_hash(t), 2) for t in texts if len(t) > 1)]))
+        single = [t[0] for t in texts if len(t) == 1]
+        self.singles = np.unique(_hash(single)) if single else np.zeros(0, np.uint64)
         at = {a.find(t): (k, len(t)) for k, t in enumerate(numbered[len(self.templates) :])}
         self.phrase_ends: list[list[tuple[int, int]]] = []
         for s in range(len(a.step)):
@@ -154,7 +163,7 @@ class Scanner:
         places, runs = [], []
         for i, c in enumerate(words):
             if c not in a.step[s]:
-                if n >= MIN_RUN:
+                if n >= self.least:
                     runs.append((start + i - n, n, s))
                 while s and c not in a.step[s]:
                     s = a.link[s]
@@ -164,7 +173,7 @@ class Scanner:
             for phrase, k in self.phrase_ends[s]:
                 if k <= n:
                     places.append((start + i - k + 1, phrase))
-        if n >= MIN_RUN:
+        if n >= self.least:
             runs.append((start + len(words) - n, n, s))
         return places, runs
 
@@ -172,8 +181,8 @@ class Scanner:
         """For each template: words covered by its best chain of runs in order, and the chain's first and last word in the text."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for start, n, s in runs:
-            for template, place in self.automaton.ends[s]:
-                if template < len(self.templates):
+            for template, place in self.automaton.ends_of(s):
+                if template < len(self.templates) and n >= min(self.sizes[template], LONG_RUN if self.sizes[template] >= LONG else MIN_RUN):
                     by.setdefault(template, []).append((start, place - n, n))
         out = {}
         for template, found in by.items():
@@ -189,29 +198,42 @@ class Scanner:
                 chains.append(best)
                 if template not in out or best[0] > out[template][0]:
                     out[template] = (best[0], best[2], best[3])
-        return out
+        # a found template within a larger found one is part of it
+        found = {t for t, (covered, _, _) in out.items() if covered >= COVERED * self.sizes[t]}
+        inner = {t for t in found for u in found if out[u][0] > out[t][0] and out[u][1] <= out[t][1] and out[t][2] <= out[u][2]}
+        return {t: x for t, x in out.items() if t not in inner}
+
+
+def _among(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def _scan(scanner, n_id: int):
+def _scan(scanner, kept: int, text_at: int):
     span = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("covered", pa.float64())]))
 
     def run(batches):
         sc: Scanner = scanner.value
         phrase_labels = list(sc.phrases.values())
         for batch in batches:
-            for lo, hi, data, offsets in string_chunks(batch.column(n_id)):
+            for lo, hi, data, offsets in string_chunks(batch.column(text_at)):
                 data = LOWER[data]
                 starts, ends, first = word_spans(data, offsets, ALNUM_WORD)
                 hashes = word_hashes(data, starts, ends)
                 pair = window_hashes(hashes, 2)
-                at = np.minimum(np.searchsorted(sc.pairs, pair), len(sc.pairs) - 1)
-                near = sc.pairs[at] == pair
+                near = _among(sc.pairs, pair)
                 inside = np.ones(len(near), bool)
                 cut = first[1:-1]
                 inside[cut[(cut > 0) & (cut <= len(near))] - 1] = False  # pairs across two texts
                 near &= inside
                 edge = np.diff(np.r_[0, near.astype(np.int8), 0])
                 begins, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1  # words begins..stops-1
+                if len(sc.singles):
+                    alone = _among(sc.singles, hashes)
+                    alone &= ~(np.r_[near, False] | np.r_[False, near])[: len(alone)]
+                    begins, stops = np.r_[begins, np.flatnonzero(alone)], np.r_[stops, np.flatnonzero(alone) + 1]
                 owner = np.searchsorted(first, begins, side="right") - 1
                 found: dict[int, tuple[list, list]] = {}
                 for d, b, e in zip(owner.tolist(), begins.tolist(), stops.tolist()):
@@ -233,13 +255,13 @@ def _scan(scanner, n_id: int):
                     ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(i).slice(lo, n) for i in range(n_id)),
+                        *(batch.column(i).slice(lo, n) for i in range(kept)),
                         pa.array(np.diff(first).astype(np.int64)),
                         *(pa.array(out[k], pa.int64()) for k in ("n_base", "first_word", "last_word")),
                         pa.array(out["base_labels"], pa.list_(pa.string())),
                         pa.array(out["spans"], span),
                     ],
-                    [*(f"c{i}" for i in range(n_id)), "n_words", *out],
+                    [*(f"c{i}" for i in range(kept)), "n_words", *out],
                 )
 
     return run
@@ -251,13 +273,13 @@ def scanned(docs: DataFrame, id_cols: list[str], text_col: str = "text", templat
     spans has each template's best chain, whatever it covers; COVERED is the share
     from which a template counts as found.  A null or empty text has no words and no
     spans.  Repeated rows each give a row; an empty table gives none.  Other columns
-    are ignored.  The templates are a parameter of the job, not data: the automaton
+    are ignored; id_cols named like an added column give way to it.  The templates are a parameter of the job, not data: the automaton
     does not grow with docs.
     """
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(tuple(templates), phrases or PHRASES))
-    base = docs.select(*id_cols, F.col(text_col).cast("string"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]] + ["n_words long, n_base long, first_word long, last_word long, base_labels array<string>, spans array<struct<label:string,first:long,last:long,covered:double>>"])
-    return base.mapInArrow(_scan(scanner, len(id_cols)), schema)
+    base, kept, at, schema = with_text(docs, id_cols, text_col, ("n_words", "n_base", "first_word", "last_word", "base_labels", "spans"))
+    schema = ", ".join(x for x in [schema, "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, spans array<struct<label:string,first:long,last:long,covered:double>>"] if x)
+    return base.mapInArrow(_scan(scanner, len(kept), at), schema)
 
 
 def labels():

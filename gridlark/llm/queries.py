@@ -60,8 +60,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = licenses.scanned(table(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(licenses.labels(), ",").alias("labels"), licenses.score().alias("score"))
+    out = licenses.scanned(table(spark, sf_dir, "documents"), ["doc_id"], templates=licenses.TEMPLATES + licenses.whole_texts())
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(licenses.labels(), ",").alias("labels"), licenses.score().alias("score"), F.filter("spans", lambda s: s["covered"] >= licenses.COVERED).alias("found"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

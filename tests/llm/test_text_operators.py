@@ -186,7 +186,7 @@ def test_decontamination(spark):
 
 
 def test_licenses(spark):
-    mit = dict(licenses.TEMPLATES)["mit"]
+    mit = next(t for label, t in licenses.TEMPLATES if label == "mit")
     texts = [None, "", "CC-BY cc by CC BY 4.0", "All rights, reserved. all rights all rights reserved", mit.upper(), "x " * 50 + mit.replace("granted", "hereby given") + " y", "the of and " * 5000, "licensed under cc by nc 4.0 licensed"]
     texts += [texts[2]]
     got = {r.doc_id: r for r in licenses.scanned(docs(spark, texts), ["doc_id"]).select("*", licenses.labels().alias("labels"), licenses.score().alias("score")).collect()}
@@ -196,10 +196,61 @@ def test_licenses(spark):
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(hits), min(hits)[0] if hits else None, max(hits)[0] if hits else None, sorted({x for _, x in hits}))
         assert 0 <= r.score <= 1 and set(r.base_labels) <= set(r.labels)
-    assert "mit" in got[4].labels and "mit" in got[5].labels and got[6].labels == [] and "cc-by-nc-4.0" in got[7].labels
+    assert got[4].labels == ["mit"] and got[5].labels == ["mit"] and got[6].labels == [] and "cc-by-nc-4.0" in got[7].labels
     assert licenses.scanned(docs(spark, []), ["doc_id"]).count() == 0
 
 
+def test_whole_license_texts(spark, tmp_path):
+    """Texts of a folder, whole and with every 20th word changed; a text within a larger one does not count; phrases of one word."""
+    rnd = random.Random(8)
+    body = [" ".join(rnd.choice("abcdefghijklmnop") + str(rnd.randrange(40)) for _ in range(n)) for n in (3000, 300)]
+    (tmp_path / "ABC-2").write_text(body[0])
+    (tmp_path / "ABC-2.1").write_text(body[0][: len(body[0]) // 2] + " " + body[1])
+    whole = licenses.whole_texts(str(tmp_path))
+    assert [label for label, _ in whole] == ["abc-2.0", "abc-2.1"] and licenses.whole_texts(str(tmp_path / "none")) == ()
+    bsd = [t for label, t in licenses.TEMPLATES if label.startswith("bsd-")]
+    edited = " ".join("new" if i % 20 == 9 else w for i, w in enumerate(body[0].split()))
+    texts = [body[0], "Pre " + edited + " post", whole[1][1], bsd[0], bsd[1], body[0][: len(body[0]) // 2], "solo x solo"]
+    got = {r.doc_id: r for r in licenses.scanned(docs(spark, texts), ["doc_id"], templates=licenses.TEMPLATES + whole, phrases={"solo": "one", "a b": "two"}).select("*", licenses.labels().alias("labels")).collect()}
+    assert [got[i]["labels"] for i in range(7)] == [["abc-2.0"], ["abc-2.0"], ["abc-2.1"], ["bsd-2-clause"], ["bsd-3-clause"], ["abc-2.1"] if got[5].labels else [], ["one"]]
+    assert (got[6].n_base, got[6].first_word, got[6].last_word) == (2, 0, 2)
+
+
+def test_chains_against_every_chain():
+    rnd = random.Random(9)
+    for _ in range(60):
+        templates = tuple((str(i), " ".join(rnd.choice("abcde") for _ in range(rnd.randrange(6, 14)))) for i in range(3))
+        sc = licenses.Scanner(templates, {"zz z": "z"})
+        number = {w.decode(): i for i, w in enumerate(sc.vocabulary)}
+        text = [c for c in (rnd.choice("abcde") for _ in range(14)) if c in number]
+        _, runs = sc.scan([number[c] for c in text], 0)
+        best = {}
+        for start, n, state in runs:
+            for template, place in sc.automaton.ends_of(state):
+                if template < 3:
+                    best.setdefault(template, []).append((start, place - n, n))
+
+        def longest(found, covered, end, last, size):
+            top = covered
+            for start, at, n in found:
+                fresh = n - max(0, end - at)
+                if at + n > end and start > last - max(0, end - at) and start > last - n and fresh > 0 and start - last <= 3 * size and (start, at, n) > last_of[0]:
+                    kept, last_of[0] = last_of[0], (start, at, n)
+                    top = max(top, longest(found, covered + fresh, at + n, start + n - 1, size))
+                    last_of[0] = kept
+            return top
+
+        for template, found in best.items():
+            last_of = [(-1, -1, -1)]
+            tops = []
+            for one in found:
+                last_of[0] = one
+                tops.append(longest(found, one[2], one[1] + one[2], one[0] + one[2] - 1, sc.sizes[template]))
+            chained = sc.chained(runs)
+            if template in chained:
+                assert chained[template][0] == max(tops)
+
+
 def test_matching_statistics():
     """The automaton's longest matches equal those found by trying every run."""
     rnd = random.Random(4)
