@@ -5,7 +5,7 @@ and punctuation, fitted on a bounded sample of a labelled table, gives posterior
 over domains.  Nonnegative rates, one for each
 document, are fitted by projected gradient steps to
 
-    minimise  1/2 sum_k ((sum_d r_d t_d p_dk - T_k) / S)^2 + RIDGE/2 sum_d (t_d / S) (r_d - 1)^2,   r >= 0
+    minimise  1/2 sum_k ((sum_d r_d t_d p_dk - T_k) / S)^2 + RIDGE/2 sum_d (t_d / S) (r_d - 1)^2,   0 <= r <= MOST
 
 where t are tokens, p posteriors, S all tokens and T_k target tokens: expected
 totals of the domains come near their targets with rates as even as that allows.  The
@@ -16,7 +16,8 @@ steps few.  Every document takes part in every step.
 The ridge holds rates short of the targets, most of all in small domains.  So a last
 step takes, instead of its residuals, the K multipliers with which its projected rates
 meet the targets: Newton steps find them, each again one sum over the documents, of
-K totals and K x K curvatures.
+K totals and K x K curvatures.  A target beyond MOST times what its domain has cannot be
+met: it takes no part in the last step, so that it distorts nothing, and is reported.
 """
 
 from __future__ import annotations
@@ -39,9 +40,11 @@ BUCKETS, ROUNDS, RATE, PENALTY = 1 << 14, 120, 0.1, 2e-5
 TEMPERATURES = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 8.0)
 _MARKS = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F) & ~ALNUM_WORD
 RIDGE, STEPS = 0.005, 50
-#: The share of its target from which a domain's miss is reported; the multipliers' penalty, which keeps them finite where no rates meet the targets, the largest share of its target a domain may miss, Newton steps at most, and the lengths of a step tried in one pass.
+#: The largest rate: further repeats of a text teach a model little.
+MOST = 4.0
+#: The share of its target from which a domain's miss is reported; the multipliers' penalty: a domain misses its target by that times its multiplier; the precision of the multipliers as a share of the targets, Newton steps at most, and the lengths of a step tried in one pass.
 MET = 0.01
-SLACK, CLOSE, NEWTON, LENGTHS = 1e-8, 1e-4, 60, (1.0, 0.5, 0.2, 0.05, 0.005)
+SLACK, CLOSE, NEWTON, LENGTHS = 1e-6, 1e-4, 60, (1.0, 0.5, 0.2, 0.05, 0.005)
 
 
 @dataclass(frozen=True)
@@ -152,11 +155,11 @@ def classifier(docs: DataFrame, labels: DataFrame, domains: tuple[tuple[str, str
 
 
 def _rates(p: np.ndarray, residuals: np.ndarray) -> np.ndarray:
-    """The rates that follow the residuals of the steps so far, each projected to nonnegative numbers, with momentum."""
+    """The rates that follow the residuals of the steps so far, each projected to 0 to MOST, with momentum."""
     r = np.ones(len(p))
     y, t = r, 1.0
     for e in residuals:
-        new = np.maximum(0.0, y - (p @ e + RIDGE * (y - 1)) / (1 + RIDGE))
+        new = np.clip(y - (p @ e + RIDGE * (y - 1)) / (1 + RIDGE), 0.0, MOST)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - r)
         r, t = new, t_new
@@ -164,19 +167,20 @@ def _rates(p: np.ndarray, residuals: np.ndarray) -> np.ndarray:
 
 
 def _closings(p: np.ndarray, tokens: np.ndarray, residuals: np.ndarray, tried: np.ndarray) -> list[np.ndarray]:
-    """For each multipliers tried as the last step's residuals: half the squared rates by tokens, the K totals, and the K x K curvatures."""
+    """For each multipliers tried as the last step's residuals: the rates' part of the height by tokens, the K totals, and the K x K curvatures."""
     y = _rates(p, residuals)[1]
     out = []
     for e in tried:
-        r = np.maximum(0.0, y - (p @ e + RIDGE * (y - 1)) / (1 + RIDGE))
-        out.append(np.r_[(tokens * r * r).sum() / 2, (r * tokens) @ p, (p.T @ (p * (tokens * (r > 0))[:, None])).ravel()])
+        free = y - (p @ e + RIDGE * (y - 1)) / (1 + RIDGE)
+        r = np.clip(free, 0.0, MOST)
+        out.append(np.r_[(tokens * (free * r - r * r / 2)).sum(), (r * tokens) @ p, (p.T @ (p * (tokens * (r == free))[:, None])).ravel()])
     return out
 
 
 def fitted(memberships: DataFrame, n_domains: int, shares: list[float], budget: float | None = None, steps: int = STEPS) -> tuple[np.ndarray, list[float], list[float]]:
     """Residuals of each step, the last row the multipliers, the target totals and the totals reached, for memberships (tokens, p). budget: target tokens in all; None: as many as there are.
 
-    Where no nonnegative rates meet the targets, the totals reached come as near to them as rates can.
+    Where no rates meet the targets, the totals reached come as near to them as rates can.
     """
     narrow, k = memberships.select("tokens", "p"), n_domains
 
@@ -202,18 +206,25 @@ def fitted(memberships: DataFrame, n_domains: int, shares: list[float], budget:
         if len(residuals) > 1 and np.abs(residuals[-1] - residuals[-2]).max() < 1e-6:
             break
 
+    # all rates are one in the first step, so its residuals tell what each domain has
+    have = residuals[0] * size + target
+    within = target <= MOST * have
+    goal = np.where(within, target, have)
+
     def tried(e: np.ndarray):
         """Of the multipliers in the rows of e the best: it, its height, slope and curvature, and its totals."""
         found = summed(lambda p, tokens: np.concatenate(_closings(p, tokens, residuals, e))).reshape(len(e), -1) / size
-        heights = (1 + RIDGE) * found[:, 0] + e @ target / size + SLACK / 2 * (e * e).sum(axis=1)
+        heights = (1 + RIDGE) * found[:, 0] + e @ goal / size + SLACK / 2 * (e * e).sum(axis=1)
         i = int(np.argmin(heights))
         totals = found[i, 1 : k + 1]
-        return e[i], heights[i], target / size - totals + SLACK * e[i], found[i, k + 1 :].reshape(k, k) / (1 + RIDGE) + SLACK * np.eye(k), totals * size
+        slope = np.where(within, goal / size - totals + SLACK * e[i], 0.0)
+        curve = np.where(np.outer(within, within), found[i, k + 1 :].reshape(k, k) / (1 + RIDGE), 0.0)
+        return e[i], heights[i], slope, curve + np.diag(np.where(within, SLACK, 1.0)), totals * size
 
-    best = tried(residuals[-1:])
+    best = tried(np.where(within, residuals[-1:], 0.0))
     for _ in range(NEWTON):
         e, height, slope, curve, totals = best
-        if (np.abs(totals - target) <= CLOSE * target).all():
+        if (np.abs(slope) * size <= CLOSE * np.maximum(target, CLOSE * size)).all():
             break
         found = tried(e - np.outer(LENGTHS, np.linalg.solve(curve, slope)))
         if not found[1] < height:

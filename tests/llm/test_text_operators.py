@@ -375,7 +375,7 @@ def test_pii_recall_on_other_texts(spark):
         digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
         word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9)))
         phone, code = f"{digits(3)}{rnd.choice('-. ')}{digits(3)}{rnd.choice('-. ')}{digits(4)}", "".join(rnd.choice("0123456789abcdef") for _ in range(40))
-        planted, body = rnd.choice([(phone, f"{rnd.choice(['call', 'Phone:', 'tel. ', 'fax'])} {phone}"), (m := f"{word()} (at) {word()}.org", m), (code, f"token = \"{code}\""), ("", f"order {phone}"), ("", f"in {digits(4)} {digits(4)}"), ("", f"we {word()} (at) {word()}"), ("", word() * 4)])
+        planted, body = rnd.choice([(phone, f"{rnd.choice(['call', 'Phone:', 'tel.', 'fax'])} {phone}"), (m := f"{word()} (at) {word()}.org", m), (code, f"token = \"{code}\""), ("", f"order {phone}"), ("", f"in {digits(4)} {digits(4)}"), ("", f"we {word()} (at) {word()}"), ("", word() * 4)])
         return planted, f"{word()} {word()} {body} {word()}"
 
     train, test = [text(i) for i in range(1500)], [text(i) for i in range(400)]
