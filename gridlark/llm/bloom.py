@@ -9,7 +9,7 @@ serves every size, and what is broadcast stays bounded.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +43,6 @@ def built(keys: DataFrame, max_words: int = MAX_WORDS) -> Broadcast:
     words = min(max_words, 1 << max(6, int(n / KEYS_A_WORD).bit_length()))
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             word, bits = _places(batch.column(0).to_numpy(zero_copy_only=False), words)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
@@ -63,8 +61,8 @@ def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def passes(shared: Broadcast, key: Column) -> Column:
     """Whether a long may be one of the filter's keys; only the key goes through Python."""
 
-    @F.pandas_udf("boolean")
-    def test(keys: pd.Series) -> pd.Series:
-        return pd.Series(may_hold(shared.value, keys.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def test(keys: pa.Array) -> pa.Array:
+        return pa.array(may_hold(shared.value, keys.to_numpy(zero_copy_only=False)))
 
     return test(key)

@@ -23,6 +23,8 @@ from gridlark.llm.text import SPACE_WORD, string_chunks, window_hashes, with_tex
 
 #: Documents of each task on which costs and rejections are estimated.
 SAMPLE_ROWS = 256
+#: Share of a chunk's texts still to be judged from which on those are copied together.
+SHRINK = 0.75
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _LEADS = (np.arange(256) & 0xC0) != 0x80  # the first byte of a code point
@@ -36,13 +38,19 @@ class Texts:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
         self.measures: dict[str, np.ndarray] = {}
-        self._words = None
+        self._words = self._hashes = None
 
     def words(self):
         if self._words is None:
             self._words = word_spans(self.data, self.offsets, SPACE_WORD)
         return self._words
 
+    def hashes(self):
+        if self._hashes is None:
+            starts, ends, _ = self.words()
+            self._hashes = word_hashes(self.data, starts, ends)
+        return self._hashes
+
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sums of a number for each byte."""
         total = np.zeros(len(flags) + 1, np.int64)
@@ -92,7 +100,7 @@ def _measure_repeats(t: Texts) -> dict:
     """Words inside 3-word windows that the text holds twice or more."""
     starts, ends, first = t.words()
     owner = np.repeat(np.arange(t.n), np.diff(first))
-    windows = window_hashes(word_hashes(t.data, starts, ends), 3)
+    windows = window_hashes(t.hashes(), 3)
     of = owner[: len(windows)]
     inside = np.flatnonzero(of == owner[2:]) if len(windows) else np.zeros(0, np.int64)
     order = inside[np.lexsort((windows[inside], of[inside]))]
@@ -120,7 +128,7 @@ def _measure_variety(t: Texts) -> dict:
     """Distinct words."""
     starts, ends, first = t.words()
     owner = np.repeat(np.arange(t.n), np.diff(first))
-    h = word_hashes(t.data, starts, ends)
+    h = t.hashes()
     order = np.lexsort((h, owner))
     h, o = h[order], owner[order]
     fresh = np.ones(len(h), bool)
@@ -129,16 +137,14 @@ def _measure_variety(t: Texts) -> dict:
 
 
 def _measure_characters(t: Texts) -> dict:
-    """Code points, and how often the commonest one stands."""
-    leads = np.flatnonzero(_LEADS[t.data])
-    points = np.frombuffer(t.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
-    if len(points) != len(leads):  # not UTF-8: bytes count
-        leads, points = np.arange(len(t.data)), t.data.astype(np.int64)
-    owner = np.searchsorted(t.offsets, leads, "right") - 1
-    keys, counts = np.unique((owner << 21) | points, return_counts=True)
-    top = np.zeros(t.n, np.int64)
-    np.maximum.at(top, keys >> 21, counts)
-    return {"n_chars": np.bincount(owner, minlength=t.n), "n_top_char": top}
+    """Code points, and how often the commonest one stands. The commonest byte stands at least as often: its count will do where it is no more than half."""
+    n_chars = t.per_text(_LEADS[t.data])
+    owner = np.repeat(np.arange(t.n), np.diff(t.offsets))
+    top = np.bincount(owner * 256 + t.data, minlength=256 * t.n).reshape(-1, 256).max(axis=1, initial=0)
+    for i in np.flatnonzero(2 * top > n_chars):
+        points = np.frombuffer(t.data[t.offsets[i] : t.offsets[i + 1]].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        top[i] = np.unique(points, return_counts=True)[1].max(initial=0)
+    return {"n_chars": n_chars, "n_top_char": top}
 
 
 GROUPS: dict[str, tuple[Callable[[Texts], dict], tuple[str, ...]]] = {
@@ -208,11 +214,13 @@ def _judged_lazily(t: Texts, rules: tuple[Rule, ...], order: list[int]) -> np.nd
     by, alive, left = np.full(t.n, -1), np.arange(t.n), t
     for k in order:
         _need(left, rules[k].groups)
-        rejected = rules[k].rejects(left.measures)
+        rejected = rules[k].rejects(left.measures) & (by[alive] < 0)
         by[alive[rejected]] = k
-        alive, left = alive[~rejected], left.some(~rejected)
-        if not len(alive):
+        going = by[alive] < 0
+        if not going.any():
             break
+        if going.mean() < SHRINK:  # texts are copied only where enough of them drop out
+            alive, left = alive[going], left.some(going)
     return by
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text worked on at once: the numpy scratch arrays take about 60 times that.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _BYTES = np.arange(256)
 #: `[^\x20\x09-\x0D]+`
