@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.operators.intervals import positions_in
+from gridlark.operators.running import running
 
 
 def matched(query: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
@@ -14,21 +15,44 @@ def matched(query: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     return q.join(t, keys, "full_outer").select(*keys, F.when(F.col("_q") & F.col("_t"), "TP").when(F.col("_q"), "FP").otherwise("FN").alias("tag"))
 
 
-def sweep(scored: DataFrame, score: str = "score", tag: str = "tag") -> DataFrame:
+def level_ranks(rows: DataFrame, value: str, bins: int = 1024) -> DataFrame:
+    """(value, rank): the distinct values' places from the largest, 1 first. Distinct values are dealt by range, and each range starts at the counts of those above it."""
+    levels = rows.select(value).distinct()
+    ends = levels.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    scaled = F.floor((F.col("_hi") - F.col(value)) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)) * (bins - 1))
+    cut = levels.crossJoin(F.broadcast(ends)).withColumn("_bin", scaled)  # one row of two numbers
+    above = Window.partitionBy(F.lit(0)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most `bins` rows
+    starts = cut.groupBy("_bin").agg(F.count("*").alias("_n")).select("_bin", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy(F.desc(value)))
+    return cut.join(starts, "_bin").select(value, (F.col("_start") + place).cast("int").alias("rank"))
+
+
+def sweep(scored: DataFrame, score: str = "score", tag: str = "tag", width: int = 16) -> DataFrame:
     """For each score as threshold: tp, fp, fn, filtered, precision, recall.
 
-    Counts by score first; what is ordered is one row per distinct score.
+    Counts by score first; the sums over higher scores are carried across bins of `width` scores.
     """
     by = scored.groupBy(score).agg(F.count_if(F.col(tag) == "TP").alias("t"), F.count_if(F.col(tag) == "FP").alias("f"))
-    up = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    out = by.select(score, F.sum("t").over(up).alias("tp"), F.sum("f").over(up).alias("fp"), F.sum("t").over(every).alias("_t"), F.sum("f").over(every).alias("_f"))
+    all_ = by.agg(F.sum("t").alias("_t"), F.sum("f").alias("_f"))
+    down = by.withColumns({"_one": F.lit(1), "_down": -F.col(score)})
+    out = running(down, ["_one"], "_down", {"tp": ("sum", F.col("t")), "fp": ("sum", F.col("f"))}, width=width).crossJoin(F.broadcast(all_))  # one row
     return out.select(score, "tp", "fp", (F.col("_t") - F.col("tp")).alias("fn"), (F.col("_t") + F.col("_f") - F.col("tp") - F.col("fp")).alias("filtered"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.when(F.col("_t") > 0, F.col("tp") / F.col("_t")).otherwise(F.lit(0.0)).alias("recall"))
 
 
 def calibration(scored: DataFrame, bins: int, part: list[str], score: str = "score", tie: str = "id", tag: str = "tag") -> DataFrame:
-    """Equal-count bins of each part by score: median score, precision, rows."""
-    cut = scored.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*part).orderBy(score, tie)))
+    """Equal-count bins of each part by score: median score, precision, rows.
+
+    A row's rank is the rows of lower scores, carried across scores, and its place
+    within its score, so that no part meets in one task; the first bins are a row larger.
+    """
+    per = scored.groupBy(*part, score).agg(F.count("*").alias("_n"))
+    below = running(per, part, score, {"_below": ("sum", F.col("_n"))}, before=True, width=16).select(*part, score, "_below")
+    size = per.groupBy(*part).agg(F.sum("_n").alias("_all"))
+    place = F.row_number().over(Window.partitionBy(*part, score).orderBy(tie)) - 1 + F.col("_below")
+    ranked = scored.join(below, [*part, score]).join(size, part).withColumn("_k", place)
+    small, over = F.floor(F.col("_all") / bins), F.col("_all") % bins
+    bin_ = F.when(F.col("_k") < over * (small + 1), F.floor(F.col("_k") / (small + 1))).otherwise(over + F.floor((F.col("_k") - over * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
+    cut = ranked.withColumn("bin", bin_.cast("int"))
     return cut.groupBy(*part, "bin").agg(F.median(score).alias("median_score"), F.avg((F.col(tag) == "TP").cast("int")).alias("precision"), F.count("*").alias("n"))
 
 
@@ -63,8 +87,6 @@ def balanced(rows: DataFrame, tag: str, keys: list[str], seed: int = 1) -> DataF
 
 def until(rows: DataFrame, weight: str, target: int, keys: list[str], seed: int = 1) -> DataFrame:
     """The prefix of a hash order whose weights reach the target: an early-stopping sample."""
-    from gridlark.operators.running import running
-
     h = rows.withColumn("_h", F.shiftright(hash_ordered([F.col(k) for k in keys], seed), 16)).withColumn("_one", F.lit(1))
     summed = running(h, ["_one"], "_h", {"_sum": ("sum", F.col(weight))}, keys, before=True, width=1 << 40)
     return summed.filter(F.col("_sum") < target).drop("_h", "_one", "_sum")

@@ -5,7 +5,7 @@ from __future__ import annotations
 OBS = """obs AS (SELECT l_partkey AS pos, l_returnflag AS base, CAST(floor(l_quantity) AS INT) AS q, l_linestatus = 'F' AS is_fwd, CAST(l_linenumber % 2 AS INT) AS sample,
  l_suppkey AS lib, CAST(floor(l_discount * 100 + 0.5) AS INT) * 6 AS mapq, l_orderkey AS read_id, CAST(l_linenumber AS INT) AS read_pos FROM lineitem)"""
 REF = "ref AS (SELECT p_partkey AS pos, ['A','N','R'][CAST(p_size % 3 AS INT) + 1] AS ref FROM part)"
-REG = "reg AS (SELECT p_brand AS contig, p_partkey AS b, p_partkey + p_size AS e, p_partkey AS id FROM part)"
+REG = "reg AS (SELECT p_brand AS contig, p_type AS kind, p_partkey AS b, p_partkey + p_size AS e, p_partkey AS id FROM part)"
 BOTH = f"WITH {OBS}, {REF}"
 EVENTS = "ev AS (SELECT event_id, user_id AS contig, CAST(floor((epoch_us(ts) - 1704067200000000) / 1000000.0) AS BIGINT) AS pos, event_type AS class, value FROM events)"
 SCORED = "sc AS (SELECT d.doc_id AS id, CAST(n_chars % 100 AS BIGINT) AS score, CASE WHEN quality = 1 THEN 'TP' ELSE 'FP' END AS tag, lang FROM documents d JOIN labels USING (doc_id))"
@@ -99,18 +99,18 @@ ORACLES: dict[str, str] = {
     "call_region_groups": f"WITH {REG} SELECT * FROM {merged('reg', 20)}",
     "region_coverage": f"""WITH {REG}, s AS (SELECT contig, pos, sum(d) AS d FROM (SELECT contig, b AS pos, 1 AS d FROM reg UNION ALL SELECT contig, e, -1 FROM reg) GROUP BY 1, 2 HAVING sum(d) <> 0)
  SELECT contig, pos AS "begin", nx AS "end", CAST(depth AS BIGINT) AS depth FROM (SELECT contig, pos, lead(pos) OVER w AS nx, sum(d) OVER w AS depth FROM s WINDOW w AS (PARTITION BY contig ORDER BY pos)) WHERE depth > 0""",
-    "positions_in_regions": f"WITH {REF}, {REG} SELECT pos, ref FROM ref WHERE EXISTS (SELECT 1 FROM reg WHERE id % 7 = 0 AND pos >= b AND pos < e)",
-    "positions_outside_regions": f"WITH {REF}, {REG} SELECT pos, ref FROM ref WHERE NOT EXISTS (SELECT 1 FROM reg WHERE id % 31 = 0 AND pos >= b AND pos < e)",
+    "positions_in_regions": f"WITH {REF}, {REG} SELECT pos, ref FROM ref WHERE EXISTS (SELECT 1 FROM reg WHERE kind = 'PROMO' AND pos >= b AND pos < e)",
+    "positions_outside_regions": f"WITH {REF}, {REG} SELECT pos, ref FROM ref WHERE NOT EXISTS (SELECT 1 FROM reg WHERE kind = 'ECONOMY' AND pos >= b AND pos < e)",
     "region_overlap": f"WITH {REG} SELECT x.contig, x.id, y.id AS id_b, least(x.e, y.e) - greatest(x.b, y.b) AS shared FROM reg x JOIN reg y ON x.contig = y.contig AND x.id < y.id AND x.b < y.e AND y.b < x.e",
-    "region_contained": f"WITH {REG}, m AS (SELECT * FROM {merged('(SELECT * FROM reg WHERE id % 3 > 0)')}) SELECT contig, id FROM reg WHERE id % 3 = 0 AND EXISTS (SELECT 1 FROM m WHERE m.contig = reg.contig AND reg.b >= m.\"begin\" AND reg.e <= m.\"end\")",
-    "region_payload": f"WITH {REF} SELECT pos, CAST(coalesce(x.p_size % 2, 2) AS INT) AS ploidy FROM ref LEFT JOIN (SELECT * FROM part WHERE p_partkey % 40 = 0) x ON pos >= x.p_partkey AND pos < x.p_partkey + least(x.p_size, 40)",
+    "region_contained": f"WITH {REG}, m AS (SELECT * FROM {merged("(SELECT * FROM reg WHERE kind >= 'M')")}) SELECT contig, id FROM reg WHERE kind < 'M' AND EXISTS (SELECT 1 FROM m WHERE m.contig = reg.contig AND reg.b >= m.\"begin\" AND reg.e <= m.\"end\")",
+    "region_payload": f"WITH {REG}, r AS (SELECT *, least(e, lead(b) OVER (PARTITION BY contig, kind ORDER BY b)) AS e2 FROM reg) SELECT p.contig, p.kind, p.b + 25 AS pos, CAST(coalesce((r.e - r.b) % 2, 2) AS INT) AS ploidy FROM reg p LEFT JOIN r ON p.contig = r.contig AND p.kind = r.kind AND p.b + 25 >= r.b AND p.b + 25 < r.e2",
     "region_conflicts": f"WITH {REG} SELECT x.contig, count(*) AS pairs FROM reg x JOIN reg y ON x.contig = y.contig AND x.id < y.id AND x.b < y.e AND y.b < x.e AND x.id % 3 <> y.id % 3 GROUP BY 1",
     "callable_blocks": f"""WITH {OBS}, c AS (SELECT pos FROM obs WHERE q >= 17 GROUP BY pos HAVING count(*) >= 18) SELECT 'all' AS contig, min(pos) AS "begin", max(pos) + 1 AS "end" FROM (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS g FROM c) GROUP BY g""",
     "gap_positions": f"WITH {OBS}, c AS (SELECT pos FROM obs WHERE q >= 17 GROUP BY pos HAVING count(*) >= 18) SELECT 'all' AS contig, CAST(x AS BIGINT) AS pos FROM (SELECT unnest(range((SELECT min(pos) FROM c), (SELECT max(pos) FROM c))) AS x) WHERE x NOT IN (SELECT pos FROM c)",
     "genome_segments": """WITH c AS (SELECT p_brand AS contig, CAST(sum(p_size) AS BIGINT) AS length FROM part GROUP BY 1), n AS (SELECT *, CAST(ceil(length / 100.0) AS BIGINT) AS k FROM c), s AS (SELECT *, unnest(range(k)) AS number FROM n)
  SELECT contig, number, number * (length // k) + least(number, length % k) AS "begin", number * (length // k) + least(number, length % k) + length // k + (CASE WHEN number < length % k THEN 1 ELSE 0 END) AS "end" FROM s""",
     "median_depth": f"WITH {OBS} SELECT sample, median(depth) AS median FROM (SELECT sample, pos, {_C('q >= 40')} AS depth FROM obs GROUP BY 1, 2) WHERE depth > 0 GROUP BY 1",
-    "region_depth": f"WITH {OBS}, {REG}, d AS (SELECT pos, count(*) AS depth FROM obs GROUP BY 1) SELECT id, median(depth) AS median, count(*) AS covered FROM reg JOIN d ON pos >= b AND pos < e WHERE id % 5 = 0 GROUP BY id",
+    "region_depth": f"WITH {OBS}, {REG}, d AS (SELECT pos, count(*) AS depth FROM obs GROUP BY 1) SELECT id, median(depth) AS median, count(*) AS covered FROM reg JOIN d ON pos >= b AND pos < e GROUP BY id",
     "rank_sum": f"""{BOTH}, b AS (SELECT pos, q, {_C('base = ref')} AS c1, {_C('base <> ref')} AS c2 FROM obs JOIN ref USING (pos) GROUP BY 1, 2),
  r AS (SELECT *, coalesce(sum(c1 + c2) OVER (PARTITION BY pos ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c1 + c2 + 1) / 2.0 AS rk FROM b),
  s AS (SELECT pos, CAST(sum(c1) AS BIGINT) AS n1, CAST(sum(c2) AS BIGINT) AS n2, CAST(sum(rk * c1) AS DOUBLE) AS w1, CAST(sum(rk * c2) AS DOUBLE) AS w2, CAST(sum(q * c2) AS DOUBLE) AS s2 FROM r GROUP BY pos),
@@ -162,28 +162,28 @@ ORACLES: dict[str, str] = {
     "calibration_bins": f"""WITH {SCORED} SELECT lang, CAST(bin AS INT) AS bin, CAST(median(score) AS DOUBLE) AS median_score, {tidy("avg(CASE WHEN tag = 'TP' THEN 1.0 ELSE 0.0 END)")} AS precision, count(*) AS n FROM (SELECT *, ntile(5) OVER (PARTITION BY lang ORDER BY score, id) AS bin FROM sc) GROUP BY 1, 2""",
     "confusion_table": f"""WITH {SCORED} SELECT tag, {_C('score >= 50')} AS "as_TP", {_C('score < 50')} AS "as_FP" FROM sc GROUP BY tag""",
     "truth_match": f"""{BOTH}, o AS (SELECT DISTINCT sample, pos, base FROM obs JOIN ref USING (pos) WHERE base <> ref AND q >= 40), m AS (SELECT pos, base, bool_or(sample = 1) AS q, bool_or(sample = 0) AS t FROM o GROUP BY 1, 2) SELECT CASE WHEN q AND t THEN 'TP' WHEN q THEN 'FP' ELSE 'FN' END AS tag, count(*) AS n FROM m GROUP BY 1""",
-    "labelled_regions": f"""WITH {REF}, {REG} SELECT pos, CASE WHEN pos % 10 = 0 THEN 'TP' WHEN EXISTS (SELECT 1 FROM reg WHERE id % 17 = 0 AND pos >= b AND pos < e) THEN 'FP' WHEN EXISTS (SELECT 1 FROM reg WHERE id % 17 = 1 AND pos >= b AND pos < e) THEN 'AMBI' ELSE 'UNK' END AS tag FROM ref""",
+    "labelled_regions": f"""WITH {REF}, {REG} SELECT pos, CASE WHEN pos % 10 = 0 THEN 'TP' WHEN EXISTS (SELECT 1 FROM reg WHERE kind = 'PROMO' AND pos >= b AND pos < least(e, b + 9)) THEN 'FP' WHEN EXISTS (SELECT 1 FROM reg WHERE kind = 'ECONOMY' AND pos >= b AND pos < least(e, b + 9)) THEN 'AMBI' ELSE 'UNK' END AS tag FROM ref""",
     "balanced_sample": f"WITH {SCORED}, c AS (SELECT tag, count(*) AS n FROM sc GROUP BY 1) SELECT tag, (SELECT min(n) FROM c) AS n FROM c",
-    "haplotype_counts": f"WITH {OBS}, h AS (SELECT read_id, string_agg(base, '' ORDER BY read_pos, base) AS hap FROM obs WHERE read_pos <= 3 GROUP BY 1), b AS (SELECT hap, count(*) AS n FROM h GROUP BY 1 HAVING count(*) >= 3) SELECT hap, n, CAST(dense_rank() OVER (ORDER BY n DESC) AS INT) AS rank FROM b",
+    "haplotype_counts": f"WITH {OBS}, h AS (SELECT read_id, string_agg(base, '' ORDER BY read_pos, base) AS hap FROM obs GROUP BY 1), b AS (SELECT hap, count(*) AS n FROM h GROUP BY 1) SELECT hap, n, CAST(dense_rank() OVER (ORDER BY n DESC) AS INT) AS rank FROM b",
     "kmer_counts": "WITH w AS (SELECT regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS s FROM part), k AS (SELECT s, unnest(range(1, CAST(length(s) AS BIGINT) - 2)) AS i FROM w WHERE length(s) >= 4) SELECT substr(s, i, 4) AS kmer, count(*) AS n FROM k GROUP BY 1",
     "run_lengths": f"""WITH {REF}, g AS (SELECT ref AS allele, pos, pos - row_number() OVER (PARTITION BY ref ORDER BY pos) AS k FROM ref) SELECT allele, min(pos) AS "begin", max(pos) + 1 AS "end", max(pos) + 1 - min(pos) AS length FROM g GROUP BY allele, k""",
     "cigar_lengths": """SELECT l_orderkey, l_linenumber, CAST(CAST(floor(l_quantity) AS INT) + 5 + (CASE WHEN l_returnflag <> 'R' THEN l_linenumber ELSE 0 END) AS INT) AS read_len, CAST(CAST(floor(l_quantity) AS INT) + 5 + (CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END) AS INT) AS ref_len,
  CAST(CASE WHEN l_returnflag IN ('A', 'R') THEN 1 ELSE 0 END AS INT) AS indels, true AS same FROM lineitem""",
-    "sequence_functions": """WITH t AS (SELECT p_partkey, left(translate(regexp_replace(upper(p_type), '[^A-Z]', '', 'g'), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC'), 6) AS s FROM part), u AS (SELECT *, list_filter(range(1, CAST(length(s) AS BIGINT) + 1), lambda k: length(s) % k = 0 AND repeat(substr(s, 1, k), CAST(length(s) // k AS BIGINT)) = s)[1] AS k FROM t)
+    "sequence_functions": """WITH t AS (SELECT p_partkey, translate(regexp_replace(upper(p_type), '[^A-Z]', '', 'g'), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS s FROM part), u AS (SELECT *, list_filter(range(1, CAST(length(s) AS BIGINT) + 1), lambda k: length(s) % k = 0 AND repeat(substr(s, 1, k), CAST(length(s) // k AS BIGINT)) = s)[1] AS k FROM t)
  SELECT p_partkey, s, translate(reverse(s), 'ACGT', 'TGCA') AS rc, CASE WHEN s <> '' THEN substr(s, 1, k) END AS unit, CASE WHEN s <> '' THEN CAST(2 * length(s) // k AS INT) END AS times FROM u""",
-    "trimmed_alleles": """WITH t AS (SELECT p_partkey, left(p_name, 6) AS r, left(p_name, CAST(p_size % 5 + 1 AS INT)) || substr(p_name, 5, 2) AS a FROM part), s AS (SELECT *, list_max(list_filter(range(0, CAST(least(length(r), length(a)) AS BIGINT) + 1), lambda k: right(r, CAST(k AS BIGINT)) = right(a, CAST(k AS BIGINT)))) AS sf FROM t),
+    "trimmed_alleles": """WITH t AS (SELECT p_partkey, p_name AS r, left(p_name, CAST(p_size % 5 + 1 AS INT)) || substr(p_name, 5) AS a FROM part), s AS (SELECT *, list_max(list_filter(range(0, CAST(least(length(r), length(a)) AS BIGINT) + 1), lambda k: right(r, CAST(k AS BIGINT)) = right(a, CAST(k AS BIGINT)))) AS sf FROM t),
  c AS (SELECT p_partkey, left(r, CAST(length(r) - sf AS BIGINT)) AS r, left(a, CAST(length(a) - sf AS BIGINT)) AS a FROM s), p AS (SELECT *, list_max(list_filter(range(0, CAST(least(length(r), length(a)) AS BIGINT) + 1), lambda k: left(r, CAST(k AS BIGINT)) = left(a, CAST(k AS BIGINT)))) AS pf FROM c)
  SELECT p_partkey, p_partkey + pf AS pos, CAST(length(r) - pf AS INT) AS del_len, substr(a, CAST(pf + 1 AS BIGINT)) AS ins_seq FROM p""",
     "record_fields": """SELECT event_id, CAST(user_id AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS x, CAST(event_id AS VARCHAR) AS dp, 'c' || CAST(user_id % 7 AS VARCHAR) AS contig, event_id AS "begin", event_id + 10 AS "end" FROM events""",
     "compressed_counts": "WITH n AS (SELECT CAST(floor(o_totalprice) AS BIGINT) % 5000 AS n FROM orders), s AS (SELECT n, greatest(0, CAST(floor(log2(greatest(n, 1))) AS INT) - 2) AS k FROM n) SELECT CASE WHEN k = 0 THEN n ELSE (n // CAST(pow(2, k) AS BIGINT)) * CAST(pow(2, k) AS BIGINT) + CAST(floor(pow(2, k) * 2 / 3) AS BIGINT) END AS value, count(*) AS rows FROM s GROUP BY 1",
-    "contig_set_difference": f"WITH {REG}, u AS (SELECT DISTINCT contig FROM reg WHERE id % 50 = 0) SELECT DISTINCT contig, CASE WHEN contig IN (SELECT contig FROM u) THEN 'kept' ELSE 'skipped' END AS state FROM reg",
+    "contig_set_difference": f"WITH {REG}, u AS (SELECT DISTINCT contig FROM reg WHERE kind = 'PROMO' AND e - b = 50) SELECT DISTINCT contig, CASE WHEN contig IN (SELECT contig FROM u) THEN 'kept' ELSE 'skipped' END AS state FROM reg",
     "group_read_sets": f"WITH {OBS}, o AS (SELECT read_id, bool_or(base = 'A') AS a, bool_or(base = 'R') AS r FROM obs GROUP BY 1) SELECT CASE WHEN a AND r THEN 'both' WHEN a OR r THEN 'one' ELSE 'none' END AS kind, count(*) AS reads FROM o GROUP BY 1",
 }
 ORACLES["record_lines"] = f"""SELECT concat_ws(chr(9), 'chr1', CAST(pos + 1 AS VARCHAR), '.', ref, alt, '.', CASE WHEN low_depth THEN 'LowDepth' ELSE 'PASS' END, 'DP=' || CAST(used + unused AS VARCHAR), 'DP:DPF:AD', concat_ws(':', CAST(used AS VARCHAR), CAST(unused AS VARCHAR), concat_ws(',', CAST("n_A" AS VARCHAR), CAST("n_N" AS VARCHAR), CAST("n_R" AS VARCHAR)))) AS line FROM ({ORACLES['pileup_counts']})"""
 _LN = "(CASE WHEN base = '{a}' THEN ln(1 - pow(10.0, -greatest(q, 1) / 10.0)) ELSE ln(pow(10.0, -greatest(q, 1) / 10.0) / 2) END)"
 _MIX = [f"sum(ln((1 - 1e-4) * (exp({_LN.format(a=a)}) + exp({_LN.format(a=b)})) / 2 + exp(ln(1e-4) + 100 * ln(0.25))))" for a, b in GT]
 ORACLES |= {
-    "site_indel_constraints": f"""WITH {OBS}, s AS (SELECT pos, max(q) AS qual, min(q) AS gqx FROM obs GROUP BY 1), i AS (SELECT p_partkey AS b, p_partkey + p_size AS e, p_size % 40 AS iq, p_size % 7 AS ig, p_size % 2 = 0 AS f FROM part WHERE p_partkey % 9 = 0),
+    "site_indel_constraints": f"""WITH {OBS}, s AS (SELECT pos, max(q) AS qual, min(q) AS gqx FROM obs GROUP BY 1), i AS (SELECT p_partkey AS b, p_partkey + p_size AS e, p_size % 40 AS iq, p_size % 7 AS ig, p_size % 2 = 0 AS f FROM part),
  m AS (SELECT pos, min(iq) AS iq, min(ig) AS ig, bool_or(f) AS f FROM s JOIN i ON pos >= b AND pos < e GROUP BY pos) SELECT pos, least(qual, coalesce(iq, qual)) AS qual, least(gqx, coalesce(ig, gqx)) AS gqx, coalesce(f, false) AS conflict FROM s LEFT JOIN m USING (pos)""",
     "indel_signals": f"{BOTH}, c AS (SELECT ref, q % 9 - 4 AS c FROM obs JOIN ref USING (pos)) SELECT ref, CASE WHEN c = 0 THEN 'REF' WHEN c > 0 THEN 'I' || least(c, 3) ELSE 'D' || least(-c, 3) END AS signal, count(*) AS n FROM c GROUP BY 1, 2",
     "confident_support": f"""WITH {OBS}, r AS (SELECT DISTINCT pos, read_id, read_pos, q FROM obs), b AS (SELECT pos, read_id, read_pos, q, base, is_fwd, count(*) OVER (PARTITION BY pos, read_id, read_pos, q) AS k FROM obs)
@@ -194,7 +194,7 @@ ORACLES |= {
  SELECT p_partkey, CASE WHEN NOT a THEN 0 WHEN NOT b THEN 1 WHEN NOT c THEN 2 WHEN NOT d THEN 3 ELSE 4 END AS shift FROM e""",
     "depth_limited_reads": f"WITH {OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY mapq DESC, read_id, read_pos, q) AS k FROM obs) SELECT pos, count(*) AS n, min(mapq) AS lowest FROM r WHERE k <= 10 GROUP BY pos",
     "mean_depth": f"WITH {REG}, m AS (SELECT contig, sum(\"end\" - \"begin\") AS span FROM {merged('reg')} GROUP BY 1), s AS (SELECT contig, sum(e - b) AS bases FROM reg GROUP BY 1) SELECT contig, CAST(bases AS BIGINT) AS bases, CAST(span AS BIGINT) AS span, {tidy('bases / CAST(span AS DOUBLE)')} AS depth FROM s JOIN m USING (contig)",
-    "compressible_sites": f"{BOTH}, c AS (SELECT pos, {_C('q >= 17')} AS used, {_C('q >= 17 AND base = ref')} AS r FROM obs JOIN ref USING (pos) GROUP BY pos) SELECT pos, used FROM c WHERE used > 0 AND r / CAST(used AS DOUBLE) + 0.6 > 1 AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey % 25 = 0 AND pos >= p_partkey AND pos < p_partkey + 3)",
+    "compressible_sites": f"{BOTH}, c AS (SELECT pos, {_C('q >= 17')} AS used, {_C('q >= 17 AND base = ref')} AS r FROM obs JOIN ref USING (pos) GROUP BY pos) SELECT pos, used FROM c WHERE used > 0 AND r / CAST(used AS DOUBLE) + 0.6 > 1 AND NOT EXISTS (SELECT 1 FROM part WHERE p_type = 'ECONOMY' AND pos >= p_partkey AND pos < p_partkey + 3)",
     "allele_fractions": f"{BOTH} SELECT pos, sample, {tidy('avg(CASE WHEN base <> ref THEN 1.0 ELSE 0.0 END)')} AS vaf FROM obs JOIN ref USING (pos) WHERE q >= 20 GROUP BY 1, 2",
     "panel_noise": f"{BOTH}, t AS (SELECT pos, lib, {_C('base <> ref')} AS alt FROM obs JOIN ref USING (pos) GROUP BY 1, 2) SELECT pos, CAST(count(*) AS INT) AS total, CAST(sum(CASE WHEN alt > 0 THEN 1 ELSE 0 END) AS INT) AS noise, CAST(sum(CASE WHEN alt > 1 THEN 1 ELSE 0 END) AS INT) AS noise2 FROM t GROUP BY pos",
     "small_indels": "WITH t AS (SELECT p_partkey, left(p_name, CAST(p_size % 7 + 1 AS INT)) AS ref, CASE WHEN p_size % 11 = 0 THEN '<DEL>' ELSE left(p_type, CAST(p_size % 5 + 1 AS INT)) END AS alt FROM part) SELECT * FROM t WHERE alt <> '<DEL>' AND length(ref) <> length(alt) AND length(ref) <= 6 AND length(alt) <= 6",
@@ -220,7 +220,7 @@ ORACLES |= {
  SELECT pos, ref, ['A','N','R'][b] AS allele, {phred('p')} AS gq FROM r""",
     "indel_rate_priors": f"SELECT p_partkey, {tidy('log10(pow(exp(p_size * -0.3 + -20.0) * 20, p_size % 2 + 1))')} AS log_prior FROM part",
     "allele_pair_conflicts": "WITH t AS (SELECT p_partkey AS id, p_partkey AS b, p_partkey + p_size % 4 + (CASE WHEN p_size % 3 = 0 THEN 1 ELSE 2 END) AS e FROM part) SELECT x.id, count(*) AS conflicts FROM t x JOIN t y ON x.id < y.id AND x.b < y.e AND y.b < x.e GROUP BY 1",
-    "known_alleles": f"{BOTH}, s AS (SELECT pos, base, count(*) AS n FROM obs JOIN ref USING (pos) WHERE base <> ref GROUP BY 1, 2) SELECT pos, base, n, EXISTS (SELECT 1 FROM obs o WHERE o.pos = s.pos AND o.base = s.base AND lib % 9 = 0) AS known FROM s",
+    "known_alleles": f"{BOTH}, s AS (SELECT pos, base, count(*) AS n FROM obs JOIN ref USING (pos) WHERE base <> ref GROUP BY 1, 2) SELECT pos, base, n, EXISTS (SELECT 1 FROM obs o WHERE o.pos = s.pos AND o.base = s.base AND mapq >= 54) AS known FROM s",
     "depth_totals": "SELECT p_brand AS contig, count(*) AS depth, count(DISTINCT l_linenumber % 2) AS samples FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
     "trailing_ambiguous": f"WITH {OBS}, r AS (SELECT string_agg(base, '' ORDER BY read_pos, base) AS s, bool_or(is_fwd) AS fwd FROM obs GROUP BY read_id) SELECT CAST(CASE WHEN fwd THEN length(regexp_extract(s, 'N*$')) ELSE length(regexp_extract(s, '^N*')) END AS INT) AS ambiguous, count(*) AS reads FROM r GROUP BY 1",
     "tied_dedup": f"WITH {OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY pos, base ORDER BY q DESC, mapq DESC, read_id, read_pos) AS r FROM obs) SELECT pos, base, q, mapq, read_id FROM r WHERE r = 1",

@@ -69,13 +69,13 @@ def region_coverage(spark, d):
 
 @query
 def positions_in_regions(spark, d):
-    r = V.regions(spark, d).filter("id % 7 = 0").withColumn("contig", F.lit("all"))
+    r = V.typed_regions(spark, d).filter("kind = 'PROMO'").withColumn("contig", F.lit("all"))
     return intervals.positions_in(V.reference(spark, d).withColumn("contig", F.lit("all")), r, ["contig"]).select("pos", "ref")
 
 
 @query
 def positions_outside_regions(spark, d):
-    r = V.regions(spark, d).filter("id % 31 = 0").withColumn("contig", F.lit("all"))
+    r = V.typed_regions(spark, d).filter("kind = 'ECONOMY'").withColumn("contig", F.lit("all"))
     return intervals.positions_in(V.reference(spark, d).withColumn("contig", F.lit("all")), r, ["contig"], how="left_anti").select("pos", "ref")
 
 
@@ -87,14 +87,17 @@ def region_overlap(spark, d):
 
 @query
 def region_contained(spark, d):
-    r = V.regions(spark, d)
-    return intervals.contained(r.filter("id % 3 = 0"), r.filter("id % 3 > 0"), ["contig"]).select("contig", "id")
+    r = V.typed_regions(spark, d)
+    return intervals.contained(r.filter("kind < 'M'"), r.filter("kind >= 'M'"), ["contig"]).select("contig", "id")
 
 
 @query
 def region_payload(spark, d):
-    r = V.table(spark, d, "part").filter("p_partkey % 40 = 0").select(F.lit(1).alias("c"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + F.least("p_size", F.lit(40))).alias("end"), (F.col("p_size") % 2).alias("ploidy"))
-    return intervals.payload_at(V.reference(spark, d).withColumn("c", F.lit(1)), r, ["c"], "ploidy", 2).select("pos", F.col("ploidy").cast("int").alias("ploidy"))
+    t = V.typed_regions(spark, d)
+    after = F.lead("begin").over(Window.partitionBy("contig", "kind").orderBy("begin"))
+    r = t.select("contig", "kind", "begin", F.least("end", after).alias("end"), ((F.col("end") - F.col("begin")) % 2).alias("ploidy"))
+    points = t.select("contig", "kind", (F.col("begin") + 25).alias("pos"))
+    return intervals.payload_at(points, r, ["contig", "kind"], "ploidy", 2).select("contig", "kind", "pos", F.col("ploidy").cast("int").alias("ploidy"))
 
 
 @query
@@ -130,7 +133,7 @@ def median_depth(spark, d):
 @query
 def region_depth(spark, d):
     depth = V.observations(spark, d).groupBy("pos").agg(F.count("*").alias("depth")).withColumn("c", F.lit(1))
-    r = V.regions(spark, d).filter("id % 5 = 0").withColumn("c", F.lit(1)).select("c", "begin", "end", "id")
+    r = V.regions(spark, d).withColumn("c", F.lit(1)).select("c", "begin", "end", "id")
     return intervals.positions_in(depth, r, ["c"], how="inner").groupBy("id").agg(F.median("depth").alias("median"), F.count("*").alias("covered"))
 
 
@@ -363,7 +366,7 @@ def truth_match(spark, d):
 @query
 def labelled_regions(spark, d):
     c = V.reference(spark, d).select("pos", F.lit(1).alias("c"), F.when(F.col("pos") % 10 == 0, "TP").otherwise("FP").alias("tag"))
-    r = V.regions(spark, d).filter("id % 17 < 2").select(F.lit(1).alias("c"), "begin", "end", F.when(F.col("id") % 17 == 0, "fp").otherwise("ambiguous").alias("kind"))
+    r = V.typed_regions(spark, d).select(F.lit(1).alias("c"), "begin", F.least("end", F.col("begin") + 9).alias("end"), F.when(F.col("kind") == "PROMO", "fp").when(F.col("kind") == "ECONOMY", "ambiguous").alias("kind")).filter("kind is not null")
     return evaluate.labelled(c, r, ["c"]).select("pos", "tag")
 
 
@@ -383,34 +386,38 @@ def evidence_sample(spark, d):
 @query
 def forest_scores(spark, d):
     """Trains a forest on embeddings (one class against the rest), exports it and scores it in the plan."""
-    v = V.table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)], (F.col("label") == 1).cast("double").alias("y"))
-    names = [f"x{i}" for i in range(8)]
+    v = V.table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)], (F.col("label") == 1).cast("double").alias("y"))
+    names = [f"x{i}" for i in range(64)]
     model = forest.exported(forest.trained(v, names, "y", trees=5, depth=3), names)
     return v.select("vec_id", tidy(forest.probability(model), 6).alias("score"))
 
 
-def _trios(pl: DataFrame) -> DataFrame:
-    """Every three libraries of a position, in the order of their numbers child, father and mother, with their pl."""
-    at = pl.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("lib", "pl"))).alias("x"))
-    at = at.filter("size(x) >= 3").withColumn("i", F.expr("explode(sequence(0, size(x) - 3))"))
-    at = at.withColumn("j", F.expr("explode(sequence(i + 1, size(x) - 2))")).withColumn("k", F.expr("explode(sequence(j + 1, size(x) - 1))"))
-    return at.select("pos", *[c for n, i in (("child", "i"), ("father", "j"), ("mother", "k")) for c in (F.expr(f"x[{i}].lib").alias(f"{n}_lib"), F.expr(f"x[{i}].pl").alias(n))])
+def _pedigree(spark, d):
+    """(child, father, mother): each library with the next two of its nation, as families are listed one member after the other."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    t = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("child"), F.lead("s_suppkey", 1).over(w).alias("father"), F.lead("s_suppkey", 2).over(w).alias("mother"))
+    return t.filter("mother is not null")
 
 
 @query
 def de_novo_scores(spark, d):
-    """Every trio of libraries of a position; checked in tests against plain loops."""
+    """Trios of a pedigree, at each position that all three have calls for: equi-joins on (position, library)."""
     lh = genotype.likelihoods(V.observations(spark, d).withColumn("base", F.when(F.col("base") == "R", "R").otherwise("A")), ("A", "R"), ["pos", "lib"])
     pl = genotype.called(lh.withColumn("ref", F.lit("A")), ("A", "R")).select("pos", "lib", "pl")
-    return genotype.de_novo(_trios(pl)).select("pos", "child_lib", "father_lib", "mother_lib", "dq")
+    ped = _pedigree(spark, d).toDF("child_lib", "father_lib", "mother_lib")
+    trios = pl.toDF("pos", "child_lib", "child").join(ped, "child_lib")
+    for who in ("father", "mother"):
+        trios = trios.join(pl.toDF("pos", f"{who}_lib", who), ["pos", f"{who}_lib"])
+    return genotype.de_novo(trios).select("pos", "child_lib", "father_lib", "mother_lib", "dq")
 
 
 @query
 def haplotype_counts(spark, d):
-    """Distinct allele strings of a read's first calls, with the tie-aware rank by count."""
-    h = V.observations(spark, d).filter("read_pos <= 3").groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("read_pos", "base"))), lambda s: s["base"]), "").alias("hap"))
-    by = h.groupBy("hap").agg(F.count("*").alias("n")).filter("n >= 3")
-    return by.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("n")))).select("hap", "n", "rank")
+    """Distinct allele strings of whole reads, with the tie-aware rank by count: counts are ranked, not strings."""
+    h = V.observations(spark, d).groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("read_pos", "base"))), lambda s: s["base"]), "").alias("hap"))
+    by = h.groupBy("hap").agg(F.count("*").alias("n"))
+    levels = evaluate.level_ranks(by, "n")
+    return by.join(levels, "n").select("hap", "n", "rank")
 
 
 @query
@@ -441,14 +448,13 @@ def cigar_lengths(spark, d):
 @query
 def sequence_functions(spark, d):
     t = V.table(spark, d, "part").select("p_partkey", F.translate(F.regexp_replace(F.upper("p_type"), "[^A-Z]", ""), "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTACGT"[:22]).alias("s"))
-    t = t.withColumn("s", F.left("s", F.lit(6)))
     u = S.repeat_unit(F.concat("s", "s"))
     return t.select("p_partkey", "s", S.reverse_complement(F.col("s")).alias("rc"), u["unit"].alias("unit"), u["count"].alias("times"))
 
 
 @query
 def trimmed_alleles(spark, d):
-    t = V.table(spark, d, "part").select("p_partkey", F.left("p_name", F.lit(6)).alias("ref"), F.concat(F.left("p_name", (F.col("p_size") % 5 + 1).cast("int")), F.substr("p_name", F.lit(5), F.lit(2))).alias("alt"))
+    t = V.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("ref"), F.concat(F.left("p_name", (F.col("p_size") % 5 + 1).cast("int")), F.substr("p_name", F.lit(5))).alias("alt"))
     a = S.trimmed_allele(F.col("p_partkey"), F.col("ref"), F.col("alt"))
     return t.select("p_partkey", a["pos"].alias("pos"), a["del_len"].alias("del_len"), a["ins_seq"].alias("ins_seq"))
 
@@ -479,7 +485,7 @@ def record_lines(spark, d):
 @query
 def contig_set_difference(spark, d):
     have = V.regions(spark, d).select("contig")
-    used = V.regions(spark, d).filter("id % 50 = 0").select("contig")
+    used = V.typed_regions(spark, d).filter("kind = 'PROMO' and end - begin = 50").select("contig")
     return have.subtract(used).withColumn("state", F.lit("skipped")).union(have.intersect(used).withColumn("state", F.lit("kept")))
 
 
@@ -494,7 +500,7 @@ def group_read_sets(spark, d):
 @query
 def site_indel_constraints(spark, d):
     site = V.observations(spark, d).groupBy("pos").agg(F.max("q").alias("qual"), F.min("q").alias("gqx")).withColumn("c", F.lit(1))
-    indel = V.table(spark, d, "part").filter("p_partkey % 9 = 0").select(F.lit(1).alias("c"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + F.col("p_size")).alias("end"), (F.col("p_size") % 40).alias("indel_qual"), (F.col("p_size") % 7).alias("indel_gqx"), (F.col("p_size") % 2 == 0).alias("filtered"))
+    indel = V.table(spark, d, "part").select(F.lit(1).alias("c"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + F.col("p_size")).alias("end"), (F.col("p_size") % 40).alias("indel_qual"), (F.col("p_size") % 7).alias("indel_gqx"), (F.col("p_size") % 2 == 0).alias("filtered"))
     return alleles.site_constraints(site, indel, ["c"]).select("pos", "qual", "gqx", "conflict")
 
 
@@ -569,7 +575,7 @@ def mean_depth(spark, d):
 def compressible_sites(spark, d):
     c = pileup.counts(V.observations(spark, d), V.reference(spark, d), V.ALLELES)
     ref_n = F.when(F.col("ref") == "A", F.col("n_A")).when(F.col("ref") == "N", F.col("n_N")).otherwise(F.col("n_R"))
-    keep = V.table(spark, d, "part").filter("p_partkey % 25 = 0").select(F.lit(1).alias("c"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + 3).alias("end"))
+    keep = V.table(spark, d, "part").filter("p_type = 'ECONOMY'").select(F.lit(1).alias("c"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + 3).alias("end"))
     ok = c.filter((F.col("used") > 0) & (ref_n / F.greatest(F.col("used"), F.lit(1)) + 0.6 > 1)).withColumn("c", F.lit(1))
     return intervals.positions_in(ok, keep, ["c"], how="left_anti").select("pos", "used")
 
@@ -683,7 +689,7 @@ def allele_pair_conflicts(spark, d):
 def known_alleles(spark, d):
     """Alternate alleles seen, against known ones: an equi-join on the allele key."""
     seen = V.observations(spark, d).join(V.reference(spark, d), "pos").filter(F.col("base") != F.col("ref")).groupBy("pos", "base").agg(F.count("*").alias("n"))
-    known = V.observations(spark, d).filter("lib % 9 = 0").select("pos", "base").distinct().withColumn("known", F.lit(True))
+    known = V.observations(spark, d).filter("mapq >= 54").select("pos", "base").distinct().withColumn("known", F.lit(True))
     return seen.join(known, ["pos", "base"], "left").select("pos", "base", "n", F.coalesce("known", F.lit(False)).alias("known"))
 
 

@@ -37,6 +37,11 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("contig"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + F.col("p_size")).alias("end"), F.col("p_partkey").alias("id"))
 
 
+def typed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions with their kind, the type of the part."""
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("contig"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + F.col("p_size")).alias("end"), F.col("p_partkey").alias("id"))
+
+
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as positions (contig = user, pos = seconds since 2024-01-01, class, value)."""
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("contig"), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1000000).cast("long").alias("pos"), F.col("event_type").alias("class"), "value")
