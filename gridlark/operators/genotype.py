@@ -82,7 +82,9 @@ def continuous(obs: DataFrame, ref: DataFrame, least: float = 0.01, expected_q:
     rows = by.join(total, "pos").join(ref, "pos").filter((F.col("base") != F.col("ref")) & (F.col("n") > least * F.col("depth")))
     fa, ra = F.col("fwd"), F.col("n") - F.col("fwd")
     fo, ro = F.col("depth_fwd") - fa, F.col("depth") - F.col("depth_fwd") - ra
-    return rows.select("pos", F.col("base").alias("alt"), "n", "depth", (F.col("n") / F.col("depth")).alias("vf"), P.poisson_quality(F.col("n"), F.col("depth"), expected_q).alias("q"), P.strand_bias(fa, ra, fo, ro).alias("bias"))
+    # the tail sum is long and its arguments are few: once for each distinct pair
+    sure = rows.select("n", "depth").distinct().withColumn("q", P.poisson_quality(F.col("n"), F.col("depth"), expected_q))
+    return rows.join(sure, ["n", "depth"]).select("pos", F.col("base").alias("alt"), "n", "depth", (F.col("n") / F.col("depth")).alias("vf"), "q", P.strand_bias(fa, ra, fo, ro).alias("bias"))
 
 
 #: Fixed value: the step of the allele-frequency grid.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.operators.running import BIN, running
@@ -29,42 +29,87 @@ def coverage(regions: DataFrame, part: list[str], width: int = BIN) -> DataFrame
     return order.join(after, [*part, "_k"]).filter("depth > 0").select(*part, F.col("pos").alias("begin"), "end", F.col("depth").cast("long").alias("depth"))
 
 
-def _bins(width: int):
-    return F.explode(F.sequence(F.floor(F.col("begin") / width), F.floor((F.col("end") - 1) / width)))
+#: Bins of a level are so many times as wide as those of the level below; an interval lies in the level in which it spans a few bins.
+FAN = 16
+
+
+def _level(begin: Column, end: Column, width: int) -> Column:
+    return F.greatest(F.lit(0), F.ceil(F.log(float(FAN), (end - begin) / F.lit(float(width))))).cast("int")
+
+
+def _present(regions: DataFrame, width: int) -> list[int]:
+    """The levels that intervals lie in: a handful, as lengths grow by FAN from one to the next."""
+    return sorted(r[0] for r in regions.select(_level(F.col("begin"), F.col("end"), width).alias("l")).distinct().collect())
+
+
+def _size(level: Column, width: int) -> Column:
+    return F.pow(F.lit(float(FAN)), level).cast("long") * width
+
+
+def _bins(begin: str, end: str, level: Column, width: int) -> Column:
+    size = _size(level, width)
+    return F.sequence(F.floor(F.col(begin) / size), F.floor((F.col(end) - 1) / size))
 
 
 def positions_in(points: DataFrame, regions: DataFrame, part: list[str], pos: str = "pos", how: str = "left_semi", width: int = 32) -> DataFrame:
-    """Points that lie in some region (left_semi), in none (left_anti), or with each region they lie in (inner): an equi-join on bins."""
-    at = points.withColumn("_bin", F.floor(F.col(pos) / width))
-    over = regions.filter("begin < end").withColumn("_bin", _bins(width))
+    """Points that lie in some region (left_semi), in none (left_anti), or with each region they lie in (inner): an equi-join on bins.
+
+    Regions are binned by length: long ones lie in few wide bins, and a point looks into a bin of each level there is.
+    """
+    over = regions.filter("begin < end")
+    levels = _present(over, width) or [0]
+    over = over.withColumn("_r_level", _level(F.col("begin"), F.col("end"), width)).withColumn("_r_bin", F.explode(_bins("begin", "end", F.col("_r_level"), width)))
     for c in part:
         over = over.withColumnRenamed(c, f"_r_{c}")
-    over = over.withColumnRenamed("_bin", "_r_bin")
-    on = (F.col("_bin") == F.col("_r_bin")) & (F.col(pos) >= F.col("begin")) & (F.col(pos) < F.col("end"))
+    inside = (F.col(pos) >= F.col("begin")) & (F.col(pos) < F.col("end"))
+    if len(levels) == 1:
+        at = points.withColumn("_level", F.lit(levels[0]))
+    elif how == "inner":
+        at = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels))))
+    else:
+        # a row in several bins would come out several times: keys are matched first
+        keys = points.select(*part, pos).distinct()
+        hits = positions_in(keys, regions, part, pos, "inner", width)
+        if how == "left":
+            return points.join(hits, [*part, pos], "left")
+        return points.join(hits.select(*part, pos).distinct(), [*part, pos], how)
+    at = at.withColumn("_bin", F.floor(F.col(pos) / _size(F.col("_level"), width)))
+    on = (F.col("_bin") == F.col("_r_bin")) & (F.col("_level") == F.col("_r_level")) & inside
     for c in part:
         on &= F.col(c) == F.col(f"_r_{c}")
-    return at.join(over, on, how).drop("_bin", "_r_bin", *[f"_r_{c}" for c in part])
+    return at.join(over, on, how).drop("_bin", "_level", "_r_bin", "_r_level", *[f"_r_{c}" for c in part])
 
 
 def overlaps(a: DataFrame, b: DataFrame, part: list[str], width: int = 32) -> DataFrame:
-    """Pairs of intervals that overlap, once each: a's columns, and b's with the suffix _b. A pair is made in the first bin that both share."""
-    left = a.filter("begin < end").withColumn("_bin", _bins(width))
-    right = b.select(*part, *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in part]).filter("begin_b < end_b")
-    right = right.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("begin_b") / width), F.floor((F.col("end_b") - 1) / width))))
-    hit = (F.col("begin") < F.col("end_b")) & (F.col("begin_b") < F.col("end"))
-    first = F.col("_bin") == F.greatest(F.floor(F.col("begin") / width), F.floor(F.col("begin_b") / width))
-    return left.join(right, [*part, "_bin"]).filter(hit & first).drop("_bin")
+    """Pairs of intervals that overlap, once each: a's columns, and b's with the suffix _b.
+
+    A pair is made in the wider level of the two, in the first bin there that both share.
+    """
+    left, right = a.filter("begin < end"), b.filter("begin < end")
+    levels = sorted({*_present(left, width), *_present(right, width)}) or [0]
+
+    def binned(rows: DataFrame, begin: str, end: str, own: str) -> DataFrame:
+        """Each interval in the bins of its level and of all wider ones."""
+        at = rows.withColumn(own, _level(F.col(begin), F.col(end), width))
+        at = at.withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col(own))))
+        return at.withColumn("_bin", F.explode(_bins(begin, end, F.col("_level"), width)))
+
+    left = binned(left, "begin", "end", "_own")
+    right = right.select(*part, *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in part])
+    right = binned(right, "begin_b", "end_b", "_own_b")
+    hit = (F.col("begin") < F.col("end_b")) & (F.col("begin_b") < F.col("end")) & (F.col("_level") == F.greatest("_own", "_own_b"))
+    size = _size(F.col("_level"), width)
+    first = F.col("_bin") == F.greatest(F.floor(F.col("begin") / size), F.floor(F.col("begin_b") / size))
+    return left.join(right, [*part, "_level", "_bin"]).filter(hit & first).drop("_bin", "_level", "_own", "_own_b")
 
 
 def contained(a: DataFrame, regions: DataFrame, part: list[str], width: int = 32) -> DataFrame:
-    """Intervals that lie within one region of the merged set."""
-    whole = merged(regions, part)
-    at = a.withColumn("_bin", F.floor(F.col("begin") / width))
-    over = whole.select(*[F.col(c).alias(f"_r_{c}") for c in part], F.col("begin").alias("_begin"), F.col("end").alias("_end"), _bins(width).alias("_r_bin"))
-    on = (F.col("_bin") == F.col("_r_bin")) & (F.col("begin") >= F.col("_begin")) & (F.col("end") <= F.col("_end"))
-    for c in part:
-        on &= F.col(c) == F.col(f"_r_{c}")
-    return at.join(over, on, "left_semi").drop("_bin")
+    """Intervals that lie within one region of the merged set: merged regions do not overlap, so the one that holds the begin decides."""
+    whole = merged(regions, part).select(*part, F.col("begin").alias("_begin"), F.col("end").alias("_end"))
+    firsts = a.select(*part, F.col("begin").alias("_pos")).distinct()
+    over = positions_in(firsts, whole.withColumnsRenamed({"_begin": "begin", "_end": "end"}), part, "_pos", "inner", width)
+    over = over.select(*part, F.col("_pos").alias("begin"), F.col("end").alias("_end"))
+    return a.join(over, [*part, "begin"]).filter(F.col("end") <= F.col("_end")).select(a.columns)
 
 
 def payload_at(points: DataFrame, regions: DataFrame, part: list[str], value: str, default, pos: str = "pos", width: int = 32) -> DataFrame:
@@ -100,3 +145,17 @@ def segments(contigs: DataFrame, size: int) -> DataFrame:
     base, rest = F.floor(F.col("length") / F.col("_n")), F.col("length") % F.col("_n")
     begin = F.col("number") * base + F.least(F.col("number"), rest)
     return cut.select("contig", "number", begin.alias("begin"), (begin + base + F.when(F.col("number") < rest, 1).otherwise(0)).alias("end"))
+
+
+def mean_depth(reads: DataFrame, part: list[str], gap: int = 1000, width: int = BIN) -> DataFrame:
+    """(part, bases, span, depth): read bases over the covered span, from which gaps longer than `gap` are left out."""
+    span = merged(reads, part, gap=gap, width=width).groupBy(*part).agg(F.sum(F.col("end") - F.col("begin")).alias("span"))
+    bases = reads.filter("begin < end").groupBy(*part).agg(F.sum(F.col("end") - F.col("begin")).alias("bases"))
+    return bases.join(span, part).withColumn("depth", F.col("bases") / F.col("span"))
+
+
+def same_contigs(a: DataFrame, b: DataFrame, contig: str = "contig") -> DataFrame:
+    """One row: contigs only in the first, only in the second, and whether the sets are equal."""
+    one, two = a.select(contig).distinct().withColumn("_a", F.lit(1)), b.select(contig).distinct().withColumn("_b", F.lit(1))
+    both = one.join(two, contig, "full_outer")
+    return both.agg(F.count_if(F.col("_b").isNull()).alias("only_first"), F.count_if(F.col("_a").isNull()).alias("only_second")).withColumn("same", (F.col("only_first") == 0) & (F.col("only_second") == 0))

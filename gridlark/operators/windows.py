@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridlark.operators.running import BIN, running
 
@@ -77,41 +78,84 @@ def site_blocks(sites: DataFrame, part: list[str], same: list[str], values: list
 
     A site joins a block if it is the next position, agrees in `same`, and every value
     keeps within tolerance of the block's smallest.  Where contiguity or agreement ends,
-    a block must end: that split is relational.  Within such a run the tolerance is
-    greedy and needs order; runs are cut into bins first, so that no run of
-    any length meets in one task, and a block ends at a bin's edge.
+    a block must end: those runs are relational, numbered in bins whose sums are carried
+    on.  Within a run the tolerance is greedy and needs order: runs are dealt over
+    tasks, and a task streams its runs in order with one open block, so that the result
+    does not depend on bins and a run of any length takes no memory.
     """
-    key = F.struct(*same)
+    bins = F.array_distinct(F.array(F.floor(F.col("pos") / width), F.floor((F.col("pos") + 1) / width)))
+    binned = sites.withColumn("_bin", F.explode(bins))  # the last position of a bin is seen by the next one too
     w = Window.partitionBy(*part, "_bin").orderBy("pos")
-    binned = sites.withColumn("_bin", F.floor(F.col("pos") / width))
-    new = (F.col("pos") - F.lag("pos").over(w) != 1) | (key != F.lag(key).over(w))
-    runs = binned.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(w))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        rows, lo, hi, start = [], None, None, 0
-        vals = pdf[values].to_numpy()
-        pos = pdf["pos"].to_numpy()
-
-        def close(a, b):
-            v = vals[a:b]
-            rows.append([*pdf.iloc[a][[*part, *same]], int(pos[a]), int(pos[b - 1]) + 1, *[int(x) for x in v.min(axis=0)], *[int(x + 0.5) for x in v.mean(axis=0)]])
-
-        for i in range(len(pdf)):
-            v = vals[i]
-            if lo is None:
-                lo, hi, start = v.copy(), v.copy(), i
-                continue
-            l2, h2 = [min(a, b) for a, b in zip(lo, v)], [max(a, b) for a, b in zip(hi, v)]
-            if all(_tolerates(float(a), float(b), frac, abs_tol) for a, b in zip(l2, h2)):
-                lo, hi = l2, h2
-            else:
-                close(start, i)
-                lo, hi, start = v.copy(), v.copy(), i
-        if lo is not None:
-            close(start, len(pdf))
-        return pd.DataFrame(rows, columns=[*part, *same, "begin", "end", *[f"min_{v}" for v in values], *[f"mean_{v}" for v in values]])
-
-    types = {f.name: f.dataType.simpleString() for f in sites.schema.fields}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in [*part, *same]] + ["begin long", "end long"] + [f"min_{v} long" for v in values] + [f"mean_{v} long" for v in values])
-    return runs.select(*part, "_bin", "_run", "pos", *same, *values).groupBy(*part, "_bin", "_run").applyInPandas(greedy, schema)
+    key = F.struct(*same)
+    new = (F.col("pos") - F.lag("pos").over(w) != 1) | ~key.eqNullSafe(F.lag(key).over(w))
+    flagged = binned.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).filter(F.col("_bin") == F.floor(F.col("pos") / width)).drop("_bin")
+    runs = running(flagged, part, "pos", {"_run": ("sum", F.col("_new"))}, width=width)
+    runs = runs.select(*part, "_run", "pos", *same, *(F.col(v).cast("long").alias(v) for v in values)).repartition(*part, "_run").sortWithinPartitions(*part, "_run", "pos")
+    n_part, n_same, n_values = len(part), len(same), len(values)
+
+    def greedy(batches):
+        open_, run_of = None, None  # the open block: head columns, begin, last position, smallest, largest, sums, sites
+
+        def row(b):
+            head, begin, last, lo, _, sums, n = b
+            return [*head, begin, last + 1, *lo, *(int(x / n + 0.5) for x in sums)]
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            heads, rests = list(zip(*columns[: n_part + 1])), list(zip(*columns[n_part + 2 : n_part + 2 + n_same]))
+            done = []
+            for i, pos in enumerate(columns[n_part + 1]):
+                v = [columns[n_part + 2 + n_same + k][i] for k in range(n_values)]
+                if open_ is not None and run_of == heads[i]:
+                    _, _, _, lo, hi, sums, _ = open_
+                    lo, hi = [min(a, b) for a, b in zip(lo, v)], [max(a, b) for a, b in zip(hi, v)]
+                    if all(_tolerates(float(a), float(b), frac, abs_tol) for a, b in zip(lo, hi)):
+                        open_ = (open_[0], open_[1], pos, lo, hi, [a + b for a, b in zip(sums, v)], open_[6] + 1)
+                        continue
+                if open_ is not None:
+                    done.append(row(open_))
+                run_of = heads[i]
+                open_ = ((*heads[i][:-1], *rests[i]), pos, pos, v, v, v, 1)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
+        if open_ is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[row(open_)]), types)], names)
+
+    kinds = {f.name: f.dataType for f in sites.schema.fields}
+    numbers = ["begin", "end", *(f"min_{v}" for v in values), *(f"mean_{v}" for v in values)]
+    names = [*part, *same, *numbers]
+    types = [*(to_arrow_type(kinds[c]) for c in [*part, *same]), *[pa.int64()] * len(numbers)]
+    schema = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in [*part, *same]), *(f"{c} long" for c in numbers)])
+    return runs.mapInArrow(greedy, schema)
+
+
+def synchronised(regions: DataFrame, part: list[str], sample: str = "sample", delay: int = 9, width: int = BIN) -> DataFrame:
+    """Active regions over all samples: those of any samples that overlap are one, and one stays open `delay` positions after its last sample's."""
+    from gridlark.operators.intervals import merged
+
+    wide = regions.select(*part, "begin", (F.col("end") + delay).alias("end"))
+    out = merged(wide, part, width=width)
+    return out.select(*part, "begin", (F.col("end") - delay).alias("end"), F.col("n").alias("regions"))
+
+
+def forced_genotyped(forced: DataFrame, discovered: DataFrame, regions: DataFrame, part: list[str], key: list[str]) -> DataFrame:
+    """Forced alleles with whether they are genotyped: one that was not discovered, in an active region with discovered candidates, is not.
+
+    forced and discovered: (part, pos, key); regions: (part, begin, end).
+    """
+    from gridlark.operators.intervals import positions_in
+
+    found = discovered.select(*part, "pos", *key).distinct().withColumn("_found", F.lit(True))
+    rich = positions_in(discovered.select(*part, "pos").distinct(), regions, part, how="inner").select(*part, "begin", "end").distinct()
+    inside = positions_in(forced.select(*part, "pos").distinct(), rich, part).withColumn("_inside", F.lit(True))
+    out = forced.join(found, [*part, "pos", *key], "left").join(inside, [*part, "pos"], "left")
+    return out.withColumn("genotyped", F.col("_found").isNotNull() | F.col("_inside").isNull()).drop("_found", "_inside")
+
+
+def phasing_noise(calls: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
+    """Haplotypes that look like a sequencer's phasing errors: one mismatch, seen on one strand only, beside a homopolymer longer than `most`.
+
+    calls: (keys, mismatches, is_fwd, run) of each read of a haplotype; run is the longest homopolymer next to the mismatch.
+    """
+    by = calls.groupBy(*keys).agg(F.max("mismatches").alias("mismatches"), F.count_if("is_fwd").alias("fwd"), F.count("*").alias("reads"), F.max("run").alias("run"))
+    return by.withColumn("noise", (F.col("mismatches") == 1) & ((F.col("fwd") == 0) | (F.col("fwd") == F.col("reads"))) & (F.col("run") > most))

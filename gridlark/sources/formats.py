@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.functions.sequence import cigar
+from gridlark.operators.evaluate import level_ranks
 
 
 def read_vcf(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -61,7 +62,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """contig, length, rank: contig sizes in the order of the index, by its byte offsets."""
     rows = spark.read.option("sep", "\t").schema("contig string, length long, offset long, bases int, width int").csv(path)
-    return rows.select("contig", "length", "offset")
+    return rows.select("contig", "length", "offset").join(level_ranks(rows.withColumn("_at", -F.col("offset")), "_at").select((-F.col("_at")).alias("offset"), "rank"), "offset").select("contig", "length", "rank")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -99,4 +100,4 @@ def sorted_records(records: DataFrame, contigs: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("chrom", "pos", "ref", "alt").orderBy(F.desc(F.col("filter") == "PASS"), F.desc_nulls_last("qual"), F.col("alt").startswith("<"), "id")
     best = records.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    return best.join(F.broadcast(contigs.select(F.col("contig").alias("chrom"), "rank")), "chrom").orderBy("rank", "pos", "end").drop("rank")
+    return best.join(contigs.select(F.col("contig").alias("chrom"), "rank"), "chrom").orderBy("rank", "pos", "end").drop("rank")

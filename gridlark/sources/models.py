@@ -42,7 +42,8 @@ def looked_up(rows: DataFrame, model: DataFrame, complex_: str = "is_complex") -
     key = rows.withColumns({"_p": F.when(F.col(complex_), 1).otherwise(F.col("pattern")), "_c": F.when(F.col(complex_), 1).otherwise(F.col("count"))})
     m = model.select(F.col("pattern").alias("_p"), F.col("count").alias("_c"), "rate")
     base = m.filter("_p = 1 and _c = 1").agg(F.max("rate").alias("_base"))
-    return key.join(F.broadcast(m), ["_p", "_c"], "left").crossJoin(F.broadcast(base)).withColumn("rate", F.coalesce("rate", "_base")).drop("_p", "_c", "_base")
+    # one row
+    return key.join(m, ["_p", "_c"], "left").crossJoin(F.broadcast(base)).withColumn("rate", F.coalesce("rate", "_base")).drop("_p", "_c", "_base")
 
 
 def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -34,16 +34,28 @@ def test_strand_odds(spark, table, value):
     assert one(spark, P.symmetric_strand_odds(*lits(*table)))[0] == pytest.approx(value, abs=1e-5)
 
 
-def test_binomial_threshold():
-    assert X.min_count_py(10000, 1e-4, 1e-9) == 12
-    assert X.binom_at_least_py(10, 0, 0.1) == 1
-
-
-def test_fisher_brute_force():
-    for a, b, c, d in itertools.product(range(4), repeat=4):
-        n, r, k = a + b + c + d, a + b, a + c
-        p = {i: math.comb(r, i) * math.comb(n - r, k - i) / math.comb(n, k) for i in range(max(0, k - n + r), min(r, k) + 1)}
-        assert X.fisher_py(a, b, c, d) == pytest.approx(sum(v for v in p.values() if v <= p[a] * (1 + 1e-7)))
+def test_binomials(spark):
+    rows = [(n, k, p) for n in (0, 1, 7, 30) for k in range(-1, n + 2) for p in (0.0, 0.05, 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "n long, k long, p double").select("*", X.binom_at_least(F.col("n"), F.col("k"), F.col("p")).alias("up"), X.binom_at_most(F.col("n"), F.col("k"), F.col("p")).alias("down"))
+    for r in df.collect():
+        pmf = [math.comb(r.n, i) * r.p**i * (1 - r.p) ** (r.n - i) for i in range(r.n + 1)]
+        assert r.up == pytest.approx(sum(pmf[max(0, r.k) :]), abs=1e-12) and r.down == pytest.approx(sum(pmf[: max(0, r.k + 1)]), abs=1e-12)
+    assert one(spark, X.min_count(F.lit(10000), F.lit(1e-4), F.lit(1e-9)), X.binom_at_least(F.lit(None).cast("long"), F.lit(1), F.lit(0.5)))[:] == (12, None)
+
+
+def test_fisher_brute_force(spark):
+    rows = list(itertools.product(range(4), repeat=4))
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    for r in df.select("*", *[X.fisher_exact(*map(F.col, "abcd"), side=s).alias(n) for s, n in ((0, "both"), (1, "up"), (-1, "down"))]).collect():
+        a, b, c, d = r[:4]
+        n, m, k = a + b + c + d, a + b, a + c
+        p = {i: math.comb(m, i) * math.comb(n - m, k - i) / math.comb(n, k) for i in range(max(0, k - n + m), min(m, k) + 1)}
+        assert r.both == pytest.approx(sum(v for v in p.values() if v <= p[a] * (1 + 1e-7)))
+        assert r.up == pytest.approx(sum(v for i, v in p.items() if i >= a)) and r.down == pytest.approx(sum(v for i, v in p.items() if i <= a))
+
+
+def test_chi_square_p(spark):
+    assert one(spark, X.chi_square_p(F.lit(3.841459)), X.likelihood_ratio_p(F.lit(-3.0), F.lit(-1.0)))[:] == pytest.approx((0.05, 0.0455003), abs=1e-6)
 
 
 def test_log_sums(spark):

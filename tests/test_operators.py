@@ -52,19 +52,40 @@ def test_running_bins_agree(spark):
     assert {r.i: (r.s, r.m) for r in out} == want
 
 
-def test_site_blocks_sequential_model(spark):
+@pytest.mark.parametrize("width", [1, 7, 64, 1 << 16])
+def test_site_blocks_sequential_model(spark, width):
+    """A block's result does not depend on how positions are cut into bins."""
     rnd = random.Random(5)
-    sites = [("c", p, rnd.random() < 0.9, rnd.randrange(1, 40)) for p in range(300) if rnd.random() < 0.95]
-    got = sorted((r.begin, r.end, r.min_v) for r in windows.site_blocks(spark.createDataFrame(sites, "c string, pos long, state boolean, v int"), ["c"], ["state"], ["v"], width=64).collect())
-    want, cur = [], None
-    for _, p, st, v in sites:
-        if cur and p == cur[1] and st == cur[2] and p // 64 == cur[0] // 64 and (lo := min(cur[3], v)) + max(3, int(lo * 0.3)) >= max(cur[4], v) / 2:
-            cur = [cur[0], p + 1, st, lo, max(cur[4], v)]
+    sites = [(c, p, rnd.random() < 0.95, rnd.randrange(1, 40)) for c in "cd" for p in range(300) if rnd.random() < 0.97]
+    df = spark.createDataFrame(sites, "c string, pos long, state boolean, v int")
+    got = sorted((r.c, r.begin, r.end, r.min_v, r.mean_v) for r in windows.site_blocks(df, ["c"], ["state"], ["v"], width=width).collect())
+    want, cur = [], []
+    done = lambda c: (c[0][0], c[0][1], c[-1][1] + 1, min(x[3] for x in c), int(sum(x[3] for x in c) / len(c) + 0.5))
+    for site in sites:
+        v = [x[3] for x in [*cur, site]]
+        if cur and site[0] == cur[-1][0] and site[1] == cur[-1][1] + 1 and site[2] == cur[-1][2] and min(v) + max(3, int(min(v) * 0.3)) >= max(v) / 2:
+            cur.append(site)
         else:
-            if cur:
-                want.append((cur[0], cur[1], cur[3]))
-            cur = [p, p + 1, st, v, v]
-    assert got == [*want, (cur[0], cur[1], cur[3])]
+            want += [done(cur)] if cur else []
+            cur = [site]
+    assert got == sorted([*want, done(cur)])
+
+
+def test_interval_joins_of_all_lengths(spark):
+    """Points and intervals from one base to the whole contig, against every pair."""
+    rnd = random.Random(6)
+    ivs = [(rnd.choice("cd"), b := rnd.randrange(100_000), b + max(0, int(10 ** rnd.uniform(-0.5, 5))), i) for i in range(150)]
+    pts = [(rnd.choice("cd"), rnd.randrange(120_000), i) for i in range(300)]
+    r = spark.createDataFrame(ivs, "c string, begin long, end long, id long")
+    p = spark.createDataFrame(pts, "c string, pos long, k long")
+    inside = {(k, i) for c, x, k in pts for d, b, e, i in ivs if c == d and b <= x < e}
+    assert {(x.k, x.id) for x in intervals.positions_in(p, r, ["c"], how="inner").collect()} == inside
+    assert sorted(x.k for x in intervals.positions_in(p, r, ["c"]).collect()) == sorted({k for k, _ in inside})
+    assert sorted(x.k for x in intervals.positions_in(p, r, ["c"], how="left_anti").collect()) == sorted({k for _, _, k in pts} - {k for k, _ in inside})
+    left = [(x.k, x.id) for x in intervals.positions_in(p, r, ["c"], how="left").collect()]
+    assert set(left) == inside | {(k, None) for _, _, k in pts if k not in {a for a, _ in inside}} and len(left) == len(set(left))
+    pairs = [(x.id, x.id_b) for x in intervals.overlaps(r, r, ["c"]).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(i, j) for c, b, e, i in ivs for d, f, g, j in ivs if c == d and b < g and f < e and b < e and f < g}
 
 
 def _somatic_model(normal, tumor):
