@@ -137,3 +137,33 @@ def log_compressed(n: Column, bits: int = 3) -> Column:
     scale = F.pow(F.lit(2.0), low)
     suffix = F.floor(scale * 2 / 3).cast("long")
     return F.when(low == 0, n).otherwise((F.floor(n / scale) * scale).cast("long") + suffix)
+
+
+def soft_max(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
+    """A real number to the range from lo to hi, by the branch that cannot overflow."""
+    return F.when(x <= 0, F.exp(x) / (1 + F.exp(x))).otherwise(1 / (1 + F.exp(-x))) * (hi - lo) + lo
+
+
+def soft_max_inverse(p: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
+    at = (p - lo) / (hi - lo)
+    return F.ln(at / (1 - at))
+
+
+def soft_max_range(xs: Column) -> Column:
+    """n real numbers to n probabilities whose rest, the n + 1st, is implied: exp(x) / (1 + sum of exp)."""
+    both = F.struct(xs.alias("xs"), F.aggregate(xs, F.lit(1.0), lambda acc, x: acc + F.exp(x)).alias("total"))
+    return let(both, lambda s: F.transform(s["xs"], lambda x: F.exp(x) / s["total"]))
+
+
+def soft_max_range_inverse(ps: Column) -> Column:
+    rest = F.struct(ps.alias("ps"), (1 - F.aggregate(ps, F.lit(0.0), lambda acc, p: acc + p)).alias("rest"))
+    return let(rest, lambda s: F.transform(s["ps"], lambda p: F.ln(p / s["rest"])))
+
+
+def pl_probabilities(pl: Column) -> Column:
+    return F.transform(pl, lambda x: F.pow(F.lit(10.0), -x / 10))
+
+
+def rectified_pl(pl: Column) -> Column:
+    """PL of a haploid call (two values) as a diploid one: the second value belongs to the homozygous alternate, and a heterozygote is as good as impossible."""
+    return F.when(F.size(pl) == 2, F.array(pl[0], F.lit(10_000).cast("long"), pl[1])).otherwise(pl)

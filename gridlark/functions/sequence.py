@@ -95,3 +95,30 @@ def left_normalised(ref: Column, alt: Column) -> Column:
 def variant_class(ref: Column, alt: Column) -> Column:
     simple = ref.rlike("^[ACGTN]+$") & alt.rlike("^[ACGTN]+$")
     return F.when(alt.isin(".", ""), "ref").when(~simple, "symbolic").when((F.length(ref) == 1) & (F.length(alt) == 1), "snv").when(F.length(ref) == F.length(alt), "mnv").otherwise("indel")
+
+
+def flank_repeats(unit: Column, upstream: Column, downstream: Column) -> Column:
+    """How often a unit repeats right before and right after a place: (up, down)."""
+    step = F.greatest(F.length(unit), F.lit(1))
+    most = lambda flank: F.floor(F.length(flank) / step).cast("int")
+    run = lambda flank, take: F.array_max(F.filter(F.sequence(F.lit(0), most(flank)), lambda k: take(flank, k * step) == F.repeat(unit, k)))
+    return F.struct(run(upstream, F.right).alias("up"), run(downstream, F.left).alias("down"))
+
+
+def has_match(path: Column) -> Column:
+    """Whether a read has a base that stands on the reference; one without floats."""
+    return F.exists(path, lambda s: s["op"].isin("M", "=", "X"))
+
+
+def copy_number_region(pos: Column, info: Column, fmt: Column, sample: Column) -> Column:
+    """(begin, end, ploidy) of a copy-number record: from after the record's 1-based position to INFO END, with the sample's CN; null without either."""
+    end, cn = info_value(info, "END").cast("long"), format_value(fmt, sample, "CN").cast("int")
+    return F.when(end.isNotNull() & cn.isNotNull(), F.struct(pos.cast("long").alias("begin"), end.alias("end"), cn.alias("ploidy")))
+
+
+def is_normalised(ref: Column, alt: Column) -> Column:
+    """Whether a record is trimmed on both sides: last bases differ, and first ones but for a padding base; a substitution of several bases need only differ at its ends."""
+    last = F.right(ref, F.lit(1)) != F.right(alt, F.lit(1))
+    first = F.left(ref, F.lit(1)) != F.left(alt, F.lit(1))
+    shorter = F.least(F.length(ref), F.length(alt))
+    return F.when(F.length(ref) == F.length(alt), last & first).otherwise((shorter == 1) | (last & ~((shorter > 1) & (F.left(ref, F.lit(2)) == F.left(alt, F.lit(2))))))

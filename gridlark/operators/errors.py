@@ -72,3 +72,10 @@ def fitted_rates(counts: DataFrame, context: list[str], clean: float = 1e-8, ste
 
     types = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
     return counts.groupBy(*context).applyInPandas(fit, ", ".join([f"`{c}` {types[c]}" for c in context] + ["rate double", "noisy_share double", "het_share double", "loci long"]))
+
+
+def shared_levels(counts: DataFrame, context: list[str], level: str = "q", n: str = "n") -> DataFrame:
+    """The uncompressed form of patterns: for each context the quality levels it shares and the count at each, in order. What meets is one context's levels, some hundred at most."""
+    by = counts.groupBy(*context, level).agg(F.sum(n).alias("_n"))
+    listed = by.groupBy(*context).agg(F.array_sort(F.collect_list(F.struct(F.col(level).alias("l"), F.col("_n").alias("n")))).alias("_x"))
+    return listed.select(*context, F.transform("_x", lambda s: s["l"]).alias("levels"), F.transform("_x", lambda s: s["n"]).alias("counts"))

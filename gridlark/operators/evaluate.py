@@ -90,3 +90,23 @@ def until(rows: DataFrame, weight: str, target: int, keys: list[str], seed: int
     h = rows.withColumn("_h", F.shiftright(hash_ordered([F.col(k) for k in keys], seed), 16)).withColumn("_one", F.lit(1))
     summed = running(h, ["_one"], "_h", {"_sum": ("sum", F.col(weight))}, keys, before=True, width=1 << 40)
     return summed.filter(F.col("_sum") < target).drop("_h", "_one", "_sum")
+
+
+def integrated(points: DataFrame, part: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Trapezoid integral of a function given at some points of each part, and the ln of that of exp(y): a few points a part."""
+    w = Window.partitionBy(*part).orderBy(x)
+    step = points.withColumns({"_dx": F.lead(x).over(w) - F.col(x), "_y2": F.lead(y).over(w)}).filter("_dx is not null")
+    top = F.max(F.greatest(F.col(y), F.col("_y2"))).over(Window.partitionBy(*part))
+    step = step.withColumn("_top", top).withColumn("_e", (F.exp(F.col(y) - F.col("_top")) + F.exp(F.col("_y2") - F.col("_top"))) / 2 * F.col("_dx"))
+    return step.groupBy(*part).agg(F.sum((F.col(y) + F.col("_y2")) / 2 * F.col("_dx")).alias("area"), (F.max("_top") + F.ln(F.sum("_e"))).alias("ln_area"))
+
+
+def feature_frame(records: DataFrame, names: list[str], field: str = "features", sep: str = ",") -> DataFrame:
+    """A column for each feature named by a header, from a record's list of values; a missing or broken value is null."""
+    values = F.split(F.col(field), sep)
+    return records.select(*[c for c in records.columns if c != field], *[F.get(values, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)])
+
+
+def importance(model, features: list[str]) -> list[tuple[str, float]]:
+    """Features of a trained forest by importance, largest first; ties by name."""
+    return sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))

@@ -51,3 +51,17 @@ def rethreshold(filters: Column, score: Column, least: float, name: str = "LowEV
     """Adds or removes one filter by a new score threshold."""
     rest = F.array_except(filters, F.array(F.lit(name)))
     return F.when(score >= least, rest).otherwise(F.array_union(rest, F.array(F.lit(name))))
+
+
+def somatic_indel(nt: Column, qsi_nt: Column, noise: Column, depth: Column, expected: Column, evs: Column | None = None, cutoff: float = 0.0, min_depth: int = 2) -> Column:
+    """Array of the somatic indel filters that hold. With a score, the score's cutoff takes the place of noise and quality; depth filters hold either way. noise is the larger share of filtered base calls around the indel of both samples, depth the smaller locus depth."""
+    judged = [F.when(noise >= 0.3, "IndelBCNoise"), F.when((nt != 0) | (qsi_nt < 30), "QSI_ref")] if evs is None else [F.when(evs < cutoff, "LowEVS")]
+    hits = F.array(F.when(depth > 3 * expected, "HighDepth"), *judged, F.when(depth < min_depth, "LowDepth"))
+    return F.filter(hits, lambda x: x.isNotNull())
+
+
+def scored(score: Column, nt: Column, cutoff: Column, filters: Column, name: str = "LowEVS") -> tuple[Column, Column]:
+    """The score, 0 where the normal is not the reference, and the filters with the one of a score below the cutoff."""
+    own = F.when(nt != 0, F.lit(0.0)).otherwise(score)
+    rest = F.array_except(filters, F.array(F.lit(name)))
+    return own, F.when(own < cutoff, F.array_union(rest, F.array(F.lit(name)))).otherwise(rest)

@@ -41,12 +41,13 @@ def priors(alleles: tuple[str, ...], ref: Column, theta: float = THETA, polymorp
     return out
 
 
-def likelihoods(obs: DataFrame, alleles: tuple[str, ...], keys: list[str]) -> DataFrame:
+def likelihoods(obs: DataFrame, alleles: tuple[str, ...], keys: list[str], error: Column | None = None) -> DataFrame:
     """ln likelihood of each genotype (array `lhood`), from calls (base, q): sums of logs, which combine before the shuffle.
 
     A call is right with 1 - e, each wrong allele has e / (n - 1); a heterozygote is an even mix.
+    error: each call's e, where it is not its quality's alone (errors that depend on each other).
     """
-    e = P.error_prob(F.greatest(F.col("q"), F.lit(1)))
+    e = P.error_prob(F.greatest(F.col("q"), F.lit(1))) if error is None else error
     right, wrong = 1 - e, e / (len(alleles) - 1)
     sums = []
     for i, (a, b) in enumerate(genotypes(alleles)):

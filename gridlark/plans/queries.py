@@ -161,10 +161,10 @@ def strand_tables(spark, d):
 
 @query
 def exact_tests(spark, d):
-    """Binomial and Fisher tests of strand by position. Exact sums are checked in tests against brute force."""
+    """Binomial and Fisher tests of strand by position."""
     t = pileup.strand_tables(V.observations(spark, d), V.reference(spark, d))
     alt, n = F.col("fa") + F.col("ra"), F.col("fa") + F.col("ra") + F.col("fo") + F.col("ro")
-    return t.select("pos", X.binom_two_sided(alt, F.col("fa"), F.lit(0.5)).alias("strand_p"), X.binom_at_least(n, alt, F.lit(0.05)).alias("alt_p"), X.fisher_exact("fa", "ra", "fo", "ro").alias("fisher_p"))
+    return t.select("pos", tidy(X.binom_two_sided(alt, F.col("fa"), F.lit(0.5)), 6).alias("strand_p"), tidy(X.binom_at_least(n, alt, F.lit(0.05)), 6).alias("alt_p"), tidy(X.fisher_exact("fa", "ra", "fo", "ro"), 6).alias("fisher_p"))
 
 
 @query
@@ -219,7 +219,7 @@ def frequency_grid(spark, d):
 
 @query
 def somatic_calls(spark, d):
-    """Grid model at two tiers, reconciled; checked in tests against a plain Python model."""
+    """Grid model at two tiers, reconciled."""
     one, two = _tiers(spark, d)
     return genotype.reconciled(one, two, ["pos"])
 
@@ -293,7 +293,7 @@ def phase_sets(spark, d):
 
 @query
 def site_blocks(spark, d):
-    """Greedy block compression; checked in tests against a sequential model."""
+    """Greedy block compression; the SQL walks the sites one by one."""
     site = V.observations(spark, d).groupBy("pos").agg(F.count_if(F.expr("q >= 17")).alias("dp"), F.count_if(F.expr("q < 17")).alias("dpf")).withColumn("contig", F.lit("all")).withColumn("state", F.col("dp") >= 15)
     return windows.site_blocks(site, ["contig"], ["state"], ["dp", "dpf"], width=1024)
 
@@ -597,7 +597,7 @@ def panel_noise(spark, d):
 
 @query
 def callable_regions(spark, d):
-    """Positions where the normal genotype or the somatic call is sure enough, as blocks; the grid itself is checked in tests."""
+    """Positions where the normal genotype or the somatic call is sure enough, as blocks."""
     one, _ = _tiers(spark, d)
     sure = one.filter((F.col("qss") >= 15) | (P.int_phred(F.col("post")[1] + F.col("post")[3] + F.col("post")[5]) >= 15))
     return intervals.blocks(sure.select(F.lit("all").alias("contig"), "pos"), ["contig"], width=512)
