@@ -67,7 +67,9 @@ PROBES = 2
 #: Rows of the cells for which tables of a few numbers a row get one file.
 ROWS_A_FILE = 1_000_000
 #: Shingles over which a task counts before it reports local frequent ones.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
+#: Pairs whose texts a task holds unpacked at once.
+PAIRS = 1024
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -276,16 +278,15 @@ def _near(percent: int):
     """Of rows (x, y, sizes, histograms): the pairs that may link by their histograms, and the similarity these allow."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 4 * PAIRS) for b in batches for at in range(0, b.num_rows, 4 * PAIRS)):
             known = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False) & batch.column(5).is_valid().to_numpy(zero_copy_only=False))
             keep, most = np.ones(batch.num_rows, bool), np.ones(batch.num_rows)
             nx, ny = (batch.column(i).to_numpy() for i in (2, 3))
-            for at in range(0, len(known), 4096):
-                rows = known[at : at + 4096]
-                a, b = (np.frombuffer(b"".join(batch.column(i).take(pa.array(rows)).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+            if len(known):
+                a, b = (np.frombuffer(b"".join(batch.column(i).take(pa.array(known)).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
                 common = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-                keep[rows] = 100 * common >= percent * (nx[rows] + ny[rows] - common)
-                most[rows] = common / (nx[rows] + ny[rows] - common)
+                keep[known] = 100 * common >= percent * (nx[known] + ny[known] - common)
+                most[known] = common / (nx[known] + ny[known] - common)
             keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(most).filter(keep)], ["x", "y", "most"])
 
@@ -338,7 +339,7 @@ def _measured(words: int):
 
     def run(batches):
         pack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(at, PAIRS) for b in batches for at in range(0, b.num_rows, PAIRS)):
             sets = []
             for c in (2, 3):
                 parts = []
