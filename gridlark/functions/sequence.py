@@ -122,3 +122,28 @@ def is_normalised(ref: Column, alt: Column) -> Column:
     first = F.left(ref, F.lit(1)) != F.left(alt, F.lit(1))
     shorter = F.least(F.length(ref), F.length(alt))
     return F.when(F.length(ref) == F.length(alt), last & first).otherwise((shorter == 1) | (last & ~((shorter > 1) & (F.left(ref, F.lit(2)) == F.left(alt, F.lit(2))))))
+
+
+def tandem_count(seq: Column, pos: Column, size: Column) -> Column:
+    """Repeats of the unit of `size` bases at pos (from 0) if it is the left end of its tract, else 1."""
+    unit = F.substr(seq, pos + 1, size)
+    left_end = (pos <= size - 1) | (F.substr(seq, pos, F.lit(1)) != F.substr(seq, pos + size, F.lit(1)))
+    most = F.greatest(F.lit(1), F.floor((F.length(seq) - pos) / size).cast("int"))
+    count = F.array_max(F.filter(F.sequence(F.lit(1), most), lambda k: F.substr(seq, pos + 1, k * size) == F.repeat(unit, k)))
+    return F.when(left_end, F.coalesce(count, F.lit(1))).otherwise(1)
+
+
+def encodable(context: Column, words: int) -> Column:
+    """Bases of a context that so many words encode, each but the first being the shortest run that what came before does not hold."""
+    padded = F.concat(context, F.lit("#"))  # the end is a base of its own
+
+    def step(n: Column, _: Column) -> Column:
+        fresh = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n)), lambda k: ~F.contains(F.left(padded, n), F.substr(padded, n + 1, k)))
+        return n + F.coalesce(F.array_min(fresh), F.lit(1))
+
+    return F.aggregate(F.sequence(F.lit(2), F.lit(words)), F.lit(1), step) if words > 1 else F.lit(1)
+
+
+def compressibility(seq: Column, left: Column, right: Column, words: int) -> Column:
+    """The longer of the contexts left of `left` and from `right` on (from 0) that so many words encode."""
+    return F.greatest(encodable(F.reverse(F.left(seq, left)), words), encodable(F.substr(seq, right + 1), words))

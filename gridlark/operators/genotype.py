@@ -197,3 +197,23 @@ def haploid_called(lhoods: DataFrame, alleles: tuple[str, ...], theta: float = T
 def indel_rate_prior(length: Column, slope: float, intercept: float, n_alleles: Column) -> Column:
     """Mutation-rate prior of an indel by its length: exp(slope L + intercept) * 20, to the power of the new alleles."""
     return F.pow(F.exp(length * slope + intercept) * 20, n_alleles)
+
+
+def nonsomatic_quality(normal: Column, tumor: Column, least: float = 0.1) -> Column:
+    """Quality of both samples sharing one frequency, where variants under `least` do not count: from arrays over frequencies().
+
+    Shared frequencies weigh one; a reference or homozygous normal with another tumour frequency weighs a half.
+    """
+    f = frequencies()
+    valid = [i for i, x in enumerate(f) if x in (0.0, 1.0) or least - 1e-4 <= x <= 1 - least + 1e-4]
+    same = P.log_sum_exp(F.array(*[normal[i] + tumor[i] for i in valid]))
+    other = P.log_sum_exp(F.array(*[normal[n] + tumor[t] + math.log(0.5) for n in (0, 2) for t in valid if t != n]))
+    return P.let(F.struct(same.alias("s"), other.alias("o")), lambda x: P.int_phred(1 / (1 + F.exp(x["s"] - x["o"]))))
+
+
+def strand_noise(fwd: Column, rev: Column) -> Column:
+    """How much likelier noise on one strand is than any frequency on both, 0 at least: from arrays over frequencies() of either strand's calls. A noise state has a frequency under one half on one strand, either one, and the reference on the other."""
+    f = frequencies()
+    states = [P.log_sum_exp(F.array(fwd[i] + rev[0], fwd[0] + rev[i])) + math.log(0.5) for i, x in enumerate(f) if 0 < x < 0.5]
+    symmetric = [fwd[i] + rev[i] for i in range(3, len(f))]
+    return F.greatest(F.lit(0.0), F.greatest(*states) - F.greatest(*symmetric))

@@ -225,3 +225,34 @@ def _de_novo() -> str:
 
 
 ORACLES["de_novo_scores"] = _de_novo()
+
+
+def _callability() -> str:
+    n = len(_FREQ)
+    zeros = "[" + ", ".join(["0.0"] * n) + "]"
+    valid = [i for i, x in enumerate(_FREQ) if x in (0.0, 1.0) or 0.0999 <= x <= 0.9001]
+    same = "[" + ", ".join(f"n[{i + 1}] + t[{i + 1}]" for i in valid) + "]"
+    other = "[" + ", ".join(f"n[{a + 1}] + t[{b + 1}] + {math.log(0.5)!r}" for a in (0, 2) for b in valid if b != a) + "]"
+    low = [i for i, x in enumerate(_FREQ) if 0 < x < 0.5]
+    states = ", ".join(f"greatest(tf[{i + 1}] + tr[1], tf[1] + tr[{i + 1}]) + ln(1 + exp(-abs(tf[{i + 1}] + tr[1] - tf[1] - tr[{i + 1}]))) + {math.log(0.5)!r}" for i in low)
+    symmetric = ", ".join(f"tf[{i + 1}] + tr[{i + 1}]" for i in range(3, n))
+    rows = "(SELECT pos, sample, is_fwd, base <> ref AS alt, q FROM obs JOIN ref USING (pos) WHERE q >= 25)"
+    take = ", ".join(f"coalesce(any_value(CASE WHEN sample = {s} AND {'is_fwd' if f else 'NOT is_fwd'} THEN f END), {zeros}) AS {name}" for s, f, name in ((0, 1, "nf"), (0, 0, "nr"), (1, 1, "tf"), (1, 0, "tr")))
+    return chain(OBS, REF, f"fl AS (SELECT pos, sample, is_fwd, [{', '.join(_ALT_F)}] AS f FROM {rows} GROUP BY 1, 2, 3)", f"p AS (SELECT pos, {take} FROM fl GROUP BY pos)", "b AS (SELECT *, list_transform(nf, lambda x, i: x + nr[i]) AS n, list_transform(tf, lambda x, i: x + tr[i]) AS t FROM p)", f"c AS (SELECT *, {same} AS s, {other} AS o FROM b)") + (
+        f"SELECT pos, {phred(f'(1 / (1 + exp({lse(chr(115))} - {lse(chr(111))})))')} AS nqss, {tidy(f'greatest(0.0, greatest({states}) - greatest({symmetric}))')} AS snvsb FROM c"
+    )
+
+
+def _encoded(s: str, words: int) -> str:
+    n = "1"
+    for _ in range(words - 1):
+        n = f"({n} + coalesce(list_min(list_filter(range(1, greatest(1, length({s}) - {n}) + 1), lambda k: NOT contains(left({s}, {n}), substr({s}, {n} + 1, k)))), 1))"
+    return n
+
+
+ORACLES |= {
+    "somatic_callability": _callability(),
+    "repeat_tracts": f"""WITH t AS (SELECT p_partkey, translate(lower(p_name || p_type || p_name), 'bcdfghjklmnpqrstvwxyzeiou ', 'aaaaaaaaaaaaaaaaaaaaabbbb') AS s, CAST(p_size % 9 AS BIGINT) AS a, CAST(p_size % 2 + 1 AS BIGINT) AS k FROM part), u AS (SELECT *, substr(s, a + 1, k) AS u, s || '#' AS w, reverse(left(s, a)) || '#' AS l, substr(s, a + 2) || '#' AS r FROM t)
+ SELECT p_partkey, CAST(CASE WHEN a <= k - 1 OR substr(s, a, 1) <> substr(s, a + k, 1) THEN coalesce(list_max(list_filter(range(1, greatest(1, (length(s) - a) // k) + 1), lambda i: substr(s, a + 1, CAST(i * k AS BIGINT)) = repeat(u, CAST(i AS BIGINT)))), 1) ELSE 1 END AS INT) AS repeats, CAST({_encoded('w', 3)} AS INT) AS encoded, CAST(greatest({_encoded('l', 4)}, {_encoded('r', 4)}) AS INT) AS context FROM u""",
+}
+ORACLES["stream_coverage"] = """WITH e AS (SELECT user_id AS key, count(*) AS n, max(CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT)) AS last FROM events GROUP BY 1) SELECT key, n, last FROM e WHERE last + 1 < (SELECT max(last) FROM e) - 3600000"""

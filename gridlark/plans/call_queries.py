@@ -293,3 +293,34 @@ def dependent_genotypes(spark, d):
     e = F.least(F.lit(0.75), F.pow(P.error_prob(F.greatest(F.col("q"), F.lit(1))), F.col("weight")))
     lh = genotype.likelihoods(weighted, V.ALLELES, ["pos"], e).join(V.reference(spark, d), "pos")
     return genotype.called(lh, V.ALLELES).select("pos", "gt", "gq", "qual", *[tidy(F.col("lhood")[i]).alias(f"g{i}") for i in (0, 3)])
+
+
+@query
+def somatic_callability(spark, d):
+    """Non-somatic quality, and how much likelier strand noise is than a variant of the tumour."""
+    o = V.observations(spark, d).join(V.reference(spark, d), "pos").withColumn("is_alt", F.col("base") != F.col("ref")).filter("q >= 25")
+    lh = genotype.frequency_likelihoods(o, ["pos", "sample", "is_fwd"])
+    none = F.array_repeat(F.lit(0.0), len(genotype.frequencies()))
+    take = lambda s, f: F.coalesce(F.max(F.when((F.col("sample") == s) & (F.col("is_fwd") == f), F.col("lhood"))), none)
+    t = lh.groupBy("pos").agg(take(0, True).alias("nf"), take(0, False).alias("nr"), take(1, True).alias("tf"), take(1, False).alias("tr"))
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    t = t.withColumns({"n": both("nf", "nr"), "t": both("tf", "tr")})
+    return t.select("pos", genotype.nonsomatic_quality(F.col("n"), F.col("t")).alias("nqss"), tidy(genotype.strand_noise(F.col("tf"), F.col("tr"))).alias("snvsb"))
+
+
+@query
+def repeat_tracts(spark, d):
+    """Tandem repeats and encodable contexts of a name made of few letters."""
+    s = F.translate(F.lower(F.concat("p_name", "p_type", "p_name")), "bcdfghjklmnpqrstvwxyzeiou ", "aaaaaaaaaaaaaaaaaaaaabbbb")
+    t = V.table(spark, d, "part").select("p_partkey", s.alias("s"), (F.col("p_size") % 9).cast("int").alias("at"), (F.col("p_size") % 2 + 1).cast("int").alias("k"))
+    return t.select("p_partkey", S.tandem_count(F.col("s"), F.col("at"), F.col("k")).alias("repeats"), S.encodable(F.col("s"), 3).alias("encoded"), S.compressibility(F.col("s"), F.col("at"), F.col("at") + 1, 4).alias("context"))
+
+
+@query
+def stream_coverage(spark, d):
+    """Running counts by user, closed once the watermark has passed them and drained: users without a later event by then are still open."""
+    from gridlark.streaming import positions
+
+    batch = V.table(spark, d, "events")
+    rows = spark.readStream.schema(batch.schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return positions.drained(positions.coverage_runs(rows, "ts", "user_id", "1 hour"), "append")

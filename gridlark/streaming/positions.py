@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +45,13 @@ def coverage_runs(rows: DataFrame, time: str, key: str, lag: str) -> DataFrame:
 
 def drained(out: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what its source holds now and returns the sink's rows, kept in the shared folder."""
-    import tempfile
-    import uuid
-
     spark = out.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+    root = root.rstrip("/")
     path = f"{root}/stream-{uuid.uuid4().hex}"
     sink = out.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows"))
     sink.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
