@@ -147,3 +147,16 @@ def encodable(context: Column, words: int) -> Column:
 def compressibility(seq: Column, left: Column, right: Column, words: int) -> Column:
     """The longer of the contexts left of `left` and from `right` on (from 0) that so many words encode."""
     return F.greatest(encodable(F.reverse(F.left(seq, left)), words), encodable(F.substr(seq, right + 1), words))
+
+
+def match_segments(path: Column, pos: Column) -> Column:
+    """(begin, end) of each stretch of a read that stands on the reference, its first base at pos."""
+
+    def step(acc: Column, s: Column) -> Column:
+        on = s["op"].isin("M", "=", "X")
+        after = acc["at"] + F.when(on | s["op"].isin("D", "N"), s["len"]).otherwise(0)
+        own = F.array(F.struct(acc["at"].alias("begin"), after.alias("end")))
+        return F.struct(after.alias("at"), F.when(on, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    return F.aggregate(path, F.struct(pos.cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])

@@ -94,7 +94,7 @@ _FISHER = "exp(lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(n - r
 
 ORACLES: dict[str, str] = {
     "exact_tests": f"""WITH {OBS}, {REF}, {_STRANDS}, m AS (SELECT *, fa + ra AS r, fa + ra + fo + ro AS n, fa + fo AS k FROM st), f AS (SELECT *, list_transform(range(greatest(0, k - (n - r)), least(r, k) + 1), lambda i: {_FISHER}) AS ps, list_transform([fa], lambda i: {_FISHER})[1] AS seen FROM m)
- SELECT pos, {tidy(f"least(1.0, 2 * least({tail('r', '0', 'fa', '0.5', 'i')}, CASE WHEN fa <= 0 THEN 1.0 ELSE {tail('r', 'fa', 'r', '0.5', 'i')} END))", 6)} AS strand_p, {tidy(f"CASE WHEN r <= 0 THEN 1.0 ELSE {tail('n', 'r', 'n', '0.05', 'i')} END", 6)} AS alt_p, {tidy('least(1.0, list_sum(list_filter(ps, lambda x: x <= seen * (1 + 1e-7))))', 6)} AS fisher_p FROM f""",
+ SELECT pos, {tidy(f"least(1.0, 2 * least({tail('r', '0', 'fa', '0.5', 'i')}, CASE WHEN fa <= 0 THEN 1.0 ELSE {tail('r', 'fa', 'r', '0.5', 'i')} END))", 6)} AS strand_p, {tidy(f"CASE WHEN r <= 0 THEN 1.0 ELSE {tail('n', 'r', 'n', '0.05', 'i')} END", 6)} AS alt_p, {tidy('least(1.0, list_sum(list_filter(ps, lambda x: x <= seen * (1 + 1e-7))))', 6)} AS fisher_p, {tidy('least(1.0, list_sum(ps[fa - greatest(0, k - (n - r)) + 1 :]))', 6)} AS fisher_more, {tidy('least(1.0, list_sum(ps[: fa - greatest(0, k - (n - r)) + 1]))', 6)} AS fisher_less FROM f""",
     "indel_candidacy": f"""{BOTH}, t AS (SELECT pos, count(*) AS depth, {_C('base <> ref')} AS support FROM obs JOIN ref USING (pos) GROUP BY pos), d AS (SELECT DISTINCT depth FROM t),
  k AS (SELECT depth, unnest(range(0, depth + 2)) AS k FROM d), l AS (SELECT depth, min(k) AS least FROM k WHERE (CASE WHEN k <= 0 THEN 1.0 WHEN k > depth THEN 0.0 ELSE {tail('depth', 'k', 'depth', '0.3', 'i')} END) <= 1e-3 GROUP BY depth)
  SELECT pos, depth, support, least FROM t JOIN l USING (depth) WHERE support >= least AND depth >= 2""",
@@ -256,3 +256,14 @@ ORACLES |= {
  SELECT p_partkey, CAST(CASE WHEN a <= k - 1 OR substr(s, a, 1) <> substr(s, a + k, 1) THEN coalesce(list_max(list_filter(range(1, greatest(1, (length(s) - a) // k) + 1), lambda i: substr(s, a + 1, CAST(i * k AS BIGINT)) = repeat(u, CAST(i AS BIGINT)))), 1) ELSE 1 END AS INT) AS repeats, CAST({_encoded('w', 3)} AS INT) AS encoded, CAST(greatest({_encoded('l', 4)}, {_encoded('r', 4)}) AS INT) AS context FROM u""",
 }
 ORACLES["stream_coverage"] = """WITH e AS (SELECT user_id AS key, count(*) AS n, max(CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT)) AS last FROM events GROUP BY 1) SELECT key, n, last FROM e WHERE last + 1 < (SELECT max(last) FROM e) - 3600000"""
+ORACLES |= {
+    "error_rate_lookup": f"""WITH m AS (SELECT p_size % 2 + 1 AS pattern, p_size % 7 + 1 AS count, min(p_size) * 1e-4 AS rate FROM part WHERE p_type <> 'PROMO' OR p_size < 20 GROUP BY 1, 2), r AS (SELECT p_partkey, p_size % 3 + 1 AS pattern, p_size % 9 + 1 AS count, p_type = 'SMALL' AS c FROM part)
+ SELECT p_partkey, {tidy('coalesce(m.rate, (SELECT max(rate) FROM m WHERE pattern = 1 AND count = 1))', 6)} AS rate FROM r LEFT JOIN m ON m.pattern = (CASE WHEN c THEN 1 ELSE r.pattern END) AND m.count = (CASE WHEN c THEN 1 ELSE r.count END)""",
+    "rethresholded": f"WITH {SCORED} SELECT id, array_to_string(list_filter([CASE WHEN score % 10 = 0 THEN 'LowDepth' END, CASE WHEN score < 40 THEN 'LowEVS' END], lambda x: x IS NOT NULL), ';') AS filters FROM sc",
+    "sorted_variants": f"""WITH {OBS}, c AS (SELECT p_brand AS contig, CAST(row_number() OVER (ORDER BY max(p_partkey) DESC) AS INT) AS rank FROM part GROUP BY 1), v AS (SELECT p_brand AS chrom, pos, base, q, mapq, read_id * 10 + read_pos AS id FROM obs JOIN part ON pos = p_partkey),
+ b AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos, base ORDER BY mapq >= 20 DESC, q DESC, id) AS r FROM v) SELECT chrom, pos, base AS alt, CAST(q AS DOUBLE) AS qual, id, rank FROM b JOIN c ON chrom = contig WHERE r = 1""",
+    "merged_streams": "SELECT c_mktsegment AS contig, c_custkey AS pos, 0 AS src_rank, c_acctbal AS a, CAST(NULL AS DOUBLE) AS b FROM customer UNION ALL SELECT p_brand, p_partkey, 1, NULL, p_retailprice FROM part",
+    "genotype_indices": "SELECT p_partkey, least(p_size % 5, p_size % 7) + greatest(p_size % 5, p_size % 7) * (greatest(p_size % 5, p_size % 7) + 1) // 2 AS place FROM part",
+    "matched_depth": """WITH t AS (SELECT l_linestatus AS contig, l_partkey AS p, CAST(floor(l_quantity) AS BIGINT) AS n, CAST(l_linenumber AS BIGINT) AS g FROM lineitem), m AS (SELECT contig, p AS b, p + n AS e FROM t UNION ALL SELECT contig, p + n + g, p + n + g + 7 FROM t), s AS (SELECT contig, pos, sum(d) AS d FROM (SELECT contig, b AS pos, 1 AS d FROM m UNION ALL SELECT contig, e, -1 FROM m) GROUP BY 1, 2 HAVING sum(d) <> 0)
+ SELECT contig, pos AS "begin", nx AS "end", CAST(depth AS BIGINT) AS depth FROM (SELECT contig, pos, lead(pos) OVER w AS nx, sum(d) OVER w AS depth FROM s WINDOW w AS (PARTITION BY contig ORDER BY pos)) WHERE depth > 0""",
+}

@@ -13,6 +13,7 @@ from gridlark.functions import sequence as S
 from gridlark.operators import errors, evaluate, filters, genotype, indels, intervals, pileup, windows
 from gridlark.plans import views as V
 from gridlark.plans.queries import tidy
+from gridlark.sources import formats, models
 from gridlark.sources import records as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -324,3 +325,48 @@ def stream_coverage(spark, d):
     batch = V.table(spark, d, "events")
     rows = spark.readStream.schema(batch.schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     return positions.drained(positions.coverage_runs(rows, "ts", "user_id", "1 hour"), "append")
+
+
+@query
+def error_rate_lookup(spark, d):
+    t = V.table(spark, d, "part")
+    model = t.filter("p_type <> 'PROMO' or p_size < 20").groupBy((F.col("p_size") % 2 + 1).alias("pattern"), (F.col("p_size") % 7 + 1).alias("count")).agg((F.min("p_size") * 1e-4).alias("rate"))
+    rows = t.select("p_partkey", (F.col("p_size") % 3 + 1).alias("pattern"), (F.col("p_size") % 9 + 1).alias("count"), (F.col("p_type") == "SMALL").alias("is_complex"))
+    return models.looked_up(rows, model).select("p_partkey", tidy(F.col("rate"), 6).alias("rate"))
+
+
+@query
+def rethresholded(spark, d):
+    s = V.scored(spark, d).withColumn("filters", F.when(F.col("score") % 10 == 0, F.array(F.lit("LowEVS"), F.lit("LowDepth"))).otherwise(F.array().cast("array<string>")))
+    return s.select("id", F.array_join(F.array_sort(filters.rethreshold(F.col("filters"), F.col("score"), 40)), ";").alias("filters"))
+
+
+@query
+def sorted_variants(spark, d):
+    """Records in order of contig rank and position, one of equal ones."""
+    t = V.table(spark, d, "part")
+    contigs = t.groupBy(F.col("p_brand").alias("contig")).agg(F.max("p_partkey").alias("top"))
+    contigs = contigs.join(evaluate.level_ranks(contigs, "top"), "top").select("contig", "rank")
+    o = V.observations(spark, d).join(t.select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("chrom")), "pos")
+    rows = o.select("chrom", "pos", (F.col("pos") + 1).alias("end"), F.lit("X").alias("ref"), F.col("base").alias("alt"), F.when(F.col("mapq") >= 20, "PASS").otherwise("LowMQ").alias("filter"), F.col("q").cast("double").alias("qual"), (F.col("read_id") * 10 + F.col("read_pos")).alias("id"))
+    return formats.sorted_records(rows, contigs).join(contigs.withColumnRenamed("contig", "chrom"), "chrom").select("chrom", "pos", "alt", "qual", "id", "rank")
+
+
+@query
+def merged_streams(spark, d):
+    a = V.table(spark, d, "customer").select(F.col("c_mktsegment").alias("contig"), F.col("c_custkey").alias("pos"), F.col("c_acctbal").alias("a"))
+    b = V.table(spark, d, "part").select(F.col("p_brand").alias("contig"), F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("b"))
+    return formats.merged_sources(a, b)
+
+
+@query
+def genotype_indices(spark, d):
+    return V.table(spark, d, "part").select("p_partkey", S.genotype_index(F.col("p_size") % 5, F.col("p_size") % 7).cast("long").alias("place"))
+
+
+@query
+def matched_depth(spark, d):
+    """Depth from the stretches of reads that stand on the reference, not from their whole spans."""
+    text = F.concat(F.floor("l_quantity").cast("int").cast("string"), F.lit("M"), F.col("l_linenumber").cast("string"), F.lit("D4I7M"))
+    t = V.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("contig"), F.explode(S.match_segments(S.cigar(text), F.col("l_partkey"))).alias("m"))
+    return intervals.coverage(t.select("contig", "m.begin", "m.end"), ["contig"], width=256)

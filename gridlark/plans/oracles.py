@@ -130,8 +130,8 @@ ORACLES: dict[str, str] = {
     "frequency_grid": f"{BOTH} SELECT pos, sample, "
     + ", ".join(tidy(f"sum(ln(CASE WHEN base <> ref THEN {_FREQ[i]} * (1 - {_E1}) + (1 - {_FREQ[i]}) * {_E1} ELSE (1 - {_FREQ[i]}) * (1 - {_E1}) + {_FREQ[i]} * {_E1} END))") + f" AS f{i}" for i in (1, 3, 12, 20))
     + " FROM obs JOIN ref USING (pos) WHERE q >= 25 GROUP BY 1, 2",
-    "sliding_region_stats": f"""WITH {OBS}, s AS (SELECT pos, {_C('q >= 17')} AS used, {_C('q < 17')} AS unused FROM obs GROUP BY 1)
- SELECT pos, {tidy('avg(used) OVER w')} AS used_avg, {tidy('avg(unused) OVER w')} AS unused_avg FROM s WINDOW w AS (ORDER BY pos RANGE BETWEEN 49 PRECEDING AND 50 FOLLOWING)""",
+    "sliding_region_stats": f"""WITH {OBS}, s AS (SELECT pos, {_C('q >= 17')} AS used, {_C('q < 17')} AS unused, {_C('mapq = 0')} AS spanning, {_C('mapq < 20')} AS submapped FROM obs GROUP BY 1)
+ SELECT pos, {tidy('avg(used) OVER w')} AS used_avg, {tidy('avg(unused) OVER w')} AS unused_avg, {tidy('avg(spanning) OVER w')} AS spanning_avg, {tidy('avg(submapped) OVER w')} AS submapped_avg FROM s WINDOW w AS (ORDER BY pos RANGE BETWEEN 49 PRECEDING AND 50 FOLLOWING)""",
     "recent_flags": f"WITH {OBS} SELECT CAST(r AS BIGINT) AS recent, count(*) AS n FROM (SELECT sum(CASE WHEN q >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY read_id ORDER BY read_pos, pos, q ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS r FROM obs) GROUP BY 1",
     "mismatch_density": f"{BOTH} SELECT CAST(near AS BIGINT) AS near, near > 2 AS dense, count(*) AS n FROM (SELECT sum(CASE WHEN base <> ref THEN 1 ELSE 0 END) OVER (PARTITION BY read_id ORDER BY read_pos RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM obs JOIN ref USING (pos)) GROUP BY 1, 2",
     "active_regions": f"""WITH {EVENTS}, p AS (SELECT DISTINCT contig, pos FROM ev WHERE value > 50), f AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY contig ORDER BY pos) <= 3600 THEN 0 ELSE 1 END AS fresh FROM p),

@@ -164,7 +164,7 @@ def exact_tests(spark, d):
     """Binomial and Fisher tests of strand by position."""
     t = pileup.strand_tables(V.observations(spark, d), V.reference(spark, d))
     alt, n = F.col("fa") + F.col("ra"), F.col("fa") + F.col("ra") + F.col("fo") + F.col("ro")
-    return t.select("pos", tidy(X.binom_two_sided(alt, F.col("fa"), F.lit(0.5)), 6).alias("strand_p"), tidy(X.binom_at_least(n, alt, F.lit(0.05)), 6).alias("alt_p"), tidy(X.fisher_exact("fa", "ra", "fo", "ro"), 6).alias("fisher_p"))
+    return t.select("pos", tidy(X.binom_two_sided(alt, F.col("fa"), F.lit(0.5)), 6).alias("strand_p"), tidy(X.binom_at_least(n, alt, F.lit(0.05)), 6).alias("alt_p"), tidy(X.fisher_exact("fa", "ra", "fo", "ro"), 6).alias("fisher_p"), tidy(X.fisher_exact("fa", "ra", "fo", "ro", 1), 6).alias("fisher_more"), tidy(X.fisher_exact("fa", "ra", "fo", "ro", -1), 6).alias("fisher_less"))
 
 
 @query
@@ -234,9 +234,10 @@ def somatic_filters(spark, d):
 
 @query
 def sliding_region_stats(spark, d):
-    site = V.observations(spark, d).groupBy("pos").agg(F.count_if(F.expr("q >= 17")).alias("used"), F.count_if(F.expr("q < 17")).alias("unused")).withColumn("c", F.lit(1))
-    out = windows.sliding_average(site, ["c"], "pos", ["used", "unused"], back=49, ahead=50, width=256)
-    return out.select("pos", tidy(F.col("used_avg")).alias("used_avg"), tidy(F.col("unused_avg")).alias("unused_avg"))
+    site = V.observations(spark, d).groupBy("pos").agg(F.count_if(F.expr("q >= 17")).alias("used"), F.count_if(F.expr("q < 17")).alias("unused"), F.count_if(F.expr("mapq = 0")).alias("spanning"), F.count_if(F.expr("mapq < 20")).alias("submapped")).withColumn("c", F.lit(1))
+    counters = ["used", "unused", "spanning", "submapped"]
+    out = windows.sliding_average(site, ["c"], "pos", counters, back=49, ahead=50, width=256)
+    return out.select("pos", *[tidy(F.col(f"{x}_avg")).alias(f"{x}_avg") for x in counters])
 
 
 @query

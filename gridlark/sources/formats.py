@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.functions.sequence import cigar
+from gridlark.functions.sequence import cigar, cigar_length, is_normalised
 from gridlark.operators.evaluate import level_ranks
 
 
-def read_vcf(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """chrom, pos (1-based), id, ref, alt (array), qual, filter (array), info, format, samples (array). Strict: a record that is not right-trimmed is an error."""
-    f = F.split("value", "\t")
+def read_vcf(spark: SparkSession, path: str, strict: bool = False, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """chrom, pos (1-based), id, ref, alt (array), qual, filter (array), info, format, samples (array). Strict: a record that is not trimmed is an error. region: only records that begin in (contig, begin, end), from 0 and half-open."""
+    fields = F.split("value", "\t")
+    f = [F.get(fields, F.lit(i)) for i in range(9)]
     rows = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
     out = rows.select(
         f[0].alias("chrom"),
@@ -20,15 +21,15 @@ def read_vcf(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
         F.upper(f[3]).alias("ref"),
         F.split(f[4], ",").alias("alt"),
         F.nullif(f[5], F.lit(".")).cast("double").alias("qual"),
-        F.split(F.get(f, F.lit(6)), ";").alias("filter"),
-        F.get(f, F.lit(7)).alias("info"),
-        F.get(f, F.lit(8)).alias("format"),
-        F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))).alias("samples"),
+        F.split(f[6], ";").alias("filter"),
+        f[7].alias("info"),
+        f[8].alias("format"),
+        F.slice(fields, 10, F.greatest(F.size(fields) - 9, F.lit(0))).alias("samples"),
     )
     if strict:
-        bad = F.exists("alt", lambda a: a.rlike("^[ACGTN]+$") & (F.length("ref") > 1) & (F.length(a) > 1) & (F.right("ref", F.lit(1)) == F.right(a, F.lit(1))))
+        bad = F.exists("alt", lambda a: a.rlike("^[ACGTN]+$") & ~is_normalised(F.col("ref"), a))
         out = out.withColumn("pos", F.when(bad, F.raise_error(F.concat(F.lit("record is not normalised: "), "chrom", F.lit(":"), F.col("pos").cast("string"))).cast("long")).otherwise(F.col("pos")))
-    return out
+    return out if region is None else out.filter((F.col("chrom") == region[0]) & F.col("pos").between(region[1] + 1, region[2]))
 
 
 def vcf_line(rows: DataFrame, chrom: Column, pos: Column, ref: Column, alt: Column, qual: Column, filters: Column, info: list[tuple[str, Column]], fmt: list[tuple[str, Column]]) -> DataFrame:
@@ -59,16 +60,29 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("value", r"^(\S+)", 1).alias("contig"), seq.alias("seq"))
 
 
+def fasta_region(sequences: DataFrame, contig: str, begin: int, end: int) -> DataFrame:
+    """contig, begin, seq: the part of a contig from begin to end (from 0, half-open), as far as it reaches."""
+    return sequences.filter(F.col("contig") == contig).select("contig", F.lit(begin).cast("long").alias("begin"), F.substr("seq", F.lit(begin + 1), F.lit(end - begin)).alias("seq"))
+
+
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """contig, length, rank: contig sizes in the order of the index, by its byte offsets."""
     rows = spark.read.option("sep", "\t").schema("contig string, length long, offset long, bases int, width int").csv(path)
     return rows.select("contig", "length", "offset").join(level_ranks(rows.withColumn("_at", -F.col("offset")), "_at").select((-F.col("_at")).alias("offset"), "rank"), "offset").select("contig", "length", "rank")
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of SAM text: qname, flag bits as booleans, contig, 0-based pos, mapq, cigar path, seq, qualities. Qualities over 70 are an error."""
-    f = F.split("value", "\t")
-    rows = spark.read.text(path).filter(~F.col("value").startswith("@"))
+def read_sam(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """Reads of SAM text: qname, flag bits as booleans, contig, 0-based pos, mapq, cigar path, seq, qualities.
+
+    Qualities over 70, and bases written as equal to the reference, are an error; reads
+    without qualities are left out.  region: only reads that touch (contig, begin, end).
+    """
+    fields = F.split("value", "\t")
+    f = [F.get(fields, F.lit(i)) for i in range(11)]
+    rows = spark.read.text(path).filter(~F.col("value").startswith("@") & (f[10] != "*"))
+    if region is not None:
+        begin = f[3].cast("long") - 1
+        rows = rows.filter((f[2] == region[0]) & (begin < region[2]) & (begin + F.greatest(F.lit(1), cigar_length(cigar(f[5]), "MDN=X")) > region[1]))
     flag = f[1].cast("int")
     bit = lambda b: flag.bitwiseAND(F.lit(b)) != 0
     quals = F.transform(F.split(f[10], ""), lambda c: F.ascii(c) - 33)
@@ -80,7 +94,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
         (f[3].cast("long") - 1).alias("pos"),
         f[4].cast("int").alias("mapq"),
         cigar(f[5]).alias("cigar"),
-        f[9].alias("seq"),
+        F.when(F.contains(f[9], F.lit("=")), F.raise_error(F.lit("a base is written as equal to the reference")).cast("string")).otherwise(f[9]).alias("seq"),
         F.when(bad, F.raise_error(F.lit("a base quality is over 70")).cast("array<int>")).otherwise(quals).alias("qual"),
     )
 
