@@ -219,7 +219,7 @@ def _de_novo() -> str:
                 weight = parent[m] * parent[d] * (made[c] if made[c] > 0 else mutation)
                 (old if made[c] > 0 else new).append(f"pow(10.0, -m[{m + 1}] / 10.0) * pow(10.0, -f[{d + 1}] / 10.0) * pow(10.0, -c[{c + 1}] / 10.0) * {weight!r}")
     return f"""WITH {OBS}, l AS (SELECT pos, lib, [{', '.join(_PLS)}] AS l FROM obs GROUP BY 1, 2), p AS (SELECT pos, lib, list_transform(l, lambda x: floor(-10 * (x - list_max(l)) / {LN10} + 0.5)) AS pl FROM l),
- ped AS (SELECT s_suppkey AS child, lead(s_suppkey, 1) OVER w AS father, lead(s_suppkey, 2) OVER w AS mother FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+ ped AS (SELECT c.s_suppkey AS child, f.s_suppkey AS father, m.s_suppkey AS mother FROM supplier c JOIN supplier f ON f.s_suppkey = c.s_suppkey + 1 JOIN supplier m ON m.s_suppkey = c.s_suppkey + 2),
  t AS (SELECT a.pos, child AS child_lib, father AS father_lib, mother AS mother_lib, a.pl AS c, b.pl AS f, e.pl AS m FROM ped JOIN p a ON a.lib = child JOIN p b ON b.lib = father AND b.pos = a.pos JOIN p e ON e.lib = mother AND e.pos = a.pos),
  s AS (SELECT *, {' + '.join(new)} AS x, {' + '.join(old)} AS y FROM t) SELECT pos, child_lib, father_lib, mother_lib, floor(least(100.0, CASE WHEN y > 0 THEN -10 * log10(y / (x + y)) ELSE 100.0 END) * 10 + 0.5) / 10 AS dq FROM s"""
 

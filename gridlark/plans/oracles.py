@@ -100,7 +100,7 @@ ORACLES: dict[str, str] = {
     "region_coverage": f"""WITH {REG}, s AS (SELECT contig, pos, sum(d) AS d FROM (SELECT contig, b AS pos, 1 AS d FROM reg UNION ALL SELECT contig, e, -1 FROM reg) GROUP BY 1, 2 HAVING sum(d) <> 0)
  SELECT contig, pos AS "begin", nx AS "end", CAST(depth AS BIGINT) AS depth FROM (SELECT contig, pos, lead(pos) OVER w AS nx, sum(d) OVER w AS depth FROM s WINDOW w AS (PARTITION BY contig ORDER BY pos)) WHERE depth > 0""",
     "positions_in_regions": f"WITH {REF}, {REG} SELECT pos, ref FROM ref WHERE EXISTS (SELECT 1 FROM reg WHERE kind = 'PROMO' AND pos >= b AND pos < e)",
-    "positions_outside_regions": f"WITH {REF}, {REG} SELECT pos, ref FROM ref WHERE NOT EXISTS (SELECT 1 FROM reg WHERE kind = 'ECONOMY' AND pos >= b AND pos < e)",
+    "positions_outside_regions": f"WITH {REF}, {REG} SELECT pos, ref FROM ref WHERE NOT EXISTS (SELECT 1 FROM reg WHERE kind = 'ECONOMY' AND e - b >= 30 AND pos >= b AND pos < e)",
     "region_overlap": f"WITH {REG} SELECT x.contig, x.id, y.id AS id_b, least(x.e, y.e) - greatest(x.b, y.b) AS shared FROM reg x JOIN reg y ON x.contig = y.contig AND x.id < y.id AND x.b < y.e AND y.b < x.e",
     "region_contained": f"WITH {REG}, m AS (SELECT * FROM {merged("(SELECT * FROM reg WHERE kind >= 'M')")}) SELECT contig, id FROM reg WHERE kind < 'M' AND EXISTS (SELECT 1 FROM m WHERE m.contig = reg.contig AND reg.b >= m.\"begin\" AND reg.e <= m.\"end\")",
     "region_payload": f"WITH {REG}, r AS (SELECT *, least(e, lead(b) OVER (PARTITION BY contig, kind ORDER BY b)) AS e2 FROM reg) SELECT p.contig, p.kind, p.b + 25 AS pos, CAST(coalesce((r.e - r.b) % 2, 2) AS INT) AS ploidy FROM reg p LEFT JOIN r ON p.contig = r.contig AND p.kind = r.kind AND p.b + 25 >= r.b AND p.b + 25 < r.e2",

@@ -75,7 +75,7 @@ def positions_in_regions(spark, d):
 
 @query
 def positions_outside_regions(spark, d):
-    r = V.typed_regions(spark, d).filter("kind = 'ECONOMY'").withColumn("contig", F.lit("all"))
+    r = V.typed_regions(spark, d).filter("kind = 'ECONOMY' and end - begin >= 30").withColumn("contig", F.lit("all"))
     return intervals.positions_in(V.reference(spark, d).withColumn("contig", F.lit("all")), r, ["contig"], how="left_anti").select("pos", "ref")
 
 
@@ -394,10 +394,11 @@ def forest_scores(spark, d):
 
 
 def _pedigree(spark, d):
-    """(child, father, mother): each library with the next two of its nation, as families are listed one member after the other."""
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    t = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("child"), F.lead("s_suppkey", 1).over(w).alias("father"), F.lead("s_suppkey", 2).over(w).alias("mother"))
-    return t.filter("mother is not null")
+    """(child, father, mother): each library with the two that follow it, where there are such, as families are listed one member after the other."""
+    t = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("child"))
+    for i, who in ((1, "father"), (2, "mother")):
+        t = t.withColumn(who, F.col("child") + i).join(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias(who)), who)
+    return t.select("child", "father", "mother")
 
 
 @query
