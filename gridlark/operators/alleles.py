@@ -141,7 +141,9 @@ def aligned(rows: DataFrame, a: str, b: str) -> DataFrame:
 
     @F.pandas_udf(StringType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else align(p, q) for p, q in zip(x, y)], dtype=object)
+        pairs = list(zip(x, y))
+        of = {pair: align(*pair) for pair in set(pairs) if None not in pair}  # equal pairs once
+        return pd.Series([of.get(pair) for pair in pairs], dtype=object)
 
     return rows.withColumn("cigar", run(F.col(a), F.col(b)))
 

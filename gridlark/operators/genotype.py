@@ -153,11 +153,27 @@ def somatic(lhoods: DataFrame, theta: float = THETA, somatic_rate: float = 1e-6,
     return out.withColumn("qss_nt", P.int_phred(not_nt))
 
 
-def reconciled(tier1: DataFrame, tier2: DataFrame, keys: list[str]) -> DataFrame:
-    """The tier with the lower quality; where the tiers' genotypes differ the quality is 0."""
-    b = tier2.select(*keys, F.col("gt").alias("gt2"), F.col("qss").alias("qss2"), F.col("qss_nt").alias("qss_nt2"))
-    both = tier1.join(b, keys)
-    return both.select(*keys, "gt", F.when(F.col("qss") <= F.col("qss2"), 1).otherwise(2).alias("tier"), F.least("qss", "qss2").alias("qss"), F.when(F.col("gt") != F.col("gt2"), 0).otherwise(F.least("qss_nt", "qss_nt2")).alias("qss_nt"))
+def tiered(obs: DataFrame, tiers: tuple[int, ...]) -> DataFrame:
+    """(pos, normal1, tumor1, normal2, tumor2, ...): likelihoods over frequencies() of both samples, of the calls of each tier's least quality and more, from one scan. Positions without calls of some sample and tier are left out."""
+    e = P.error_prob(F.greatest(F.col("q"), F.lit(1)))
+    f = frequencies()
+    terms = obs.select("pos", "sample", "q", *[F.ln(F.when(F.col("is_alt"), x * (1 - e) + (1 - x) * e).otherwise((1 - x) * (1 - e) + x * e)).alias(f"t{i}") for i, x in enumerate(f)])
+    sums = [F.sum(F.when(F.col("q") >= least, F.col(f"t{i}"))).alias(f"s{k}_{i}") for k, least in enumerate(tiers) for i in range(len(f))]
+    by = terms.groupBy("pos", "sample").agg(*sums)
+    own = [F.when(F.col(f"s{k}_0").isNotNull(), F.array(*[f"s{k}_{i}" for i in range(len(f))])).alias(f"l{k}") for k in range(len(tiers))]
+    names = [(f"{who}{k + 1}", s, f"l{k}") for k in range(len(tiers)) for who, s in (("normal", 0), ("tumor", 1))]
+    out = by.select("pos", "sample", *own).groupBy("pos").agg(*[F.max(F.when(F.col("sample") == s, F.col(c))).alias(n) for n, s, c in names])
+    return out.filter(" and ".join(f"{n} is not null" for n, _, _ in names))
+
+
+def lower_tier(rows: DataFrame) -> DataFrame:
+    """Of two tiers' results in one row (gt1, qss1, qss_nt1 and gt, qss, qss_nt of the second) the lower quality and its tier; where the tiers' genotypes differ the quality is 0."""
+    return rows.withColumns({
+        "tier": F.when(F.col("qss1") <= F.col("qss"), 1).otherwise(2),
+        "qss_nt": F.when(F.col("gt1") != F.col("gt"), 0).otherwise(F.least("qss_nt1", "qss_nt")),
+        "qss": F.least("qss1", "qss"),
+        "gt": F.col("gt1"),
+    })
 
 
 def de_novo(trios: DataFrame, theta: float = THETA, mutation: float = 1e-8) -> DataFrame:

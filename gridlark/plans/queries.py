@@ -200,14 +200,14 @@ def case_control_counts(spark, d):
     return o.groupBy("pos").agg(*[F.count_if((F.col("sample") == s) & k).alias(f"{n}_{t}") for s, n in ((0, "normal"), (1, "tumor")) for k, t in ((alt, "alt"), (~alt, "ref"))])
 
 
-def _tiers(spark, d):
+def _tiers(spark, d, *tiers):
     o = V.observations(spark, d).join(V.reference(spark, d), "pos").withColumn("is_alt", F.col("base") != F.col("ref"))
-    tiers = []
-    for least in (25, 5):
-        lh = genotype.frequency_likelihoods(o.filter(F.col("q") >= least), ["pos", "sample"])
-        both = lh.groupBy("pos").agg(F.max(F.when(F.col("sample") == 0, F.col("lhood"))).alias("normal"), F.max(F.when(F.col("sample") == 1, F.col("lhood"))).alias("tumor"))
-        tiers.append(genotype.somatic(both.filter("normal is not null and tumor is not null")))
-    return tiers
+    return genotype.tiered(o, tiers)
+
+
+def _tier(lhoods, k):
+    """The model of one tier: pos, gt, post, qss, qss_nt."""
+    return genotype.somatic(lhoods.select("*", F.col(f"normal{k}").alias("normal"), F.col(f"tumor{k}").alias("tumor"))).drop("normal", "tumor")
 
 
 @query
@@ -220,13 +220,13 @@ def frequency_grid(spark, d):
 @query
 def somatic_calls(spark, d):
     """Grid model at two tiers, reconciled."""
-    one, two = _tiers(spark, d)
-    return genotype.reconciled(one, two, ["pos"])
+    one = _tier(_tiers(spark, d, 25, 5), 1).withColumnsRenamed({"gt": "gt1", "qss": "qss1", "qss_nt": "qss_nt1"}).drop("post")
+    return genotype.lower_tier(_tier(one, 2)).select("pos", "gt", "tier", "qss", "qss_nt")
 
 
 @query
 def somatic_filters(spark, d):
-    one, _ = _tiers(spark, d)
+    one = _tier(_tiers(spark, d, 25), 1)
     o = V.observations(spark, d).groupBy("pos").agg(F.count_if(F.expr("q >= 25")).alias("used"), F.count_if(F.expr("q < 25")).alias("unused"), F.count_if(F.expr("mapq = 0")).alias("spanning"))
     f = filters.somatic_snv(F.col("gt"), F.col("qss_nt"), F.col("unused"), F.col("used"), F.col("spanning"), F.col("used") + F.col("unused"), F.lit(10))
     return one.join(o, "pos").select("pos", "gt", "qss_nt", F.array_join(f, ";").alias("filters"))
@@ -600,7 +600,7 @@ def panel_noise(spark, d):
 @query
 def callable_regions(spark, d):
     """Positions where the normal genotype or the somatic call is sure enough, as blocks."""
-    one, _ = _tiers(spark, d)
+    one = _tier(_tiers(spark, d, 25), 1)
     sure = one.filter((F.col("qss") >= 15) | (P.int_phred(F.col("post")[1] + F.col("post")[3] + F.col("post")[5]) >= 15))
     return intervals.blocks(sure.select(F.lit("all").alias("contig"), "pos"), ["contig"], width=512)
 
