@@ -67,14 +67,16 @@ def _next(page: str, at: int) -> tuple[str, re.Match | None, int]:
     """
     start = at
     while (i := page.find("<", at)) >= 0:
+        tag = _TAG.match(page, i)
+        if tag:
+            return page[start:i], tag, tag.end()
         if _NOT_TEXT.match(page, i):
             dashes = page.startswith("<!--", i)
             end = page.find("-->" if dashes else ">", i + 2)
             return page[start:i], None, end + (3 if dashes else 1) if end >= 0 else len(page)
         if _TAG_OPENS.match(page, i):
-            tag = _TAG.match(page, i)
-            if tag or page.find(">", i) >= 0:
-                return page[start:i], tag, tag.end() if tag else len(page)
+            if page.find(">", i) >= 0:
+                return page[start:i], None, len(page)
             break
         at = i + 1
     return page[start:], None, len(page)
