@@ -34,10 +34,15 @@ def confident_support(reads: DataFrame, keys: list[str], least: float = 0.51) ->
 
     reads: one row per read and allele, (read_id, allele, lnp, is_fwd).
     """
-    top = F.max(F.struct("lnp", "allele")).alias("best")
-    by = reads.groupBy(*keys, "read_id").agg(top, F.collect_list("lnp").alias("lnps"), F.first("is_fwd").alias("is_fwd"))
-    post = F.exp(F.col("best.lnp") - P.log_sum_exp(F.col("lnps")))
-    called = by.withColumn("allele", F.when(post >= least, F.col("best.allele")).otherwise("none"))
+    by = reads.groupBy(*keys, "read_id").agg(F.collect_list(F.struct("lnp", "allele")).alias("lnps"), F.first("is_fwd").alias("is_fwd"))
+    return support(by, keys, least)
+
+
+def support(reads: DataFrame, keys: list[str], least: float = 0.51) -> DataFrame:
+    """confident_support of one row per read, (lnps, is_fwd), whose array lnps has (lnp, allele): every row counts, whether or not it has an identity of its own."""
+    best = F.array_max("lnps")
+    post = F.exp(best["lnp"] - P.log_sum_exp(F.transform("lnps", lambda x: x["lnp"])))
+    called = reads.select(*keys, "is_fwd", F.when(post >= least, best["allele"]).otherwise("none").alias("allele"))
     return called.groupBy(*keys, "allele").agg(F.count("*").alias("reads"), F.count_if("is_fwd").alias("fwd"))
 
 

@@ -514,9 +514,9 @@ def indel_signals(spark, d):
 
 @query
 def confident_support(spark, d):
-    o = V.observations(spark, d)
-    reads = o.select("pos", F.struct("read_id", "read_pos", "q").alias("read_id"), "is_fwd", F.explode(F.array(*[F.struct(F.lit(a).alias("allele"), F.when(F.col("base") == a, F.ln(1 - P.error_prob(F.greatest(F.col("q"), F.lit(1))))).otherwise(F.ln(P.error_prob(F.greatest(F.col("q"), F.lit(1))) / 2)).alias("lnp")) for a in V.ALLELES])).alias("x")).select("pos", "read_id", "is_fwd", "x.*")
-    return alleles.confident_support(reads, ["pos"])
+    e = P.error_prob(F.greatest(F.col("q"), F.lit(1)))
+    lnps = F.array(*[F.struct(F.when(F.col("base") == a, F.ln(1 - e)).otherwise(F.ln(e / 2)).alias("lnp"), F.lit(a).alias("allele")) for a in V.ALLELES])
+    return alleles.support(V.observations(spark, d).select("pos", "is_fwd", lnps.alias("lnps")), ["pos"])
 
 
 @query

@@ -127,3 +127,13 @@ def test_alignments_span_whole_strings(spark):
         ops = re.findall(r"(\d+)([=XID])", got[r.p_partkey])
         assert sum(int(n) for n, op in ops if op in "=XD") == len(r.p_name)
         assert sum(int(n) for n, op in ops if op in "=XI") == len(r.p_type)
+
+
+def test_confident_support_counts_reads_that_look_alike(spark, duck, tmp_path):
+    """Rows that agree in position, read, place and quality are calls of their own, also with other bases."""
+    got = f"select * from '{DATA}/lineitem.parquet'"
+    other = f"select * replace (case l_returnflag when 'A' then 'N' else 'A' end as l_returnflag) from '{DATA}/lineitem.parquet' where l_orderkey % 3 = 0"
+    c = duckdb.connect()
+    c.execute(f"copy ({got} union all {other} union all {got} where l_orderkey % 5 = 0) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    assert table(QUERIES["confident_support"](spark, str(tmp_path)).toPandas()) == table(c.execute(ORACLES["confident_support"]).df())
