@@ -67,6 +67,16 @@ def normalised(ln_xs: Column) -> Column:
     return let(both, lambda s: F.transform(s["xs"], lambda x: F.exp(x - s["total"])))
 
 
+#: Fixed value: probabilities closer than this, relative to the larger one, are equal. Sums of logs differ by the order of their terms, some 1e-14.
+EQUAL = 1e-9
+
+
+def first_best(ps: Column) -> Column:
+    """Place, from 0, of the largest probability; of equal ones the first, in whatever order their logs were added up."""
+    both = F.struct(ps.alias("ps"), F.array_max(ps).alias("top"))
+    return let(both, lambda s: F.array_position(F.transform(s["ps"], lambda p: p >= s["top"] * (1 - EQUAL)), F.lit(True)).cast("int") - 1)
+
+
 def complement_of_best(ps: Column) -> Column:
     """Sum of all but the largest probability, which keeps small values that 1 - p loses. Of equal largest ones one is left out."""
 

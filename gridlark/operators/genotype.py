@@ -68,7 +68,7 @@ def called(lhoods: DataFrame, alleles: tuple[str, ...], theta: float = THETA) ->
     for tag, poly in (("", False), ("_poly", True)):
         prior = F.array(*priors(alleles, F.col("ref"), theta, poly))
         out = out.withColumn(f"post{tag}", P.normalised(F.zip_with("lhood", prior, lambda a, b: a + b)))
-        out = out.withColumn(f"best{tag}", F.array_position(f"post{tag}", F.array_max(f"post{tag}")).cast("int") - 1)
+        out = out.withColumn(f"best{tag}", P.first_best(F.col(f"post{tag}")))
         out = out.withColumn(f"gt{tag}", F.get(names, F.col(f"best{tag}"))).withColumn(f"gq{tag}", P.int_phred(P.complement_of_best(F.col(f"post{tag}"))))
     ref_gt = F.array_position(names, F.concat(F.col("ref"), F.lit("/"), F.col("ref"))).cast("int") - 1
     out = out.withColumn("qual", P.int_phred(F.get("post", ref_gt)))
@@ -206,7 +206,7 @@ def haploid_called(lhoods: DataFrame, alleles: tuple[str, ...], theta: float = T
     prior = F.array(*[F.when(F.col("ref") == a, math.log(1 - theta)).otherwise(math.log(theta / (len(alleles) - 1))) for a in alleles])
     post = P.normalised(F.zip_with(F.array(*[F.col("lhood")[i] for i in at]), prior, lambda a, b: a + b))
     out = lhoods.withColumn("post", post)
-    best = F.array_position("post", F.array_max("post")).cast("int") - 1
+    best = P.first_best(F.col("post"))
     return out.withColumn("allele", F.get(F.array(*map(F.lit, alleles)), best)).withColumn("gq", P.int_phred(P.complement_of_best(F.col("post"))))
 
 

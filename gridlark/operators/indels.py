@@ -32,7 +32,7 @@ def germline(reads: DataFrame, theta: DataFrame, keys: list[str], alleles: tuple
     lh = group_likelihoods(reads, keys, alleles).select(*keys, F.array(*[f"g{i}" for i in range(n)]).alias("lhood")).join(theta, keys)
     names = F.array(*[F.lit(f"{a}/{b}") for a, b in genotype.genotypes(alleles)])
     out = lh.withColumn("post", P.normalised(F.zip_with("lhood", F.array(*priors(alleles, ref, F.col("theta"))), lambda a, b: a + b)))
-    best = F.array_position("post", F.array_max("post")).cast("int") - 1
+    best = P.first_best(F.col("post"))
     at_ref = genotype.genotypes(alleles).index((ref, ref))
     pl = F.transform("lhood", lambda x: P.rounded(-10 * (x - F.array_max("lhood")) / math.log(10)))
     return out.select(*keys, F.get(names, best).alias("gt"), P.int_phred(P.complement_of_best(F.col("post"))).alias("gq"), P.int_phred(F.col("post")[at_ref]).alias("qual"), pl.alias("pl"))
