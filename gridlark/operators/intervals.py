@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.operators.running import BIN, running
+from gridlark.operators.running import BIN, dealt, running
 
 
 def merged(regions: DataFrame, part: list[str], gap: int = 0, width: int = BIN) -> DataFrame:
@@ -18,15 +18,21 @@ def merged(regions: DataFrame, part: list[str], gap: int = 0, width: int = BIN)
 
 
 def coverage(regions: DataFrame, part: list[str], width: int = BIN) -> DataFrame:
-    """Runs of equal depth (part, begin, end, depth), depth over 0, from +1 and -1 at the ends of regions."""
-    rows = regions.filter("begin < end")
-    ends = rows.select(*part, F.col("begin").alias("pos"), F.lit(1).alias("d")).union(rows.select(*part, F.col("end").alias("pos"), F.lit(-1).alias("d")))
-    steps = ends.groupBy(*part, "pos").agg(F.sum("d").alias("d")).filter("d <> 0")
-    depth = running(steps, part, "pos", {"depth": ("sum", F.col("d"))}, width=width)
-    # the next step, which may lie in a later bin: the running sum of one per step numbers the steps
-    order = running(depth, part, "pos", {"_k": ("sum", F.lit(1))}, width=width)
-    after = order.select(*part, (F.col("_k") - 1).alias("_k"), F.col("pos").alias("end"))
-    return order.join(after, [*part, "_k"]).filter("depth > 0").select(*part, F.col("pos").alias("begin"), "end", F.col("depth").cast("long").alias("depth"))
+    """Runs of equal depth (part, begin, end, depth), depth over 0, from +1 and -1 at the ends of regions.
+
+    Depth and the next step are carried from bin to bin together, so that steps are dealt once; regions are read once.
+    """
+    both = F.array(*[F.struct(F.col(c).alias("pos"), F.lit(d).alias("d")) for c, d in (("begin", 1), ("end", -1))])
+    ends = regions.filter("begin < end").select(*part, F.explode(both).alias("_e")).select(*part, "_e.pos", "_e.d")
+    steps = dealt(ends.groupBy(*part, "pos").agg(F.sum("d").alias("d")).filter("d <> 0"), part, "pos", width)
+    bins = steps.groupBy(*part, "_bin").agg(F.sum("d").alias("_d"), F.min("pos").alias("_first"))
+    along = Window.partitionBy(*part).orderBy("_bin")
+    past = along.rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select(*part, "_bin", F.coalesce(F.sum("_d").over(past), F.lit(0)).alias("_ahead"), F.lead("_first").over(along).alias("_next"))
+    inner = Window.partitionBy(*part, "_bin").orderBy("pos")
+    depth = F.sum("d").over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_ahead")
+    out = steps.join(carried, [*part, "_bin"]).withColumns({"depth": depth, "end": F.coalesce(F.lead("pos").over(inner), F.col("_next"))})
+    return out.filter("depth > 0").select(*part, F.col("pos").alias("begin"), "end", F.col("depth").cast("long").alias("depth"))
 
 
 #: Bins of a level are so many times as wide as those of the level below; an interval lies in the level in which it spans a few bins.

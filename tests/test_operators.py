@@ -308,3 +308,30 @@ def test_equal_genotypes_do_not_depend_on_the_order_of_reads(spark):
     assert [(r.gt, r.gt_poly, r.gqx) for r in out] == [("A/N", "A/N", 3)]
     hap = spark.createDataFrame([("N", [x, -9.0, -9.0, -9.0, -9.0, -5.0]) for x in (-5.000000000000001, -4.999999999999999)], "ref string, lhood array<double>")
     assert {r.allele for r in genotype.haploid_called(hap.withColumn("lhood", F.expr("transform(lhood, (x, i) -> if(i = 2, -30D, x))")), ("A", "N", "R")).collect()} == {"A"}
+
+
+def test_coverage_reads_regions_once_in_tasks_that_grow_in_number(spark, rows, tmp_path, monkeypatch):
+    """What a task holds is bounded: rows are dealt by the size of the files, and regions are worked out once."""
+    from gridlark.operators import running as R
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    spark.range(3000).selectExpr("cast(id % 3 as string) c", "id * 5 begin", "id * 5 + id % 17 end").write.parquet(f"{tmp_path}/r")
+    read = spark.read.parquet(f"{tmp_path}/r")
+    out = intervals.coverage(read.mapInArrow(counted, read.schema), ["c"], width=64)
+    deep = {}
+    for r in read.collect():
+        for p in range(r.begin, r.end):
+            deep[r.c, p] = deep.get((r.c, p), 0) + 1
+    assert {(r.c, p): r.depth for r in out.collect() for p in range(r.begin, r.end)} == deep
+    assert seen.value == 3000
+    least = spark.sparkContext.defaultParallelism
+    assert R.tasks(read) == least
+    monkeypatch.setattr(R, "DEALT", 1 << 10)
+    assert R.tasks(read) > least and R.tasks(read.union(read)) > 1.5 * R.tasks(read)
+    assert intervals.merged(read, ["c"], width=64).count() == len(rows(intervals.merged(read, ["c"])))
