@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions import probability as P
+from gridlark.operators.running import tasks
 
 #: Fixed value: the expected heterozygosity.
 THETA = 0.001
@@ -154,16 +155,21 @@ def somatic(lhoods: DataFrame, theta: float = THETA, somatic_rate: float = 1e-6,
 
 
 def tiered(obs: DataFrame, tiers: tuple[int, ...]) -> DataFrame:
-    """(pos, normal1, tumor1, normal2, tumor2, ...): likelihoods over frequencies() of both samples, of the calls of each tier's least quality and more, from one scan. Positions without calls of some sample and tier are left out."""
+    """(pos, normal1, tumor1, normal2, tumor2, ...): likelihoods over frequencies() of both samples, of the calls of each tier's least quality and more, from one scan. Positions without calls of some sample and tier are left out.
+
+    Calls of one position, sample, allele and quality are counted before their logs are taken, and then dealt by position:
+    a sum of this many columns that is begun where calls are read holds a row of sums for every position there.
+    """
+    kind = ["pos", "sample", "is_alt", "q"]
     e = P.error_prob(F.greatest(F.col("q"), F.lit(1)))
     f = frequencies()
-    terms = obs.select("pos", "sample", "q", *[F.ln(F.when(F.col("is_alt"), x * (1 - e) + (1 - x) * e).otherwise((1 - x) * (1 - e) + x * e)).alias(f"t{i}") for i, x in enumerate(f)])
-    sums = [F.sum(F.when(F.col("q") >= least, F.col(f"t{i}"))).alias(f"s{k}_{i}") for k, least in enumerate(tiers) for i in range(len(f))]
-    by = terms.groupBy("pos", "sample").agg(*sums)
-    own = [F.when(F.col(f"s{k}_0").isNotNull(), F.array(*[f"s{k}_{i}" for i in range(len(f))])).alias(f"l{k}") for k in range(len(tiers))]
-    names = [(f"{who}{k + 1}", s, f"l{k}") for k in range(len(tiers)) for who, s in (("normal", 0), ("tumor", 1))]
-    out = by.select("pos", "sample", *own).groupBy("pos").agg(*[F.max(F.when(F.col("sample") == s, F.col(c))).alias(n) for n, s, c in names])
-    return out.filter(" and ".join(f"{n} is not null" for n, _, _ in names))
+    calls = obs.select(*kind).repartition(tasks(obs), "pos").groupBy(*kind).agg(F.count("*").alias("n"))
+    terms = calls.select("pos", "sample", "q", *[(F.col("n") * F.ln(F.when(F.col("is_alt"), x * (1 - e) + (1 - x) * e).otherwise((1 - x) * (1 - e) + x * e))).alias(f"t{i}") for i, x in enumerate(f)])
+    sums = [F.sum(F.when((F.col("q") >= least) & (F.col("sample") == s), F.col(f"t{i}"))).alias(f"s{k}_{s}_{i}") for k, least in enumerate(tiers) for s in (0, 1) for i in range(len(f))]
+    by = terms.groupBy("pos").agg(*sums)
+    names = {f"{who}{k + 1}": (k, s) for k in range(len(tiers)) for who, s in (("normal", 0), ("tumor", 1))}
+    seen = by.filter(" and ".join(f"s{k}_{s}_0 is not null" for k, s in names.values()))
+    return seen.select("pos", *[F.array(*[f"s{k}_{s}_{i}" for i in range(len(f))]).alias(n) for n, (k, s) in names.items()])
 
 
 def lower_tier(rows: DataFrame) -> DataFrame:

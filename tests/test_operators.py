@@ -335,3 +335,23 @@ def test_coverage_reads_regions_once_in_tasks_that_grow_in_number(spark, rows, t
     monkeypatch.setattr(R, "DEALT", 1 << 10)
     assert R.tasks(read) > least and R.tasks(read.union(read)) > 1.5 * R.tasks(read)
     assert intervals.merged(read, ["c"], width=64).count() == len(rows(intervals.merged(read, ["c"])))
+
+
+def test_tiers_deal_calls_by_position_before_sums_begin(spark):
+    """The many sums of a position begin after the shuffle; the same calls, counted, give the same sums."""
+    rnd = random.Random(3)
+    rows = [(p, s, rnd.random() < 0.3, rnd.choice((3, 12, 30, 41))) for p in range(40) for s in (0, 1) for _ in range(rnd.randrange(0, 9))]
+    obs = spark.createDataFrame(rows, "pos long, sample int, is_alt boolean, q int")
+    out = genotype.tiered(obs, (25, 5))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(pos") == 1 and "sum(" not in plan[plan.index("Exchange hashpartitioning(pos") :]
+    want = {}
+    for t, least in ((1, 25), (2, 5)):
+        for s, who in ((0, "normal"), (1, "tumor")):
+            lh = genotype.frequency_likelihoods(obs.filter((F.col("q") >= least) & (F.col("sample") == s)), ["pos"])
+            want[f"{who}{t}"] = {r.pos: r.lhood for r in lh.collect()}
+    got = {r.pos: r for r in out.collect()}
+    assert set(got) == set.intersection(*map(set, want.values())) and got
+    for p, r in got.items():
+        for n, by in want.items():
+            assert r[n] == pytest.approx(by[p], abs=1e-9)
