@@ -6,7 +6,7 @@ features (digits, letters, groups, dots, brackets) and context features (how nea
 word stands before it, assignments, quotes).  The tables hold no labels of personal
 data, so labels are weak ones: validators, of which most check what no feature shows (a check
 digit, the range of an octet, a host's last name, digits of an international number).
-Boosted trees learn from the candidates of at most LABELLED rows, expected, which ones look like
+Boosted trees learn from the candidates of all rows, counted by their features, which ones look like
 confirmed ones; a threshold calibrated on the half of the texts held out selects spans
 besides those of the base patterns.
 
@@ -44,8 +44,8 @@ LAST_CUE = "(?is).*(" + CUES[7:-3] + r")\b(.*)$"
 #: What ends right before a phone number, and a contact written without an at sign whose host ends in a dotted name.
 PHONE_CUE = r"(?i)\b(?:tele)?(?:tel|phone|call|fax)(?:[\x20]?(?:no|number|us|me|at|on|is|or)\b)*[\x20]?[.:=#]?[\x20]?\(?$"
 WRITTEN = r"[A-Za-z0-9] ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\.?$"
-#: Held-out precision at which candidates become spans; rows whose candidates are labelled, in expectation; matches of a text that are placed one after the other before their places are added up.
-PRECISION, LABELLED, CHUNK = 0.95, 50_000, 64
+#: Held-out precision at which candidates become spans; matches of a text that are placed one after the other before their places are added up.
+PRECISION, CHUNK = 0.95, 64
 _FOUND = "array<struct<kind:string,start:int,end:int,match:string,before:string>>"
 
 
@@ -154,11 +154,9 @@ def _matched(docs: DataFrame, id_cols: list[str], text_col: str, base: bool) ->
     return rows.select(*(f"c{i}" for i in range(len(id_cols))), kept.alias("base"), candidates.alias("candidates"))
 
 
-def learnt(docs: DataFrame, text_col: str = "text", precision: float = PRECISION, labelled: int = LABELLED) -> tuple[Forest, float]:
-    """The trees and the threshold, from counts over the candidates of about `labelled` rows drawn at random (all, if there are no more); half of the texts are held out for the threshold."""
-    rows = docs.count()
-    some = docs.select(text_col).sample(labelled / rows, 7) if rows > labelled else docs
-    c = _matched(some, [], text_col, base=False).select("half", F.explode("candidates").alias("c"))
+def learnt(docs: DataFrame, text_col: str = "text", precision: float = PRECISION) -> tuple[Forest, float]:
+    """The trees and the threshold, from counts over the candidates of all rows; half of the texts are held out for the threshold. The driver gets a row per combination of features, of which there are a fixed number."""
+    c = _matched(docs, [], text_col, base=False).select("half", F.explode("candidates").alias("c"))
     features = _features(F.col("c"))
     names = [n for n, _ in features]
     counts = c.select("half", *[f.alias(n) for n, f in features], _confirmed(F.col("c")).alias("ok")).groupBy("half", *names).agg(F.count_if("ok").alias("p"), F.count_if(~F.col("ok")).alias("n")).orderBy("half", *names).collect()

@@ -426,3 +426,13 @@ def test_chat(spark):
 def test_digests_match_python(spark):
     t = "é\n" * 3
     assert spark.range(1).select(F.sha2(F.lit(t).cast("binary"), 256)).first()[0] == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_pii_learns_from_every_row(spark, monkeypatch):
+    """Counts behind the trees and the threshold hold each row's candidate, however many rows there are."""
+    seen = []
+    fitted, threshold = pii.fitted, pii.threshold
+    monkeypatch.setattr(pii, "fitted", lambda x, p, n: seen.append((p + n).sum()) or fitted(x, p, n))
+    monkeypatch.setattr(pii, "threshold", lambda scores, p, n, least: seen.append((p + n).sum()) or threshold(scores, p, n, least))
+    pii.learnt(spark.range(60_000).selectExpr("concat('tel. 555 010 ', 1000 + id % 9000, ' of ', id % 7) as text"))
+    assert sum(seen) == 60_000 and len(seen) == 2
